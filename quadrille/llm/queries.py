@@ -5,9 +5,13 @@ from __future__ import annotations
 from quadrille.llm.decontaminate import op10_decontaminate
 from quadrille.llm.mixing import op9_mix
 from quadrille.llm.sharding import op6_shard
+from quadrille.llm.token_files import op7_token_files
+from quadrille.llm.warc import op8_warc
 
 QUERIES = {
     "op6_shard": op6_shard,
+    "op7_token_files": op7_token_files,
+    "op8_warc": op8_warc,
     "op9_mix": op9_mix,
     "op10_decontaminate": op10_decontaminate,
 }
@@ -16,12 +20,20 @@ _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxy
 _ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 
 ORACLE_SQL = {
+    "op8_warc": """
+with p as (select page_id, coalesce(html, '') as html from pages), q as (select page_id, cast(strlen(html) as bigint) as n, sha1(html) as d from p),
+k as (select d, max(page_id) as kept from q where n >= 1000 group by d)
+select q.page_id, q.n as payload_bytes, q.d as payload_digest,
+  case when k.kept is null or q.page_id = k.kept then 'response' else 'revisit' end as record_type,
+  case when q.page_id <> k.kept then k.kept end as refers_to
+from q left join k on q.n >= 1000 and q.d = k.d
+""",
     "op10_decontaminate": f"""
 with recursive bench as (
   select cast(item_id as varchar) as item, regexp_extract_all({_LOWER.format("text")}, {_ALNUM}) as w from benchmark where text is not null and item_id is not null
 ), grams as (
   select distinct item, len(win) as k, array_to_string(win, ' ') as gram from (
-    select item, unnest(case when len(w) >= 10 then list_transform(range(1, len(w) - 8), i -> w[i:i + 9]) when len(w) > 0 then [w] else [] end) as win from bench)
+    select item, unnest(case when len(w) >= 10 then list_transform(range(1, len(w) - 8), lambda i: w[i:i + 9]) when len(w) > 0 then [w] else [] end) as win from bench)
 ), doc as (
   select doc_id, coalesce(regexp_extract_all({_LOWER.format("text")}, {_ALNUM}), []) as w from documents
 ), sizes as (select distinct k from grams),
