@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from quadrille.llm.decontaminate import op10_decontaminate
+from quadrille.llm.embedding_dedup import op5_embedding_links
+from quadrille.llm.language_id import op1_language
 from quadrille.llm.mixing import op9_mix
 from quadrille.llm.sharding import op6_shard
 from quadrille.llm.token_files import op7_token_files
 from quadrille.llm.warc import op8_warc
 
 QUERIES = {
+    "op1_language": op1_language,
+    "op5_embedding_links": op5_embedding_links,
     "op6_shard": op6_shard,
     "op7_token_files": op7_token_files,
     "op8_warc": op8_warc,
@@ -20,6 +24,18 @@ _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxy
 _ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 
 ORACLE_SQL = {
+    "op5_embedding_links": """
+with recursive e as (
+  select vec_id, label, cast(embedding as double[]) as v from embeddings
+  where label is not null and embedding is not null and len(embedding) > 0 and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x)))
+), u as (select vec_id, label, v, sqrt(list_dot_product(v, v)) as norm from e where list_dot_product(v, v) > 0),
+l as (select a.vec_id as a, b.vec_id as b from u a join u b on a.label = b.label and a.vec_id <> b.vec_id and len(a.v) = len(b.v) where list_dot_product(a.v, b.v) / (a.norm * b.norm) >= 0.98),
+reach(node, root) as (select vec_id, vec_id from embeddings union select l.b, r.root from reach r join l on l.a = r.node),
+least as (select node, min(root) as component_id from reach group by node),
+n as (select a, count(*) as n_links from l group by a)
+select x.vec_id, coalesce(n_links, 0) as n_links, component_id, x.vec_id = component_id as kept
+from embeddings x left join n on n.a = x.vec_id left join least on least.node = x.vec_id
+""",
     "op8_warc": """
 with p as (select page_id, coalesce(html, '') as html from pages), q as (select page_id, cast(strlen(html) as bigint) as n, sha1(html) as d from p),
 k as (select d, max(page_id) as kept from q where n >= 1000 group by d)
