@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from quadrille.llm.decontaminate import op10_decontaminate
 from quadrille.llm.embedding_dedup import op5_embedding_links
+from quadrille.llm.jaccard import op3_jaccard_join
 from quadrille.llm.language_id import op1_language
 from quadrille.llm.mixing import op9_mix
 from quadrille.llm.sharding import op6_shard
@@ -12,6 +13,7 @@ from quadrille.llm.warc import op8_warc
 
 QUERIES = {
     "op1_language": op1_language,
+    "op3_jaccard_join": op3_jaccard_join,
     "op5_embedding_links": op5_embedding_links,
     "op6_shard": op6_shard,
     "op7_token_files": op7_token_files,
@@ -21,9 +23,22 @@ QUERIES = {
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = r"'[^\x20\x09-\x0D]+'"
 _ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 
 ORACLE_SQL = {
+    "op3_jaccard_join": f"""
+with recursive d as (select doc_id, coalesce(regexp_extract_all({_LOWER.format("text")}, {_WORDS}), []) as w from documents),
+s as (
+  select distinct doc_id, array_to_string(g, ' ') as g from (
+    select doc_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: w[i:i + 4]) when len(w) > 0 then [w] else [] end) as g from d)
+), n as (select doc_id, count(*) as n from s group by doc_id),
+o as (select a.doc_id as a, b.doc_id as b, count(*) as o from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
+l as (select a, b from o join n x on x.doc_id = a join n y on y.doc_id = b where 100 * o >= 75 * (x.n + y.n - o)),
+reach(node, root) as (select doc_id, doc_id from documents union select l.b, r.root from reach r join l on l.a = r.node)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, (select min(root) from reach r where r.node = d.doc_id) as component_id
+from d left join n on n.doc_id = d.doc_id
+""",
     "op5_embedding_links": """
 with recursive e as (
   select vec_id, label, cast(embedding as double[]) as v from embeddings
