@@ -6,6 +6,7 @@ from quadrille.llm.decontaminate import op10_decontaminate
 from quadrille.llm.embedding_dedup import op5_embedding_links
 from quadrille.llm.jaccard import op3_jaccard_join
 from quadrille.llm.language_id import op1_language
+from quadrille.llm.language_model import op2_score
 from quadrille.llm.mixing import op9_mix
 from quadrille.llm.sharding import op6_shard
 from quadrille.llm.token_files import op7_token_files
@@ -13,6 +14,7 @@ from quadrille.llm.warc import op8_warc
 
 QUERIES = {
     "op1_language": op1_language,
+    "op2_score": op2_score,
     "op3_jaccard_join": op3_jaccard_join,
     "op5_embedding_links": op5_embedding_links,
     "op6_shard": op6_shard,
