@@ -9,6 +9,7 @@ name and renamed when complete, so a task that is run again leaves the same file
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -23,7 +24,8 @@ CHUNK_BYTES = 1 << 20
 REVISIT_BYTES = 1000
 #: Fixed, so that reruns write the same archives.
 DATE = "2024-01-01T00:00:00Z"
-_CHUNKS = "record string, kind string, uri string, refers_to string, digest string, total bigint, chunk_no int, last boolean, data binary"
+#: zlib's window bits for gzip members, one a record.
+GZIP = 31
 _READ = "record string, kind string, uri string, refers_to string, digest string, archive string, chunk_no int, last boolean, data binary, running_bytes bigint, running_sha1 string"
 
 
@@ -71,18 +73,19 @@ def write(rows: DataFrame, folder: str) -> DataFrame:
         context = TaskContext.get()
         fs, root = filesystem(folder)
         fs.create_dir(root)
-        name = f"part-{context.partitionId():06d}.warc"
+        name = f"part-{context.partitionId():06d}.warc.gz"
         draft = f"{root}/.{name}.{context.taskAttemptId()}"
         count = 0
-        with fs.open_output_stream(draft, buffer_size=1 << 20) as out:
+        with fs.open_output_stream(draft, compression=None, buffer_size=1 << 20) as out:
             for batch in batches:
                 for row in batch.itertuples(index=False):
                     if row.chunk_no == 0:
-                        out.write(_header(row))
+                        member = zlib.compressobj(1, zlib.DEFLATED, GZIP)
+                        out.write(member.compress(_header(row)))
                         count += 1
-                    out.write(row.data)
+                    out.write(member.compress(row.data))
                     if row.last:
-                        out.write(b"\r\n\r\n")
+                        out.write(member.compress(b"\r\n\r\n") + member.flush())
             size = out.tell()
         if count:
             fs.move(draft, f"{root}/{name}")
@@ -103,7 +106,7 @@ def scan(spark: SparkSession, archives: DataFrame, chunk_bytes: int = CHUNK_BYTE
         for batch in batches:
             for path in batch["archive"]:
                 fs, local = filesystem(path)
-                with fs.open_input_stream(local, buffer_size=chunk_bytes) as raw:
+                with fs.open_input_stream(local, compression=None) as raw:
                     out, held = [], 0
                     for row in _parse(raw, path, chunk_bytes, with_data):
                         out.append(row)
@@ -121,6 +124,25 @@ def scan(spark: SparkSession, archives: DataFrame, chunk_bytes: int = CHUNK_BYTE
 _READ_COLUMNS = [x.split()[0] for x in _READ.split(", ")]
 
 
+class _Members:
+    """A stream's gzip members, one after the other, inflated piece by piece."""
+
+    def __init__(self, raw) -> None:
+        self.raw, self.member, self.packed = raw, zlib.decompressobj(GZIP), b""
+
+    def read(self, n: int) -> bytes:
+        while True:
+            if self.member.eof:
+                self.packed, self.member = self.member.unused_data, zlib.decompressobj(GZIP)
+            self.packed = self.packed or self.raw.read(1 << 16)
+            if not self.packed:
+                return self.member.decompress(b"", n) if not self.member.eof else b""
+            out = self.member.decompress(self.packed, n)
+            self.packed = self.member.unconsumed_tail
+            if out:
+                return out
+
+
 class _Buffered:
     """Lines and exact reads over a stream."""
 
@@ -142,16 +164,19 @@ class _Buffered:
         return not self.kept
 
     def take(self, n: int) -> bytes:
-        if len(self.kept) < n:
-            self.kept += self.raw.read(n - len(self.kept))
-        if len(self.kept) < n:
-            raise ValueError("the archive ends within a record")
-        out, self.kept = self.kept[:n], self.kept[n:]
-        return out
+        parts, have = [self.kept], len(self.kept)
+        while have < n:
+            parts.append(self.raw.read(n - have))
+            have += len(parts[-1])
+            if not parts[-1]:
+                raise ValueError("the archive ends within a record")
+        whole = b"".join(parts)
+        self.kept = whole[n:]
+        return whole[:n]
 
 
 def _parse(raw, path: str, chunk_bytes: int, with_data: bool):
-    source = _Buffered(raw, 1 << 16)
+    source = _Buffered(_Members(raw), 1 << 16)
     while not source.ended():
         if not source.line().startswith(b"WARC/"):
             raise ValueError(f"{path}: no record where one should begin")
