@@ -245,7 +245,7 @@ def _paged(filed: DataFrame, points: DataFrame, least: int) -> DataFrame:
         top = np.max([_coarse(c) for c in rows["counts"].to_pylist()], axis=0)
         n = rows["n"].to_numpy()
         comps = set(rows["comp"].to_pylist())
-        return pa.table({"h": [key[0].as_py()], "page": pa.array([key[1].as_py()], pa.int32()), "lo": pa.array([n.min()], pa.int32()), "hi": pa.array([n.max()], pa.int32()), "top": [top.tolist()], "only": pa.array([comps.pop() if len(comps) == 1 else None], pa.int64())})
+        return pa.table({"h": [key[0].as_py()], "page": pa.array([key[1].as_py()], pa.int32()), "lo": pa.array([n.min()], pa.int32()), "hi": pa.array([n.max()], pa.int32()), "top": pa.array([top.tolist()], pa.list_(pa.int32())), "only": pa.array([comps.pop() if len(comps) == 1 else None], pa.int64())})
 
     boxes = spool(full.groupBy("h", "page").applyInArrow(box, "h bigint, page int, lo int, hi int, top array<int>, only bigint"), "boxes")
     p, q = boxes.alias("p"), boxes.alias("q")

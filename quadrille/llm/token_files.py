@@ -12,6 +12,7 @@ Block: u32 ids, u32 minimum, u8 width, u32 exceptions, packed bits, u16 position
 
 from __future__ import annotations
 
+import functools
 import struct
 import zlib
 from collections.abc import Iterator
@@ -29,7 +30,7 @@ PERCENTILE = 95
 MAGIC = b"QFOR1"
 END_ID = 0
 #: Pieces of text whose ids a worker remembers; only speed depends on it.
-REMEMBERED = 600_000
+REMEMBERED = 1_000_000
 _BLOCK_HEAD = struct.Struct("<IIBI")
 _TAIL = struct.Struct("<QQQQ5s")
 
@@ -182,6 +183,12 @@ class Encoder:
                 self.known[piece] = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+@functools.cache
+def encoder(path: str) -> Encoder:
+    """One a worker process, so that its tasks share what it remembers."""
+    return Encoder(path)
+
+
 def write(docs: DataFrame, folder: str, tokenizer_path: str, partitions: int | None = None) -> DataFrame:
     """Write the ids of all documents in ascending doc_id order, nulls first, equal ids by text.
 
@@ -199,7 +206,7 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, partitions: int | N
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        context, encoder = TaskContext.get(), Encoder(tokenizer_path)
+        context, own = TaskContext.get(), encoder(tokenizer_path)
         fs, root = filesystem(folder)
         fs.create_dir(root)
         part = context.partitionId()
@@ -208,7 +215,7 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, partitions: int | N
             writer = Writer(out)
             for batch in batches:
                 for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                    writer.add(doc_id, np.append(encoder.encode(text), np.uint32(END_ID)))
+                    writer.add(doc_id, np.append(own.encode(text), np.uint32(END_ID)))
             writer.close()
         if writer.docs:
             fs.move(draft, f"{root}/{name}")

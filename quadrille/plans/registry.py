@@ -1,4 +1,8 @@
-"""All registered queries with their SQL."""
+"""All registered queries with their SQL; each module of this folder adds its own."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from quadrille.plans import blocks, estimators, joins, metrics, raster, records, scalar  # noqa: F401
+from quadrille.plans.base import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
