@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
@@ -27,11 +29,34 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def spool(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def spool(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    ``batch_rows`` bounds the rows of the Arrow batches that its Python steps get, for wide rows.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    before = spark.conf.get(_BATCH)
+    try:
+        if batch_rows:
+            spark.conf.set(_BATCH, str(batch_rows))
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._spooled = path
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete spooled tables that nothing reads any more, and let Spark clean the shuffles behind them."""
+    for table in tables:
+        path = getattr(table, "_spooled", None)
+        if path:
+            spark = table.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+            spark._jvm.System.gc()
 
 
 def remainder(key: Column, modulus: int) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import spool
+from quadrille.llm.common import discard, spool
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -36,5 +36,6 @@ def components(links: DataFrame) -> DataFrame:
         if n == 0 or (n, mark) == before:
             break
         before = (n, mark)
-        now = spool(_star(_star(now, large=True), large=False), "links")
+        last, now = now, spool(_star(_star(now, large=True), large=False), "links")
+        discard(last)
     return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -7,14 +7,15 @@ from above. The index over these points has two levels.
 Slabs. At the finest grouping, one group a hash value, counts are 0 or 1. With the groups in one
 fixed order, two sets that share none of their first n - ceil(least * n) + 1 groups have a sum of minima
 below what a link needs. So a point is filed under these leading coordinates only and meets just the
-points of the same slabs. Groups that many documents of a partition fill come last in the order.
+points of the same slabs. Groups that many documents fill come last in the order, the fullest at the
+very end: a passage that thousands of documents share leads only in those it makes up.
 
-Pages. The points of a slab, in order of size, are packed into leaf pages; a page's bounding box
+Pages. The points of a slab, in order of component and size, are packed into leaf pages; a page's bounding box
 (largest count by group, sizes from and to) bounds the overlap with whatever another page holds, and
 page pairs that can't reach a link are never opened. Within page pairs, the points' own sums of minima
 decide which pairs survive; survivors are verified on the sets.
 
-Pairs whose ends are known to be in one component need no look. Two rounds first link every point of
+Pairs whose ends are known to be in one component need no look. A few rounds first link every point of
 a slab with one hub, which joins large groups of near copies with as many pairs as they have rows.
 """
 
@@ -29,20 +30,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrille.llm import textkit
-from quadrille.llm.common import read, spool
+from quadrille.llm.common import discard, read, spool
 from quadrille.llm.components import components
 
 WORDS = 5
 LEAST = 75  # per cent
-#: A slab that more rows share is hot: its group goes to the end of the order.
-HOT = 32
+#: A group that more sets of single runs of rows share is hot: it goes to the end of the order.
+HOT = 3
 #: Hot groups that are moved at most, those of most rows first; the order, not the result, depends on it.
 HOT_GROUPS = 1 << 20
+#: Rounds of links with hubs; only speed depends on it.
+ROUNDS = 4
 #: Points a leaf page holds.
 PAGE = 64
 #: Rows of a table of ids that may be broadcast (16 bytes each).
 BROADCAST_ROWS = 500_000
 SEED = 20240903
+#: Rows of an Arrow batch that hold texts, points, or pairs of sets.
+TEXT_ROWS, POINT_ROWS, SET_ROWS = 1000, 1000, 250
+#: Shingles that a task remembers at a time to find frequent ones.
+SEEN = 1 << 21
 
 
 def need(n: np.ndarray | int, least: int = LEAST):
@@ -63,12 +70,18 @@ def sets(docs: DataFrame, k: int = WORDS) -> DataFrame:
     """(doc_id, n, sid, hashes, counts) a row; rows without words have n = 0 and no sid.
 
     ``sid`` names the set, ``hashes`` holds its 48-bit hashes in ascending order, six bytes each,
-    ``counts`` its point (u16). After the last row of a partition come rows without n, whose hashes
-    are those of leading shingles that at least two of its rows share, with counts how often (u32).
+    ``counts`` its point (u16). Rows without n come in between: after each run of ``SEEN``
+    shingles one whose hashes are those that three sets of the run share, with counts how often (u32).
     """
 
+    def often(run: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        values, n = np.unique(np.concatenate(list(run.values())), return_counts=True)
+        values, n = values[n > 2], n[n > 2]
+        if len(values):
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array([None], pa.int64()), "n": pa.array([None], pa.int32()), "sid": pa.array([None], pa.int64()), "hashes": pa.array([_pack(values)], pa.binary()), "counts": pa.array([n.astype("<u4").tobytes()], pa.binary())})
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        leading: list[np.ndarray] = []
+        run: dict[int, np.ndarray] = {}
         for batch in batches:
             ns, sids, hashes, counts = [], [], [], []
             for lo, hi, data, bounds in textkit.text_chunks(batch["text"]):
@@ -87,14 +100,13 @@ def sets(docs: DataFrame, k: int = WORDS) -> DataFrame:
                     sids.append(int.from_bytes(hashlib.blake2b(packed, digest_size=8).digest(), "little", signed=True))
                     hashes.append(packed)
                     counts.append(_point(own))
-                    leading.append(own[: lead(len(own))])
+                    run[sids[-1]] = own
             yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "n": pa.array(ns, pa.int32()), "sid": pa.array(sids, pa.int64()), "hashes": pa.array(hashes, pa.binary()), "counts": pa.array(counts, pa.binary())})
-        if leading:
-            values, n = np.unique(np.concatenate(leading), return_counts=True)
-            values, n = values[n > 1], n[n > 1]
-            for lo in range(0, len(values), 1 << 17):
-                part = slice(lo, lo + (1 << 17))
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array([None], pa.int64()), "n": pa.array([None], pa.int32()), "sid": pa.array([None], pa.int64()), "hashes": pa.array([_pack(values[part])], pa.binary()), "counts": pa.array([n[part].astype("<u4").tobytes()], pa.binary())})
+            if sum(map(len, run.values())) >= SEEN:
+                yield from often(run)
+                run.clear()
+        if run:
+            yield from often(run)
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(cut, "doc_id bigint, n int, sid bigint, hashes binary, counts binary")
@@ -115,8 +127,9 @@ def _point(own: np.ndarray) -> bytes:
     return np.bincount((own >> np.uint64(48 - (g.bit_length() - 1))).astype(np.int64), minlength=g).astype("<u2").tobytes()
 
 
-def hot_groups(rows: DataFrame) -> np.ndarray:
-    """Leading shingles that more than HOT rows share, as far as partitions hold them twice."""
+def hot_groups(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that more than HOT sets share, as far as runs of rows hold them, in ascending order,
+    and the place of each in the order of how many sets do."""
 
     def open_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,16 +137,18 @@ def hot_groups(rows: DataFrame) -> np.ndarray:
                 yield pa.RecordBatch.from_pydict({"h": pa.array(_unpack(h).astype(np.int64)), "n": pa.array(np.frombuffer(n, "<u4").astype(np.int64))})
 
     found = rows.filter("n is null").select("hashes", "counts").mapInArrow(open_, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") > HOT)
-    top = found.orderBy(F.desc("n"), "h").limit(HOT_GROUPS).select("h").toPandas()["h"].to_numpy(np.int64)
-    return np.sort(top.astype(np.uint64))
+    top = found.orderBy(F.desc("n"), "h").limit(HOT_GROUPS).toPandas()
+    fullest_first = top["h"].to_numpy(np.int64).astype(np.uint64)
+    order = np.argsort(fullest_first)
+    return fullest_first[order], (len(order) - order).astype(np.int32)
 
 
-def slabs(rows: DataFrame, hot: np.ndarray) -> DataFrame:
+def slabs(rows: DataFrame, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """(h, sid, n): every set under its leading coordinates; a partition files equal sets once."""
     shared = rows.sparkSession.sparkContext.broadcast(hot)
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, seen = shared.value, set()
+        (last, place), seen = shared.value, set()
         for batch in batches:
             hs, sids, ns = [], [], []
             for sid, packed in zip(batch["sid"].to_pylist(), batch["hashes"].to_pylist(), strict=True):
@@ -146,7 +161,8 @@ def slabs(rows: DataFrame, hot: np.ndarray) -> DataFrame:
                     slot = np.searchsorted(last, own)
                     slot[slot == len(last)] = 0
                     late = last[slot] == own
-                    own = np.concatenate([own[~late], own[late]]) if late.any() else own
+                    if late.any():
+                        own = np.concatenate([own[~late], own[late][np.argsort(place[slot[late]])]])
                 hs.append(own[:take].astype(np.int64))
                 sids.append(np.full(take, sid))
                 ns.append(np.full(take, len(own), np.int32))
@@ -191,7 +207,7 @@ def _verify(pairs: DataFrame, points: DataFrame, members: DataFrame, least: int)
     few = _few(ends)
     own = points.join(few, "sid", "left_semi").groupBy("sid").agg(F.first("n").alias("n"), F.first("counts").alias("c"))
     side = lambda s: own.select(F.col("sid").alias(s), F.col("n").alias(f"n{s}"), F.col("c").alias(f"c{s}"))
-    alive = spool(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ca", "cb").mapInArrow(_surviving(least), "a bigint, b bigint"), "survivors")
+    alive = spool(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ca", "cb").mapInArrow(_surviving(least), "a bigint, b bigint"), "survivors", POINT_ROWS)
     held = members.join(few, "sid", "left_semi").groupBy("sid").agg(F.first("hashes").alias("hashes"))
 
     def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,27 +224,38 @@ def _verify(pairs: DataFrame, points: DataFrame, members: DataFrame, least: int)
 
     with_b = alive.join(held.select(F.col("sid").alias("b"), F.col("hashes").alias("y")), "b")
     with_a = with_b.join(held.select(F.col("sid").alias("a"), F.col("hashes").alias("x")), "a").select("a", "b", "x", "y")
-    return spool(with_a.mapInArrow(overlap, "a bigint, b bigint"), "verified")
+    found = spool(with_a.mapInArrow(overlap, "a bigint, b bigint"), "verified", SET_ROWS)
+    discard(pairs, ends, alive)
+    return found
+
 
+def _hubs(filed: DataFrame, round_: int, least: int) -> DataFrame:
+    """Pairs of each slab's rows with its hub, where components differ.
 
-def _hubs(filed: DataFrame, round_: int) -> DataFrame:
-    """Pairs of each slab's rows with its hub, the least by a seeded order, where components differ."""
-    order = "n, sid" if round_ == 0 else f"xxhash64({SEED + round_}, sid)"
+    The first round's hub is the smallest set, later ones draw one a slab; from the third on, only
+    slabs of more than a page are left to it.
+    """
+    order = "n, sid" if round_ == 0 else f"xxhash64({SEED + round_}, h, sid), sid"
+    if round_ > 1:
+        filed = filed.selectExpr("*", "count(*) over (partition by h) as rows").filter(F.col("rows") > PAGE)
     paired = filed.selectExpr("sid", "n", "comp", f"first_value(struct(sid, n, comp)) over (partition by h order by {order}) as hub")
-    return paired.filter((F.col("comp") != F.col("hub.comp")) & _near(F.col("n"), F.col("hub.n"), LEAST)).select(F.least("sid", "hub.sid").alias("a"), F.greatest("sid", "hub.sid").alias("b")).distinct()
+    return paired.filter((F.col("comp") != F.col("hub.comp")) & _near(F.col("n"), F.col("hub.n"), least)).select(F.least("sid", "hub.sid").alias("a"), F.greatest("sid", "hub.sid").alias("b")).distinct()
 
 
 def _relabel(filed: DataFrame, links: DataFrame) -> DataFrame:
     """``filed`` with the components after ``links``, of slabs that still hold more than one."""
     found = components(links).select(F.col("node").alias("comp"), F.col("component").alias("to"))
-    moved = filed.join(_few(spool(found, "moves")), "comp", "left").select("h", "sid", "n", F.coalesce("to", "comp").alias("comp"))
+    moves = spool(found, "moves")
+    moved = filed.join(_few(moves), "comp", "left").select("h", "sid", "n", F.coalesce("to", "comp").alias("comp"))
     mixed = moved.selectExpr("*", "min(comp) over (partition by h) as lo", "max(comp) over (partition by h) as hi").filter("lo < hi")
-    return spool(mixed.select("h", "sid", "n", "comp"), "slabs")
+    left = spool(mixed.select("h", "sid", "n", "comp"), "slabs")
+    discard(moves)
+    return left
 
 
 def _paged(filed: DataFrame, points: DataFrame, least: int) -> DataFrame:
     """Pairs across components that share a slab and pass the bound, page against page."""
-    placed = filed.selectExpr("*", f"cast(floor((row_number() over (partition by h order by n, sid) - 1) / {PAGE}) as int) as page", "count(*) over (partition by h) as rows")
+    placed = filed.selectExpr("*", f"cast(floor((row_number() over (partition by h order by comp, n, sid) - 1) / {PAGE}) as int) as page", "count(*) over (partition by h) as rows")
     placed = spool(placed, "pages")
     small = placed.filter(F.col("rows") <= PAGE)
     x, y = small.alias("x"), small.alias("y")
@@ -282,18 +309,22 @@ def classes(docs: DataFrame, k: int = WORDS, least: int = LEAST) -> DataFrame:
     Null and empty texts have n_shingles 0 and link with nothing; equal rows and rows that share a
     doc_id are one document in the links, and each gets its row. A null doc_id has a null component.
     """
-    rows = spool(sets(docs, k), "sets")
+    rows = spool(sets(docs, k), "sets", TEXT_ROWS)
     members = rows.filter("n > 0")
     hot = hot_groups(rows)
     entries = slabs(rows, hot)
     shared = entries.selectExpr("h", "sid", "n", "min(sid) over (partition by h) as lo", "max(sid) over (partition by h) as hi").filter("lo < hi")
-    filed = spool(shared.select("h", "sid", "n", F.col("sid").alias("comp")).distinct(), "slabs")
+    filed = spool(shared.select("h", "sid", "n", F.col("sid").alias("comp")).distinct(), "slabs", TEXT_ROWS)
     points = members.select("sid", "n", "counts")
     links = None
-    for round_ in range(2):
-        new = _verify(spool(_hubs(filed, round_), "pairs"), points, members.select("sid", "hashes"), least)
+    for round_ in range(ROUNDS):
+        pairs = spool(_hubs(filed, round_, least), "pairs")
+        if round_ > 1 and pairs.isEmpty():
+            break
+        new = _verify(pairs, points, members.select("sid", "hashes"), least)
         links = new if links is None else spool(links.unionByName(new), "links")
-        filed = _relabel(filed.withColumn("comp", F.col("sid")), links)
+        before, filed = filed, _relabel(filed.withColumn("comp", F.col("sid")), links)
+        discard(before)
     rest = _verify(spool(_paged(filed, points, least), "pairs"), points, members.select("sid", "hashes"), least)
     joined = components(links.unionByName(rest)).withColumnRenamed("node", "sid")
     named = members.filter("doc_id is not null").select("doc_id", "sid").join(joined, "sid", "left").select("doc_id", "sid", F.coalesce("component", "sid").alias("class"))

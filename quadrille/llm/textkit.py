@@ -48,7 +48,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def text_chunks(column, max_bytes: int = 1 << 22) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_chunks(column, max_bytes: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut an Arrow string column into runs of whole texts: (first row, last row + 1, bytes, bounds).
 
     Text i of a run is ``bytes[bounds[i]:bounds[i + 1]]``. Null texts are empty.
