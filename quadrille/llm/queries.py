@@ -9,6 +9,7 @@ from quadrille.llm.language_id import op1_language
 from quadrille.llm.language_model import op2_score
 from quadrille.llm.mixing import op9_mix
 from quadrille.llm.sharding import op6_shard
+from quadrille.llm.token_counts import op4_token_counts
 from quadrille.llm.token_files import op7_token_files
 from quadrille.llm.warc import op8_warc
 
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_language": op1_language,
     "op2_score": op2_score,
     "op3_jaccard_join": op3_jaccard_join,
+    "op4_token_counts": op4_token_counts,
     "op5_embedding_links": op5_embedding_links,
     "op6_shard": op6_shard,
     "op7_token_files": op7_token_files,

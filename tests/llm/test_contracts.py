@@ -111,3 +111,18 @@ def test_mix_meets_its_targets(spark, documents):
     longest = max(size.values())
     assert all(abs(taken[s] - target[s]) <= max(longest, 0.02 * target[s]) for s in own)
     assert sorted(map(tuple, rows)) == sorted(map(tuple, QUERIES["op9_mix"](spark, oracle.SF_DIR).collect()))
+
+
+def test_token_counts_match_brute_force(spark, documents):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    own.encode_special_tokens = True
+    sizes = [len(x.ids) for x in own.encode_batch([d["text"] or "" for d in documents], add_special_tokens=False)]
+    found = {r["n_tokens"]: r for r in QUERIES["op4_token_counts"](spark, oracle.SF_DIR).collect()}
+    assert {k: r["docs"] for k, r in found.items()} == dict(Counter(sizes))
+    for k, r in found.items():
+        assert r["tokens"] == k * r["docs"] and r["docs_at_least"] == sum(s >= k for s in sizes)
+        assert r["tokens_at_least"] == sum(s for s in sizes if s >= k) and r["kept_tokens"] == sum(min(s, k) for s in sizes)
+        assert r["docs_at_most"] == sum(s <= k for s in sizes) and math.isclose(r["share_at_most"], r["docs_at_most"] / len(sizes))

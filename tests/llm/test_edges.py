@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from quadrille.llm import decontaminate, embedding_dedup, jaccard, language_id, language_model, mixing, sharding, token_files, warc
+from quadrille.llm import decontaminate, embedding_dedup, jaccard, language_id, language_model, mixing, sharding, token_counts, token_files, warc
 from quadrille.llm.common import new_path
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, h string, sid string, block string"
@@ -112,3 +112,25 @@ def test_decontamination(spark, docs, none):
     assert "word5 " not in cut[1] and "word30" in cut[1] and cut[3] is None
     assert decontaminate.find(none, items).count() == 0
     assert {r["leak"]["n_hit"] for r in decontaminate.find(docs, items.limit(0)).collect()} == {0}
+
+
+def test_token_counts(docs, none, spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own = Tokenizer.from_file(path)
+    sizes = sorted(len(own.encode(r[1] or "", add_special_tokens=False).ids) for r in ROWS)
+    sums = token_counts.token_counts(docs, path)
+    assert sum(r["docs"] for r in sums.collect()) == len(ROWS)
+    limits = [0, 1, 7, 45, sizes[-1] - 1, sizes[-1], sizes[-1] + 1]
+    found = {r["context_limit"]: r for r in token_counts.at_limits(sums, limits).collect()}
+    for x in limits:
+        assert found[x]["kept_tokens"] == sum(min(s, x) for s in sizes)
+        assert found[x]["cut_docs"] == sum(s > x for s in sizes) and found[x]["cut_tokens"] == sum(max(s - x, 0) for s in sizes)
+    middle = {r["share"]: r["n_tokens"] for r in token_counts.quantiles(sums, [0.1, 0.5, 1.0]).collect()}
+    assert middle == {0.1: sizes[0], 0.5: sizes[len(sizes) // 2 - 1], 1.0: sizes[-1]}
+    empty = token_counts.token_counts(none, path)
+    assert empty.count() == 0
+    assert [r["kept_tokens"] for r in token_counts.at_limits(empty, [5]).collect()] == [0]
+    assert [r["n_tokens"] for r in token_counts.quantiles(empty, [0.5]).collect()] == [None]
