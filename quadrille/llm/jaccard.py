@@ -8,10 +8,14 @@ Slabs. At the finest grouping, one group a hash value, counts are 0 or 1. With t
 fixed order, two sets that share none of their first n - ceil(least * n) + 1 groups have a sum of minima
 below what a link needs. So a point is filed under these leading coordinates only and meets just the
 points of the same slabs. Groups that many documents fill come last in the order, the fullest at the
-very end: a passage that thousands of documents share leads only in those it makes up.
-
-Pages. The points of a slab, in order of component and size, are packed into leaf pages; a page's bounding box
-(largest count by group, sizes from and to) bounds the overlap with whatever another page holds, and
+very end: a passage that thousands of documents share leads only in those it makes up. An entry notes how
+many coordinates are left from its own on: in the first slab that two points share, neither minimum
+nor overlap can exceed what is left of either, so a pair for which that is too little is passed over.
+It either doesn't link or has met in an earlier slab.
+
+Pages. The points of a slab, those with enough left for a twin of their size first, then in order of
+component and size, are packed into leaf pages; a page's bounding box
+(largest count by group, sizes from and to, most left) bounds the overlap with whatever another page holds, and
 page pairs that can't reach a link are never opened. Within page pairs, the points' own sums of minima
 decide which pairs survive; survivors are verified on the sets.
 
@@ -62,8 +66,8 @@ def lead(n: np.ndarray | int, least: int = LEAST):
 
 
 def groups_of(n: int) -> int:
-    """Groups of a point: a power of two that keeps about four shingles a group."""
-    return 1 << max(4, min(12, (max(n, 4) // 4).bit_length() - 1))
+    """Groups of a point: the power of two that keeps one to two shingles a group, up to 65,536 groups."""
+    return 1 << max(4, min(16, n.bit_length() - 1))
 
 
 def sets(docs: DataFrame, k: int = WORDS) -> DataFrame:
@@ -144,13 +148,14 @@ def hot_groups(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slabs(rows: DataFrame, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(h, sid, n): every set under its leading coordinates; a partition files equal sets once."""
+    """(h, sid, n, left): every set under its leading coordinates, with how many of its coordinates
+    are left from this one on; a partition files equal sets once."""
     shared = rows.sparkSession.sparkContext.broadcast(hot)
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (last, place), seen = shared.value, set()
         for batch in batches:
-            hs, sids, ns = [], [], []
+            hs, sids, ns, lefts = [], [], [], []
             for sid, packed in zip(batch["sid"].to_pylist(), batch["hashes"].to_pylist(), strict=True):
                 if sid in seen:
                     continue
@@ -166,15 +171,18 @@ def slabs(rows: DataFrame, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
                 hs.append(own[:take].astype(np.int64))
                 sids.append(np.full(take, sid))
                 ns.append(np.full(take, len(own), np.int32))
+                lefts.append(np.arange(len(own), len(own) - take, -1, np.int32))
             if hs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hs, sids, ns)], names=["h", "sid", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hs, sids, ns, lefts)], names=["h", "sid", "n", "left"])
 
-    return rows.filter("n > 0").select("sid", "hashes").mapInArrow(file, "h bigint, sid bigint, n int")
+    return rows.filter("n > 0").select("sid", "hashes").mapInArrow(file, "h bigint, sid bigint, n int, left int")
 
 
-def _near(n: Column, m: Column, least: int) -> Column:
-    """Sizes of which the smaller can reach the larger."""
-    return F.least(n, m) * 100 >= F.greatest(n, m) * least
+def _near(x: str, y: str, least: int) -> Column:
+    """Entries of a slab that can be a link's first: the smaller size reaches the larger, and so does what is left."""
+    n, m = F.col(f"{x}n"), F.col(f"{y}n")
+    left = F.least(f"{x}left", f"{y}left")
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * least) & (left * (100 + least) >= (n + m) * least)
 
 
 def _few(ids: DataFrame) -> DataFrame:
@@ -238,28 +246,28 @@ def _hubs(filed: DataFrame, round_: int, least: int) -> DataFrame:
     order = "n, sid" if round_ == 0 else f"xxhash64({SEED + round_}, h, sid), sid"
     if round_ > 1:
         filed = filed.selectExpr("*", "count(*) over (partition by h) as rows").filter(F.col("rows") > PAGE)
-    paired = filed.selectExpr("sid", "n", "comp", f"first_value(struct(sid, n, comp)) over (partition by h order by {order}) as hub")
-    return paired.filter((F.col("comp") != F.col("hub.comp")) & _near(F.col("n"), F.col("hub.n"), least)).select(F.least("sid", "hub.sid").alias("a"), F.greatest("sid", "hub.sid").alias("b")).distinct()
+    paired = filed.selectExpr("sid", "n", "left", "comp", f"first_value(struct(sid, n, left, comp)) over (partition by h order by {order}) as hub")
+    return paired.filter((F.col("comp") != F.col("hub.comp")) & _near("", "hub.", least)).select(F.least("sid", "hub.sid").alias("a"), F.greatest("sid", "hub.sid").alias("b")).distinct()
 
 
 def _relabel(filed: DataFrame, links: DataFrame) -> DataFrame:
     """``filed`` with the components after ``links``, of slabs that still hold more than one."""
     found = components(links).select(F.col("node").alias("comp"), F.col("component").alias("to"))
     moves = spool(found, "moves")
-    moved = filed.join(_few(moves), "comp", "left").select("h", "sid", "n", F.coalesce("to", "comp").alias("comp"))
+    moved = filed.join(_few(moves), "comp", "left").select("h", "sid", "n", "left", F.coalesce("to", "comp").alias("comp"))
     mixed = moved.selectExpr("*", "min(comp) over (partition by h) as lo", "max(comp) over (partition by h) as hi").filter("lo < hi")
-    left = spool(mixed.select("h", "sid", "n", "comp"), "slabs")
+    left = spool(mixed.select("h", "sid", "n", "left", "comp"), "slabs")
     discard(moves)
     return left
 
 
 def _paged(filed: DataFrame, points: DataFrame, least: int) -> DataFrame:
     """Pairs across components that share a slab and pass the bound, page against page."""
-    placed = filed.selectExpr("*", f"cast(floor((row_number() over (partition by h order by comp, n, sid) - 1) / {PAGE}) as int) as page", "count(*) over (partition by h) as rows")
+    placed = filed.selectExpr("*", f"cast(floor((row_number() over (partition by h order by left * {100 + least} < 2 * n * {least}, comp, n, sid) - 1) / {PAGE}) as int) as page", "count(*) over (partition by h) as rows")
     placed = spool(placed, "pages")
     small = placed.filter(F.col("rows") <= PAGE)
     x, y = small.alias("x"), small.alias("y")
-    pairs = x.join(y, F.col("x.h") == F.col("y.h")).filter((F.col("x.sid") < F.col("y.sid")) & (F.col("x.comp") != F.col("y.comp")) & _near(F.col("x.n"), F.col("y.n"), least)).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
+    pairs = x.join(y, F.col("x.h") == F.col("y.h")).filter((F.col("x.sid") < F.col("y.sid")) & (F.col("x.comp") != F.col("y.comp")) & _near("x.", "y.", least)).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
     large = placed.filter(F.col("rows") > PAGE)
     if large.isEmpty():
         return pairs
@@ -272,30 +280,41 @@ def _paged(filed: DataFrame, points: DataFrame, least: int) -> DataFrame:
         top = np.max([_coarse(c) for c in rows["counts"].to_pylist()], axis=0)
         n = rows["n"].to_numpy()
         comps = set(rows["comp"].to_pylist())
-        return pa.table({"h": [key[0].as_py()], "page": pa.array([key[1].as_py()], pa.int32()), "lo": pa.array([n.min()], pa.int32()), "hi": pa.array([n.max()], pa.int32()), "top": pa.array([top.tolist()], pa.list_(pa.int32())), "only": pa.array([comps.pop() if len(comps) == 1 else None], pa.int64())})
+        return pa.table({"h": [key[0].as_py()], "page": pa.array([key[1].as_py()], pa.int32()), "lo": pa.array([n.min()], pa.int32()), "hi": pa.array([n.max()], pa.int32()), "left": pa.array([rows["left"].to_numpy().max()], pa.int32()), "top": pa.array([top.tolist()], pa.list_(pa.int32())), "only": pa.array([comps.pop() if len(comps) == 1 else None], pa.int64())})
 
-    boxes = spool(full.groupBy("h", "page").applyInArrow(box, "h bigint, page int, lo int, hi int, top array<int>, only bigint"), "boxes")
+    boxes = spool(full.groupBy("h", "page").applyInArrow(box, "h bigint, page int, lo int, hi int, left int, top array<int>, only bigint"), "boxes")
     p, q = boxes.alias("p"), boxes.alias("q")
     reach = F.aggregate(F.zip_with(F.col("p.top"), F.col("q.top"), lambda a, b: F.least(a, b)), F.lit(0), lambda s, v: s + v)
-    wanted = (F.greatest("p.lo", "q.lo") * 2 * least) <= reach * (100 + least)
-    opened = p.join(q, (F.col("p.h") == F.col("q.h")) & (F.col("p.page") <= F.col("q.page"))).filter((F.col("p.hi") * 100 >= F.col("q.lo") * least) & wanted & ~F.coalesce(F.col("p.only") == F.col("q.only"), F.lit(False))).select(F.col("p.h").alias("h"), F.col("p.page").alias("p"), F.col("q.page").alias("q"))
+    wanted = (F.col("p.lo") + F.col("q.lo")) * least <= F.least(reach, "p.left", "q.left") * (100 + least)
+    opened = p.join(q, (F.col("p.h") == F.col("q.h")) & (F.col("p.page") <= F.col("q.page"))).filter((F.col("p.hi") * 100 >= F.col("q.lo") * least) & (F.col("q.hi") * 100 >= F.col("p.lo") * least) & wanted & ~F.coalesce(F.col("p.only") == F.col("q.only"), F.lit(False))).select(F.col("p.h").alias("h"), F.col("p.page").alias("p"), F.col("q.page").alias("q"))
     sides = opened.select("h", "p", "q", F.explode(F.array_distinct(F.array("p", "q"))).alias("page"))
 
     def compare(rows: pa.Table) -> pa.Table:
-        page, comp, sid, n = (rows[c].to_numpy() for c in ("page", "comp", "sid", "n"))
+        page, comp, sid, n, left = (rows[c].to_numpy() for c in ("page", "comp", "sid", "n", "left"))
         first, second = np.flatnonzero(page == page.min()), np.flatnonzero(page == page.max())
-        counts = rows["counts"].to_pylist()
-        out = []
-        for i in first:
-            for j in second:
-                if comp[i] != comp[j] and sid[i] != sid[j] and min(n[i], n[j]) * 100 >= max(n[i], n[j]) * least and _bound(counts[i], counts[j]) * (100 + least) >= least * (int(n[i]) + int(n[j])):
-                    out.append((min(sid[i], sid[j]), max(sid[i], sid[j])))
-        return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
+        own, other = n[first, None].astype(np.int64), n[None, second].astype(np.int64)
+        wanted = (own + other) * least
+        alive = (comp[first, None] != comp[None, second]) & (np.minimum(own, other) * 100 >= np.maximum(own, other) * least)
+        alive &= np.minimum(left[first, None], left[None, second]) * (100 + least) >= wanted
+        i, j = np.nonzero(alive)
+        if len(i):
+            points = _folded(rows["counts"].to_pylist())
+            reach = np.concatenate([np.minimum(points[first[x]], points[second[j[i == x]]]).sum(1, dtype=np.int64) for x in np.unique(i)])
+            keep = reach * (100 + least) >= wanted[i, j]
+            i, j = i[keep], j[keep]
+        a, b = sid[first[i]], sid[second[j]]
+        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
 
     deep = full.join(sides, ["h", "page"]).groupBy("h", "p", "q").applyInArrow(compare, "a bigint, b bigint")
     return pairs.unionByName(deep).distinct()
 
 
+def _folded(counts: list[bytes]) -> np.ndarray:
+    """Points as rows of one table, folded to the coarsest grouping among them."""
+    groups = min(map(len, counts)) // 2
+    return np.stack([np.frombuffer(c, "<u2").reshape(groups, -1).sum(1, dtype=np.uint32) for c in counts])
+
+
 def _coarse(counts: bytes) -> np.ndarray:
     c = np.frombuffer(counts, "<u2").astype(np.int64)
     while len(c) > 16:
@@ -313,8 +332,8 @@ def classes(docs: DataFrame, k: int = WORDS, least: int = LEAST) -> DataFrame:
     members = rows.filter("n > 0")
     hot = hot_groups(rows)
     entries = slabs(rows, hot)
-    shared = entries.selectExpr("h", "sid", "n", "min(sid) over (partition by h) as lo", "max(sid) over (partition by h) as hi").filter("lo < hi")
-    filed = spool(shared.select("h", "sid", "n", F.col("sid").alias("comp")).distinct(), "slabs", TEXT_ROWS)
+    shared = entries.selectExpr("h", "sid", "n", "left", "min(sid) over (partition by h) as lo", "max(sid) over (partition by h) as hi").filter("lo < hi")
+    filed = spool(shared.select("h", "sid", "n", "left", F.col("sid").alias("comp")).distinct(), "slabs", TEXT_ROWS)
     points = members.select("sid", "n", "counts")
     links = None
     for round_ in range(ROUNDS):

@@ -43,6 +43,26 @@ def test_jaccard(docs, none):
     assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 3, 4, 5, 6, 8]
 
 
+def test_jaccard_of_many_near_copies_matches_brute_force(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(jaccard, "PAGE", 8)
+    draw = random.Random(7)
+    base = [f"w{i}" for i in range(120)]
+    texts = [base[: 30 + i % 90] for i in range(90)] + [[x if draw.random() > 0.03 else f"x{draw.random()}" for x in base] for _ in range(150)]
+    rows = [(i, " ".join(x)) for i, x in enumerate(texts)]
+    own = [{tuple(x[j : j + 5]) for j in range(len(x) - 4)} for x in texts]
+    root = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(own[a] & own[b])
+            if 100 * both >= 75 * (len(own[a]) + len(own[b]) - both):
+                x, y = sorted((root[a], root[b]))
+                root = [x if r == y else r for r in root]
+    found = {r["doc_id"]: r["component_id"] for r in jaccard.classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert found == dict(enumerate(root)) and len(set(root)) > 20
+
+
 def test_language(docs, none):
     assert language_id.keep_identified(docs).columns == docs.columns
     model = language_id.train(docs)
