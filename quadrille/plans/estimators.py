@@ -1 +1,96 @@
+"""Design-based estimators over seeded block hold-outs."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quadrille.fixtures import DRAWS_SQL, FEATURES_SQL, draws, features
+from quadrille.operators import partition
+from quadrille.plans.base import query
+
+# Sums by block come first: a draw takes whole blocks, so draws only ever meet the block rows.
+_BLOCKS = f"with {FEATURES_SQL}, {DRAWS_SQL}, bs as (select block_id, sum(round(abs(rssi_pred - rssi), 6)) as s, count(*) as m from feats group by 1), tb as (select seed, block_id, s, m from bs join roles using (block_id) where role = 'test'), h as (select seed, sum(s) / sum(m) as err, sum(m) as m, sum(s) as s, count(*) as k from tb group by 1), u as (select sum(s) / sum(m) as mu, count(*) as n_blocks from bs)"
+_VARIANCE = f"{_BLOCKS}, v as (select seed, any_value(h.err) as err, any_value(h.k) as k, case when any_value(h.k) >= 2 then (1 - any_value(h.k) / cast(any_value(n_blocks) as double)) * any_value(h.k) / (any_value(h.k) - 1) * sum((tb.s - h.err * tb.m) * (tb.s - h.err * tb.m)) / (any_value(h.m) * any_value(h.m)) end as v, any_value(mu) as mu from tb join h using (seed), u group by seed)"
+
+
+def _sums(spark, sf) -> DataFrame:
+    return features(spark, sf).groupBy("block_id").agg(F.sum(F.round(F.abs(F.col("rssi_pred") - F.col("rssi")), 6)).alias("s"), F.count("*").alias("m"))
+
+
+def _test_blocks(sums: DataFrame) -> DataFrame:
+    held = partition.roles(draws(sums.select("block_id"))).filter("role = 'test'").select("seed", "block_id")
+    return sums.join(held, "block_id").select("seed", "block_id", "s", "m")
+
+
+def _held(tested: DataFrame) -> DataFrame:
+    return tested.groupBy("seed").agg((F.sum("s") / F.sum("m")).alias("err"), F.sum("m").alias("m"), F.sum("s").alias("s"), F.count("*").alias("k"))
+
+
+def _population(sums: DataFrame) -> DataFrame:
+    """One row: the mean over all nodes and the number of blocks."""
+    return sums.agg((F.sum("s") / F.sum("m")).alias("mu"), F.count("*").alias("n_blocks"))
+
+
+@query(f"{_BLOCKS} select seed, round(err, 6) as err, cast(m as bigint) as m, k from h")
+def e01_hold_out_mean(spark, sf):
+    return _held(_test_blocks(_sums(spark, sf))).select("seed", F.round("err", 6).alias("err"), "m", "k")
+
+
+@query(f"{_BLOCKS}, p as (select block_id, count(*) / 12.0::double as p from tb group by 1) select seed, round(sum(s / p) / sum(m / p), 6) as hajek from tb join p using (block_id) group by 1")
+def e03_inverse_probability_mean(spark, sf):
+    """Blocks weighed by how often the draws test them; a block no draw tests is in none of the sums."""
+    tested = _test_blocks(_sums(spark, sf))
+    share = tested.groupBy("block_id").agg((F.count("*") / F.lit(12.0)).alias("p"))
+    return tested.join(share, "block_id").groupBy("seed").agg(F.round(F.sum(F.col("s") / F.col("p")) / F.sum(F.col("m") / F.col("p")), 6).alias("hajek"))
+
+
+@query(f"{_BLOCKS} select count(*) as draws, round(avg(err - mu), 6) as bias, round(stddev_samp(err) / sqrt(count(*)), 6) as se, round(sqrt(avg((err - mu) * (err - mu))), 6) as rmse, round(var_samp(err), 6) as variance from h, u")
+def e04_bias_and_error(spark, sf):
+    sums = _sums(spark, sf)
+    held = _held(_test_blocks(sums)).join(F.broadcast(_population(sums).select("mu")))
+    off = F.col("err") - F.col("mu")
+    return held.agg(F.count("*").alias("draws"), F.round(F.avg(off), 6).alias("bias"), F.round(F.stddev_samp("err") / F.sqrt(F.count("*")), 6).alias("se"), F.round(F.sqrt(F.avg(off * off)), 6).alias("rmse"), F.round(F.var_samp("err"), 6).alias("variance"))
+
+
+@query(f"{_BLOCKS} select round(avg(err) - sum(s) / sum(m), 6) as gap, round(-covar_pop(err, m) / avg(m), 6) as ratio_term from h")
+def e06_ratio_term(spark, sf):
+    """The mean of ratios less the ratio of sums is minus the covariance of ratio and size over the mean size."""
+    return _held(_test_blocks(_sums(spark, sf))).agg(F.round(F.avg("err") - F.sum("s") / F.sum("m"), 6).alias("gap"), F.round(-F.covar_pop("err", F.col("m").cast("double")) / F.avg("m"), 6).alias("ratio_term"))
+
+
+@query(f"{_BLOCKS} select block_id, round(sum(1.0::double / h.m) / 12, 9) as weight from tb join h using (seed) group by 1")
+def e07_draw_weights(spark, sf):
+    """A node's weight is its block's: the mean over the draws that test it of one over the tested nodes."""
+    tested = _test_blocks(_sums(spark, sf))
+    size = tested.groupBy("seed").agg(F.sum("m").alias("all_m"))
+    return tested.join(F.broadcast(size), "seed").groupBy("block_id").agg(F.round(F.sum(F.lit(1.0) / F.col("all_m")) / 12, 9).alias("weight"))
+
+
+def _one_draw_variance(spark, sf) -> DataFrame:
+    sums = _sums(spark, sf)
+    tested = _test_blocks(sums)
+    held = _held(tested).select("seed", "err", F.col("m").alias("all_m"), "k").join(F.broadcast(_population(sums)))
+    off = F.col("s") - F.col("err") * F.col("m")
+    spread = tested.join(F.broadcast(held), "seed").groupBy("seed", "err", "all_m", "k", "mu", "n_blocks").agg(F.sum(off * off).alias("q"))
+    return spread.select("seed", "err", "k", "mu", F.when(F.col("k") >= 2, (1 - F.col("k") / F.col("n_blocks")) * F.col("k") / (F.col("k") - 1) * F.col("q") / (F.col("all_m") * F.col("all_m"))).alias("v"))
+
+
+@query(f"{_VARIANCE} select seed, k, round(err, 6) as err, round(v, 6) as v from v")
+def e08_one_draw_variance(spark, sf):
+    """The ratio estimator's variance from one draw alone; undefined for fewer than two blocks."""
+    return _one_draw_variance(spark, sf).select("seed", "k", F.round("err", 6).alias("err"), F.round("v", 6).alias("v"))
+
+
+@query(f"{_VARIANCE} select round(avg(v) / var_samp(err), 6) as q, round(avg(case when abs(err - mu) <= 2 * sqrt(v) then 1.0::double else 0.0 end), 6) as coverage from v where v is not null")
+def e09_variance_ratio_and_coverage(spark, sf):
+    known = _one_draw_variance(spark, sf).filter("v is not null")
+    return known.agg(F.round(F.avg("v") / F.var_samp("err"), 6).alias("q"), F.round(F.avg(F.when(F.abs(F.col("err") - F.col("mu")) <= 2 * F.sqrt("v"), 1.0).otherwise(0.0)), 6).alias("coverage"))
+
+
+@query(f"{_BLOCKS}, o as (select a.seed as s1, b.seed as s2, count(*) as shared from tb a join tb b on a.block_id = b.block_id and a.seed < b.seed group by 1, 2) select x.seed as s1, y.seed as s2, round(coalesce(shared, 0) / cast(x.k + y.k - coalesce(shared, 0) as double), 6) as jaccard from h x join h y on x.seed < y.seed left join o on o.s1 = x.seed and o.s2 = y.seed")
+def e34_draw_overlap(spark, sf):
+    """Jaccard of the test blocks of two draws; the pairs are of draws, of which there are a dozen."""
+    found = _test_blocks(_sums(spark, sf)).groupBy("seed").agg(F.collect_set("block_id").alias("b"))
+    x, y = found.alias("x"), found.alias("y")
+    return x.join(y, F.col("x.seed") < F.col("y.seed")).select(F.col("x.seed").alias("s1"), F.col("y.seed").alias("s2"), F.round(F.size(F.array_intersect("x.b", "y.b")) / F.size(F.array_union("x.b", "y.b")), 6).alias("jaccard"))
