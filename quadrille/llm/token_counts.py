@@ -23,7 +23,7 @@ from quadrille.llm.common import read, spool
 from quadrille.llm.token_files import encoder
 
 #: Lengths whose sums one window runs over.
-SPAN = 4096
+SPAN = 256
 #: Rows of an Arrow batch of texts.
 TEXT_ROWS = 1000
 
