@@ -6,6 +6,8 @@ order of their distance bound, the sum of both halves' bounds, and stops where t
 distance that the wanted cosine allows. As that bound is the distance to the Voronoi cell's face, no
 link can be in a cell beyond: recall is 1, and ``slack`` below 1 would trade it for fewer cells.
 Members of visited cells are compared in double precision.
+
+Only vectors of one length can link, so each length present has codebooks and a grid of its own.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 from quadrille.llm.common import read, spool
 from quadrille.llm.components import components
 
-#: Vectors the codebooks are fitted on, at most; all vectors are indexed and compared.
+#: Vectors that all codebooks are fitted on, at most; all vectors are indexed and compared.
 SAMPLE = 20_000
 #: Vectors of one label that share a cell, about; the codebooks' size follows from it.
 CELL_ROWS = 24
@@ -76,16 +78,34 @@ def valid(vectors: DataFrame) -> DataFrame:
     return kept.groupBy("label", "v").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"))
 
 
-def _index(rows: DataFrame, books: tuple[np.ndarray, np.ndarray], radius2: float) -> DataFrame:
-    """Every vector filed under its cell and sent as a query to all cells within its bound."""
+def _books(unit: DataFrame, sizes: list) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Both halves' codebooks of each length, fitted on about equally many vectors of each; a single word without any."""
+    spark = unit.sparkSession
+    counts = spark.createDataFrame([(r["width"], r["n"]) for r in sizes], "width int, n bigint")
+    # A vector's share of the hash range times its length's count is about its rank within its length.
+    rank = (F.xxhash64(F.lit(SEED), "first").cast("double") / 2.0**64 + 0.5) * F.col("n")
+    sample = unit.join(F.broadcast(counts), "width").select("v", rank.alias("rank")).orderBy("rank").limit(SAMPLE).select("v").toPandas()
+    drawn: dict[int, list[np.ndarray]] = {}
+    for v in sample["v"]:
+        drawn.setdefault(len(v), []).append(v)
+    books = {}
+    for r in sizes:
+        width = r["width"]
+        points = np.stack(drawn.get(width, [np.zeros(width)]))
+        words = int(np.clip(np.sqrt(r["n"] / r["labels"] / CELL_ROWS), 1, MOST_WORDS))
+        half = max(1, width // 2)
+        books[width] = codebook(points[:, :half], words, SEED), codebook(points[:, half:], words, SEED + 1)
+    return books
+
+
+def _index(rows: DataFrame, books: dict[int, tuple[np.ndarray, np.ndarray]], radius2: float) -> DataFrame:
+    """Every vector filed under its length's cell and sent as a query to all cells within its bound."""
     shared = rows.sparkSession.sparkContext.broadcast(books)
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left, right = shared.value
-        half = left.shape[1]
-        for batch in batches:
-            if not len(batch):
-                continue
+        for batch in _by_width(batches):
+            left, right = shared.value[batch["width"][0].as_py()]
+            half = left.shape[1]
             points = _matrix(batch["v"])
             a, b = points[:, :half], points[:, half:]
             da, db = _square_distances(a, left), _square_distances(b, right)
@@ -101,10 +121,19 @@ def _index(rows: DataFrame, books: tuple[np.ndarray, np.ndarray], radius2: float
                 rows_.append(np.full(len(walk), i))
             at = np.concatenate([np.arange(len(points)), *rows_])
             member = np.arange(len(at)) < len(points)
-            out = batch.select(["label", "first", "copies", "v"]).take(pa.array(at))
+            out = batch.select(["label", "width", "first", "copies", "v"]).take(pa.array(at))
             yield out.append_column("cell", pa.array(np.concatenate([own, *cells]), pa.int64())).append_column("member", pa.array(member))
 
-    return rows.mapInArrow(file, "label int, first bigint, copies bigint, v array<double>, cell bigint, member boolean")
+    return rows.mapInArrow(file, "label int, width int, first bigint, copies bigint, v array<double>, cell bigint, member boolean")
+
+
+def _by_width(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches' rows, those of each length apart."""
+    for batch in batches:
+        widths = batch["width"].to_numpy()
+        for width in np.unique(widths):
+            at = np.flatnonzero(widths == width)
+            yield batch if len(at) == len(batch) else batch.take(pa.array(at))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -150,37 +179,28 @@ def _compare(least: float):
     return compare
 
 
-def links(vectors: DataFrame, least: float = 0.98, slack: float = 1.0, width: int | None = None) -> DataFrame:
+def links(vectors: DataFrame, least: float = 0.98, slack: float = 1.0) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of ``vectors``.
 
-    Rows link when their labels are equal and not null and their cosine is at least ``least``. Exact
-    copies are compared once for all; a row's other rows with the same id and vector count as its
-    links. Vectors of a length other than the commonest are compared with none. Rows with a null id
-    have no links and a null component. An empty table gives an empty one.
+    Rows link when their labels are equal and not null, their vectors have one length and their
+    cosine is at least ``least``. Exact copies are compared once for all; a row's other rows with the
+    same id and vector count as its links. Rows with a null id have no links and a null component. An
+    empty table gives an empty one.
     """
-    spark = vectors.sparkSession
-    rows = spool(valid(vectors), "vectors")
-    if width is None:
-        found = rows.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").first()
-        width = found["w"] if found else 1
-    rows = rows.filter(F.size("v") == width)
+    rows = spool(valid(vectors), "vectors").withColumn("width", F.size("v"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
     unit = rows.withColumn("v", F.transform("v", lambda x: x / norm))
-    n, labels = rows.agg(F.count("*"), F.countDistinct("label")).first()
-    if n:
-        sample = unit.select("v", F.xxhash64(F.lit(SEED), "first").alias("h")).orderBy("h").limit(SAMPLE).select("v").toPandas()
-        points = np.stack(sample["v"].to_numpy())
-        words = int(np.clip(np.sqrt(n / max(labels, 1) / CELL_ROWS), 1, MOST_WORDS))
-        half = max(1, width // 2)
-        books = codebook(points[:, :half], words, SEED), codebook(points[:, half:], words, SEED + 1)
+    sizes = rows.groupBy("width").agg(F.count("*").alias("n"), F.countDistinct("label").alias("labels")).collect()
+    if sizes:
+        books = _books(unit, sizes)
         radius2 = (2 - 2 * least) * slack**2 + 1e-9
         filed = spool(_index(unit, books, radius2), "multi-index")
-        counts = filed.groupBy("label", "cell").agg(F.sum(F.col("member").cast("bigint")).alias("m"), F.sum((~F.col("member")).cast("bigint")).alias("q")).withColumn("slices", F.ceil(F.col("m") / SLICE)).withColumn("batches", F.ceil(F.col("q") / BATCH)).filter("m > 0 and q > 1")
-        cut = filed.join(counts.select("label", "cell", "slices", "batches"), ["label", "cell"])
+        counts = filed.groupBy("label", "width", "cell").agg(F.sum(F.col("member").cast("bigint")).alias("m"), F.sum((~F.col("member")).cast("bigint")).alias("q")).withColumn("slices", F.ceil(F.col("m") / SLICE)).withColumn("batches", F.ceil(F.col("q") / BATCH)).filter("m > 0 and q > 1")
+        cut = filed.join(counts.select("label", "width", "cell", "slices", "batches"), ["label", "width", "cell"])
         mark = F.xxhash64(F.lit(SEED), "first")
         own_slice, own_batch = F.pmod(mark, F.col("slices")).cast("int"), F.pmod(mark, F.col("batches")).cast("int")
         dealt = cut.withColumn("at", F.explode(F.when(F.col("member"), F.transform(F.sequence(F.lit(0), (F.col("batches") - 1).cast("int")), lambda b: F.struct(own_slice.alias("slice"), b.alias("batch")))).otherwise(F.transform(F.sequence(F.lit(0), (F.col("slices") - 1).cast("int")), lambda s: F.struct(s.alias("slice"), own_batch.alias("batch"))))))
-        compared = dealt.select("label", "cell", F.col("at.slice").alias("slice"), F.col("at.batch").alias("batch"), "first", "copies", "v", "member").groupBy("label", "cell", "slice", "batch").applyInArrow(_compare(least), "first bigint, n_links bigint, root bigint")
+        compared = dealt.select("label", "width", "cell", F.col("at.slice").alias("slice"), F.col("at.batch").alias("batch"), "first", "copies", "v", "member").groupBy("label", "width", "cell", "slice", "batch").applyInArrow(_compare(least), "first bigint, n_links bigint, root bigint")
         found = spool(compared, "vector-links")
         other = found.groupBy("first").agg(F.sum("n_links").alias("n_links"))
         joined = components(found.filter("root is not null").select(F.col("first").alias("a"), F.col("root").alias("b")))

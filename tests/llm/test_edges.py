@@ -88,6 +88,30 @@ def test_embeddings(spark):
     assert embedding_dedup.links(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_embeddings_of_several_lengths_match_brute_force(spark):
+    import numpy as np
+
+    draw = np.random.default_rng(5)
+    rows = []
+    for width, n in ((64, 180), (128, 120), (1, 6), (3, 20)):
+        hubs = draw.normal(size=(max(1, n // 6), width))
+        for i in range(n):
+            v = hubs[i % len(hubs)] + (0 if i % 5 == 0 else draw.uniform(0, 0.25)) * draw.normal(size=width)
+            rows.append((len(rows), [float(x) for x in v * draw.uniform(0.5, 2)], i % 2))
+    # The start of a longer vector, and the same filled up with zeros, have no common length with it.
+    rows += [(len(rows), rows[200][1][:64], 0), (len(rows) + 1, rows[0][1] + [0.0] * 64, 0)]
+    n_links, root = [0] * len(rows), list(range(len(rows)))
+    for a, v, label in rows:
+        for b, w, other in rows:
+            if a != b and label == other and len(v) == len(w) and np.dot(v, w) / np.sqrt(np.dot(v, v) * np.dot(w, w)) >= 0.98:
+                n_links[a] += 1
+                x, y = sorted((root[a], root[b]))
+                root = [x if r == y else r for r in root]
+    found = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embedding_dedup.links(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")).collect()}
+    assert found == {i: (n_links[i], root[i], root[i] == i) for i in range(len(rows))}
+    assert all(any(n_links[i] for i, v, _ in rows if len(v) == width) for width in (1, 3, 64, 128))
+
+
 def test_sharding(docs, none):
     rows = sharding.shuffle(docs, 4).collect()
     assert len(rows) == len(ROWS) and sharding.shuffle(none, 4).count() == 0
