@@ -133,14 +133,15 @@ class Encoder:
     """Ids of whole texts, as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them.
 
     A blank before another character always begins a new piece of a byte-level vocabulary's
-    pre-tokenizer, so a text is cut there and each distinct piece is encoded once.
+    pre-tokenizer, so a text is cut there and each distinct piece is encoded once. A text that holds
+    an added token's content (special or not) is encoded whole, as such tokens are matched first.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
         #: In a byte-level vocabulary a token has a character for each byte.
         self.bytes_of = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.tokenizer.get_vocab_size())])
@@ -158,7 +159,15 @@ class Encoder:
                 out[-1] += " " + x
         return out
 
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _holds_added(self, text: str) -> bool:
+        return any(content in text for content in self.added)
+
     def encode(self, text: str) -> np.ndarray:
+        if self._holds_added(text):
+            return self._whole(text)
         pieces = self.pieces(text)
         known = self.known
         if len(known) > REMEMBERED:
@@ -171,7 +180,9 @@ class Encoder:
     def _learn(self, new: list[str]) -> None:
         """Encode pieces run together, and cut the ids where the bytes of a piece end."""
         joined = [p for p in new if len(p) > 1 and p[0] == " " and not p[1].isspace()]
-        ids = np.array(self.tokenizer.encode("".join(joined), add_special_tokens=False).ids, "<u4")
+        if self._holds_added("".join(joined)):  # only where pieces meet
+            joined = []
+        ids = self._whole("".join(joined))
         ends = np.cumsum(self.bytes_of[ids])
         cuts = np.searchsorted(ends, np.cumsum([len(p.encode()) for p in joined])) + 1
         flat, begin = ids.tobytes(), 0
@@ -180,7 +191,7 @@ class Encoder:
             begin = cut
         for piece in new:
             if piece not in self.known:
-                self.known[piece] = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+                self.known[piece] = self._whole(piece).tobytes()
 
 
 @functools.cache

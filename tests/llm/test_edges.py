@@ -127,6 +127,34 @@ def test_token_files(spark, docs, none):
     assert token_files.read_back(spark, token_files.write(none, new_path(spark, "tokens"), path)).count() == 0
 
 
+def test_texts_with_added_tokens_encode_as_plain(spark, tmp_path):
+    import zlib
+    from collections import Counter
+
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import AddedToken, Tokenizer
+
+    end, path = "<|endoftext|>", public_tokenizers.path("byte_bpe_50k.json")
+    texts = [f"a {end} b", end, f"{end}{end} c", f"no{end}blank", f"é {end}\n 你好", "<|endof text|>", "a b", "", f" {end} ", f"{WORDS} {end} {WORDS}"]
+    own = Tokenizer.from_file(path)
+    ids = [own.encode(x, add_special_tokens=False).ids for x in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = sorted(map(tuple, token_files.read_back(spark, token_files.write(docs, new_path(spark, "tokens"), path)).select("doc_id", "start", "n_tokens", "ids_crc32").collect()))
+    starts = np.cumsum([0, *[len(x) + 1 for x in ids]])
+    assert found == [(i, starts[i], len(x) + 1, zlib.crc32(np.array([*x, 0], "<u4").tobytes())) for i, x in enumerate(ids)]
+    assert {r["n_tokens"]: r["docs"] for r in token_counts.lengths(docs, path).collect()} == Counter(map(len, ids))
+    # Tokens that aren't special, and one that pieces of other texts make where they meet.
+    own.add_tokens([AddedToken("wx yz", normalized=False), AddedToken("q", single_word=True, normalized=False)])
+    own.save(str(tmp_path / "more.json"))
+    more = token_files.Encoder(str(tmp_path / "more.json"))
+    for text in ("m wx", "q yz", "a wx yz", "aq q", "n wx", "yz", f"b wx k yz wx {end}", "o wx p yz"):
+        assert more.encode(text).tolist() == own.encode(text, add_special_tokens=False).ids
+    more.known.clear()
+    more._learn([" wx", " yz"])
+    assert [np.frombuffer(more.known[x], "<u4").tolist() for x in (" wx", " yz")] == [own.encode(x, add_special_tokens=False).ids for x in (" wx", " yz")]
+
+
 def test_warc(spark):
     schema = "page_id bigint, url string, html string, record string"
     big = "<p>" + "x" * 3_000_000
