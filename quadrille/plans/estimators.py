@@ -1,13 +1,19 @@
-"""Design-based estimators over seeded block hold-outs."""
+"""Design-based estimators over seeded block hold-outs.
+
+The ``trimmed`` queries are E1, E3, E4 and E6-E9 proper: on the test nodes that the distance buffer
+leaves, by draw and population. The queries without that word sum over whole test blocks and all
+nodes, as their SQL does: the hold-out before trimming (E2's H0) and the figures that follow from it.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quadrille.fixtures import DRAWS_SQL, FEATURES_SQL, draws, features
-from quadrille.operators import partition
+from quadrille.fixtures import BUFFER_M, DRAWS_SQL, FEATURES_SQL, SEEDS, draws, features
+from quadrille.operators import buffer, partition
 from quadrille.plans.base import query
+from quadrille.plans.blocks import populations
 
 # Sums by block come first: a draw takes whole blocks, so draws only ever meet the block rows.
 _BLOCKS = f"with {FEATURES_SQL}, {DRAWS_SQL}, bs as (select block_id, sum(round(abs(rssi_pred - rssi), 6)) as s, count(*) as m from feats group by 1), tb as (select seed, block_id, s, m from bs join roles using (block_id) where role = 'test'), h as (select seed, sum(s) / sum(m) as err, sum(m) as m, sum(s) as s, count(*) as k from tb group by 1), u as (select sum(s) / sum(m) as mu, count(*) as n_blocks from bs)"
@@ -94,3 +100,106 @@ def e34_draw_overlap(spark, sf):
     found = _test_blocks(_sums(spark, sf)).groupBy("seed").agg(F.collect_set("block_id").alias("b"))
     x, y = found.alias("x"), found.alias("y")
     return x.join(y, F.col("x.seed") < F.col("y.seed")).select(F.col("x.seed").alias("s1"), F.col("y.seed").alias("s2"), F.round(F.size(F.array_intersect("x.b", "y.b")) / F.size(F.array_union("x.b", "y.b")), 6).alias("jaccard"))
+
+
+def _scored(spark, sf) -> DataFrame:
+    return features(spark, sf).withColumn("e", F.round(F.abs(F.col("rssi_pred") - F.col("rssi")), 6))
+
+
+def _surviving(rows: DataFrame) -> DataFrame:
+    """(seed, block_id, node_id, pop, e, p): each draw's test nodes after trimming, p their inclusion frequency (A13)."""
+    held = buffer.kept(rows, partition.roles(draws(rows.select("block_id"))), buffer.near_sets(buffer.near(rows, BUFFER_M))).filter("kept and role = 'test'")
+    share = F.count("*").over(Window.partitionBy("node_id")) / F.lit(float(SEEDS))
+    return populations(held.select("seed", "node_id", share.alias("p")).join(rows.select("node_id", "block_id", "is_sentinel", "e"), "node_id")).select("seed", "block_id", "node_id", "pop", "e", "p")
+
+
+def _trimmed_blocks(rows: DataFrame) -> DataFrame:
+    """(seed, block_id, pop, s, m, sp, wp): sums of errors and nodes, plain and over p, of blocks with any node left."""
+    return _surviving(rows).groupBy("seed", "block_id", "pop").agg(F.sum("e").alias("s"), F.count("*").alias("m"), F.sum(F.col("e") / F.col("p")).alias("sp"), F.sum(1 / F.col("p")).alias("wp"))
+
+
+def _trimmed_draws(rows: DataFrame) -> DataFrame:
+    """(seed, pop, err, m, s, k, hajek); a draw that leaves a population no node has no row."""
+    return _trimmed_blocks(rows).groupBy("seed", "pop").agg((F.sum("s") / F.sum("m")).alias("err"), F.sum("m").alias("m"), F.sum("s").alias("s"), F.count("*").alias("k"), (F.sum("sp") / F.sum("wp")).alias("hajek"))
+
+
+def _six(*columns: str) -> list[Column]:
+    return [F.round(c, 6).alias(c) for c in columns]
+
+
+@query()
+def e01_trimmed_hold_out_mean(spark, sf):
+    return _trimmed_draws(_scored(spark, sf)).select("seed", "pop", *_six("err"), "m", "k")
+
+
+@query()
+def e03_trimmed_inverse_probability_mean(spark, sf):
+    """Nodes weighed by their inclusion frequency over the same draws, which is above 0 for all that a draw keeps."""
+    return _trimmed_draws(_scored(spark, sf)).select("seed", "pop", *_six("hajek"))
+
+
+@query()
+def e04_trimmed_bias_and_error(spark, sf):
+    """By population about its mean over all nodes; ``undefined`` counts draws that leave it no node."""
+    rows = _scored(spark, sf)
+    mean = populations(rows).groupBy("pop").agg(F.avg("e").alias("mu"))
+    off, n = F.col("err") - F.col("mu"), F.count("err")
+    found = mean.join(_trimmed_draws(rows).select("pop", "err"), "pop", "left").groupBy("pop").agg(n.alias("draws"), (F.lit(SEEDS) - n).alias("undefined"), F.avg(off).alias("bias"), (F.stddev_samp("err") / F.sqrt(n)).alias("se"), F.sqrt(F.avg(off * off)).alias("rmse"), F.var_samp("err").alias("variance"))
+    return found.withColumn("bias_in_se", F.when(F.col("se") > 0, F.col("bias") / F.col("se"))).select("pop", "draws", "undefined", *_six("bias", "se", "bias_in_se", "rmse", "variance"))
+
+
+@query()
+def e06_trimmed_ratio_term(spark, sf):
+    return _trimmed_draws(_scored(spark, sf)).groupBy("pop").agg(F.round(F.avg("err") - F.sum("s") / F.sum("m"), 6).alias("gap"), F.round(-F.covar_pop("err", F.col("m").cast("double")) / F.avg("m"), 6).alias("ratio_term"))
+
+
+@query()
+def e07_trimmed_draw_weights(spark, sf):
+    """By node: the mean, over the draws that leave its population any node, of one over their number; sums to 1."""
+    kept = _surviving(_scored(spark, sf))
+    size = kept.groupBy("seed", "pop").agg(F.count("*").alias("m"))
+    drawn = size.groupBy("pop").agg(F.count("*").alias("n"))
+    return kept.join(F.broadcast(size.join(drawn, "pop")), ["seed", "pop"]).groupBy("node_id", "pop").agg(F.round(F.sum(1 / F.col("m")) / F.first("n"), 9).alias("weight"))
+
+
+def _trimmed_variance(rows: DataFrame) -> DataFrame:
+    """(seed, pop, err, k, v): the variance from one draw without its factor for the finite number of blocks; null if k < 2."""
+    blocks = _trimmed_blocks(rows)
+    held = _trimmed_draws(rows).select("seed", "pop", "err", F.col("m").alias("all_m"), "k")
+    off = F.col("s") - F.col("err") * F.col("m")
+    spread = blocks.join(F.broadcast(held), ["seed", "pop"]).groupBy("seed", "pop", "err", "all_m", "k").agg(F.sum(off * off).alias("q"))
+    return spread.select("seed", "pop", "err", "k", F.when(F.col("k") >= 2, F.col("k") / (F.col("k") - 1) * F.col("q") / (F.col("all_m") * F.col("all_m"))).alias("v"))
+
+
+def _block_numbers(rows: DataFrame) -> DataFrame:
+    """(variant, n_blocks): occupied blocks, blocks of the bounding box, and null for no factor."""
+    box = (F.max("gx") - F.min("gx") + 1) * (F.max("gy") - F.min("gy") + 1)
+    found = rows.select("gx", "gy", "block_id").distinct().agg(F.count("*").alias("n"), box.alias("box"))
+    variant = lambda name, n: F.struct(F.lit(name).alias("variant"), n.cast("double").alias("n_blocks"))
+    return found.select(F.explode(F.array(variant("occupied", F.col("n")), variant("box", F.col("box")), variant("none", F.lit(None)))).alias("x")).select("x.*")
+
+
+def _by_variant(rows: DataFrame) -> DataFrame:
+    factor = F.coalesce(1 - F.col("k") / F.col("n_blocks"), F.lit(1.0))
+    return _trimmed_variance(rows).join(F.broadcast(_block_numbers(rows))).withColumn("v", factor * F.col("v"))
+
+
+@query()
+def e08_trimmed_one_draw_variance(spark, sf):
+    return _by_variant(_scored(spark, sf)).select("seed", "pop", "variant", "k", *_six("err", "v"))
+
+
+@query()
+def e09_trimmed_variance_ratio_and_coverage(spark, sf):
+    """Mean v over the errors' variance, and how often err +- 2 sqrt(v) covers their mean.
+
+    Reading A takes variance and mean over all draws with an error, B over those with a v. There are
+    a dozen draws, which are gathered in one array a population and variant.
+    """
+    rows = _by_variant(_scored(spark, sf))
+    known = F.col("v").isNotNull()
+    of = lambda f: F.array(F.struct(F.lit("A").alias("reading"), f(F.col("err")).alias("x")), F.struct(F.lit("B").alias("reading"), f(F.when(known, F.col("err"))).alias("x")))
+    sums = rows.groupBy("pop", "variant").agg(F.avg("v").alias("v"), F.collect_list(F.when(known, F.struct("err", "v"))).alias("d"), of(lambda e: F.struct(F.avg(e).alias("mean"), F.var_samp(e).alias("var"))).alias("r"))
+    each = sums.select("pop", "variant", "v", "d", F.explode("r").alias("r"))
+    covered = F.size(F.filter("d", lambda x: F.abs(x["err"] - F.col("r.x.mean")) <= 2 * F.sqrt(x["v"])))
+    return each.select("pop", "variant", "r.reading", F.round(F.try_divide(F.col("v"), F.col("r.x.var")), 6).alias("q"), F.round(F.try_divide(covered, F.size("d")), 6).alias("coverage"))
