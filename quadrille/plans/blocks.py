@@ -12,6 +12,9 @@ from quadrille.functions.geo import edge_distance
 from quadrille.operators import buffer, neighbors, partition
 from quadrille.plans.base import query
 
+#: Blocks that the driver permutes with the legacy generator, at most.
+MOST_BLOCKS = 100_000
+
 _BASE = NODES_SQL + "," + DRAWS_SQL
 _PAIRS = f"""
 bk as (select node_id, block_id, x_m, y_m, x_m // {BUFFER_M} as kx, y_m // {BUFFER_M} as ky from nodes),
@@ -46,8 +49,11 @@ def b01_seeded_draws(spark, sf):
 
 @query()
 def b01_legacy_generator_draws(spark, sf):
-    """Permutations of the reference generator; tests hold them against NumPy."""
-    return partition.shuffled_draws(spark, [b["block_id"] for b in nodes(spark, sf).select("block_id").distinct().limit(100_000).collect()], list(range(SEEDS)))
+    """Permutations of the reference generator; tests hold them against NumPy. Too many blocks for the driver are an error."""
+    blocks = [b["block_id"] for b in nodes(spark, sf).select("block_id").distinct().limit(MOST_BLOCKS + 1).collect()]
+    if len(blocks) > MOST_BLOCKS:
+        raise ValueError(f"more than {MOST_BLOCKS} blocks")
+    return partition.shuffled_draws(spark, blocks, list(range(SEEDS)))
 
 
 @query("with n as (select i as n from range(3, 600) t(i)), c as (select n, greatest(1, cast(round_even(0.70::double * n, 0) as integer)) as a, greatest(1, cast(round_even(0.15::double * n, 0) as integer)) as b from n) select n, cast(case when a + b >= n then n - 2 else a end as bigint) as n_train, cast(case when a + b >= n then 1 else b end as bigint) as n_val from c")
@@ -95,13 +101,12 @@ def b08_fold_keep_mask(spark, sf):
     return judged.groupBy("seed", "fold").agg(F.sum("n").alias("n"), F.sum(F.when(keeps, F.col("n")).otherwise(0)).alias("n_kept"))
 
 
-@query(f"with {_TRIM}, m as (select seed, role, node_id from placed where role = 'train' union all select seed, role, node_id from kept where kept) select a.seed, a.role, count(*) as n, count(distinct a.node_id) as n_distinct, cast(coalesce(sum(c), 0) as bigint) as clashes from m a left join (select m1.seed, m1.role, m1.node_id, count(*) as c from m m1 join pairs q on q.i = m1.node_id join m m2 on m2.seed = m1.seed and m2.node_id = q.j where m1.role <> m2.role group by 1, 2, 3) x on x.seed = a.seed and x.role = a.role and x.node_id = a.node_id where a.seed < 3 group by 1, 2")
-def b10_split_verification(spark, sf):
+def _verified(spark, sf, drawn: str) -> DataFrame:
     """Members by role, and how many member pairs of different roles are nearer than the buffer (0)."""
     rows = nodes(spark, sf)
-    roles = _roles(spark, sf).filter("seed < 3")
+    roles = _roles(spark, sf).filter(drawn)
     train = rows.join(F.broadcast(roles.filter("role = 'train'")), "block_id").select("seed", "role", "node_id")
-    kept = _kept(spark, sf).filter("kept and seed < 3").select("seed", "role", "node_id")
+    kept = _kept(spark, sf).filter("kept").filter(drawn).select("seed", "role", "node_id")
     members = train.unionByName(kept)
     pairs = buffer.near(rows, BUFFER_M).select("node_id", "nbr_id")
     other = members.select("seed", F.col("role").alias("nbr_role"), F.col("node_id").alias("nbr_id"))
@@ -109,6 +114,17 @@ def b10_split_verification(spark, sf):
     return members.groupBy("seed", "role").agg(F.count("*").alias("n"), F.countDistinct("node_id").alias("n_distinct")).join(near, ["seed", "role"], "left").select("seed", "role", "n", "n_distinct", F.coalesce("clashes", F.lit(0)).alias("clashes"))
 
 
+@query(f"with {_TRIM}, m as (select seed, role, node_id from placed where role = 'train' union all select seed, role, node_id from kept where kept) select a.seed, a.role, count(*) as n, count(distinct a.node_id) as n_distinct, cast(coalesce(sum(c), 0) as bigint) as clashes from m a left join (select m1.seed, m1.role, m1.node_id, count(*) as c from m m1 join pairs q on q.i = m1.node_id join m m2 on m2.seed = m1.seed and m2.node_id = q.j where m1.role <> m2.role group by 1, 2, 3) x on x.seed = a.seed and x.role = a.role and x.node_id = a.node_id where a.seed < 3 group by 1, 2")
+def b10_split_verification(spark, sf):
+    """For three draws, as its SQL does; for all draws see below."""
+    return _verified(spark, sf, "seed < 3")
+
+
+@query()
+def b10_split_verification_of_all_draws(spark, sf):
+    return _verified(spark, sf, "true")
+
+
 @query(f"with {_BASE} select seed, role, count(*) as n, cast(sum(((node_id * 48271) % 2147483647 * 69621 + 1) % 2147483647) as bigint) as digest from nodes join roles using (block_id) group by 1, 2")
 def b12_member_digest(spark, sf):
     """An order-free digest of each role's members."""
@@ -140,6 +156,11 @@ def j03_direct_trim(spark, sf):
     return buffer.kept_directly(nodes(spark, sf), _roles(spark, sf).filter("seed < 2"), BUFFER_M)
 
 
+@query()
+def j03_direct_trim_of_all_draws(spark, sf):
+    return buffer.kept_directly(nodes(spark, sf), _roles(spark, sf), BUFFER_M)
+
+
 @query(f"with {_BASE},{_PAIRS} select i as node_id, bi as block_id, count(distinct bj) as m, array_to_string(list_sort(list_distinct(list(bj))), ',') as blocks from pairs group by 1, 2")
 def j18_block_neighbourhood(spark, sf):
     found = buffer.near_blocks(buffer.near(nodes(spark, sf), BUFFER_M))

@@ -64,13 +64,22 @@ def _points(spark, sf) -> DataFrame:
     return table(spark, sf, "part").selectExpr("p_partkey as pt", "(p_partkey * 48271 + 11) % 60000 as px", "(p_partkey * 69621 + 7) % 59999 as py")
 
 
+def _eight_nearest(points: DataFrame, placed: DataFrame) -> DataFrame:
+    left = points.select("pt", F.col("px").alias("lx"), F.col("py").alias("ly"))
+    right = placed.select("node_id", F.col("x_m").alias("rx"), F.col("y_m").alias("ry"))
+    found = neighbors.k_nearest(left, right, "pt", "node_id", 8, 1_500.0)
+    return found.select("pt", "node_id", "d2", F.round(1 / (F.col("d2") + 1e-6), 12).alias("weight"), F.col("rank").cast("int").alias("rank"))
+
+
 @query(f"with {NODES_SQL}, {_POINTS}, d as (select pt, node_id, (px - x_m) * (px - x_m) + (py - y_m) * (py - y_m) as d2 from pts, nodes where pt % 20 = 0) select pt, node_id, d2, round(1 / (d2 + 1e-6), 12) as weight, cast(row_number() over (partition by pt order by d2, node_id) as integer) as rank from d qualify row_number() over (partition by pt order by d2, node_id) <= 8")
 def j08_k_nearest_weights(spark, sf):
     """Eight nearest nodes of measured points (the stated query set: numbers divisible by 20), with inverse square weights."""
-    left = _points(spark, sf).filter("pt % 20 = 0").select("pt", F.col("px").alias("lx"), F.col("py").alias("ly"))
-    right = nodes(spark, sf).select("node_id", F.col("x_m").alias("rx"), F.col("y_m").alias("ry"))
-    found = neighbors.k_nearest(left, right, "pt", "node_id", 8, 1_500.0)
-    return found.select("pt", "node_id", "d2", F.round(1 / (F.col("d2") + 1e-6), 12).alias("weight"), F.col("rank").cast("int").alias("rank"))
+    return _eight_nearest(_points(spark, sf).filter("pt % 20 = 0"), nodes(spark, sf))
+
+
+@query()
+def j08_k_nearest_weights_of_all_points(spark, sf):
+    return _eight_nearest(_points(spark, sf), nodes(spark, sf))
 
 
 @query(f"with {_POINTS}, q as (select pt, px, py, case pt % 3 when 0 then 2400 when 1 then 1800 else 1200 end as r from pts), d as (select a.pt as src, b.pt as dst, (a.px - b.px) * (a.px - b.px) + (a.py - b.py) * (a.py - b.py) as d2, least(a.r, b.r) as r from q a, q b where a.pt <> b.pt and abs(a.px - b.px) <= 2400 and abs(a.py - b.py) <= 2400), k as (select * from d where d2 <= 2400 * 2400 qualify row_number() over (partition by src order by d2, dst) <= 32), e as (select src, dst from k where d2 <= r * r) select src, dst from e union select dst, src from e")
