@@ -15,7 +15,7 @@ SHARDS = 40
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, or of which no language has half the letters, go."""
+    """Documents without letters go."""
     return language_id.keep_identified(docs)
 
 

@@ -152,13 +152,14 @@ def viterbi(scores: np.ndarray, first: np.ndarray, switch: float = SWITCH) -> np
     order = np.argsort(-counts, kind="stable")
     begin, counts = first[:-1][order], counts[order]
     n_langs = scores.shape[1]
-    path = np.zeros(len(scores), np.uint8)
+    index = np.min_scalar_type(max(n_langs - 1, 0))
+    path = np.zeros(len(scores), index)
     if not len(scores) or n_langs == 1:
         return path
     stayed = np.zeros(scores.shape, bool)
-    came = np.zeros(len(scores), np.uint8)
+    came = np.zeros(len(scores), index)
     live = np.searchsorted(-counts, -np.arange(1, counts[0] + 1), "right")  # texts that have a word t
-    last = np.zeros(len(counts), np.uint8)
+    last = np.zeros(len(counts), index)
     now = scores[begin[: live[0]]].astype(np.float64)
     for t in range(1, len(live)):
         n = live[t]
@@ -243,11 +244,17 @@ def learning(key: Column) -> Column:
     return remainder(key, 3) != 1
 
 
-def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """Documents with a language of ``least`` of their letters; texts without letters are rejected."""
+def keep_identified(docs: DataFrame) -> DataFrame:
+    """Documents with a language, whatever its share of the letters; texts without letters are rejected.
+
+    Where no row has both a text and a lang to learn from, nothing can be identified, and all texts
+    with letters stay.
+    """
     model = train(docs.filter(learning(F.col("doc_id"))))
+    if not model.languages:
+        return docs.filter(F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False)))
     found = identify(docs, model, "__language")
-    return found.filter((F.col("__language.lang") != UNKNOWN) & (F.col("__language.score") >= least)).select(*docs.columns)
+    return found.filter(F.col("__language.lang") != UNKNOWN).select(*docs.columns)
 
 
 def op1_language(spark, sf_dir: str) -> DataFrame:

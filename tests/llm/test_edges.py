@@ -73,6 +73,24 @@ def test_language(docs, none):
     assert {r["language"]["lang"] for r in language_id.identify(docs, language_id.train(none)).collect()} == {"und"}
 
 
+def test_language_stage_rejects_only_texts_without_letters(spark):
+    import numpy as np
+
+    words = {"aa": "ballo bano batta bolu", "cc": "drife drosk drenk drusp", "ee": "ximiz xeqiz xuviz xoqez"}
+    rows = [(i, " ".join(words[lang].split() * 10), lang) for i, lang in enumerate(list(words) * 10)]
+    mixed = " ".join(words["aa"].split() * 10 + words["cc"].split() * 7 + words["ee"].split() * 7)
+    rows += [(100, mixed, None), (101, "123 ...", None), (102, None, None), (103, "", "aa")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    found = language_id.identify(docs, language_id.train(docs)).filter("doc_id = 100").first()["language"]
+    assert found["score"] < 0.5 and [x["lang"] for x in found["spans"]] == ["aa", "cc", "ee"]
+    assert sorted(r["doc_id"] for r in language_id.keep_identified(docs).collect()) == [*range(30), 100]
+    blind = language_id.keep_identified(docs.selectExpr("doc_id", "text", "cast(null as string) as lang"))
+    assert sorted(r["doc_id"] for r in blind.collect()) == [*range(30), 100]
+    scores = np.full((6, 300), -6, np.float32)
+    scores[:3, 290] = scores[3:, 299] = 0
+    assert language_id.viterbi(scores, np.array([0, 3, 6])).tolist() == [290] * 3 + [299] * 3
+
+
 def test_language_model(docs, none):
     found = language_model.score(docs.select("doc_id", "text")).collect()
     assert len(found) == len(ROWS) and all(r["score"] < 0 and r["n_tokens"] >= 1 for r in found)
