@@ -41,7 +41,7 @@ def lengths(docs: DataFrame, tokenizer_path: str) -> DataFrame:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         own = encoder(tokenizer_path)
         for batch in batches:
-            found = np.array([len(own.encode(text or "")) for text in batch["text"].to_pylist()], np.int64)
+            found = np.array([len(ids) for ids in own.encode_all([text or "" for text in batch["text"].to_pylist()])], np.int64)
             values, n = np.unique(found, return_counts=True)
             yield pa.RecordBatch.from_pydict({"n_tokens": pa.array(values, pa.int64()), "docs": pa.array(n, pa.int64())})
 

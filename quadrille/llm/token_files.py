@@ -13,6 +13,7 @@ Block: u32 ids, u32 minimum, u8 width, u32 exceptions, packed bits, u16 position
 from __future__ import annotations
 
 import functools
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -20,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,8 +31,12 @@ BLOCK = 4096
 PERCENTILE = 95
 MAGIC = b"QFOR1"
 END_ID = 0
-#: Pieces of text whose ids a worker remembers; only speed depends on it.
-REMEMBERED = 1_000_000
+#: Pieces of text whose ids a worker remembers, in each of two generations, and the characters of
+#: texts that it cuts at a time; only speed and memory depend on them.
+REMEMBERED, RUN_CHARS = 500_000, 1 << 23
+#: Punctuation that a byte-level pre-tokenizer cuts off a letter or digit before it.
+CLOSING = ".,;:!?*#$%&)"
+_ODD_SPACE, _BEFORE_WORD = re.compile(r"[ \n]\s| \Z"), re.compile(r" (?=\S)")
 _BLOCK_HEAD = struct.Struct("<IIBI")
 _TAIL = struct.Struct("<QQQQ5s")
 
@@ -39,24 +45,23 @@ def pack(values: np.ndarray, width: int) -> bytes:
     """The low ``width`` bits of each value, one after the other."""
     if not width:
         return b""
-    bits = (values[:, None] >> np.arange(width, dtype=np.uint32)) & 1
-    return np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
+    bits = np.unpackbits(values.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")
+    return np.packbits(bits[:, :width], bitorder="little").tobytes()
 
 
 def unpack(data: bytes, n: int, width: int) -> np.ndarray:
     if not width:
         return np.zeros(n, np.uint32)
-    bits = np.unpackbits(np.frombuffer(data, np.uint8), count=n * width, bitorder="little").reshape(n, width)
-    out = np.zeros(n, np.uint32)
-    for k in range(width):
-        out |= bits[:, k].astype(np.uint32) << np.uint32(k)
-    return out
+    bits = np.zeros((n, 32), np.uint8)
+    bits[:, :width] = np.unpackbits(np.frombuffer(data, np.uint8), count=n * width, bitorder="little").reshape(n, width)
+    return np.packbits(bits, axis=1, bitorder="little").view("<u4").ravel()
 
 
 def encode_block(ids: np.ndarray) -> bytes:
     least = int(ids.min())
     above = (ids - np.uint32(least)).astype(np.uint32)
-    width = int(np.percentile(above, PERCENTILE, method="higher")).bit_length()
+    at = -(-(len(above) - 1) * PERCENTILE // 100)
+    width = int(np.partition(above, at)[at]).bit_length()
     odd = np.flatnonzero(above >> np.uint32(width)) if width < 32 else np.zeros(0, np.int64)
     low = above & np.uint32((1 << width) - 1)
     return _BLOCK_HEAD.pack(len(ids), least, width, len(odd)) + pack(low, width) + odd.astype("<u2").tobytes() + (above[odd] >> np.uint32(width)).astype("<u4").tobytes()
@@ -132,9 +137,14 @@ def read_file(fs, path: str) -> Iterator[tuple[int | None, np.ndarray]]:
 class Encoder:
     """Ids of whole texts, as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them.
 
-    A blank before another character always begins a new piece of a byte-level vocabulary's
-    pre-tokenizer, so a text is cut there and each distinct piece is encoded once. A text that holds
-    an added token's content (special or not) is encoded whole, as such tokens are matched first.
+    The pre-tokenizer of a byte-level vocabulary always begins a new piece at a blank before another
+    character, at a line's end after one, and at punctuation after a letter or digit. Texts are cut
+    into pieces at the first two, pieces into a stem and closing punctuation at the last, and each
+    distinct stem and closing is encoded once. A text that holds an added token's content (special or
+    not) is encoded whole, as such tokens are matched first.
+
+    A piece is known by what follows its blank. Pieces without one begin with their line's end, or
+    with a tab in its place (a text's first), which can't follow a blank where texts are cut.
     """
 
     def __init__(self, path: str) -> None:
@@ -142,56 +152,110 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: Two generations: what was seen since the last change, and what was seen before it.
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         #: In a byte-level vocabulary a token has a character for each byte.
         self.bytes_of = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.tokenizer.get_vocab_size())])
 
-    @staticmethod
-    def pieces(text: str) -> list[str]:
-        cut = text.split(" ")
-        if "" not in cut and text.isascii() and text.isprintable():
-            return [cut[0], *[" " + x for x in cut[1:]]] if len(cut) > 1 else cut
-        out = [cut[0]]
-        for x in cut[1:]:
-            if x and not x[0].isspace():
-                out.append(" " + x)
-            else:
-                out[-1] += " " + x
-        return out
-
-    def _whole(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+    def _batch(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _holds_added(self, text: str) -> bool:
         return any(content in text for content in self.added)
 
     def encode(self, text: str) -> np.ndarray:
-        if self._holds_added(text):
-            return self._whole(text)
-        pieces = self.pieces(text)
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        new = [p for p in dict.fromkeys(pieces) if p not in known]
+        return next(self.encode_all([text]))
+
+    def encode_all(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of each text in turn; pieces are held of a run of texts at a time."""
+        lo, held = 0, 0
+        for i, text in enumerate(texts):
+            held += len(text)
+            if held >= RUN_CHARS or i + 1 == len(texts):
+                yield from self._run(texts[lo : i + 1])
+                lo, held = i + 1, 0
+
+    def _run(self, texts: list[str]) -> Iterator[np.ndarray]:
+        whole = {i: np.array(self._batch([x])[0], "<u4") for i, x in enumerate(texts) if self._holds_added(x)}
+        odd = {i for i, x in enumerate(texts) if i not in whole and _odd(x)}
+        plain = [i for i in range(len(texts)) if i not in whole and i not in odd]
+        split = pc.split_pattern(pa.array(["\t" + texts[i].replace("\n", " \n") for i in plain], pa.large_string()), " ")
+        by_regex = pa.array([_BEFORE_WORD.split("\t" + texts[i]) for i in sorted(odd)], pa.list_(pa.large_string()))
+        n_pieces = np.concatenate([pc.list_value_length(split), pc.list_value_length(by_regex)]).astype(np.int64)
+        coded = pa.concat_arrays([split.flatten(), by_regex.flatten()]).dictionary_encode()
+        first, second, ids = self._units(coded.dictionary)
+        units = np.stack([first, second], 1).astype(np.int32)[coded.indices.to_numpy()].ravel()
+        there = units >= 0
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, start = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(size) - size
+        ends = np.concatenate([[0], np.cumsum(there)])[2 * np.concatenate([[0], np.cumsum(n_pieces)])]
+        units = units[there]
+        length = size[units]
+        upto = np.concatenate([[0], np.cumsum(length)])
+        out = flat[np.arange(upto[-1]) + np.repeat(start[units] - upto[:-1], length)]
+        bounds = upto[ends]
+        place = {i: k for k, i in enumerate([*plain, *sorted(odd)])}
+        for i in range(len(texts)):
+            yield whole[i] if i in whole else out[bounds[place[i]] : bounds[place[i] + 1]]
+
+    def _units(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """Each piece's stem and closing (-1 without one) as places in the list of ids."""
+        trimmed = pc.utf8_rtrim(pieces, CLOSING)
+        changed = np.flatnonzero(pc.binary_length(trimmed).to_numpy() != pc.binary_length(pieces).to_numpy())
+        stems, closing = _strings(trimmed), np.full(len(pieces), -1)
+        endings: dict[str, int] = {}
+        for i, piece in zip(changed.tolist(), _strings(pieces.take(pa.array(changed))), strict=True):
+            stem = stems[i]
+            if stem and stem[-1].isalnum():
+                closing[i] = endings.setdefault(piece[len(stem) :], len(endings))
+            else:
+                stems[i] = piece
+        coded = pa.array(stems, pa.large_string()).dictionary_encode()
+        asked = _strings(coded.dictionary)
+        known, older = self.known, self.older
+        new = [x for x in asked if x not in known]
+        if len(known) + len(new) > REMEMBERED:
+            self.older = older = known
+            self.known = known = {}
+            new = asked
+        kept = [x for x in new if x in older]
+        if kept:
+            known.update((x, older[x]) for x in kept)
+            new = [x for x in new if x not in known]
         if new:
             self._learn(new)
-        return np.frombuffer(b"".join([known[p] for p in pieces]), "<u4")
+            known = self.known
+        ids = [known[x] for x in asked] + [np.array(x, "<u4").tobytes() for x in self._batch(list(endings))]
+        return coded.indices.to_numpy(), np.where(closing >= 0, closing + len(asked), -1), ids
 
     def _learn(self, new: list[str]) -> None:
-        """Encode pieces run together, and cut the ids where the bytes of a piece end."""
-        joined = [p for p in new if len(p) > 1 and p[0] == " " and not p[1].isspace()]
-        if self._holds_added("".join(joined)):  # only where pieces meet
-            joined = []
-        ids = self._whole("".join(joined))
-        ends = np.cumsum(self.bytes_of[ids])
-        cuts = np.searchsorted(ends, np.cumsum([len(p.encode()) for p in joined])) + 1
-        flat, begin = ids.tobytes(), 0
-        for piece, cut in zip(joined, (4 * cuts).tolist(), strict=True):
-            self.known[piece] = flat[begin:cut]
-            begin = cut
-        for piece in new:
-            if piece not in self.known:
-                self.known[piece] = self._whole(piece).tobytes()
+        """Encode stems run together, and cut the ids where a stem's bytes end."""
+        heads = [x for x in new if x[0] == "\t"]
+        follows = [x for x in new if x[0] != "\t"]
+        said = [x if x[0] == "\n" else " " + x for x in follows]
+        joined = "".join(said)
+        if self._holds_added(joined):  # only where stems meet
+            self.known.update((x, np.array(ids, "<u4").tobytes()) for x, ids in zip(follows, self._batch(said), strict=True))
+        else:
+            ids = np.array(self._batch([joined])[0], "<u4")
+            ends = np.cumsum(self.bytes_of[ids])
+            length = pc.binary_length(pa.array(said, pa.large_string())).to_numpy()
+            cuts = (4 * (np.searchsorted(ends, np.cumsum(length)) + 1)).tolist()
+            flat = ids.tobytes()
+            self.known.update((x, flat[a:b]) for x, a, b in zip(follows, [0, *cuts[:-1]], cuts, strict=True))
+        self.known.update((x, np.array(ids, "<u4").tobytes()) for x, ids in zip(heads, self._batch([x[1:] for x in heads]), strict=True))
+
+
+def _strings(column: pa.Array) -> list[str]:
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
+def _odd(text: str) -> bool:
+    """Whether white space stands where pieces of ``text`` would begin, other than one line's end."""
+    if "  " in text or "\n\n" in text or "\n " in text or " \n" in text or text.endswith(" "):
+        return True
+    return not text.replace("\n", "").isprintable() and _ODD_SPACE.search(text) is not None
 
 
 @functools.cache
@@ -201,15 +265,18 @@ def encoder(path: str) -> Encoder:
 
 
 def write(docs: DataFrame, folder: str, tokenizer_path: str, partitions: int | None = None) -> DataFrame:
-    """Write the ids of all documents in ascending doc_id order, nulls first, equal ids by text.
+    """Write the ids of all documents in ascending doc_id order, nulls first, equal ids by hash and text.
 
-    Returns the files in order: (part, file, n_docs, n_tokens). Null texts are empty; each document
-    ends with id 0. Other columns of ``docs`` are left aside.
+    Returns the files in order: (part, file, n_docs, n_tokens). Null and empty texts are the end alone;
+    each document ends with id 0. A long text is encoded whole. Repeated rows are all written; rows
+    that share a doc_id, or have none, are dealt over tasks by their texts' hashes. An empty table
+    has no files. Other columns of ``docs`` are left aside.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    keys = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    ordered = rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys, "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -225,8 +292,8 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, partitions: int | N
         with fs.open_output_stream(draft) as out:
             writer = Writer(out)
             for batch in batches:
-                for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                    writer.add(doc_id, np.append(own.encode(text), np.uint32(END_ID)))
+                for doc_id, ids in zip(batch["doc_id"].to_pylist(), own.encode_all(batch["text"].to_pylist()), strict=True):
+                    writer.add(doc_id, np.append(ids, np.uint32(END_ID)))
             writer.close()
         if writer.docs:
             fs.move(draft, f"{root}/{name}")
