@@ -59,6 +59,14 @@ def discard(*tables: DataFrame) -> None:
             spark._jvm.System.gc()
 
 
+def free(name: str, *tables: DataFrame) -> str:
+    """``name``, lengthened until no column of ``tables`` has it."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def remainder(key: Column, modulus: int) -> Column:
     """crc32 of the key's decimal text, modulo ``modulus``; a null key counts as the empty text."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % F.lit(modulus)

@@ -1,9 +1,10 @@
 """Language identification (operator 1) for texts that may mix languages.
 
-A word's script, found by code-point ranges, narrows its candidate languages to those that use the
-script in the training texts. Candidates score the word by the log-probabilities of its byte
-trigrams. Viterbi's algorithm over the words, with a penalty for each switch, labels spans; the
-language of most letters is the text's. Counts come from all training rows, in one aggregation.
+Words are cut at changes of script, and runs of unspaced scripts into pairs of characters. A word's
+script, found by code-point ranges, narrows its candidates to the languages that use the script in the
+training texts; no other language can have the word. Candidates score it by the log-probabilities of
+its byte trigrams. Viterbi's algorithm over the words, with a penalty for each switch, labels spans;
+the language of most letters is the text's. Counts come from all training rows, in one aggregation.
 """
 
 from __future__ import annotations
@@ -13,11 +14,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.llm import textkit
-from quadrille.llm.common import read, remainder
+from quadrille.llm.common import free, read, remainder
 
 #: First and last code points of scripts (fixed values of Unicode's blocks).
 SCRIPT_RANGES = (
@@ -35,12 +37,16 @@ SCRIPT_RANGES = (
     ("hangul", 0xAC00, 0xD7AF),
 )
 OTHER = len(SCRIPT_RANGES)
+#: Scripts written without blanks, whose runs are cut every two characters.
+UNSPACED = np.array([name in ("thai", "kana", "han") for name, _, _ in SCRIPT_RANGES] + [False])
 #: A language uses a script if this share of its training words is in it.
 SCRIPT_SHARE = 0.001
 BUCKETS = 1 << 15
 PSEUDO_COUNT = 0.5
-#: In nats: what a change of language costs, and the most one word can speak against a language.
+#: In nats: what a change of language costs, and the most one word can speak against a candidate.
 SWITCH, WORD_LIMIT = 9.0, 6.0
+#: Bytes of texts that are labelled together; a longer text goes alone, its words found in segments.
+LABEL_BYTES = 1 << 20
 UNKNOWN = "und"
 
 #: ASCII letters and all bytes from 0x80 on belong to words.
@@ -66,21 +72,59 @@ _SCRIPT = _script_table()
 
 @dataclass
 class Cut:
-    """Words of a run of texts, with script and trigram buckets; ``at`` are the words' bounds in ``bucket``."""
+    """Words of a run of texts: byte spans, the first word of each text, script and trigram buckets;
+    ``at`` are the words' bounds in ``bucket``."""
 
-    found: textkit.Words
+    start: np.ndarray
+    end: np.ndarray
+    first: np.ndarray
     script: np.ndarray
     bucket: np.ndarray
     at: np.ndarray
 
 
+def _split_scripts(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words cut where the script changes, and in pairs in unspaced scripts: starts, ends and scripts.
+
+    Characters of no listed script (marks, quotes, digits of other scripts) go with those before them.
+    """
+    mixed = np.flatnonzero(np.add.reduceat(data >= 0x80, np.stack([start, end], 1).ravel()[: 2 * len(start) - (end[-1] == len(data))])[::2] > 0)
+    script = np.zeros(len(start), np.uint8)
+    if not len(mixed):
+        return start, end, script
+    length = end[mixed] - start[mixed]
+    place = np.arange(length.sum()) + np.repeat(start[mixed] - (np.cumsum(length) - length), length)
+    word = np.repeat(mixed, length)
+    lead = (data[place] & 0xC0) != 0x80
+    place, word = place[lead], word[lead]
+    kind = _SCRIPT[data[place].astype(np.int64) << 8 | data[np.minimum(place + 1, len(data) - 1)]]
+    index = np.arange(len(kind))
+    begins = np.concatenate([[True], word[1:] != word[:-1]])
+    last = np.maximum.accumulate(np.where(begins | (kind != OTHER), index, 0))  # of a known script, or the word's first
+    before = np.concatenate([[OTHER], kind[last[:-1]]])
+    before[begins] = OTHER
+    change = (kind != OTHER) & (before != OTHER) & (kind != before)
+    run = np.maximum.accumulate(np.where(begins | change, index, 0))
+    pair = UNSPACED[kind] & ((index - run) % 2 == 0) & ~begins
+    cut = np.flatnonzero(change | pair)
+    starts, ends = np.sort(np.concatenate([start, place[cut]])), np.sort(np.concatenate([end, place[cut]]))
+    # A piece's script is that of its first character of a known one.
+    piece = np.searchsorted(starts, place, "right") - 1
+    script = np.zeros(len(starts), np.uint8)
+    script[piece] = OTHER
+    known = np.flatnonzero(kind != OTHER)[::-1]
+    script[piece[known]] = kind[known]
+    return starts, ends, script
+
+
 def cut_words(data: np.ndarray, bounds: np.ndarray) -> Cut:
-    found = textkit.words(data, bounds, _NO_LETTER)
-    if not len(found.start):
-        return Cut(found, np.zeros(0, np.uint8), np.zeros(0, np.int32), np.zeros(1, np.int64))
-    length = found.end - found.start
+    start, end = textkit.spans(data, bounds, _NO_LETTER)
+    if not len(start):
+        return Cut(start, end, np.zeros(len(bounds), np.int64), np.zeros(0, np.uint8), np.zeros(0, np.int32), np.zeros(1, np.int64))
+    start, end, script = _split_scripts(data, start, end)
+    length = end - start
     at = np.concatenate([[0], np.cumsum(length)])
-    place = np.arange(at[-1]) + np.repeat(found.start - at[:-1], length)
+    place = np.arange(at[-1]) + np.repeat(start - at[:-1], length)
     byte = textkit._LOWER[data[place]].astype(np.uint32)
     one = np.concatenate([[0], byte[:-1]]).astype(np.uint32)
     one[at[:-1]] = 0
@@ -89,9 +133,7 @@ def cut_words(data: np.ndarray, bounds: np.ndarray) -> Cut:
     ends = np.zeros(len(byte), np.uint32)
     ends[at[1:] - 1] = 1
     mixed = (byte * np.uint32(0x9E3779B1) ^ one * np.uint32(0x85EBCA77) ^ two * np.uint32(0xC2B2AE3D) ^ ends * np.uint32(0x27D4EB2F)) * np.uint32(0x2C1B3C6D)
-    second = np.minimum(found.start + 1, len(data) - 1)
-    script = _SCRIPT[data[found.start].astype(np.int64) << 8 | data[second]]
-    return Cut(found, script, (mixed >> np.uint32(17)).astype(np.int32), at)
+    return Cut(start, end, np.searchsorted(start, bounds), script, (mixed >> np.uint32(17)).astype(np.int32), at)
 
 
 @dataclass
@@ -109,14 +151,15 @@ def train(rows: DataFrame) -> Model:
         for batch in batches:
             langs = batch["lang"].to_pylist()
             for lo, hi, data, bounds in textkit.text_chunks(batch["text"]):
-                cut = cut_words(data, bounds)
                 names = langs[lo:hi]
-                for name in set(names):
-                    own = seen.setdefault(name, np.zeros(BUCKETS + OTHER + 1, np.int64))
-                    rows_ = np.array([x == name for x in names])
-                    words = np.repeat(rows_, np.diff(cut.found.first))
-                    own[:BUCKETS] += np.bincount(cut.bucket[np.repeat(words, np.diff(cut.at))], minlength=BUCKETS)
-                    own[BUCKETS:] += np.bincount(cut.script[words], minlength=OTHER + 1)
+                for _, part, own_bounds in textkit.segments(data, bounds, _NO_LETTER):
+                    cut = cut_words(part, own_bounds)
+                    for name in set(names):
+                        own = seen.setdefault(name, np.zeros(BUCKETS + OTHER + 1, np.int64))
+                        rows_ = np.array([x == name for x in names])
+                        words = np.repeat(rows_, np.diff(cut.first))
+                        own[:BUCKETS] += np.bincount(cut.bucket[np.repeat(words, np.diff(cut.at))], minlength=BUCKETS)
+                        own[BUCKETS:] += np.bincount(cut.script[words], minlength=OTHER + 1)
         for name, n in seen.items():
             slots = np.flatnonzero(n)
             yield pa.RecordBatch.from_pydict({"lang": [name], "slots": pa.array([slots.tolist()], pa.list_(pa.int64())), "n": pa.array([n[slots].tolist()], pa.list_(pa.int64()))})
@@ -136,14 +179,15 @@ def train(rows: DataFrame) -> Model:
 
 
 def word_scores(cut: Cut, model: Model) -> np.ndarray:
-    """Words x languages: log-probabilities below the best candidate's, floored."""
+    """Words x languages: log-probabilities below the best candidate's, floored; -inf for all but candidates."""
     out = np.empty((len(cut.script), len(model.languages)), np.float32)
     for k in range(len(model.languages)):
         total = np.concatenate([[0.0], np.cumsum(model.score[k][cut.bucket], dtype=np.float64)])
         out[:, k] = total[cut.at[1:]] - total[cut.at[:-1]]
-    out[~model.candidate[cut.script]] = -np.inf
+    candidate = model.candidate[cut.script]
+    out[~candidate] = -np.inf
     out -= out.max(1, keepdims=True)
-    return np.maximum(out, -WORD_LIMIT, out=out)
+    return np.maximum(out, -WORD_LIMIT, out=out, where=candidate)
 
 
 def viterbi(scores: np.ndarray, first: np.ndarray, switch: float = SWITCH) -> np.ndarray:
@@ -183,48 +227,62 @@ def viterbi(scores: np.ndarray, first: np.ndarray, switch: float = SWITCH) -> np
     return path
 
 
+def _scored(data: np.ndarray, bounds: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends, first word of each text, and scores of the words of a run of texts."""
+    starts, ends, scores, first = [], [], [], bounds * 0
+    for offset, part, own in textkit.segments(data, bounds, _NO_LETTER):
+        cut = cut_words(part, own)
+        starts.append(cut.start + offset)
+        ends.append(cut.end + offset)
+        scores.append(word_scores(cut, model))
+        first = first + cut.first
+    return np.concatenate(starts), np.concatenate(ends), first, np.concatenate(scores)
+
+
+def _label_run(data: np.ndarray, bounds: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple]:
+    """Language and share of each text, its number of spans, and the spans' starts, ends and languages."""
+    n, n_langs = len(bounds) - 1, len(model.languages)
+    best, share, counts = np.full(n, n_langs), np.zeros(n), np.zeros(n, np.int64)
+    nothing = np.zeros(0, np.int64)
+    if not n_langs:
+        return best, share, counts, (nothing, nothing, nothing)
+    start, end, first, scores = _scored(data, bounds, model)
+    if not len(start):
+        return best, share, counts, (nothing, nothing, nothing)
+    path = viterbi(scores, first)
+    text = np.repeat(np.arange(n), np.diff(first))
+    letters = np.bincount(text * n_langs + path, (end - start).astype(float), n * n_langs).reshape(n, n_langs)
+    total = letters.sum(1)
+    lettered = total > 0
+    plain = np.concatenate([[0], np.cumsum(~_NO_LETTER[data] & (data < 0x80))])
+    for i in np.flatnonzero(lettered & (plain[bounds[1:]] == plain[bounds[:-1]])):
+        lettered[i] = any(c.isalpha() for c in data[bounds[i] : bounds[i + 1]].tobytes().decode())
+    best[lettered] = letters[lettered].argmax(1)
+    share[lettered] = letters[lettered].max(1) / total[lettered]
+    begins = np.ones(len(path), bool)
+    begins[1:] = (path[1:] != path[:-1]) | (text[1:] != text[:-1])
+    stops = np.flatnonzero(np.concatenate([begins[1:], [True]]))
+    at = np.flatnonzero(begins)
+    kept = lettered[text[at]]
+    at, stops = at[kept], stops[kept]
+    counts = np.bincount(text[at], minlength=n)
+    return best, share, counts, (start[at] - bounds[text[at]], end[stops] - bounds[text[at]], path[at].astype(np.int64))
+
+
 def _label(shared):
     def label(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model: Model = shared.value
         names = np.array([*model.languages, UNKNOWN], object)
         for column in columns:
-            out, bounds_of, runs = [], [0], ([], [], [])
-            for lo, hi, data, bounds in textkit.text_chunks(column, 1 << 23):
-                cut = cut_words(data, bounds)
-                n = hi - lo
-                found, n_langs = cut.found, len(model.languages)
-                best, share = np.full(n, n_langs), np.zeros(n)
-                starts = np.zeros(n, np.int64)
-                if n_langs and len(cut.script):
-                    path = viterbi(word_scores(cut, model), found.first)
-                    text = np.repeat(np.arange(n), np.diff(found.first))
-                    letters = np.bincount(text * n_langs + path, (found.end - found.start).astype(float), n * n_langs).reshape(n, n_langs)
-                    total = letters.sum(1)
-                    lettered = total > 0
-                    plain = np.concatenate([[0], np.cumsum(~_NO_LETTER[data] & (data < 0x80))])
-                    for i in np.flatnonzero(lettered & (plain[bounds[1:]] == plain[bounds[:-1]])):
-                        lettered[i] = any(c.isalpha() for c in data[bounds[i] : bounds[i + 1]].tobytes().decode())
-                    best[lettered] = letters[lettered].argmax(1)
-                    share[lettered] = letters[lettered].max(1) / total[lettered]
-                    begins = np.ones(len(path), bool)
-                    begins[1:] = (path[1:] != path[:-1]) | (text[1:] != text[:-1])
-                    begins &= lettered[text]
-                    at = np.flatnonzero(begins)
-                    ends = np.concatenate([begins[1:], [True]])
-                    nxt = np.searchsorted(np.flatnonzero(ends), at)
-                    stop = np.flatnonzero(ends)[nxt]
-                    runs[0].append(found.start[at] - bounds[text[at]])
-                    runs[1].append(found.end[stop] - bounds[text[at]])
-                    runs[2].append(path[at])
-                    starts = np.bincount(text[at], minlength=n)
-                out.append((names[best], share))
-                bounds_of.extend((bounds_of[-1] + np.cumsum(starts)).tolist())
-            join = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
-            spans = pa.StructArray.from_arrays([pa.array(join(runs[0], np.int64)), pa.array(join(runs[1], np.int64)), pa.array(names[join(runs[2], np.int64)], pa.string())], names=["start", "end", "lang"])
-            yield pa.StructArray.from_arrays(
-                [pa.array(np.concatenate([x[0] for x in out]) if out else [], pa.string()), pa.array(np.concatenate([x[1] for x in out]) if out else [], pa.float64()), pa.ListArray.from_arrays(pa.array(bounds_of, pa.int32()), spans)],
-                names=["lang", "score", "spans"],
-            )
+            # Texts of like length together: those of a run go through Viterbi's steps side by side.
+            order = np.argsort(pc.fill_null(pc.binary_length(column), 0).to_numpy(), kind="stable")
+            runs = [_label_run(data, bounds, model) for _, _, data, bounds in textkit.text_chunks(column.take(pa.array(order)), LABEL_BYTES)]
+            every = lambda k, kind, runs=runs: np.concatenate([np.zeros(0, kind), *[r[k] for r in runs]]).astype(kind)
+            begin, end, lang = (np.concatenate([np.zeros(0, np.int64), *[r[3][k] for r in runs]]) for k in range(3))
+            spans = pa.StructArray.from_arrays([pa.array(begin), pa.array(end), pa.array(names[lang], pa.string())], names=["start", "end", "lang"])
+            bounds_of = np.concatenate([[0], np.cumsum(every(2, np.int64))])
+            found = pa.StructArray.from_arrays([pa.array(names[every(0, np.int64)], pa.string()), pa.array(every(1, np.float64)), pa.ListArray.from_arrays(pa.array(bounds_of, pa.int32()), spans)], names=["lang", "score", "spans"])
+            yield found.take(pa.array(np.argsort(order, kind="stable")))
 
     return F.arrow_udf(label, "lang string, score double, spans array<struct<start:bigint,end:bigint,lang:string>>").asNondeterministic()
 
@@ -232,8 +290,10 @@ def _label(shared):
 def identify(docs: DataFrame, model: Model, into: str = "language") -> DataFrame:
     """Add ``into``: a struct of lang, score (share of the letters' bytes) and spans (byte offsets and lang).
 
-    Null texts and texts without a letter are ``und`` with score 0 and no span. Ties go to the language
-    first in order of names. Only the text decides; a column of ``docs`` named ``into`` is replaced.
+    Null texts, empty ones and those without a letter are ``und`` with score 0 and no span, and so are
+    all texts under a model without languages. Ties go to the language first in order of names. Long
+    texts are labelled whole. Only the text decides, so repeated rows get the same; an empty table gives
+    an empty one. A column of ``docs`` named ``into`` is replaced.
     """
     label = _label(docs.sparkSession.sparkContext.broadcast(model))
     return docs.withColumn(into, label(F.col("text").cast("string")))
@@ -253,8 +313,9 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     model = train(docs.filter(learning(F.col("doc_id"))))
     if not model.languages:
         return docs.filter(F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False)))
-    found = identify(docs, model, "__language")
-    return found.filter(F.col("__language.lang") != UNKNOWN).select(*docs.columns)
+    into = free("language_", docs)
+    found = identify(docs, model, into)
+    return found.filter(F.col(into)["lang"] != UNKNOWN).select(*docs.columns)
 
 
 def op1_language(spark, sf_dir: str) -> DataFrame:

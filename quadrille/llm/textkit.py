@@ -6,6 +6,7 @@ belong to words. A text is never cut: a chunk holds whole texts and grows for a
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,6 +18,9 @@ SPACES[[0x20, *range(0x09, 0x0E)]] = True
 NON_ALNUM = np.zeros(256, bool)
 NON_ALNUM[:0x80] = [not chr(b).isalnum() for b in range(0x80)]
 
+#: Bytes from which on a word is hashed by BLAKE2b.
+LONG_WORD = 256
+
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 _RNG = np.random.default_rng(20240229)
@@ -70,6 +74,43 @@ def text_chunks(column, max_bytes: int = 1 << 18) -> Iterator[tuple[int, int, np
         lo = hi
 
 
+def segments(data: np.ndarray, bounds: np.ndarray, separators: np.ndarray, max_bytes: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """A run of texts as (offset, bytes, bounds); a single text beyond ``max_bytes`` is cut after a separator.
+
+    Where the last 64 KiB of a segment hold no separator, it ends at a character instead.
+    """
+    if len(bounds) > 2 or len(data) <= max_bytes:
+        yield 0, data, bounds
+        return
+    at = 0
+    while at < len(data):
+        stop = min(at + max_bytes, len(data))
+        if stop < len(data):
+            gaps = np.flatnonzero(separators[data[max(at, stop - (1 << 16)) : stop]])
+            if len(gaps):
+                stop = max(at, stop - (1 << 16)) + int(gaps[-1]) + 1
+            else:
+                while stop > at + 1 and data[stop] & 0xC0 == 0x80:
+                    stop -= 1
+        yield at, data[at:stop], np.array([0, stop - at])
+        at = stop
+
+
+def spans(data: np.ndarray, bounds: np.ndarray, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of all maximal runs of bytes that aren't separators; none goes over a text's bounds."""
+    if not len(data):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    inside = ~separators[data]
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    edges = bounds[(bounds > 0) & (bounds < len(data))]
+    begins[edges] = inside[edges]
+    ends = inside.copy()
+    ends[:-1] &= ~inside[1:]
+    ends[edges - 1] = inside[edges - 1]
+    return np.flatnonzero(begins), np.flatnonzero(ends) + 1
+
+
 @dataclass
 class Words:
     """Words of a run of texts, in order: hash, byte span, and the first word of each text."""
@@ -81,23 +122,21 @@ class Words:
 
 
 def words(data: np.ndarray, bounds: np.ndarray, separators: np.ndarray) -> Words:
-    """Lower-case A-Z and hash all maximal runs of bytes that aren't separators."""
-    if not len(data):
-        empty = np.zeros(0, np.int64)
-        return Words(np.zeros(0, np.uint64), empty, empty, np.zeros(len(bounds), np.int64))
-    inside = ~separators[data]
-    begins = inside.copy()
-    begins[1:] &= ~inside[:-1]
-    edges = bounds[(bounds > 0) & (bounds < len(data))]
-    begins[edges] = inside[edges]
-    ends = inside.copy()
-    ends[:-1] &= ~inside[1:]
-    ends[edges - 1] = inside[edges - 1]
-    start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    """Lower-case A-Z and hash all maximal runs of bytes that aren't separators.
+
+    Two different words share a hash with odds of about 2^-64. Short ones are hashed by a polynomial;
+    from ``LONG_WORD`` bytes on, where such polynomials have systematic collisions, by BLAKE2b.
+    """
+    start, end = spans(data, bounds, separators)
+    if not len(start):
+        return Words(np.zeros(0, np.uint64), start, end, np.zeros(len(bounds), np.int64))
     power, inverse = _power_tables(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_CODE[data] * power[: len(data)], out=total[1:])
-    return Words(mix((total[end] - total[start]) * inverse[start]), start, end, np.searchsorted(start, bounds))
+    found = mix((total[end] - total[start]) * inverse[start])
+    for i in np.flatnonzero(end - start >= LONG_WORD).tolist():
+        found[i] = int.from_bytes(hashlib.blake2b(_LOWER[data[start[i] : end[i]]].tobytes(), digest_size=8).digest(), "little")
+    return Words(found, start, end, np.searchsorted(start, bounds))
 
 
 def windows(found: Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
