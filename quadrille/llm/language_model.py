@@ -4,11 +4,14 @@ Part of the learning documents is deleted from the counts and held out; on these
 maximisation finds the mixture's weights for each bucket of context frequency. The scores then use
 the counts of all learning documents.
 
-Counts are exact and cover all documents. Documents are filed in blocks. Each block asks for the
-n-grams it holds: its distinct keys with their own counts go to key buckets, packed, so that a
-bucket's rows number as the blocks. A bucket adds the counts up and answers each block with the
-totals of its keys; keys that occur once in all are left out, as the block can tell. So no task and no
-executor ever holds more than its blocks' or its bucket's share of the vocabulary.
+Counts cover all documents. Documents are filed in blocks of bounded size. Each block asks for the
+n-grams it holds: its distinct keys, in ascending order, go to key buckets with their own counts, a
+packed row a block and bucket. A bucket adds the counts up and answers each block with the totals, in
+the order in which the keys were asked, so no key travels back. So no task ever holds more than a
+block's or a bucket's share of the vocabulary, and a frequent word is one entry a block.
+
+Keys are 64-bit hashes of words and word pairs. Two of V distinct ones share a key with odds of
+about V^2 / 2^65; then their counts are added up. Totals are 64-bit wherever they outgrow a byte.
 """
 
 from __future__ import annotations
@@ -17,14 +20,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.llm import textkit
-from quadrille.llm.common import filesystem, new_path, read, remainder
+from quadrille.llm.common import discard, read, remainder, spool
 
-#: Rows of a block.
-BLOCK_ROWS = 4096
+#: Bytes of text in a block; a longer text is a block of its own.
+BLOCK_BYTES = 8 << 20
+#: Rows of an Arrow batch of texts.
+TEXT_ROWS = 1000
 #: By crc32 of the key modulo FOLDS: 0 is for testing, 1 is held out from the counts for the weights.
 FOLDS, TEST, HELD = 10, 0, 1
 #: Context-frequency buckets: log2 of the context's count, at most this.
@@ -33,30 +39,49 @@ MOST_BUCKET = 15
 CELLS, DECADES = 8, 12
 EM_ROUNDS = 60
 PSEUDO_COUNT = 0.1
+#: The fewest and most bits of a key that choose its bucket.
+BITS = (6, 20)
 
 _END = textkit.mix(np.array([0x1F5EED], np.uint64))[0]
-_BYTES = (7, 6)  # of a unigram's and a bigram's key, beside its bucket
 _REQUEST = "kind int, bucket int, block bigint, keys binary, main binary, held binary, other binary"
-_REPLY = "block bigint, kind int, bucket int, keys binary, main binary, held binary"
+_REPLY = "kind int, bucket int, block bigint, main binary, held binary"
 
 
-def _mask(kind: int, bits: int) -> np.uint64:
-    return np.uint64((((1 << bits) - 1) << (64 - bits)) | ((1 << 8 * _BYTES[kind]) - 1))
+def pack_sorted(values: np.ndarray) -> bytes:
+    """Ascending numbers as bytes: steps from one to the next, as many bytes each as the widest needs."""
+    if not len(values):
+        return b""
+    steps = np.diff(values, prepend=values[:1])
+    width = max(1, (int(steps.max()).bit_length() + 7) // 8)
+    return bytes([width]) + int(values[0]).to_bytes(8, "little") + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
-def _pack(keys: np.ndarray, kind: int) -> bytes:
-    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : _BYTES[kind]].tobytes()
+def unpack_sorted(data: bytes) -> np.ndarray:
+    if not data:
+        return np.zeros(0, np.uint64)
+    width, first = data[0], int.from_bytes(data[1:9], "little")
+    steps = np.zeros(((len(data) - 9) // width, 8), np.uint8)
+    steps[:, :width] = np.frombuffer(data, np.uint8, offset=9).reshape(-1, width)
+    return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64) + np.uint64(first)
 
 
-def _unpack(data: bytes, kind: int, bucket: int, bits: int) -> np.ndarray:
-    n = len(data) // _BYTES[kind]
-    out = np.zeros((n, 8), np.uint8)
-    out[:, : _BYTES[kind]] = np.frombuffer(data, np.uint8).reshape(n, -1)
-    low = out.view("<u8").ravel()
-    return low & np.uint64((1 << (64 - bits)) - 1) | np.uint64(bucket << (64 - bits))
+def pack_counts(n: np.ndarray) -> bytes:
+    """Counts as bytes; those from 255 on follow as eight bytes each. Nothing at all if all are 0."""
+    if not n.any():
+        return b""
+    large = n[n >= 255]
+    return np.minimum(n, 255).astype(np.uint8).tobytes() + large.astype("<u8").tobytes()
 
 
-def _tokens(data: np.ndarray, bounds: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def unpack_counts(data: bytes, n: int) -> np.ndarray:
+    if not data:
+        return np.zeros(n, np.int64)
+    out = np.frombuffer(data, np.uint8, n).astype(np.int64)
+    out[out == 255] = np.frombuffer(data, "<u8", offset=n).astype(np.int64)
+    return out
+
+
+def _tokens(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(words with an end after each text, the token before each, both as a pair, first token of each text), as keys."""
     found = textkit.words(data, bounds, textkit.SPACES)
     n = np.diff(found.first)
@@ -66,130 +91,106 @@ def _tokens(data: np.ndarray, bounds: np.ndarray, bits: int) -> tuple[np.ndarray
     token[place] = found.hash
     before = np.concatenate([[_END], token[:-1]]) if len(token) else token
     pair = textkit.mix(before * np.uint64(0xA0761D6478BD642F) + token * np.uint64(0xE7037ED1A0B428DB))
-    return token & _mask(0, bits), before & _mask(0, bits), pair & _mask(1, bits), first
+    return token, before, pair, first
 
 
-def _requests(bits: int):
-    def ask(kind: int, block: int, keys: np.ndarray, part: np.ndarray):
-        order = np.argsort(keys, kind="stable")
-        keys, part = keys[order], part[order]
-        at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-        held, other = (np.add.reduceat((part == p).astype(np.uint32), at) if len(at) else at for p in (HELD, TEST))
-        total = np.diff(np.concatenate([at, [len(keys)]])).astype(np.uint32)
-        keys = keys[at]
-        bucket = (keys >> np.uint64(64 - bits)).astype(np.int32)
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(keys)]])
-        rows = [(kind, int(bucket[a]), block, _pack(keys[a:b], kind), *((x[a:b]).astype("<u4").tobytes() for x in (total - held - other, held, other))) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 4), strict=True)], names=[x.split()[0] for x in _REQUEST.split(", ")])
+class Block:
+    """All tokens of a block's texts: words, contexts and pairs, with the part of each token's text."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, words, pairs, parts = None, [], [], []
+    def __init__(self, tables: list[pa.RecordBatch]) -> None:
+        parts: list[list[np.ndarray]] = [[], [], [], [], []]
+        for table in tables:
+            part = table["part"].to_numpy()
+            for lo, hi, data, bounds in textkit.text_chunks(table["text"]):
+                *keys, first = _tokens(data, bounds)
+                n = np.diff(first)
+                for own, x in zip(parts, (*keys, np.repeat(part[lo:hi], n), n), strict=True):
+                    own.append(x)
+        self.word, self.before, self.pair, self.part, self.length = (np.concatenate(x) for x in parts)
 
-        def flush():
-            if parts:
-                part = np.concatenate(parts)
-                yield ask(0, now, np.concatenate(words), part)
-                yield ask(1, now, np.concatenate(pairs), part)
-                words.clear(), pairs.clear(), parts.clear()
+    def distinct(self, kind: int) -> tuple[np.ndarray, np.ndarray]:
+        """The block's distinct words or pairs in ascending order, and each token's place among them."""
+        return np.unique(self.pair if kind else self.word, return_inverse=True)
 
-        for batch in batches:
-            block = batch["block"].to_numpy()
-            part = batch["part"].to_numpy()
-            edges = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1, [len(block)]])
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                if a == b:
-                    continue
-                if block[a] != now:
-                    yield from flush()
-                    now = int(block[a])
-                own = part[a:b].astype(np.uint8)
-                for lo, hi, data, bounds in textkit.text_chunks(batch["text"].slice(a, b - a)):
-                    token, _, pair, first = _tokens(data, bounds, bits)
-                    words.append(token)
-                    pairs.append(pair)
-                    parts.append(np.repeat(own[lo:hi], np.diff(first)))
-        yield from flush()
+
+def _requests(bits: int):
+    def ask(block: int, own: Block) -> Iterator[pa.RecordBatch]:
+        for kind in (0, 1):
+            keys, where = own.distinct(kind)
+            main, held, other = (np.bincount(where[chosen], minlength=len(keys)) for chosen in ((own.part != HELD) & (own.part != TEST), own.part == HELD, own.part == TEST))
+            cuts = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+            rows = [(kind, b, block, pack_sorted(keys[x:y]), *(pack_counts(c[x:y]) for c in (main, held, other))) for b, (x, y) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if y > x]
+            yield _rows(rows, _REQUEST)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, tables in _by_block(batches):
+            yield from ask(block, Block(tables))
 
     return count
 
 
-def _answer(bits: int):
-    """All requests of a bucket to replies; a reply without keys carries the bucket's statistics."""
+def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}
+    fields = [x.split() for x in schema.split(", ")]
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, (_, t) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
-    def answer(table: pa.Table) -> pa.Table:
-        kind, bucket = table["kind"][0].as_py(), table["bucket"][0].as_py()
-        blocks = table["block"].to_pylist()
-        keys = [_unpack(k, kind, bucket, bits) for k in table["keys"].to_pylist()]
-        counts = [[np.frombuffer(x, "<u4").astype(np.int64) for x in table[c].to_pylist()] for c in ("main", "held", "other")]
-        every, where = np.unique(np.concatenate(keys), return_inverse=True)
-        main, held, other = (np.bincount(where, np.concatenate(c), len(every)).astype(np.int64) for c in counts)
-        learned = main + held
-        rows, at = [], 0
-        for i, block in enumerate(blocks):
-            own = where[at : at + len(keys[i])]
-            at += len(own)
-            seen = sum(c[i] for c in counts)
-            own = own[~((learned[own] + other[own] == 1) & (seen == 1))]
-            if len(own):
-                rows.append((block, kind, bucket, _pack(every[own], kind), main[own].astype("<u4").tobytes(), held[own].astype("<u4").tobytes()))
-        if kind == 0:
-            stats = np.array([main.sum(), (main > 0).sum(), learned.sum(), (learned > 0).sum()], "<i8")
-            rows.append((-1, kind, bucket, b"", stats.tobytes(), b""))
-        columns = zip(*rows, strict=True) if rows else [[]] * 6
-        return pa.table({n: pa.array(c, t) for (n, t), c in zip((("block", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary()), ("main", pa.binary()), ("held", pa.binary())), columns, strict=True)})
-
-    return answer
-
-
-class Replies:
-    """The totals that one block was answered, by key."""
-
-    def __init__(self, folder: str, block: int, bits: int) -> None:
-        import pyarrow.dataset as ds
-
-        fs, path = filesystem(f"{folder}/block={block}")
-        self.keys, self.main, self.held = [], [], []
-        rows = ds.dataset(path, filesystem=fs, format="parquet").to_table(columns=["kind", "bucket", "keys", "main", "held"]).to_pylist() if fs.get_file_info(path).type.name == "Directory" else []
-        for kind in (0, 1):
-            own = sorted((r for r in rows if r["kind"] == kind), key=lambda r: r["bucket"])
-            keys = np.concatenate([np.zeros(0, np.uint64), *[_unpack(r["keys"], kind, r["bucket"], bits) for r in own]])
-            main, held = (np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(r[c], "<u4").astype(np.int64) for r in own]]) for c in ("main", "held"))
-            order = np.argsort(keys, kind="stable")
-            keys, main, held = keys[order], main[order], held[order]
-            first = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool)
-            self.keys.append(keys[first])
-            self.main.append(main[first])
-            self.held.append(held[first])
-
-    def counts(self, kind: int, keys: np.ndarray, part: np.ndarray, deleted: bool) -> np.ndarray:
-        """Counts in the learning documents, without the held-out ones if ``deleted``. A key without
-        an answer occurs once in all, which is here."""
-        lone = (part != TEST) & ~((part == HELD) & deleted)
-        known = self.keys[kind]
-        if not len(known):
-            return lone.astype(np.int64)
-        slot = np.searchsorted(known, keys)
-        slot[slot == len(known)] = 0
-        total = self.main[kind] if deleted else self.main[kind] + self.held[kind]
-        return np.where(known[slot] == keys, total[slot], lone)
-
-
-def _over_blocks(batches: Iterator[pa.RecordBatch], folder: str, bits: int, deleted: bool):
-    """(batch, first row, first token of each text, counts of word, context and pair), run by run."""
-    now, replies = None, None
+
+def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
+    """The rows of each block; those of held-out documents (odd numbers) stand among those of the others."""
+    open_: dict[int, tuple[int, list[pa.RecordBatch]]] = {}
     for batch in batches:
-        block, part = batch["block"].to_numpy(), batch["part"].to_numpy()
-        edges = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1, [len(block)]])
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            if a == b:
-                continue
-            if block[a] != now:
-                now, replies = int(block[a]), None
-                replies = Replies(folder, now, bits)
-            for lo, hi, data, bounds in textkit.text_chunks(batch["text"].slice(a, b - a)):
-                token, before, pair, first = _tokens(data, bounds, bits)
-                own = np.repeat(part[a + lo : a + hi], np.diff(first))
-                yield batch, a + lo, first, replies.counts(0, token, own, deleted), replies.counts(0, before, own, deleted), replies.counts(1, pair, own, deleted)
+        for b in batch["block"].unique().to_pylist():
+            rows = batch.filter(pc.equal(batch["block"], b))
+            if b & 1 in open_ and open_[b & 1][0] != b:
+                yield open_.pop(b & 1)
+            open_.setdefault(b & 1, (b, []))[1].append(rows)
+    yield from open_.values()
+
+
+def _answer(table: pa.Table) -> pa.Table:
+    """All requests of a bucket to replies. Words' buckets reply to block -1, too: tokens and distinct
+    words, without the held-out documents and with them."""
+    kind, bucket = table["kind"][0].as_py(), table["bucket"][0].as_py()
+    keys = [unpack_sorted(x) for x in table["keys"].to_pylist()]
+    sizes = [len(x) for x in keys]
+    every, where = np.unique(np.concatenate(keys), return_inverse=True)
+    total = []
+    for column in ("main", "held"):
+        own = np.concatenate([unpack_counts(x, n) for x, n in zip(table[column].to_pylist(), sizes, strict=True)])
+        total.append(np.bincount(where, own, len(every)).astype(np.int64))  # sums are exact up to 2^53
+    main, held = total
+    bounds = np.concatenate([[0], np.cumsum(sizes)]).tolist()
+    rows = [(kind, bucket, block, pack_counts(main[where[a:b]]), pack_counts(held[where[a:b]])) for block, a, b in zip(table["block"].to_pylist(), bounds[:-1], bounds[1:], strict=True)]
+    if kind == 0:
+        learned = main + held
+        rows.append((kind, bucket, -1, np.array([main.sum(), (main > 0).sum(), learned.sum(), (learned > 0).sum()], "<i8").tobytes(), b""))
+    return pa.Table.from_batches([_rows(rows, _REPLY)])
+
+
+def _totals_of(own: Block, replies: pa.Table, bits: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For words and pairs: each token's place among the distinct ones, and their counts in ``main`` and ``held``."""
+    rows = {(r["kind"], r["bucket"]): (r["main"], r["held"]) for r in replies.to_pylist()}
+    out = []
+    for kind in (0, 1):
+        keys, where = own.distinct(kind)
+        cuts = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64)).tolist()
+        said = [[unpack_counts(rows[kind, b][k], y - x) for b, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if y > x] for k in (0, 1)]
+        out.append((where, *(np.concatenate(x) for x in said)))
+    return out
+
+
+def _counted(table: pa.Table, replies: pa.Table, bits: int, deleted: bool) -> tuple[Block, np.ndarray, np.ndarray, np.ndarray]:
+    """A block, and for each of its tokens the counts of word, context and pair, without the held-out
+    documents if ``deleted``. Every context but that of a block's first token is a word of the block."""
+    own = Block(table.to_batches())
+    (word_at, *word_n), (pair_at, *pair_n) = _totals_of(own, replies, bits)
+    counts = [main if deleted else main + held for main, held in (word_n, pair_n)]
+    word, pair = counts[0][word_at], counts[1][pair_at]
+    # Each text ends with the end, so the token before any text's first is an end, too.
+    end = word[own.length.cumsum() - 1]
+    context = np.concatenate([end[:1], word[:-1]])
+    return own, word, context, pair
 
 
 def context_bucket(count: np.ndarray) -> np.ndarray:
@@ -203,16 +204,14 @@ def _cell(p: np.ndarray) -> np.ndarray:
     return np.where(p > 0, 1 + np.clip(np.round((level + DECADES) * CELLS), 0, DECADES * CELLS), 0).astype(np.int64)
 
 
-def _statistics(folder: str, bits: int, n: int):
+def _statistics(bits: int, n: int):
     side = DECADES * CELLS + 2
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((MOST_BUCKET + 1) * side * side, np.int64)
-        for _, _, _, word, context, pair in _over_blocks(batches, folder, bits, deleted=True):
-            cell = (context_bucket(context) * side + _cell(pair / np.maximum(context, 1))) * side + _cell(word / max(n, 1))
-            total += np.bincount(cell, minlength=len(total))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"cell": pa.array(at, pa.int64()), "n": pa.array(total[at], pa.int64())})
+    def gather(texts: pa.Table, replies: pa.Table) -> pa.Table:
+        own, word, context, pair = _counted(texts, replies, bits, deleted=True)
+        cell = (context_bucket(context) * side + _cell(pair / np.maximum(context, 1))) * side + _cell(word / max(n, 1))
+        at, total = np.unique(cell, return_counts=True)
+        return pa.table({"cell": pa.array(at, pa.int64()), "n": pa.array(total, pa.int64())})
 
     return gather
 
@@ -235,52 +234,72 @@ def fit_weights(cells: np.ndarray, n: np.ndarray, uniform: float) -> np.ndarray:
     return weights
 
 
-def score(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+def file_blocks(docs: DataFrame, key: str) -> DataFrame:
+    """(key, part, text, block), written: blocks are runs of a partition's rows of about BLOCK_BYTES,
+    those of held-out documents (with odd numbers) apart from the others."""
+    kind = dict(docs.dtypes)[key]
+    filed = docs.select(F.col(key).alias("key"), remainder(F.col(key), FOLDS).cast("int").alias("part"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        base, held = TaskContext.get().partitionId() << 32, [0, 0]
+        for batch in batches:
+            size = pc.binary_length(batch["text"]).to_numpy().astype(np.int64) + 1
+            apart = batch["part"].to_numpy() == HELD
+            block = np.zeros(len(size), np.int64)
+            for k, chosen in enumerate((~apart, apart)):
+                upto = held[k] + np.cumsum(size[chosen])
+                block[chosen] = 2 * (base + upto // BLOCK_BYTES) + k
+                held[k] = int(upto[-1]) if len(upto) else held[k]
+            yield batch.append_column("block", pa.array(block))
+
+    return spool(filed.mapInArrow(number, f"key {kind}, part int, text string, block bigint"), "blocks", TEXT_ROWS)
+
+
+def score(docs: DataFrame, key: str = "doc_id", fitted: dict | None = None) -> DataFrame:
     """(key, part, n_tokens, n_known, train_tokens, base_score, score) for every row.
 
     Tokens: words between white space, A-Z in lower case, and one end a text. Null and empty texts are
-    the end alone. ``base_score`` is the add-0.1 unigram log10 probability, ``score`` the mixture's.
-    Documents whose crc32 of the key is 0 modulo 10 teach nothing; a null key counts as empty text.
-    With nothing to learn from, all counts are 0. Repeated rows count and are scored each for itself.
+    the end alone; long texts are scored whole. ``base_score`` is the add-0.1 unigram log10
+    probability, ``score`` the mixture's. Documents whose crc32 of the key is 0 modulo 10 teach
+    nothing; a null key counts as empty text. With nothing to learn from, all counts are 0. Repeated
+    rows count and are scored each for itself; an empty table gives an empty one. Other columns are
+    left aside. ``fitted``, if given, gets the mixture's weights and the training totals.
     """
     spark = docs.sparkSession
-    place = F.monotonically_increasing_id()
-    filed = docs.select(F.col(key).alias("key"), remainder(F.col(key), FOLDS).cast("int").alias("part"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), place.alias("place"))
-    filed = filed.withColumn("block", F.shiftright("place", 33) * 1_000_000 + F.floor(F.col("place").bitwiseAND((1 << 33) - 1) / BLOCK_ROWS)).drop("place")
-    at = new_path(spark, "blocks")
-    filed.write.option("compression", "zstd").parquet(at)
-    blocks = spark.read.schema(filed.schema).parquet(at)
-    n_blocks = blocks.select("block").distinct().count()
-    bits = int(np.clip(np.ceil(np.log2(max(n_blocks, 1))) + 2, 8, 16))
-    folder = new_path(spark, "replies")
+    blocks = file_blocks(docs.select(key, "text"), key)
+    n_blocks = blocks.agg(F.count_distinct("block")).first()[0]
+    bits = int(np.clip(np.ceil(np.log2(max(n_blocks, 1))), *BITS))
     requests = blocks.select("block", "part", "text").mapInArrow(_requests(bits), _REQUEST)
-    answers = requests.groupBy("kind", "bucket").applyInArrow(_answer(bits), _REPLY)
-    answers.repartition("block").write.partitionBy("block").option("compression", "zstd").parquet(folder)
-    n_main, v_main, n, v = _totals(spark, folder)
-    held = blocks.filter(F.col("part") == HELD).select("block", "part", "text").mapInArrow(_statistics(folder, bits, n_main), "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    replies = spool(requests.groupBy("kind", "bucket").applyInArrow(_answer, _REPLY), "replies", TEXT_ROWS)
+    sums = np.zeros(4, np.int64)
+    for row in replies.filter("block = -1").select("main").toLocalIterator():
+        sums = sums + np.frombuffer(row["main"], "<i8")
+    n_main, v_main, n, v = (int(x) for x in sums)
+    asked = replies.filter("block >= 0")
+    odd = F.col("block").bitwiseAND(1) == 1
+    apart = blocks.filter(odd).select("block", "part", "text").groupBy("block").cogroup(asked.filter(odd).groupBy("block"))
+    held = apart.applyInArrow(_statistics(bits, n_main), "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     weights = fit_weights(held["cell"].to_numpy(np.int64), held["n"].to_numpy(np.float64), 1 / (v_main + 1))
-
-    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, row, first, word, context, pair in _over_blocks(batches, folder, bits, deleted=False):
-            with np.errstate(divide="ignore"):
-                base = np.log10((word + PSEUDO_COUNT) / (n + PSEUDO_COUNT * (v + 1)))
-                w = weights[context_bucket(context)]
-                model = np.log10(w[:, 0] * pair / np.maximum(context, 1) + w[:, 1] * word / max(n, 1) + w[:, 2] / (v + 1))
-            add = lambda x: np.add.reduceat(x, first[:-1])  # noqa: E731  every text has its end
-            rows = batch.slice(row, len(first) - 1)
-            yield pa.RecordBatch.from_pydict({"key": rows["key"], "part": rows["part"], "n_tokens": pa.array(np.diff(first)), "n_known": pa.array(add((word > 0).astype(np.int64))), "base_score": pa.array(add(base)), "score": pa.array(add(model))})
+    if fitted is not None:
+        fitted.update(weights=weights, tokens=n, distinct=v)
+
+    def rate(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        own, word, context, pair = _counted(texts, answers, bits, deleted=False)
+        base = np.log10((word + PSEUDO_COUNT) / (n + PSEUDO_COUNT * (v + 1)))
+        w = weights[context_bucket(context)]
+        model = np.log10(w[:, 0] * pair / np.maximum(context, 1) + w[:, 1] * word / max(n, 1) + w[:, 2] / (v + 1))
+        first = own.length.cumsum() - own.length
+        add = lambda x: pa.array(np.add.reduceat(x, first))  # noqa: E731  every text has its end
+        return pa.table({"key": texts["key"], "part": texts["part"], "n_tokens": pa.array(own.length, pa.int64()), "n_known": add((word > 0).astype(np.int64)), "base_score": add(base), "score": add(model)})
 
     kind = dict(docs.dtypes)[key]
-    rated = blocks.select("block", "part", "text", "key").mapInArrow(rate, f"key {kind}, part int, n_tokens bigint, n_known bigint, base_score double, score double")
+    rated = spool(blocks.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(rate, f"key {kind}, part int, n_tokens bigint, n_known bigint, base_score double, score double"), "rated")
+    discard(blocks, replies)
     return rated.select(F.col("key").alias(key), "part", "n_tokens", "n_known", F.lit(n).cast("bigint").alias("train_tokens"), "base_score", "score")
 
 
-def _totals(spark, folder: str) -> tuple[int, int, int, int]:
-    """Tokens and distinct words, without the held-out documents and with them: a row a bucket."""
-    rows = spark.read.schema("block bigint, main binary").parquet(folder).filter("block = -1").select("main").collect()
-    return tuple(int(x) for x in sum((np.frombuffer(r["main"], "<i8") for r in rows), np.zeros(4, np.int64)))
-
-
 def op2_score(spark, sf_dir: str) -> DataFrame:
     found = score(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", (F.col("part") == TEST).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
