@@ -67,6 +67,24 @@ def free(name: str, *tables: DataFrame) -> str:
     return name
 
 
+#: Rows of a small table that may be broadcast, counted before it is; beyond, the join is salted.
+BROADCAST_ROWS = 500_000
+SALTS = 16
+
+
+def join_few(rows: DataFrame, few: DataFrame, key: str, spread: Column) -> DataFrame:
+    """Left join of ``few`` (one row a key, as ``key`` in both) whatever share of ``rows`` one key holds.
+
+    A counted small table is broadcast, so that ``rows`` stay where they are. A larger one is repeated
+    ``SALTS`` times and met by the rows' salts, which ``spread`` (a column of ``rows``) decides.
+    """
+    if few.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(few), key, "left")
+    salt = free("salt", rows, few)
+    salted = few.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn(salt, F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(salted, [key, salt], "left").drop(salt)
+
+
 def remainder(key: Column, modulus: int) -> Column:
     """crc32 of the key's decimal text, modulo ``modulus``; a null key counts as the empty text."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % F.lit(modulus)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.llm import textkit
-from quadrille.llm.common import spool
+from quadrille.llm.common import free, spool
 
 #: Most bytes of benchmark text in one broadcast.
 BLOCK_BYTES = 16 << 20
@@ -25,25 +25,27 @@ _RESULT = "n_words bigint, n_hit bigint, items array<string>, spans array<struct
 
 
 class WindowSet:
-    """All windows of some benchmark items: hash to the windows that have it, for verification."""
+    """All windows of some benchmark items: sorted hashes with the words they stand for, for verification."""
 
     def __init__(self, items: list[tuple[str, str]], n: int) -> None:
         self.names = [name for name, _ in items]
-        self.lengths: dict[int, tuple[np.ndarray, list[tuple[int, int]]]] = {}
-        self.words: list[list[bytes]] = []
-        by_length: dict[int, tuple[list[int], list[tuple[int, int]]]] = {}
-        for i, (_, text) in enumerate(items):
-            data = np.frombuffer((text or "").encode(), np.uint8)
-            found = textkit.words(data, np.array([0, len(data)]), textkit.NON_ALNUM)
-            self.words.append([bytes(data[s:e]).lower() for s, e in zip(found.start, found.end, strict=True)])
-            if size := min(n, len(found.hash)):
-                hashes, at, _ = textkit.windows(found, size)
-                own = by_length.setdefault(size, ([], []))
-                own[0].extend(hashes.tolist())
-                own[1].extend((i, int(x)) for x in at)
-        for size, (hashes, places) in by_length.items():
-            order = np.argsort(np.array(hashes, np.uint64), kind="stable")
-            self.lengths[size] = np.array(hashes, np.uint64)[order], [places[k] for k in order]
+        raw = [(text or "").encode() for _, text in items]
+        data, bounds = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+        found = textkit.words(data, bounds, textkit.NON_ALNUM)
+        self.text, self.start, self.end = textkit.lower(data), found.start, found.end
+        #: By window length: hashes in ascending order, with each window's item and first word.
+        self.lengths: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        sizes = np.minimum(np.diff(found.first), n)
+        for size in np.unique(sizes[sizes > 0]).tolist():
+            hashes, at, first = textkit.windows(found, size)
+            item = np.repeat(np.arange(len(items)), np.diff(first))
+            own = np.flatnonzero(sizes[item] == size)
+            own = own[np.lexsort((item[own], hashes[own]))]
+            own = own[np.concatenate([[True], (np.diff(hashes[own]) > 0) | (np.diff(item[own]) > 0)])]  # a window an item once
+            self.lengths[size] = hashes[own], item[own].astype(np.int32), at[own].astype(np.int64)
+
+    def _said(self, at: int, size: int) -> list[bytes]:
+        return [self.text[s:e].tobytes() for s, e in zip(self.start[at : at + size], self.end[at : at + size], strict=True)]
 
     def scan(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, dict[int, set[str]], dict[int, np.ndarray], textkit.Words]:
         """Words a text, items hit by text, and the hit words of each text that has any."""
@@ -51,21 +53,21 @@ class WindowSet:
         per_text = np.diff(found.first)
         items: dict[int, set[str]] = {}
         marks: dict[int, np.ndarray] = {}
-        for size, (known, places) in self.lengths.items():
-            hashes, at, _ = textkit.windows(found, size)
+        for size, (known, item, place) in self.lengths.items():
+            hashes, at, first_of = textkit.windows(found, size)
             slot = np.searchsorted(known, hashes)
             slot[slot == len(known)] = 0
-            for k in np.flatnonzero(known[slot] == hashes):
+            hits = np.flatnonzero(known[slot] == hashes)
+            texts = np.searchsorted(first_of, hits, "right") - 1
+            for k, text in zip(hits.tolist(), texts.tolist(), strict=True):
                 first = int(at[k])
-                text = int(np.searchsorted(found.first, first, "right")) - 1
                 if first + size > found.first[text + 1]:
                     continue
-                said = [bytes(data[s:e]).lower() for s, e in zip(found.start[first : first + size], found.end[first : first + size], strict=True)]
+                said = [textkit.lower(data[s:e]).tobytes() for s, e in zip(found.start[first : first + size], found.end[first : first + size], strict=True)]
                 j = int(slot[k])
                 while j < len(known) and known[j] == hashes[k]:
-                    item, place = places[j]
-                    if self.words[item][place : place + size] == said:
-                        items.setdefault(text, set()).add(self.names[item])
+                    if self._said(int(place[j]), size) == said:
+                        items.setdefault(text, set()).add(self.names[item[j]])
                         if text not in marks:
                             marks[text] = np.zeros(per_text[text], bool)
                         marks[text][first - found.first[text] : first - found.first[text] + size] = True
@@ -122,14 +124,15 @@ def find(docs: DataFrame, benchmark: DataFrame, n: int = 10, into: str = "leak")
     Words: runs of characters that are not ASCII, or ASCII letters or digits, A-Z in lower case. An
     item of fewer than ``n`` words, but not none, is one window. Null and empty texts have no words,
     items with a null id or text no windows; an empty benchmark hits nothing. Repeated rows are
-    treated alike, each for itself. A column of ``docs`` named ``into`` is replaced.
+    treated alike, each for itself. Long texts are scanned whole. An empty table gives an empty one. A
+    column of ``docs`` named ``into`` is replaced, all others are kept.
     """
     spark = docs.sparkSession
     out, parts = docs, []
     for items in _blocks(benchmark):
         if parts:
             out = spool(out, "leak")
-        name = f"__leak_{len(parts)}"
+        name = free(f"leak_{len(parts)}", out)
         parts.append(name)
         out = out.withColumn(name, _scanner(spark.sparkContext.broadcast(WindowSet(items, n)))(F.col("text").cast("string")))
     if len(parts) == 1:
@@ -166,7 +169,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, n: int = 10, mode: str = "docu
 
     The columns of ``docs`` are kept as they are; clean documents, null and empty texts stay.
     """
-    leak = "__leak"
+    leak = free("leak", docs)
     found = find(docs, benchmark, n, leak)
     if mode == "documents":
         return found.filter(F.col(leak)["n_hit"] == 0).select(*docs.columns)

@@ -1,33 +1,36 @@
 """Embedding near-duplicates (operator 5) by an inverted multi-index.
 
 Unit vectors are cut in halves; each half has a codebook of its own, fitted on a bounded sample. The
-pairs of codewords form a grid of cells, and every vector is filed in one. A query walks the cells in
-order of their distance bound, the sum of both halves' bounds, and stops where the bound passes the
-distance that the wanted cosine allows. As that bound is the distance to the Voronoi cell's face, no
-link can be in a cell beyond: recall is 1, and ``slack`` below 1 would trade it for fewer cells.
-Members of visited cells are compared in double precision.
-
-Only vectors of one length can link, so each length present has codebooks and a grid of its own.
+pairs of codewords form a grid of cells, and every vector is filed in one. A query visits cells by
+multi-sequence traversal: both halves' codewords are sorted by how near their Voronoi cells are, and a
+heap over pairs of positions yields cells in order of the summed bounds. It stops where the sum passes
+``slack`` times the distance that the wanted cosine allows. With ``slack`` 1 no link can be in a cell
+beyond, so the recall is 1; a smaller ``slack`` visits fewer cells, and ``recall`` measures by brute
+force what it loses.
+
+A link's two cells each see the other, so a query visits only cells that don't come before its own.
+Members of visited cells are compared in double precision. Only vectors of one length can link, so each
+length present has codebooks and a grid of its own.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import read, spool
+from quadrille.llm.common import join_few, read, spool
 from quadrille.llm.components import components
 
 #: Vectors that all codebooks are fitted on, at most; all vectors are indexed and compared.
 SAMPLE = 20_000
-#: Vectors of one label that share a cell, about; the codebooks' size follows from it.
-CELL_ROWS = 24
-MOST_WORDS = 64
+#: Vectors of one label that share a cell, about; the codebooks' size follows from it, and grows with
+#: the rows as long as the sample has this many vectors for each word.
+CELL_ROWS, WORD_ROWS = 24, 10
 #: Members of a cell that one group compares; fuller cells are cut into slices.
 SLICE = 4096
 #: Queries that one group compares with a slice.
@@ -41,7 +44,7 @@ def codebook(points: np.ndarray, k: int, seed: int, rounds: int = 12) -> np.ndar
     draw = np.random.default_rng(seed)
     words = points[draw.choice(len(points), min(k, len(points)), replace=False)]
     for _ in range(rounds):
-        near = ((points**2).sum(1)[:, None] - 2 * points @ words.T + (words**2).sum(1)).argmin(1)
+        near = np.concatenate([_square_distances(points[lo : lo + 1000], words).argmin(1) for lo in range(0, len(points), 1000)])
         sums = np.zeros_like(words)
         np.add.at(sums, near, points)
         n = np.bincount(near, minlength=len(words))
@@ -92,14 +95,30 @@ def _books(unit: DataFrame, sizes: list) -> dict[int, tuple[np.ndarray, np.ndarr
     for r in sizes:
         width = r["width"]
         points = np.stack(drawn.get(width, [np.zeros(width)]))
-        words = int(np.clip(np.sqrt(r["n"] / r["labels"] / CELL_ROWS), 1, MOST_WORDS))
+        words = int(np.clip(np.sqrt(r["n"] / r["labels"] / CELL_ROWS), 1, max(1, len(points) // WORD_ROWS)))
         half = max(1, width // 2)
         books[width] = codebook(points[:, :half], words, SEED), codebook(points[:, half:], words, SEED + 1)
     return books
 
 
+def traverse(left: np.ndarray, right: np.ndarray, most: float) -> Iterator[tuple[int, int]]:
+    """Pairs (i, j) in order of left[i] + right[j], up to ``most``: the multi-sequence algorithm."""
+    by_left, by_right = np.argsort(left, kind="stable").tolist(), np.argsort(right, kind="stable").tolist()
+    x, y = left[by_left].tolist(), right[by_right].tolist()
+    heap = [(x[0] + y[0], 0, 0)]
+    while heap:
+        bound, i, j = heapq.heappop(heap)
+        if bound > most:
+            return
+        yield by_left[i], by_right[j]
+        if j + 1 < len(y):
+            heapq.heappush(heap, (x[i] + y[j + 1], i, j + 1))
+        if j == 0 and i + 1 < len(x):
+            heapq.heappush(heap, (x[i + 1] + y[0], i + 1, 0))
+
+
 def _index(rows: DataFrame, books: dict[int, tuple[np.ndarray, np.ndarray]], radius2: float) -> DataFrame:
-    """Every vector filed under its length's cell and sent as a query to all cells within its bound."""
+    """Every vector filed under its length's cell, and sent as a query to the cells it visits."""
     shared = rows.sparkSession.sparkContext.broadcast(books)
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,28 +131,27 @@ def _index(rows: DataFrame, books: dict[int, tuple[np.ndarray, np.ndarray]], rad
             own = _own(da) * len(right) + _own(db)
             la, lb = _bounds(da, left), _bounds(db, right)
             rows_, cells = [], []
-            for i in range(len(points)):
-                ca, cb = np.flatnonzero(la[i] <= radius2), np.flatnonzero(lb[i] <= radius2)
-                sums = la[i][ca][:, None] + lb[i][cb]
-                x, y = np.nonzero(sums <= radius2)
-                walk = np.argsort(sums[x, y], kind="stable")
-                cells.append(ca[x[walk]] * len(right) + cb[y[walk]])
-                rows_.append(np.full(len(walk), i))
-            at = np.concatenate([np.arange(len(points)), *rows_])
+            for i, home in enumerate(own.tolist()):
+                visited = [c for x, y in traverse(la[i], lb[i], radius2) if (c := x * len(right) + y) >= home]
+                cells += visited
+                rows_ += [i] * len(visited)
+            at = np.concatenate([np.arange(len(points)), np.array(rows_, np.int64)])
             member = np.arange(len(at)) < len(points)
             out = batch.select(["label", "width", "first", "copies", "v"]).take(pa.array(at))
-            yield out.append_column("cell", pa.array(np.concatenate([own, *cells]), pa.int64())).append_column("member", pa.array(member))
+            yield out.append_column("cell", pa.array(np.concatenate([own, np.array(cells, np.int64)]), pa.int64())).append_column("home", pa.array(np.concatenate([own, own[np.array(rows_, np.int64)]]), pa.int64())).append_column("member", pa.array(member))
 
-    return rows.mapInArrow(file, "label int, width int, first bigint, copies bigint, v array<double>, cell bigint, member boolean")
+    kind = dict(rows.dtypes)["label"]
+    return rows.mapInArrow(file, f"label {kind}, width int, first bigint, copies bigint, v array<double>, cell bigint, home bigint, member boolean")
 
 
 def _by_width(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches' rows, those of each length apart."""
+    """The batches' rows in runs, those of each length apart."""
     for batch in batches:
         widths = batch["width"].to_numpy()
         for width in np.unique(widths):
             at = np.flatnonzero(widths == width)
-            yield batch if len(at) == len(batch) else batch.take(pa.array(at))
+            for lo in range(0, len(at), 1000):  # each row comes out once for each cell it visits
+                yield batch.take(pa.array(at[lo : lo + 1000]))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -142,10 +160,14 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _compare(least: float):
+    """Links of a group's queries with its members. Both ends get their counts; within the queries' own
+    cell both are queries, so a pair is seen from either side and counts for the query alone."""
+
     def compare(table: pa.Table) -> pa.Table:
         member = table["member"].to_numpy()
         v = _matrix(table["v"].combine_chunks())
-        first, copies = table["first"].to_numpy(), table["copies"].to_numpy()
+        first, copies, home = table["first"].to_numpy(), table["copies"].to_numpy(), table["home"].to_numpy()
+        cell = table["cell"].to_numpy()
         members, queries = np.flatnonzero(member), np.flatnonzero(~member)
         norm = np.sqrt((v * v).sum(1))
         n_links = np.zeros(len(v), np.int64)
@@ -162,6 +184,8 @@ def _compare(least: float):
             linked = (v[q] @ v[members].T) / (norm[q][:, None] * norm[members]) >= least
             linked &= first[q][:, None] != first[members]
             n_links[q] += linked @ copies[members]
+            away = home[q] != cell[q]
+            n_links[members] += copies[q[away]] @ linked[away]
             for i in np.flatnonzero(linked.any(1)):
                 a = root(int(first[q[i]]))
                 for m in first[members[linked[i]]].tolist():
@@ -170,10 +194,11 @@ def _compare(least: float):
                         a, b = min(a, b), max(a, b)
                         hub[b] = a
         nodes = sorted(hub)
+        counted = np.flatnonzero(n_links)
         return pa.table({
-            "first": pa.array(np.concatenate([first[queries], np.array(nodes, np.int64)])),
-            "n_links": pa.array(np.concatenate([n_links[queries], np.zeros(len(nodes), np.int64)])),
-            "root": pa.array([None] * len(queries) + [root(x) for x in nodes], pa.int64()),
+            "first": pa.array(np.concatenate([first[counted], np.array(nodes, np.int64)])),
+            "n_links": pa.array(np.concatenate([n_links[counted], np.zeros(len(nodes), np.int64)])),
+            "root": pa.array([None] * len(counted) + [root(x) for x in nodes], pa.int64()),
         })
 
     return compare
@@ -182,36 +207,72 @@ def _compare(least: float):
 def links(vectors: DataFrame, least: float = 0.98, slack: float = 1.0) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of ``vectors``.
 
-    Rows link when their labels are equal and not null, their vectors have one length and their
-    cosine is at least ``least``. Exact copies are compared once for all; a row's other rows with the
-    same id and vector count as its links. Rows with a null id have no links and a null component. An
-    empty table gives an empty one.
+    Rows link when their labels (of any type) are equal and not null, their vectors have one length
+    and their cosine is at least ``least``. Exact copies are compared once for all; a row's other rows
+    with the same id and vector count as its links. Rows with a null id have no links and a null
+    component. Vectors that are null, empty, zero or hold null or non-finite components link with
+    nothing. Other columns are left aside; an empty table gives an empty one.
     """
     rows = spool(valid(vectors), "vectors").withColumn("width", F.size("v"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
     unit = rows.withColumn("v", F.transform("v", lambda x: x / norm))
     sizes = rows.groupBy("width").agg(F.count("*").alias("n"), F.countDistinct("label").alias("labels")).collect()
     if sizes:
-        books = _books(unit, sizes)
-        radius2 = (2 - 2 * least) * slack**2 + 1e-9
-        filed = spool(_index(unit, books, radius2), "multi-index")
-        counts = filed.groupBy("label", "width", "cell").agg(F.sum(F.col("member").cast("bigint")).alias("m"), F.sum((~F.col("member")).cast("bigint")).alias("q")).withColumn("slices", F.ceil(F.col("m") / SLICE)).withColumn("batches", F.ceil(F.col("q") / BATCH)).filter("m > 0 and q > 1")
-        cut = filed.join(counts.select("label", "width", "cell", "slices", "batches"), ["label", "width", "cell"])
-        mark = F.xxhash64(F.lit(SEED), "first")
-        own_slice, own_batch = F.pmod(mark, F.col("slices")).cast("int"), F.pmod(mark, F.col("batches")).cast("int")
-        dealt = cut.withColumn("at", F.explode(F.when(F.col("member"), F.transform(F.sequence(F.lit(0), (F.col("batches") - 1).cast("int")), lambda b: F.struct(own_slice.alias("slice"), b.alias("batch")))).otherwise(F.transform(F.sequence(F.lit(0), (F.col("slices") - 1).cast("int")), lambda s: F.struct(s.alias("slice"), own_batch.alias("batch"))))))
-        compared = dealt.select("label", "width", "cell", F.col("at.slice").alias("slice"), F.col("at.batch").alias("batch"), "first", "copies", "v", "member").groupBy("label", "width", "cell", "slice", "batch").applyInArrow(_compare(least), "first bigint, n_links bigint, root bigint")
-        found = spool(compared, "vector-links")
+        found = _found(unit, sizes, least, slack)
         other = found.groupBy("first").agg(F.sum("n_links").alias("n_links"))
         joined = components(found.filter("root is not null").select(F.col("first").alias("a"), F.col("root").alias("b")))
-        classes = rows.join(other, "first", "left").join(joined, rows["first"] == joined["node"], "left").select("label", "v", (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "first").alias("component_id"))
+        classes = rows.join(other, "first", "left").join(joined, rows["first"] == joined["node"], "left")
     else:
-        classes = rows.select("label", "v", F.lit(0).cast("bigint").alias("n_links"), F.col("first").alias("component_id"))
-    every = vectors.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
-    # A vector that can't link may still equal one that can only in part, so ids decide, too.
-    full = every.join(classes.withColumnRenamed("label", "__label").withColumnRenamed("v", "__v"), (F.col("label") == F.col("__label")) & (F.col("v") == F.col("__v")) & F.col("vec_id").isNotNull(), "left")
-    component = F.when(F.col("vec_id").isNotNull(), F.coalesce("component_id", "vec_id")).cast("bigint")
-    return full.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+        classes = rows.withColumns({"n_links": F.lit(0), "component": F.lit(None).cast("bigint")})
+    classes = classes.select("first", "copies", "label", "v", (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "first").alias("component_id"))
+    # Only rows that something links are looked up, copies by their vector and others by their id.
+    named = spool(classes.filter("n_links > 0"), "vector-classes")
+    at = F.struct("label", F.col("embedding").cast("array<double>").alias("v"))
+    every = vectors.select("vec_id", at.alias("at")).withColumn("mark", F.when(F.col("vec_id").isNotNull(), _mark("at.label", "at.v")))
+    few = named.groupBy(_mark("label", "v").alias("mark")).agg(F.collect_list(F.struct("label", "v", "n_links", "component_id")).alias("found"))
+    met = join_few(every, few, "mark", F.col("vec_id"))
+    own = F.get(F.filter("found", lambda x: (x["label"] == F.col("at.label")) & (x["v"] == F.col("at.v"))), 0)
+    full = met.select("vec_id", own.alias("own"))
+    component = F.when(F.col("vec_id").isNotNull(), F.coalesce("own.component_id", "vec_id")).cast("bigint")
+    return full.select("vec_id", F.coalesce("own.n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+
+
+def _mark(label: str, v: str) -> Column:
+    """Equal vectors of a label have equal marks, and -0 is 0."""
+    return F.xxhash64(F.col(label), F.transform(v, lambda x: x + F.lit(0.0)))
+
+
+def _found(unit: DataFrame, sizes: list, least: float, slack: float) -> DataFrame:
+    """(first, n_links, root): what each group of queries and members found."""
+    radius2 = (2 - 2 * least) * slack**2 + 1e-9
+    filed = spool(_index(unit, _books(unit, sizes), radius2), "multi-index")
+    cell = ["label", "width", "cell"]
+    counts = filed.groupBy(*cell).agg(F.count_if("member").alias("m"), F.count_if(~F.col("member")).alias("q")).withColumns({"slices": F.ceil(F.col("m") / SLICE), "batches": F.ceil(F.col("q") / BATCH)}).filter("m > 0 and q > 0")
+    cut = filed.join(counts.select(*cell, "slices", "batches"), cell)
+    mark = F.xxhash64(F.lit(SEED), "first")
+    own_slice, own_batch = F.pmod(mark, F.col("slices")).cast("int"), F.pmod(mark, F.col("batches")).cast("int")
+    # A member meets every batch of queries, a query every slice of members.
+    to_batches = F.transform(F.sequence(F.lit(0), (F.col("batches") - 1).cast("int")), lambda b: F.struct(own_slice.alias("slice"), b.alias("batch")))
+    to_slices = F.transform(F.sequence(F.lit(0), (F.col("slices") - 1).cast("int")), lambda s: F.struct(s.alias("slice"), own_batch.alias("batch")))
+    dealt = cut.withColumn("at", F.explode(F.when(F.col("member"), to_batches).otherwise(to_slices)))
+    groups = dealt.select(*cell, F.col("at.slice").alias("slice"), F.col("at.batch").alias("batch"), "first", "copies", "v", "home", "member").groupBy(*cell, "slice", "batch")
+    return spool(groups.applyInArrow(_compare(least), "first bigint, n_links bigint, root bigint"), "vector-links")
+
+
+def recall(vectors: DataFrame, least: float = 0.98, slack: float = 1.0, every: int = 50) -> DataFrame:
+    """(links, found): of the rows whose id is divisible by ``every``, links by brute force and by the index.
+
+    The queries are compared with all rows of their label; this is a measure, not a step of the work.
+    """
+    v = F.col("embedding").cast("array<double>")
+    sound = F.col("label").isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x))
+    rows = vectors.filter(F.coalesce(sound, F.lit(False))).select("vec_id", "label", v.alias("v")).withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).filter("norm > 0")
+    asked = rows.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("q"), "label", F.col("v").alias("w"), F.col("norm").alias("norm_w"))
+    dot = F.aggregate(F.zip_with("v", "w", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    linked = rows.join(asked, "label").filter((F.size("v") == F.size("w")) & (F.col("q") != F.col("vec_id")) & (dot / (F.col("norm") * F.col("norm_w")) >= least))
+    true = linked.groupBy("q").count()
+    own = links(vectors, least, slack).filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("q"), "n_links")
+    return own.join(true, "q", "left").agg(F.coalesce(F.sum("count"), F.lit(0)).alias("links"), F.coalesce(F.sum("n_links"), F.lit(0)).alias("found"))
 
 
 def op5_embedding_links(spark, sf_dir: str) -> DataFrame:

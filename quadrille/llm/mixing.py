@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import read, spool
+from quadrille.llm.common import free, read, spool
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -109,14 +109,18 @@ def mix(docs: DataFrame, key: str = "doc_id", weights: tuple[float, ...] = WEIGH
 
     A null source is a source of its own. Null and empty texts have no words: their rate is 1 or
     ``most`` and they add nothing to any target. Equal rows share a mark, and so their number of
-    copies. Columns of ``docs`` whose names start with two underscores are kept, too.
+    copies; long texts are counted whole. All columns of ``docs`` are kept, whatever their names. An
+    empty table gives an empty one.
     """
     _, sources = plan(docs, key, weights, share, most)
-    few = sources.select(F.col("source").alias("__source"), F.col("mean_size").alias("__mean"), F.col("lam").alias("__lam"), F.col("shift").alias("__shift"))
-    marked = docs.join(few, docs["source"].cast("string").eqNullSafe(few["__source"]))
-    v = F.pmod(document_mark(F.col(key), F.col("text")) + F.col("__shift"), F.lit(1.0))
-    taken = F.least(F.floor(rate(word_count(F.col("text")), F.col("__lam"), F.col("__mean"), most) + v), F.lit(int(most))).cast("int")
-    return marked.withColumn("__copies", taken).filter("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[F.col(c) for c in docs.columns])
+    named = {c: free(f"mix_{c}", docs) for c in ("source", "mean_size", "lam", "shift", "copies", "copy")}
+    few = sources.select(*[F.col(c).alias(named[c]) for c in ("source", "mean_size", "lam", "shift")])
+    marked = docs.join(few, F.col("source").cast("string").eqNullSafe(F.col(named["source"])))
+    v = F.pmod(document_mark(F.col(key), F.col("text")) + F.col(named["shift"]), F.lit(1.0))
+    r = rate(word_count(F.col("text")), F.col(named["lam"]), F.col(named["mean_size"]), most)
+    taken = F.least(F.floor(r + v), F.lit(int(most))).cast("int")
+    repeated = marked.withColumn(named["copies"], taken).filter(F.col(named["copies"]) > 0).withColumn(named["copy"], F.explode(F.sequence(F.lit(1), F.col(named["copies"]))))
+    return repeated.select(*docs.columns)
 
 
 def op9_mix(spark, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import new_path, read, spool
+from quadrille.llm.common import free, new_path, read, spool
 
 #: Bytes a bucket holds in the mean.
 BUCKET_BYTES = 16 << 20
@@ -37,31 +37,35 @@ def shuffle(docs: DataFrame, shards: int, key: str = "doc_id", seed: int = SEED,
     """Every record with shard, bucket and slot, in the order in which it's to be written.
 
     Null keys share a shard, and null texts are empty; repeated rows are all kept. Buckets are drawn
-    from key and text, so only whole copies of a row are bound to meet in one. Columns of ``docs``
-    named shard, bucket, slot or size are replaced. An empty table gives an empty one.
+    from key and text, so rows with the same key and text, and only these, are bound to meet in one: a
+    table must not repeat one row more often than a bucket may hold. A long text is a record like any
+    other. Columns of ``docs`` named shard, bucket, slot or size are replaced, all others kept. An empty
+    table gives an empty one.
     """
     size = F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("bigint") + F.lit(ROW_BYTES)
     kept = [c for c in docs.columns if c not in ("shard", "bucket", "slot", "size")]
     mark = F.xxhash64(F.lit(seed + 1), F.col(key), F.col("text"))
-    sized = docs.select(*kept, size.alias("size"), shard_of(F.col(key), shards, seed).alias("shard"), mark.alias("__mark"))
+    mark_, position = free("mark", docs), free("position", docs)
+    sized = docs.select(*kept, size.alias("size"), shard_of(F.col(key), shards, seed).alias("shard"), mark.alias(mark_))
     largest = sized.groupBy("shard").agg(F.sum("size").alias("b")).agg(F.max("b")).first()[0] or 0
     buckets = max(1, -(-int(largest) // bucket_bytes))
-    scattered = sized.withColumn("bucket", F.pmod("__mark", F.lit(buckets)).cast("int"))
+    scattered = sized.withColumn("bucket", F.pmod(mark_, F.lit(buckets)).cast("int"))
     counts = scattered.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
-    before = spool(counts.selectExpr("shard", "bucket", "sum(n) over (partition by shard order by bucket) - n as before"), "bucket-starts")
+    before_ = free("before", docs)
+    before = spool(counts.selectExpr("shard", "bucket", f"sum(n) over (partition by shard order by bucket) - n as {before_}"), "bucket-starts")
     fields = docs.select(*kept).schema.simpleString()[7:-1]
-    out = f"{fields},size:bigint,shard:int,bucket:int,position:bigint"
+    out = f"{fields},size:bigint,shard:int,bucket:int,{position}:bigint"
 
     def fisher_yates(group: tuple, rows: pa.Table) -> pa.Table:
-        rows = rows.take(pc.sort_indices(rows["__mark"]))
+        rows = rows.take(pc.sort_indices(rows[mark_]))
         draw = np.random.default_rng([seed, group[0].as_py(), group[1].as_py()])
         order = np.arange(len(rows))
         for i, j in zip(range(len(rows) - 1, 0, -1), draw.integers(0, np.arange(len(rows), 1, -1), dtype=np.int64).tolist(), strict=True):
             order[i], order[j] = order[j], order[i]
-        return rows.drop_columns("__mark").take(pa.array(order)).append_column("position", pa.array(np.arange(len(rows))))
+        return rows.drop_columns(mark_).take(pa.array(order)).append_column(position, pa.array(np.arange(len(rows))))
 
-    mixed = scattered.select(*kept, "size", "shard", "bucket", "__mark").groupBy("shard", "bucket").applyInArrow(fisher_yates, out)
-    return mixed.join(F.broadcast(before) if shards * buckets <= 100_000 else before, ["shard", "bucket"]).withColumn("slot", F.col("before") + F.col("position")).select(*kept, "size", "shard", "bucket", "slot")
+    mixed = scattered.select(*kept, "size", "shard", "bucket", mark_).groupBy("shard", "bucket").applyInArrow(fisher_yates, out)
+    return mixed.join(F.broadcast(before) if shards * buckets <= 100_000 else before, ["shard", "bucket"]).withColumn("slot", F.col(before_) + F.col(position)).select(*kept, "size", "shard", "bucket", "slot")
 
 
 def write(docs: DataFrame, path: str, shards: int, key: str = "doc_id", seed: int = SEED) -> DataFrame:

@@ -43,6 +43,11 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+def lower(data: np.ndarray) -> np.ndarray:
+    """A-Z in lower case, all other bytes as they are."""
+    return _LOWER[data]
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finaliser: every input bit reaches every output bit."""
     h = h ^ (h >> np.uint64(32))

@@ -243,7 +243,7 @@ class Encoder:
             length = pc.binary_length(pa.array(said, pa.large_string())).to_numpy()
             cuts = (4 * (np.searchsorted(ends, np.cumsum(length)) + 1)).tolist()
             flat = ids.tobytes()
-            self.known.update((x, flat[a:b]) for x, a, b in zip(follows, [0, *cuts[:-1]], cuts, strict=True))
+            self.known.update((x, flat[a:b]) for x, a, b in zip(follows, [0, *cuts][:-1], cuts, strict=True))
         self.known.update((x, np.array(ids, "<u4").tobytes()) for x, ids in zip(heads, self._batch([x[1:] for x in heads]), strict=True))
 
 

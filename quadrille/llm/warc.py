@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import filesystem, new_path, read, spool
+from quadrille.llm.common import filesystem, join_few, new_path, read, spool
 
 #: Bytes a chunk row holds at most.
 CHUNK_BYTES = 1 << 20
@@ -34,13 +34,15 @@ def records(pages: DataFrame) -> DataFrame:
 
     ``record`` is the page_id as text, ``-`` if null. Null html has an empty payload. Of equal payloads
     of at least ``REVISIT_BYTES`` that with the largest page_id is the response (null ids are
-    smaller than all others; rows that share it are all responses), the others revisit it.
+    smaller than all others; rows that share it are all responses), the others revisit it; where no
+    such page has an id, all are responses. Other columns are left aside; an empty table has no records.
     """
     payload = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
+    digests = pages.select("page_id", F.sha1(payload).alias("digest"), F.octet_length(payload).alias("n")).filter(F.col("n") >= REVISIT_BYTES)
+    # Payloads stay where they are: only digests that several pages share travel.
+    shared = spool(digests.groupBy("digest").agg(F.count("*").alias("n"), F.max("page_id").alias("kept")).filter("n > 1 and kept is not null").select("digest", "kept"), "shared-digests")
     base = pages.select("page_id", F.col("url").cast("string").alias("uri"), payload.alias("payload")).withColumn("digest", F.sha1("payload"))
-    large = base.filter(F.octet_length("payload") >= REVISIT_BYTES)
-    shared = large.groupBy("digest").agg(F.count("*").alias("n"), F.max("page_id").alias("kept")).filter("n > 1").select("digest", "kept")
-    joined = base.join(shared, "digest", "left")
+    joined = join_few(base, shared, "digest", F.col("page_id"))
     revisit = F.col("kept").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("kept"))
     name = F.coalesce(F.col("page_id").cast("string"), F.lit("-"))
     return joined.select(name.alias("record"), F.when(revisit, "revisit").otherwise("response").alias("kind"), "uri", F.when(revisit, F.col("kept").cast("string")).alias("refers_to"), "digest", F.when(revisit, F.lit(b"")).otherwise(F.col("payload")).alias("payload"))

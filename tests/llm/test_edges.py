@@ -169,8 +169,63 @@ def test_texts_with_added_tokens_encode_as_plain(spark, tmp_path):
     for text in ("m wx", "q yz", "a wx yz", "aq q", "n wx", "yz", f"b wx k yz wx {end}", "o wx p yz"):
         assert more.encode(text).tolist() == own.encode(text, add_special_tokens=False).ids
     more.known.clear()
-    more._learn([" wx", " yz"])
-    assert [np.frombuffer(more.known[x], "<u4").tolist() for x in (" wx", " yz")] == [own.encode(x, add_special_tokens=False).ids for x in (" wx", " yz")]
+    more._learn(["wx", "yz"])  # pieces are known by what follows their blank
+    assert [np.frombuffer(more.known[x], "<u4").tolist() for x in ("wx", "yz")] == [own.encode(f" {x}", add_special_tokens=False).ids for x in ("wx", "yz")]
+
+
+def test_random_texts_encode_as_plain():
+    import random
+
+    import public_tokenizers
+
+    draw, path = random.Random(3), public_tokenizers.path("byte_bpe_50k.json")
+    parts = ["a", "b", "Zé", " ", "  ", "\n", "\n\n", "\t", ".", "'s", "n't", ",", "1", "23", "_", "\r\n", "\x1c", "\xa0", "你好", "é", "<|endoftext|>", "###", "!", " x", " Y."]
+    texts = ["".join(draw.choice(parts) for _ in range(draw.randint(0, 14))) for _ in range(20_000)]
+    own = token_files.Encoder(path)
+    expected = [x.ids for x in own.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in own.encode_all(texts)] == expected
+    assert [x.tolist() for text in texts[:500] for x in own.encode_all([text])] == expected[:500]
+
+
+def test_token_files_deal_equal_ids_by_text(spark):
+    docs = spark.createDataFrame([(7 if i % 2 else None, f"text {i}") for i in range(300)], "doc_id bigint, text string")
+    import public_tokenizers
+
+    files = token_files.write(docs, new_path(spark, "tokens"), public_tokenizers.path("byte_bpe_50k.json"), 4)
+    assert files.count() == 4
+    found = token_files.read_back(spark, files).orderBy("start").collect()
+    assert [r["doc_id"] for r in found] == [None] * 150 + [7] * 150
+    assert [r["start"] for r in found[1:]] == [r["start"] + r["n_tokens"] for r in found[:-1]]
+
+
+CLASHES = ("salt", "leak", "leak_0", "language_", "mix_source", "mix_lam", "mix_copies", "mix_copy", "mark", "position", "before", "Before", "gone", "twice", "place", "sid", "comp")
+
+
+def test_clashing_names_are_kept(spark):
+    names = [n for n in CLASHES if n != "Before"]
+    rows = [(i, WORDS if i < 3 else f"Some words of number {i} here", "en", f"s{i % 2}", *[f"{n}{i}" for n in names]) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, " + ", ".join(f"{n} string" for n in names))
+    items = spark.createDataFrame([("a", " ".join(WORDS.split()[:15]))], "item_id string, text string")
+    own = {r[0]: tuple(r) for r in rows}
+    for kept in (language_id.keep_identified(docs), jaccard.keep_one(docs), decontaminate.remove(docs, items), mixing.mix(docs), sharding.shuffle(docs, 3).select(*docs.columns)):
+        assert kept.columns == docs.columns
+        found = kept.collect()
+        assert found and all(tuple(r) == own[r["doc_id"]] for r in found)
+
+
+def test_shards_grow_as_sharding_anew_into_one_more(spark):
+    docs = spark.createDataFrame([(i, f"t{i}") for i in range(500)], "doc_id bigint, text string")
+    now = {r["doc_id"]: r["shard"] for r in sharding.shuffle(docs, 40).collect()}
+    new = {r["doc_id"]: r["shard"] for r in sharding.shuffle(docs, 41).collect()}
+    assert all(new[i] in (now[i], 40) for i in now) and 0 < sum(x == 40 for x in new.values()) < 40
+
+
+def test_decontamination_over_several_blocks_of_items(spark, docs, monkeypatch):
+    items = spark.createDataFrame([(f"i{k}", " ".join(WORDS.split()[k : k + 12])) for k in range(20)] + [("none", "nowhere to be found at all in these few documents here")], "item_id string, text string")
+    whole = {tuple(r["leak"][k] if k != "spans" else tuple(map(tuple, r["leak"]["spans"])) for k in ("n_words", "n_hit", "spans")) + (tuple(r["leak"]["items"]), r["doc_id"]) for r in decontaminate.find(docs, items).collect()}
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 400)
+    cut = {tuple(r["leak"][k] if k != "spans" else tuple(map(tuple, r["leak"]["spans"])) for k in ("n_words", "n_hit", "spans")) + (tuple(r["leak"]["items"]), r["doc_id"]) for r in decontaminate.find(docs, items).collect()}
+    assert cut == whole and any(len(x[3]) == 20 for x in cut)
 
 
 def test_warc(spark):
