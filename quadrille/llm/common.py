@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,31 +33,32 @@ def new_path(spark: SparkSession, name: str) -> str:
 def spool(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors.
 
+    The shuffles behind the write are dropped once it is done, as nothing reads them again.
     ``batch_rows`` bounds the rows of the Arrow batches that its Python steps get, for wide rows.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    before = spark.conf.get(_BATCH)
+    wanted = {_CLEAN: "true"} | ({_BATCH: str(batch_rows)} if batch_rows else {})
+    before = {k: spark.conf.get(k) for k in wanted}
     try:
-        if batch_rows:
-            spark.conf.set(_BATCH, str(batch_rows))
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
         df.write.parquet(path)
     finally:
-        spark.conf.set(_BATCH, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     found = spark.read.schema(df.schema).parquet(path)
     found._spooled = path
     return found
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete spooled tables that nothing reads any more, and let Spark clean the shuffles behind them."""
+    """Delete spooled tables that nothing reads any more; others are left alone."""
     for table in tables:
         path = getattr(table, "_spooled", None)
         if path:
-            spark = table.sparkSession
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
-            spark._jvm.System.gc()
+            fs, local = filesystem(path)
+            fs.delete_dir(local)
 
 
 def free(name: str, *tables: DataFrame) -> str:

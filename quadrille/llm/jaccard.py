@@ -1,26 +1,32 @@
-"""N-gram Jaccard join (operator 3) with count vectors of hashed groups.
+"""N-gram Jaccard join (operator 3) with a count-vector R-tree of hashed groups.
 
 A document's set holds the hashes of its distinct shingles. Hashing shingles into groups makes the set
 a point of group counts, and the sum of coordinate minima of two points bounds their sets' overlap
-from above. The index over these points has two levels.
-
-Slabs. At the finest grouping, one group a hash value, counts are 0 or 1. With the groups in one
-fixed order, two sets that share none of their first n - ceil(least * n) + 1 groups have a sum of minima
-below what a link needs. So a point is filed under these leading coordinates only and meets just the
-points of the same slabs. Groups that many documents fill come last in the order, the fullest at the
-very end: a passage that thousands of documents share leads only in those it makes up. An entry notes how
-many coordinates are left from its own on: in the first slab that two points share, neither minimum
-nor overlap can exceed what is left of either, so a pair for which that is too little is passed over.
-It either doesn't link or has met in an earlier slab.
-
-Pages. The points of a slab, those with enough left for a twin of their size first, then in order of
-component and size, are packed into leaf pages; a page's bounding box
-(largest count by group, sizes from and to, most left) bounds the overlap with whatever another page holds, and
-page pairs that can't reach a link are never opened. Within page pairs, the points' own sums of minima
-decide which pairs survive; survivors are verified on the sets.
+from above. The points are indexed in a packed tree, one forest of it a slab.
+
+Slabs. Bounding boxes over many unrelated points are useless whatever the grouping: their sum of minima
+soon exceeds any size. So the tree's first level cuts by single coordinates of the finest grouping, one
+group a hash value, where counts are 0 or 1. With the groups in one fixed order, two sets that share none
+of their first n - ceil(least * n) + 1 groups have a sum of minima below what a link needs. So a point is
+filed under these leading coordinates only and meets just the points of the same slabs. Groups that many
+documents fill come last in the order, the fullest at the very end: a passage that thousands of documents
+share leads only in those it makes up. An entry notes how many coordinates are left from its own on: in
+the first slab that two points share, neither minimum nor overlap can exceed what is left of either, so a
+pair for which that is too little is passed over. It either doesn't link or has met in an earlier slab.
+
+Nodes. The points of a slab, those with enough left for a twin of their size first, then in order of
+component and size, are packed into leaf pages, pages into nodes above them, and so on. A node's bounding
+box (largest count by group, least sizes, most left) bounds the overlap with whatever another node holds.
+Pairs of nodes are opened from the top down as far as their boxes' sum of minima can reach a link. Within
+opened pages, the points' own sums of minima decide which pairs survive; survivors are verified on the sets.
+A slab of one page needs no box.
 
 Pairs whose ends are known to be in one component need no look. A few rounds first link every point of
 a slab with one hub, which joins large groups of near copies with as many pairs as they have rows.
+
+Shingles are 64-bit hashes, of which sets keep 48 bits: two sets of n shingles share one that isn't theirs
+with odds of about n^2 / 2^48. Equal sets go by a 64-bit name; two of V sets have the same with odds of
+about V^2 / 2^65.
 """
 
 from __future__ import annotations
@@ -34,7 +40,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrille.llm import textkit
-from quadrille.llm.common import discard, read, spool
+from quadrille.llm.common import BROADCAST_ROWS, discard, free, read, spool
 from quadrille.llm.components import components
 
 WORDS = 5
@@ -43,12 +49,13 @@ LEAST = 75  # per cent
 HOT = 3
 #: Hot groups that are moved at most, those of most rows first; the order, not the result, depends on it.
 HOT_GROUPS = 1 << 20
-#: Rounds of links with hubs; only speed depends on it.
-ROUNDS = 4
-#: Points a leaf page holds.
+#: Rounds of links with hubs, of which the first go over all slabs, the others over those of more than
+#: a page; only speed depends on them.
+ROUNDS, FULL_ROUNDS = 4, 2
+#: Points a leaf page holds, and nodes a node above.
 PAGE = 64
-#: Rows of a table of ids that may be broadcast (16 bytes each).
-BROADCAST_ROWS = 500_000
+#: Parts of a slab of a hot group, so that its entries needn't meet in one task.
+PARTS = 64
 SEED = 20240903
 #: Rows of an Arrow batch that hold texts, points, or pairs of sets.
 TEXT_ROWS, POINT_ROWS, SET_ROWS = 1000, 1000, 250
@@ -71,49 +78,50 @@ def groups_of(n: int) -> int:
 
 
 def sets(docs: DataFrame, k: int = WORDS) -> DataFrame:
-    """(doc_id, n, sid, hashes, counts) a row; rows without words have n = 0 and no sid.
+    """(doc_id, mark, n, sid, hashes, counts) a row; rows without words have n = 0 and no sid.
 
-    ``sid`` names the set, ``hashes`` holds its 48-bit hashes in ascending order, six bytes each,
-    ``counts`` its point (u16). Rows without n come in between: after each run of ``SEEN``
-    shingles one whose hashes are those that three sets of the run share, with counts how often (u32).
+    ``mark`` is a hash of the text, ``sid`` names the set, ``hashes`` holds its 48-bit hashes in ascending
+    order, six bytes each. Rows without n come in between: after each run of ``SEEN`` shingles one whose
+    hashes are those that three sets of the run share, with counts how often (u32).
     """
 
     def often(run: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
         values, n = np.unique(np.concatenate(list(run.values())), return_counts=True)
         values, n = values[n > 2], n[n > 2]
         if len(values):
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array([None], pa.int64()), "n": pa.array([None], pa.int32()), "sid": pa.array([None], pa.int64()), "hashes": pa.array([_pack(values)], pa.binary()), "counts": pa.array([n.astype("<u4").tobytes()], pa.binary())})
+            nothing = pa.array([None], pa.int64())
+            yield pa.RecordBatch.from_pydict({"doc_id": nothing, "mark": nothing, "n": nothing, "sid": nothing, "hashes": pa.array([_pack(values)], pa.binary()), "counts": pa.array([n.astype("<u4").tobytes()], pa.binary())})
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run: dict[int, np.ndarray] = {}
         for batch in batches:
-            ns, sids, hashes, counts = [], [], [], []
+            ns, sids, hashes = [], [], []
             for lo, hi, data, bounds in textkit.text_chunks(batch["text"]):
                 found = textkit.words(data, bounds, textkit.SPACES)
                 every, _, first = textkit.windows(found, k)
-                every >>= np.uint64(16)
                 for i in range(hi - lo):
                     own = np.unique(every[first[i] : first[i + 1]])
                     ns.append(len(own))
                     if not len(own):
                         sids.append(None)
                         hashes.append(None)
-                        counts.append(None)
                         continue
+                    own >>= np.uint64(16)
+                    own = own[np.concatenate([[True], own[1:] != own[:-1]])]
                     packed = _pack(own)
                     sids.append(int.from_bytes(hashlib.blake2b(packed, digest_size=8).digest(), "little", signed=True))
                     hashes.append(packed)
-                    counts.append(_point(own))
                     run[sids[-1]] = own
-            yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "n": pa.array(ns, pa.int32()), "sid": pa.array(sids, pa.int64()), "hashes": pa.array(hashes, pa.binary()), "counts": pa.array(counts, pa.binary())})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "mark": batch["mark"], "n": pa.array(ns, pa.int64()), "sid": pa.array(sids, pa.int64()), "hashes": pa.array(hashes, pa.binary()), "counts": pa.array([None] * len(ns), pa.binary())})
             if sum(map(len, run.values())) >= SEEN:
                 yield from often(run)
                 run.clear()
         if run:
             yield from often(run)
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(cut, "doc_id bigint, n int, sid bigint, hashes binary, counts binary")
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
+    return rows.mapInArrow(cut, "doc_id bigint, mark bigint, n bigint, sid bigint, hashes binary, counts binary")
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -131,6 +139,18 @@ def _point(own: np.ndarray) -> bytes:
     return np.bincount((own >> np.uint64(48 - (g.bit_length() - 1))).astype(np.int64), minlength=g).astype("<u2").tobytes()
 
 
+def _points(members: DataFrame, few: DataFrame) -> DataFrame:
+    """(sid, n, c): the points of the sets that ``few`` names; hashes stay where they are."""
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [_point(_unpack(h)) for h in batch["hashes"].to_pylist()]
+            yield pa.RecordBatch.from_pydict({"sid": batch["sid"], "n": batch["n"], "c": pa.array(own, pa.binary())})
+
+    found = members.join(few, "sid", "left_semi").select("sid", "n", "hashes").mapInArrow(place, "sid bigint, n bigint, c binary")
+    return found.groupBy("sid").agg(F.first("n").alias("n"), F.first("c").alias("c"))
+
+
 def hot_groups(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that more than HOT sets share, as far as runs of rows hold them, in ascending order,
     and the place of each in the order of how many sets do."""
@@ -148,34 +168,36 @@ def hot_groups(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slabs(rows: DataFrame, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(h, sid, n, left): every set under its leading coordinates, with how many of its coordinates
-    are left from this one on; a partition files equal sets once."""
+    """(h, sid, n, left, hot): every set under its leading coordinates, with how many of its coordinates
+    are left from this one on, and whether the group is hot; a partition files equal sets once."""
     shared = rows.sparkSession.sparkContext.broadcast(hot)
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (last, place), seen = shared.value, set()
         for batch in batches:
-            hs, sids, ns, lefts = [], [], [], []
+            hs, sids, ns, lefts, hots = [], [], [], [], []
             for sid, packed in zip(batch["sid"].to_pylist(), batch["hashes"].to_pylist(), strict=True):
                 if sid in seen:
                     continue
                 seen.add(sid)
                 own = _unpack(packed)
-                take = lead(len(own))
+                take, cold = lead(len(own)), len(own)
                 if len(last):
                     slot = np.searchsorted(last, own)
                     slot[slot == len(last)] = 0
                     late = last[slot] == own
                     if late.any():
+                        cold = len(own) - int(late.sum())
                         own = np.concatenate([own[~late], own[late][np.argsort(place[slot[late]])]])
                 hs.append(own[:take].astype(np.int64))
                 sids.append(np.full(take, sid))
-                ns.append(np.full(take, len(own), np.int32))
-                lefts.append(np.arange(len(own), len(own) - take, -1, np.int32))
+                ns.append(np.full(take, len(own)))
+                lefts.append(np.arange(len(own), len(own) - take, -1))
+                hots.append(np.arange(take) >= cold)
             if hs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hs, sids, ns, lefts)], names=["h", "sid", "n", "left"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hs, sids, ns, lefts, hots)], names=["h", "sid", "n", "left", "hot"])
 
-    return rows.filter("n > 0").select("sid", "hashes").mapInArrow(file, "h bigint, sid bigint, n int, left int")
+    return rows.filter("n > 0").select("sid", "hashes").mapInArrow(file, "h bigint, sid bigint, n bigint, left bigint, hot boolean")
 
 
 def _near(x: str, y: str, least: int) -> Column:
@@ -209,14 +231,15 @@ def _bound(a: bytes, b: bytes) -> int:
     return int(np.minimum(a, b).sum())
 
 
-def _verify(pairs: DataFrame, points: DataFrame, members: DataFrame, least: int) -> DataFrame:
-    """Of candidate pairs (a, b), those that link: first by the bound, then by the sets."""
-    ends = spool(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "ends")
-    few = _few(ends)
-    own = points.join(few, "sid", "left_semi").groupBy("sid").agg(F.first("n").alias("n"), F.first("counts").alias("c"))
+def _verify(pairs: DataFrame, members: DataFrame, least: int) -> DataFrame:
+    """Of candidate pairs (a, b), spooled, those that link: first by the bound, then by the sets."""
+    ids = lambda df: spool(df.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "ends")
+    ends = ids(pairs)
+    own = spool(_points(members, _few(ends)), "points")
     side = lambda s: own.select(F.col("sid").alias(s), F.col("n").alias(f"n{s}"), F.col("c").alias(f"c{s}"))
     alive = spool(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ca", "cb").mapInArrow(_surviving(least), "a bigint, b bigint"), "survivors", POINT_ROWS)
-    held = members.join(few, "sid", "left_semi").groupBy("sid").agg(F.first("hashes").alias("hashes"))
+    left = ids(alive)
+    held = spool(members.join(_few(left), "sid", "left_semi").groupBy("sid").agg(F.first("hashes").alias("hashes")), "held")
 
     def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -233,72 +256,77 @@ def _verify(pairs: DataFrame, points: DataFrame, members: DataFrame, least: int)
     with_b = alive.join(held.select(F.col("sid").alias("b"), F.col("hashes").alias("y")), "b")
     with_a = with_b.join(held.select(F.col("sid").alias("a"), F.col("hashes").alias("x")), "a").select("a", "b", "x", "y")
     found = spool(with_a.mapInArrow(overlap, "a bigint, b bigint"), "verified", SET_ROWS)
-    discard(pairs, ends, alive)
+    discard(pairs, ends, own, alive, left, held)
     return found
 
 
 def _hubs(filed: DataFrame, round_: int, least: int) -> DataFrame:
     """Pairs of each slab's rows with its hub, where components differ.
 
-    The first round's hub is the smallest set, later ones draw one a slab; from the third on, only
-    slabs of more than a page are left to it.
+    The first round's hub is the smallest set, later ones draw one a slab. Hubs are found by a partial
+    aggregation; the join with them is one that adaptive execution splits where a slab is large.
     """
-    order = "n, sid" if round_ == 0 else f"xxhash64({SEED + round_}, h, sid), sid"
-    if round_ > 1:
-        filed = filed.selectExpr("*", "count(*) over (partition by h) as rows").filter(F.col("rows") > PAGE)
-    paired = filed.selectExpr("sid", "n", "left", "comp", f"first_value(struct(sid, n, left, comp)) over (partition by h order by {order}) as hub")
-    return paired.filter((F.col("comp") != F.col("hub.comp")) & _near("", "hub.", least)).select(F.least("sid", "hub.sid").alias("a"), F.greatest("sid", "hub.sid").alias("b")).distinct()
+    order = F.struct("n", "sid") if round_ == 0 else F.struct(F.xxhash64(F.lit(SEED + round_), "h", "sid"), F.col("sid"))
+    hubs = filed.groupBy("h").agg(F.min_by(F.struct("sid", "n", "left", "comp"), order).alias("hub"))
+    paired = filed.join(hubs, "h").filter((F.col("comp") != F.col("hub.comp")) & _near("", "hub.", least))
+    return paired.select(F.least("sid", "hub.sid").alias("a"), F.greatest("sid", "hub.sid").alias("b")).distinct()
 
 
 def _relabel(filed: DataFrame, links: DataFrame) -> DataFrame:
     """``filed`` with the components after ``links``, of slabs that still hold more than one."""
-    found = components(links).select(F.col("node").alias("comp"), F.col("component").alias("to"))
+    found = components(links).select(F.col("node").alias("sid"), F.col("component").alias("to"))
     moves = spool(found, "moves")
-    moved = filed.join(_few(moves), "comp", "left").select("h", "sid", "n", "left", F.coalesce("to", "comp").alias("comp"))
-    mixed = moved.selectExpr("*", "min(comp) over (partition by h) as lo", "max(comp) over (partition by h) as hi").filter("lo < hi")
-    left = spool(mixed.select("h", "sid", "n", "left", "comp"), "slabs")
+    moved = filed.drop("comp").join(_few(moves), "sid", "left").select("h", "sid", "n", "left", F.coalesce("to", "sid").alias("comp"))
+    mixed = moved.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("h")
+    left = spool(moved.join(mixed, "h"), "slabs")
     discard(moves)
     return left
 
 
-def _paged(filed: DataFrame, points: DataFrame, least: int) -> DataFrame:
-    """Pairs across components that share a slab and pass the bound, page against page."""
-    placed = filed.selectExpr("*", f"cast(floor((row_number() over (partition by h order by left * {100 + least} < 2 * n * {least}, comp, n, sid) - 1) / {PAGE}) as int) as page", "count(*) over (partition by h) as rows")
-    placed = spool(placed, "pages")
-    small = placed.filter(F.col("rows") <= PAGE)
+def _large(filed: DataFrame) -> DataFrame:
+    """The rows of slabs of more than a page."""
+    return filed.join(_few(spool(filed.groupBy("h").count().filter(F.col("count") > PAGE).select("h"), "large")), "h")
+
+
+def _paged(filed: DataFrame, members: DataFrame, least: int) -> DataFrame:
+    """Pairs across components that share a slab and pass the bounds, node against node, page against page."""
+    large = spool(_large(filed), "large-slabs")
+    small = spool(filed.join(_few(spool(large.select("h").distinct(), "large")), "h", "left_anti"), "small-slabs")
     x, y = small.alias("x"), small.alias("y")
     pairs = x.join(y, F.col("x.h") == F.col("y.h")).filter((F.col("x.sid") < F.col("y.sid")) & (F.col("x.comp") != F.col("y.comp")) & _near("x.", "y.", least)).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
-    large = placed.filter(F.col("rows") > PAGE)
     if large.isEmpty():
         return pairs
-    # One point stands for a page at the coarsest grouping: its bounding box.
-    ids = _few(spool(large.select("sid").distinct(), "paged"))
-    own = points.join(ids, "sid", "left_semi").groupBy("sid").agg(F.first("counts").alias("counts"))
-    full = spool(large.join(own, "sid"), "page-rows")
-
-    def box(key: tuple, rows: pa.Table) -> pa.Table:
-        top = np.max([_coarse(c) for c in rows["counts"].to_pylist()], axis=0)
-        n = rows["n"].to_numpy()
-        comps = set(rows["comp"].to_pylist())
-        return pa.table({"h": [key[0].as_py()], "page": pa.array([key[1].as_py()], pa.int32()), "lo": pa.array([n.min()], pa.int32()), "hi": pa.array([n.max()], pa.int32()), "left": pa.array([rows["left"].to_numpy().max()], pa.int32()), "top": pa.array([top.tolist()], pa.list_(pa.int32())), "only": pa.array([comps.pop() if len(comps) == 1 else None], pa.int64())})
-
-    boxes = spool(full.groupBy("h", "page").applyInArrow(box, "h bigint, page int, lo int, hi int, left int, top array<int>, only bigint"), "boxes")
-    p, q = boxes.alias("p"), boxes.alias("q")
-    reach = F.aggregate(F.zip_with(F.col("p.top"), F.col("q.top"), lambda a, b: F.least(a, b)), F.lit(0), lambda s, v: s + v)
-    wanted = (F.col("p.lo") + F.col("q.lo")) * least <= F.least(reach, "p.left", "q.left") * (100 + least)
-    opened = p.join(q, (F.col("p.h") == F.col("q.h")) & (F.col("p.page") <= F.col("q.page"))).filter((F.col("p.hi") * 100 >= F.col("q.lo") * least) & (F.col("q.hi") * 100 >= F.col("p.lo") * least) & wanted & ~F.coalesce(F.col("p.only") == F.col("q.only"), F.lit(False))).select(F.col("p.h").alias("h"), F.col("p.page").alias("p"), F.col("q.page").alias("q"))
+    # Runs of a slab lie in ranges of its order, so that no task holds a whole one; a page never leaves its range.
+    order = [F.col("left") * (100 + least) < 2 * F.col("n") * least, F.col("comp"), F.col("n"), F.col("sid")]
+    dealt = large.repartitionByRange(F.col("h"), *order).withColumn("range", F.spark_partition_id().cast("bigint"))
+    at = F.row_number().over(Window.partitionBy("h", "range").orderBy(*order)) - 1
+    placed = dealt.withColumn("page", F.shiftleft("range", 40) + F.floor(at / PAGE)).drop("range")
+    own = _points(members, _few(spool(large.select("sid").distinct(), "paged"))).select("sid", "c")
+    full = spool(placed.join(own, "sid"), "page-rows")
+    boxes = [spool(full.groupBy("h", "page").applyInArrow(_box, _BOX), "boxes")]
+    while boxes[-1].groupBy("h").count().filter(F.col("count") > PAGE).limit(1).count():
+        boxes.append(spool(_above(boxes[-1]), "boxes"))
+    opened = None
+    for level in reversed(boxes):
+        p, q = level.alias("p"), level.alias("q")
+        if opened is None:
+            met = p.join(q, (F.col("p.h") == F.col("q.h")) & (F.col("p.page") <= F.col("q.page")))
+        else:
+            up = opened.select("h", F.col("p").alias("up"), F.col("q").alias("uq"))
+            met = up.join(p, (up["h"] == F.col("p.h")) & (up["up"] == F.col("p.parent"))).join(q, (up["h"] == F.col("q.h")) & (up["uq"] == F.col("q.parent"))).filter(F.col("p.page") <= F.col("q.page"))
+        opened = spool(met.filter(_reach(least)).select(F.col("p.h").alias("h"), F.col("p.page").alias("p"), F.col("q.page").alias("q")), "opened")
     sides = opened.select("h", "p", "q", F.explode(F.array_distinct(F.array("p", "q"))).alias("page"))
 
     def compare(rows: pa.Table) -> pa.Table:
         page, comp, sid, n, left = (rows[c].to_numpy() for c in ("page", "comp", "sid", "n", "left"))
         first, second = np.flatnonzero(page == page.min()), np.flatnonzero(page == page.max())
-        own, other = n[first, None].astype(np.int64), n[None, second].astype(np.int64)
+        own, other = n[first, None], n[None, second]
         wanted = (own + other) * least
         alive = (comp[first, None] != comp[None, second]) & (np.minimum(own, other) * 100 >= np.maximum(own, other) * least)
         alive &= np.minimum(left[first, None], left[None, second]) * (100 + least) >= wanted
         i, j = np.nonzero(alive)
         if len(i):
-            points = _folded(rows["counts"].to_pylist())
+            points = _folded(rows["c"].to_pylist())
             reach = np.concatenate([np.minimum(points[first[x]], points[second[j[i == x]]]).sum(1, dtype=np.int64) for x in np.unique(i)])
             keep = reach * (100 + least) >= wanted[i, j]
             i, j = i[keep], j[keep]
@@ -309,6 +337,45 @@ def _paged(filed: DataFrame, points: DataFrame, least: int) -> DataFrame:
     return pairs.unionByName(deep).distinct()
 
 
+#: A node: its least and greatest size, the most left, its counts' maxima, its component if it has but one, its parent.
+_BOX = "h bigint, page bigint, lo bigint, hi bigint, left bigint, top array<int>, only bigint, parent bigint"
+
+
+def _parent(page: int) -> int:
+    """Nodes of one range have parents of one range: the range in the upper bits, the place in the lower."""
+    return page >> 40 << 40 | (page & (1 << 40) - 1) // PAGE
+
+
+def _box(key: tuple, rows: pa.Table) -> pa.Table:
+    top = np.max([_coarse(c) for c in rows["c"].to_pylist()], axis=0)
+    n, comps, page = rows["n"].to_numpy(), set(rows["comp"].to_pylist()), key[1].as_py()
+    return _node(key[0].as_py(), page, n.min(), n.max(), rows["left"].to_numpy().max(), top.tolist(), comps.pop() if len(comps) == 1 else None)
+
+
+def _node(h: int, page: int, lo: int, hi: int, left: int, top: list[int], only: int | None) -> pa.Table:
+    values = (h, page, int(lo), int(hi), int(left), top, only, _parent(page))
+    kinds = [pa.list_(pa.int32()) if x.endswith("array<int>") else pa.int64() for x in _BOX.split(", ")]
+    return pa.Table.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=[x.split()[0] for x in _BOX.split(", ")])
+
+
+def _above(boxes: DataFrame) -> DataFrame:
+    """The nodes above ``boxes``: the box of up to PAGE nodes of a slab's range."""
+
+    def join(key: tuple, rows: pa.Table) -> pa.Table:
+        only = set(rows["only"].to_pylist())
+        return _node(key[0].as_py(), key[1].as_py(), rows["lo"].to_numpy().min(), rows["hi"].to_numpy().max(), rows["left"].to_numpy().max(), np.max(rows["top"].to_pylist(), axis=0).tolist(), only.pop() if len(only) == 1 else None)
+
+    return boxes.groupBy("h", "parent").applyInArrow(join, _BOX)
+
+
+def _reach(least: int) -> Column:
+    """Whether nodes p and q can hold a link: by sizes, by the sum of their boxes' minima and what is left."""
+    minima = F.aggregate(F.zip_with(F.col("p.top"), F.col("q.top"), lambda a, b: F.least(a, b).cast("bigint")), F.lit(0).cast("bigint"), lambda s, v: s + v)
+    wanted = (F.col("p.lo") + F.col("q.lo")) * least <= F.least(minima, "p.left", "q.left") * (100 + least)
+    sizes = (F.col("p.hi") * 100 >= F.col("q.lo") * least) & (F.col("q.hi") * 100 >= F.col("p.lo") * least)
+    return sizes & wanted & ~F.coalesce(F.col("p.only") == F.col("q.only"), F.lit(False))
+
+
 def _folded(counts: list[bytes]) -> np.ndarray:
     """Points as rows of one table, folded to the coarsest grouping among them."""
     groups = min(map(len, counts)) // 2
@@ -322,31 +389,40 @@ def _coarse(counts: bytes) -> np.ndarray:
     return c
 
 
-def classes(docs: DataFrame, k: int = WORDS, least: int = LEAST) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row: its class under links of ``least`` per cent.
-
-    Null and empty texts have n_shingles 0 and link with nothing; equal rows and rows that share a
-    doc_id are one document in the links, and each gets its row. A null doc_id has a null component.
-    """
-    rows = spool(sets(docs, k), "sets", TEXT_ROWS)
-    members = rows.filter("n > 0")
-    hot = hot_groups(rows)
-    entries = slabs(rows, hot)
-    shared = entries.selectExpr("h", "sid", "n", "left", "min(sid) over (partition by h) as lo", "max(sid) over (partition by h) as hi").filter("lo < hi")
+def _linked(rows: DataFrame, least: int) -> DataFrame:
+    """(node, component) of all sets of ``rows`` that link with another."""
+    members = rows.filter("n > 0").select("sid", "n", "hashes")
+    entries = slabs(rows, hot_groups(rows)).withColumn("part", F.when(F.col("hot"), F.pmod(F.xxhash64("sid"), F.lit(PARTS))).otherwise(0))
+    # A slab of one set holds no pair; those of hot groups, met in parts, may be such and do no harm.
+    shared = entries.selectExpr("*", "min(sid) over (partition by h, part) as lo", "max(sid) over (partition by h, part) as hi").filter("hot or lo < hi")
     filed = spool(shared.select("h", "sid", "n", "left", F.col("sid").alias("comp")).distinct(), "slabs", TEXT_ROWS)
-    points = members.select("sid", "n", "counts")
-    links = None
+    links, whole = None, None
     for round_ in range(ROUNDS):
+        if round_ == FULL_ROUNDS:
+            whole, filed = filed, spool(_large(filed), "large-slabs")
         pairs = spool(_hubs(filed, round_, least), "pairs")
-        if round_ > 1 and pairs.isEmpty():
+        if round_ >= FULL_ROUNDS and pairs.isEmpty():
             break
-        new = _verify(pairs, points, members.select("sid", "hashes"), least)
+        new = _verify(pairs, members, least)
         links = new if links is None else spool(links.unionByName(new), "links")
-        before, filed = filed, _relabel(filed.withColumn("comp", F.col("sid")), links)
+        before, filed = filed, _relabel(filed, links)
         discard(before)
-    rest = _verify(spool(_paged(filed, points, least), "pairs"), points, members.select("sid", "hashes"), least)
-    joined = components(links.unionByName(rest)).withColumnRenamed("node", "sid")
-    named = members.filter("doc_id is not null").select("doc_id", "sid").join(joined, "sid", "left").select("doc_id", "sid", F.coalesce("component", "sid").alias("class"))
+    filed = _relabel(whole, links) if whole else filed
+    rest = _verify(spool(_paged(filed, members, least), "pairs"), members, least)
+    return components(links.unionByName(rest))
+
+
+def classes(docs: DataFrame, k: int = WORDS, least: int = LEAST) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row: its class under links of ``least`` per cent.
+
+    Null and empty texts have n_shingles 0 and link with nothing; long texts count whole. Equal rows and
+    rows that share a doc_id are one document in the links, and each gets its row. A null doc_id has a
+    null component. Other columns are left aside; an empty table gives an empty one.
+    """
+    rows = spool(sets(docs, k), "sets", TEXT_ROWS)
+    joined = spool(_linked(rows, least).withColumnRenamed("node", "sid"), "set-classes")
+    ids = rows.filter("n is not null").select("doc_id", "n", "sid")
+    named = ids.filter("n > 0 and doc_id is not null").select("doc_id", "sid").join(_few(joined), "sid", "left").select("doc_id", "sid", F.coalesce("component", "sid").alias("class"))
     # Rows that share a doc_id tie their classes together; doc_ids of such rows are few.
     twice = named.groupBy("doc_id").agg(F.min("class").alias("a"), F.max("class").alias("b")).filter("a < b").select("a", "b")
     if not twice.isEmpty():
@@ -355,20 +431,34 @@ def classes(docs: DataFrame, k: int = WORDS, least: int = LEAST) -> DataFrame:
     named = spool(named, "classes")
     least_id = named.groupBy("class").agg(F.min("doc_id").alias("component_id"))
     by_sid = named.groupBy("sid").agg(F.min("class").alias("class")).join(least_id, "class").select("sid", "component_id")
-    return rows.filter("n is not null").select("doc_id", "n", "sid").join(by_sid, "sid", "left").select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    found = spool(ids.join(by_sid, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")), "documents")
+    discard(rows, joined, named)
+    return found
 
 
 def keep_one(docs: DataFrame, k: int = WORDS, least: int = LEAST) -> DataFrame:
-    """The document of least doc_id of each class; documents without words or doc_id all stay."""
-    found = classes(docs, k, least).filter("n_shingles > 0 and doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(_few(spool(found, "gone")), docs["doc_id"] == F.col("__gone"), "left_anti")
-    twice = kept.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("__twice"))
-    if twice.isEmpty():
-        return kept
-    marked = kept.join(_few(spool(twice, "twice")), kept["doc_id"] == F.col("__twice"), "left")
-    first = F.row_number().over(Window.partitionBy("__twice").orderBy(F.xxhash64("text"), "text"))
-    again = marked.filter("__twice is not null").withColumn("__place", first).filter("__place = 1")
-    return marked.filter("__twice is null").select(*docs.columns).unionByName(again.select(*docs.columns))
+    """One row of each class of rows whose sets link: that of least doc_id (null last), then of least hash of its text.
+
+    Rows without words all stay; so do rows that share a doc_id unless their sets link. Of rows with
+    equal doc_id and text one stays, whichever. All columns are kept; an empty table gives an empty one.
+    """
+    rows = spool(sets(docs, k), "sets", TEXT_ROWS)
+    joined = spool(_linked(rows, least).withColumnRenamed("node", "sid"), "set-classes")
+    light = rows.filter("n > 0").select("doc_id", "mark", "sid").join(_few(joined), "sid", "left").select("doc_id", "mark", F.coalesce("component", "sid").alias("class"))
+    light = light.withColumn("key", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark"))
+    best = spool(light.groupBy("class").agg(F.min("key").alias("best"), F.count("*").alias("n")).filter("n > 1"), "best")
+    judged = spool(light.join(_few(best.select("class", "best")), "class").groupBy("doc_id", "mark").agg(F.min(F.col("key") == F.col("best")).alias("stays"), F.count("*").alias("n")).filter("not stays or n > 1"), "judged")
+    discard(rows, joined, best)
+    gone, twice, key = free("gone", docs), free("twice", docs), free("key", docs)
+    # Ids and marks as one text each, as a null id is an id here.
+    name = lambda i, m: F.concat_ws(":", F.coalesce(i.cast("string"), F.lit("-")), m.cast("string"))
+    few = judged.select(name(F.col("doc_id"), F.col("mark")).alias(key), (~F.col("stays")).alias(gone), F.col("stays").alias(twice))
+    own = docs.withColumn(key, name(F.col("doc_id").cast("bigint"), F.xxhash64(F.col("text").cast("string"))))
+    kept = own.join(_few(few), key, "left").filter(F.coalesce(~F.col(gone), F.lit(True)))
+    if judged.filter("stays").isEmpty():
+        return kept.select(*docs.columns)
+    again = kept.filter(F.col(twice)).groupBy(key).agg(F.first(F.struct(*docs.columns)).alias(gone)).select(f"{gone}.*")
+    return kept.filter(F.col(twice).isNull()).select(*docs.columns).unionByName(again)
 
 
 def op3_jaccard_join(spark, sf_dir: str) -> DataFrame:
