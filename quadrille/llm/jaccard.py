@@ -235,7 +235,7 @@ def _verify(pairs: DataFrame, members: DataFrame, least: int) -> DataFrame:
     """Of candidate pairs (a, b), spooled, those that link: first by the bound, then by the sets."""
     ids = lambda df: spool(df.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "ends")
     ends = ids(pairs)
-    own = spool(_points(members, _few(ends)), "points")
+    own = spool(_points(members, _few(ends)), "points", POINT_ROWS)
     side = lambda s: own.select(F.col("sid").alias(s), F.col("n").alias(f"n{s}"), F.col("c").alias(f"c{s}"))
     alive = spool(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ca", "cb").mapInArrow(_surviving(least), "a bigint, b bigint"), "survivors", POINT_ROWS)
     left = ids(alive)
@@ -302,7 +302,7 @@ def _paged(filed: DataFrame, members: DataFrame, least: int) -> DataFrame:
     at = F.row_number().over(Window.partitionBy("h", "range").orderBy(*order)) - 1
     placed = dealt.withColumn("page", F.shiftleft("range", 40) + F.floor(at / PAGE)).drop("range")
     own = _points(members, _few(spool(large.select("sid").distinct(), "paged"))).select("sid", "c")
-    full = spool(placed.join(own, "sid"), "page-rows")
+    full = spool(placed.join(own, "sid"), "page-rows", POINT_ROWS)
     boxes = [spool(full.groupBy("h", "page").applyInArrow(_box, _BOX), "boxes")]
     while boxes[-1].groupBy("h").count().filter(F.col("count") > PAGE).limit(1).count():
         boxes.append(spool(_above(boxes[-1]), "boxes"))
