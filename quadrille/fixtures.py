@@ -26,6 +26,11 @@ def antennas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").filter("s_suppkey < 10").selectExpr("s_suppkey as ant_id", "(s_suppkey * 15485863 + 7) % 60000 as ax", "(s_suppkey * 32452843 + 11) % 59999 as ay")
 
 
+def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All suppliers as antennas, for the joins with them; ``antennas`` are the few that give nodes their coverage."""
+    return table(spark, sf_dir, "supplier").selectExpr("s_suppkey as ant_id", "(s_suppkey * 15485863 + 7) % 60000 as ax", "(s_suppkey * 32452843 + 11) % 59999 as ay")
+
+
 def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").selectExpr(
         "o_orderkey as node_id",
@@ -79,6 +84,7 @@ def draws(blocks: DataFrame, seeds: int | DataFrame = SEEDS) -> DataFrame:
 
 
 _SQL_RAMP = "cast((node_id * {}) % {} - {} as double) / {}"
+SITES_SQL = "sites as (select s_suppkey as ant_id, (s_suppkey * 15485863 + 7) % 60000 as ax, (s_suppkey * 32452843 + 11) % 59999 as ay from supplier)"
 #: The same views for the oracle: CTEs without the leading ``with``.
 NODES_SQL = f"""
 ant as (select s_suppkey as ant_id, (s_suppkey * 15485863 + 7) % 60000 as ax, (s_suppkey * 32452843 + 11) % 59999 as ay from supplier where s_suppkey < 10),

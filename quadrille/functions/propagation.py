@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 SENTINEL_PATH_LOSS = 299.0
 UNSET_PATH_LOSS, UNSET_RSSI, SENTINEL_RSSI = 300.0, -200.0, -110.0
-COVERAGE_RSSI = -85.0
 
 lg = F.log10
 

@@ -43,3 +43,21 @@ def huber(e: Column, delta: float = 5.0) -> Column:
 def half_even_share(n: Column, share: float) -> Column:
     """A share of n, at least 1, rounded half to even."""
     return F.greatest(F.lit(1), F.bround(n * share).cast("int"))
+
+
+def exact_mean(x: Column) -> Column:
+    """Aggregate: the mean of values of six decimals, rounded half up to six; null without any.
+
+    Sums of whole millionths don't depend on the order of rows, so any engine gets the same digits.
+    """
+    n = F.count(x)
+    twice = 2 * F.sum(F.round(x * 1_000_000).cast("bigint")) + n
+    return F.when(n > 0, (twice - F.pmod(twice, F.greatest(2 * n, F.lit(1)))) / F.greatest(2 * n, F.lit(1)) / 1_000_000)
+
+
+def exact_mean_sql(x: str, where: str = "true") -> str:
+    """The same in SQL."""
+    n = f"count({x}) filter (where {where})"
+    twice = f"(2 * sum(cast(round({x} * 1000000) as bigint)) filter (where {where}) + {n})"
+    d = f"greatest(2 * {n}, 1)"
+    return f"case when {n} > 0 then cast({twice} - ({twice} % {d} + {d}) % {d} as double) / {d} / 1000000 end"

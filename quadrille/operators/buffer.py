@@ -2,7 +2,10 @@
 
 A node falls out of validation or test if a node of training (or, for test, of what is left of
 validation) is nearer than the buffer. Own-block nodes share a role, so only nodes of other blocks
-matter, and these don't depend on the draw: ``near`` finds them once. Draws then join small tables.
+matter, and these don't depend on the draw. Draws then join small tables.
+
+Which groups of nodes (blocks, or classes within them) have a member near a node is a question of
+existence: ``groups_within`` answers it by tiles, and looks at nodes only where tiles leave it open.
 
 ``near_sets`` reduces a node's neighbours to signatures: the set of other blocks that a neighbour
 itself sees. Whether that neighbour survives in validation depends on nothing else, so the second
@@ -15,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.operators.neighbors import within
+from quadrille.operators.shared import materialise
 
 
 def near(nodes: DataFrame, radius: float) -> DataFrame:
@@ -24,15 +28,52 @@ def near(nodes: DataFrame, radius: float) -> DataFrame:
     return within(left, right, radius).filter("block_id <> nbr_block").select("node_id", "block_id", "nbr_id", "nbr_block")
 
 
-def near_blocks(pairs: DataFrame) -> DataFrame:
+def groups_within(nodes: DataFrame, members: DataFrame, radius: int, parts: int = 4) -> DataFrame:
+    """(node_id, block_id, grp) distinct: the groups of other blocks that have a member nearer than ``radius``.
+
+    ``nodes`` and ``members`` (with grp) have node_id, block_id, x_m, y_m. The plane is cut into tiles
+    of ``radius / parts``. A tile all of whose points are near all points of a group's tile sees the
+    group, whatever its nodes; beyond the radius none does. For the tiles between, a semi-join on
+    places stops at a node's first near member. Pairs of tiles number as the occupied area, whatever
+    the number of nodes; denser nodes want more ``parts``.
+    """
+    side = radius / parts
+    tile = lambda c: F.floor(F.col(c) / side).cast("int")
+    own = nodes.select("node_id", "block_id", "x_m", "y_m", tile("x_m").alias("tx"), tile("y_m").alias("ty"))
+    there = members.select("grp", F.col("block_id").alias("nbr_block"), F.col("x_m").alias("rx"), F.col("y_m").alias("ry"), tile("x_m").alias("ux"), tile("y_m").alias("uy"))
+    steps = F.sequence(F.lit(-parts), F.lit(parts))
+    around = own.select("tx", "ty", "block_id").distinct().withColumn("dx", F.explode(steps)).withColumn("dy", F.explode(steps))
+    away = lambda d, k: F.greatest(F.abs(F.col(d)) + k, F.lit(0)) * side
+    least, most = away("dx", -1) * away("dx", -1) + away("dy", -1) * away("dy", -1), away("dx", 1) * away("dx", 1) + away("dy", 1) * away("dy", 1)
+    open_ = around.filter(least < radius * radius).select("tx", "ty", "block_id", (most < radius * radius).alias("sure"), (F.col("tx") + F.col("dx")).alias("ux"), (F.col("ty") + F.col("dy")).alias("uy"))
+    met = open_.join(there.select("ux", "uy", "grp", "nbr_block").distinct(), ["ux", "uy"]).filter("block_id <> nbr_block").select("tx", "ty", "block_id", "ux", "uy", "grp", "sure")
+    met = materialise(met, "tiles")
+    key = ["tx", "ty", "block_id"]
+    sure = met.filter("sure").select(*key, "grp").distinct()
+    left = met.filter("not sure").join(sure, [*key, "grp"], "left_anti")
+    asked = own.join(left, key).alias("a")
+    d2 = (F.col("x_m") - F.col("rx")) * (F.col("x_m") - F.col("rx")) + (F.col("y_m") - F.col("ry")) * (F.col("y_m") - F.col("ry"))
+    place = (F.col("a.ux") == F.col("b.ux")) & (F.col("a.uy") == F.col("b.uy")) & (F.col("a.grp") == F.col("b.grp"))
+    found = asked.join(there.alias("b"), place & (d2 < radius * radius), "left_semi").select("node_id", "block_id", "grp").distinct()
+    return own.join(sure, key).select("node_id", "block_id", "grp").unionByName(found)
+
+
+def near_blocks(nodes: DataFrame, radius: int) -> DataFrame:
     """(node_id, block_id, nbr_blocks): the other blocks within reach of a node, at most eight on a grid."""
-    return pairs.groupBy("node_id", "block_id").agg(F.array_sort(F.collect_set("nbr_block")).alias("nbr_blocks"))
+    found = groups_within(nodes, nodes.withColumn("grp", F.col("block_id")), radius)
+    return found.groupBy("node_id", "block_id").agg(F.array_sort(F.collect_set("grp")).alias("nbr_blocks"))
 
 
-def near_sets(pairs: DataFrame) -> DataFrame:
-    """(node_id, block_id, nbr_block, seen): for each near block, the distinct block sets its near nodes see."""
-    own = near_blocks(pairs).select(F.col("node_id").alias("nbr_id"), F.col("nbr_blocks").alias("seen"))
-    return pairs.join(own, "nbr_id").select("node_id", "block_id", "nbr_block", "seen").distinct()
+def near_sets(nodes: DataFrame, radius: int) -> DataFrame:
+    """(node_id, block_id, nbr_block, seen): for each near block, the distinct block sets its near nodes see.
+
+    Nodes of a block that see the same blocks are a class; a node that sees no other block is near none.
+    """
+    own = materialise(near_blocks(nodes, radius), "near-blocks")
+    classes = materialise(own.groupBy("block_id", "nbr_blocks").agg(F.min("node_id").alias("grp")), "near-classes")
+    members = nodes.join(own.join(classes, ["block_id", "nbr_blocks"]).select("node_id", "grp"), "node_id").select("node_id", "block_id", "x_m", "y_m", "grp")
+    named = classes.select("grp", F.col("block_id").alias("nbr_block"), F.col("nbr_blocks").alias("seen"))
+    return groups_within(nodes, members, radius).join(named, "grp").select("node_id", "block_id", "nbr_block", "seen")
 
 
 def kept(nodes: DataFrame, roles: DataFrame, sets: DataFrame) -> DataFrame:

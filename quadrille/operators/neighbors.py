@@ -7,10 +7,14 @@ partitions hold places, not a product of both sides. Distances are compared squa
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.functions.geo import cell_of
+from quadrille.operators.shared import materialise
 
 
 def bucketed(points: DataFrame, x: str, y: str, side: float, around: int = 0) -> DataFrame:
@@ -49,22 +53,32 @@ def top_k(pairs: DataFrame, by: list[str], order: list[Column], k: int) -> DataF
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("rank") <= k)
 
 
-def k_nearest(left: DataFrame, right: DataFrame, key: str, other: str, k: int, side: float, most: int = 12) -> DataFrame:
-    """The k nearest rows of ``right`` for each row of ``left``, whatever their distance.
+def k_nearest(left: DataFrame, right: DataFrame, key: str, other: str, k: int, side: float | None = None) -> DataFrame:
+    """The k nearest rows of ``right`` for each row of ``left``, whatever their distance; all if there are fewer.
 
-    Rings of growing radius: rows that found k within a radius are done, the rest look twice as far.
-    Rows for which ``most`` doublings don't do see all that was found within the last. Ties go to the
+    Rings of growing radius: rows that found k within a radius are done, the rest look twice as far,
+    until the radius covers all points. The first radius is ``side``, or what holds about 2 k points at
+    the mean density. What is left and what is done are written after each ring. Ties go to the
     smaller ``other``.
     """
-    found, rest, radius = None, left, float(side)
-    for step in range(most):
+    ends = right.agg(F.count("*"), F.min("rx"), F.max("rx"), F.min("ry"), F.max("ry")).first()
+    own = left.agg(F.min("lx"), F.max("lx"), F.min("ly"), F.max("ly")).first()
+    if not ends[0] or own[0] is None:
+        return top_k(within(left, right, 1.0, strict=False), [key], [F.col("d2"), F.col(other)], k)
+    width, height = max(ends[2], own[1]) - min(ends[1], own[0]), max(ends[4], own[3]) - min(ends[3], own[2])
+    most = math.hypot(width, height) + 1
+    dense = math.sqrt(2 * k * max(ends[2] - ends[1], 1) * max(ends[4] - ends[3], 1) / (math.pi * ends[0]))
+    radius, rest, done = min(float(side or dense), most), left, []
+    while True:
         pairs = within(rest, right, radius, strict=False)
-        best = top_k(pairs, [key], [F.col("d2"), F.col(other)], k)
-        full = best.groupBy(key).count().filter(F.col("count") == k).select(key) if step < most - 1 else best.select(key).distinct()
-        done = best.join(full, key, "left_semi")
-        found = done if found is None else found.unionByName(done)
-        rest = rest.join(full, key, "left_anti")
-        radius *= 2
+        best = materialise(top_k(pairs, [key], [F.col("d2"), F.col(other)], k), "nearest")
+        if radius >= most:
+            done.append(best)
+            break
+        full = best.groupBy(key).count().filter(F.col("count") == k).select(key)
+        done.append(best.join(full, key, "left_semi"))
+        rest = materialise(rest.join(full, key, "left_anti"), "rest")
         if rest.isEmpty():
             break
-    return found
+        radius = min(2 * radius, most)
+    return reduce(DataFrame.unionByName, done)

@@ -10,6 +10,7 @@ from quadrille.functions import propagation as P
 from quadrille.functions import stats
 from quadrille.functions.geo import edge_distance
 from quadrille.operators import buffer, neighbors, partition
+from quadrille.operators.shared import materialise
 from quadrille.plans.base import query
 
 #: Blocks that the driver permutes with the legacy generator, at most.
@@ -37,9 +38,15 @@ def _roles(spark, sf) -> DataFrame:
     return partition.roles(_draws(spark, sf))
 
 
+def _placed(spark, sf) -> DataFrame:
+    """The nodes' places, written once for all the steps that read them."""
+    return materialise(nodes(spark, sf).select("node_id", "block_id", "x_m", "y_m"), "places")
+
+
 def _kept(spark, sf) -> DataFrame:
-    rows = nodes(spark, sf)
-    return buffer.kept(rows, _roles(spark, sf), buffer.near_sets(buffer.near(rows, BUFFER_M)))
+    rows = _placed(spark, sf)
+    roles = partition.roles(draws(rows.select("block_id")))
+    return buffer.kept(rows, roles, materialise(buffer.near_sets(rows, BUFFER_M), "near-sets"))
 
 
 @query(f"with {_BASE} select seed, block_id, pos from draws")
@@ -91,9 +98,9 @@ def b07_simple_random_sample(spark, sf):
 @query(f"with {_BASE},{_PAIRS}, f as (select seed, block_id, (pos - 1) // 6 as fold from (select seed, block_id, pos from draws)), nb as (select distinct i, bj from pairs), bad as (select distinct o.seed, n.node_id from nodes n join f o on o.block_id = n.block_id join nb on nb.i = n.node_id join f g on g.seed = o.seed and g.block_id = nb.bj where g.fold <> o.fold) select o.seed, cast(o.fold as integer) as fold, count(*) as n, count(*) filter (where b.node_id is null) as n_kept from nodes n join f o on o.block_id = n.block_id left join bad b on b.seed = o.seed and b.node_id = n.node_id group by 1, 2")
 def b08_fold_keep_mask(spark, sf):
     """A node stays in its fold's hold-out if all blocks within reach are in that fold, too."""
-    rows = nodes(spark, sf)
-    folds = partition.folds(_draws(spark, sf), 6, exact=True)
-    reach = buffer.near_blocks(buffer.near(rows, BUFFER_M)).select("node_id", "nbr_blocks")
+    rows = _placed(spark, sf)
+    folds = partition.folds(draws(rows.select("block_id")), 6, exact=True)
+    reach = buffer.near_blocks(rows, BUFFER_M).select("node_id", "nbr_blocks")
     by_seed = folds.groupBy("seed").agg(F.map_from_entries(F.collect_list(F.struct("block_id", "fold"))).alias("fold_of"))
     classes = rows.select("node_id", "block_id").join(reach, "node_id", "left").groupBy("block_id", "nbr_blocks").agg(F.count("*").alias("n"))
     judged = classes.join(F.broadcast(by_seed)).withColumn("fold", F.element_at("fold_of", F.col("block_id")))
@@ -114,10 +121,9 @@ def _verified(spark, sf, drawn: str) -> DataFrame:
     return members.groupBy("seed", "role").agg(F.count("*").alias("n"), F.countDistinct("node_id").alias("n_distinct")).join(near, ["seed", "role"], "left").select("seed", "role", "n", "n_distinct", F.coalesce("clashes", F.lit(0)).alias("clashes"))
 
 
-@query(f"with {_TRIM}, m as (select seed, role, node_id from placed where role = 'train' union all select seed, role, node_id from kept where kept) select a.seed, a.role, count(*) as n, count(distinct a.node_id) as n_distinct, cast(coalesce(sum(c), 0) as bigint) as clashes from m a left join (select m1.seed, m1.role, m1.node_id, count(*) as c from m m1 join pairs q on q.i = m1.node_id join m m2 on m2.seed = m1.seed and m2.node_id = q.j where m1.role <> m2.role group by 1, 2, 3) x on x.seed = a.seed and x.role = a.role and x.node_id = a.node_id where a.seed < 3 group by 1, 2")
+@query(f"with {_TRIM}, m as (select seed, role, node_id from placed where role = 'train' union all select seed, role, node_id from kept where kept) select a.seed, a.role, count(*) as n, count(distinct a.node_id) as n_distinct, cast(coalesce(sum(c), 0) as bigint) as clashes from m a left join (select m1.seed, m1.role, m1.node_id, count(*) as c from m m1 join pairs q on q.i = m1.node_id join m m2 on m2.seed = m1.seed and m2.node_id = q.j where m1.role <> m2.role group by 1, 2, 3) x on x.seed = a.seed and x.role = a.role and x.node_id = a.node_id group by 1, 2")
 def b10_split_verification(spark, sf):
-    """For three draws, as its SQL does; for all draws see below."""
-    return _verified(spark, sf, "seed < 3")
+    return _verified(spark, sf, "true")
 
 
 @query()
@@ -150,10 +156,10 @@ def j02_sequential_trim(spark, sf):
     return _kept(spark, sf).filter("kept").select("seed", "node_id", "role")
 
 
-@query(f"with {_TRIM} select seed, node_id, role from kept where kept and seed < 2")
+@query(f"with {_TRIM} select seed, node_id, role from kept where kept")
 def j03_direct_trim(spark, sf):
-    """The same by distance anti-joins a draw, for two draws."""
-    return buffer.kept_directly(nodes(spark, sf), _roles(spark, sf).filter("seed < 2"), BUFFER_M)
+    """The same by distance anti-joins a draw."""
+    return buffer.kept_directly(_placed(spark, sf), _roles(spark, sf), BUFFER_M)
 
 
 @query()
@@ -163,7 +169,7 @@ def j03_direct_trim_of_all_draws(spark, sf):
 
 @query(f"with {_BASE},{_PAIRS} select i as node_id, bi as block_id, count(distinct bj) as m, array_to_string(list_sort(list_distinct(list(bj))), ',') as blocks from pairs group by 1, 2")
 def j18_block_neighbourhood(spark, sf):
-    found = buffer.near_blocks(buffer.near(nodes(spark, sf), BUFFER_M))
+    found = buffer.near_blocks(_placed(spark, sf), BUFFER_M)
     return found.select("node_id", "block_id", F.size("nbr_blocks").cast("bigint").alias("m"), F.array_join(F.col("nbr_blocks").cast("array<string>"), ",").alias("blocks"))
 
 
@@ -173,8 +179,8 @@ def j19_node_classes(spark, sf):
     rows = nodes(spark, sf)
     left = rows.select("node_id", "block_id", F.col("x_m").alias("lx"), F.col("y_m").alias("ly"))
     right = rows.select(F.col("node_id").alias("nbr_id"), F.col("block_id").alias("nbr_block"), F.col("x_m").alias("rx"), F.col("y_m").alias("ry"))
-    pairs = neighbors.within(left, right, BUFFER_M).filter("block_id <> nbr_block")
-    seen = buffer.near_blocks(pairs)
+    pairs = materialise(neighbors.within(left, right, BUFFER_M).filter("block_id <> nbr_block"), "pairs")
+    seen = pairs.groupBy("node_id", "block_id").agg(F.array_sort(F.collect_set("nbr_block")).alias("nbr_blocks"))
     nearest = pairs.groupBy("node_id", "block_id", "nbr_block").agg(F.min_by("nbr_id", F.struct("d2", "nbr_id")).alias("nbr_id"))
     of_nearest = seen.select(F.col("node_id").alias("nbr_id"), F.col("nbr_blocks").alias("its"))
     judged = nearest.join(of_nearest, "nbr_id").join(seen.select("node_id", "nbr_blocks"), "node_id")

@@ -10,10 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quadrille.fixtures import BUFFER_M, DRAWS_SQL, FEATURES_SQL, SEEDS, draws, features
+from quadrille.fixtures import BUFFER_M, DRAWS_SQL, FEATURES_SQL, NODES_SQL, SEEDS, draws, features
 from quadrille.operators import buffer, partition
+from quadrille.operators.shared import materialise
 from quadrille.plans.base import query
-from quadrille.plans.blocks import populations
+from quadrille.plans.blocks import _TRIM, populations
 
 # Sums by block come first: a draw takes whole blocks, so draws only ever meet the block rows.
 _BLOCKS = f"with {FEATURES_SQL}, {DRAWS_SQL}, bs as (select block_id, sum(round(abs(rssi_pred - rssi), 6)) as s, count(*) as m from feats group by 1), tb as (select seed, block_id, s, m from bs join roles using (block_id) where role = 'test'), h as (select seed, sum(s) / sum(m) as err, sum(m) as m, sum(s) as s, count(*) as k from tb group by 1), u as (select sum(s) / sum(m) as mu, count(*) as n_blocks from bs)"
@@ -108,7 +109,7 @@ def _scored(spark, sf) -> DataFrame:
 
 def _surviving(rows: DataFrame) -> DataFrame:
     """(seed, block_id, node_id, pop, e, p): each draw's test nodes after trimming, p their inclusion frequency (A13)."""
-    held = buffer.kept(rows, partition.roles(draws(rows.select("block_id"))), buffer.near_sets(buffer.near(rows, BUFFER_M))).filter("kept and role = 'test'")
+    held = buffer.kept(rows, partition.roles(draws(rows.select("block_id"))), buffer.near_sets(materialise(rows.select("node_id", "block_id", "x_m", "y_m"), "places"), BUFFER_M)).filter("kept and role = 'test'")
     share = F.count("*").over(Window.partitionBy("node_id")) / F.lit(float(SEEDS))
     return populations(held.select("seed", "node_id", share.alias("p")).join(rows.select("node_id", "block_id", "is_sentinel", "e"), "node_id")).select("seed", "block_id", "node_id", "pop", "e", "p")
 
@@ -123,22 +124,31 @@ def _trimmed_draws(rows: DataFrame) -> DataFrame:
     return _trimmed_blocks(rows).groupBy("seed", "pop").agg((F.sum("s") / F.sum("m")).alias("err"), F.sum("m").alias("m"), F.sum("s").alias("s"), F.count("*").alias("k"), (F.sum("sp") / F.sum("wp")).alias("hajek"))
 
 
+#: The trimmed test nodes of each draw by population, and each draw's errors, for the oracle.
+_NODES_TRIMMED = f"""with {_TRIM.replace(NODES_SQL, FEATURES_SQL)},
+sc as (select node_id, block_id, is_sentinel, round(abs(rssi_pred - rssi), 6) as e from feats),
+inc as (select node_id, count(*) / {SEEDS}.0::double as p from kept where kept and role = 'test' group by 1),
+tn as (select k.seed, block_id, node_id, pop, e, p from kept k join sc using (node_id) join inc using (node_id), (select unnest(['valid', 'sentinel', 'all']) as pop) where k.kept and k.role = 'test' and (pop = 'all' or (pop = 'valid') = (not is_sentinel))),
+dr as (select seed, pop, sum(e) / count(*) as err, count(*) as m, sum(e) as s, count(distinct block_id) as k, sum(e / p) / sum(1 / p) as hajek from tn group by 1, 2),
+mu as (select pop, avg(e) as mu from sc, (select unnest(['valid', 'sentinel', 'all']) as pop) where (pop = 'all' or (pop = 'valid') = (not is_sentinel)) group by 1)"""
+
+
 def _six(*columns: str) -> list[Column]:
     return [F.round(c, 6).alias(c) for c in columns]
 
 
-@query()
+@query(f"{_NODES_TRIMMED} select seed, pop, round(err, 6) as err, m, k from dr")
 def e01_trimmed_hold_out_mean(spark, sf):
     return _trimmed_draws(_scored(spark, sf)).select("seed", "pop", *_six("err"), "m", "k")
 
 
-@query()
+@query(f"{_NODES_TRIMMED} select seed, pop, round(hajek, 6) as hajek from dr")
 def e03_trimmed_inverse_probability_mean(spark, sf):
     """Nodes weighed by their inclusion frequency over the same draws, which is above 0 for all that a draw keeps."""
     return _trimmed_draws(_scored(spark, sf)).select("seed", "pop", *_six("hajek"))
 
 
-@query()
+@query(f"{_NODES_TRIMMED}, x as (select mu.pop, count(err) as draws, avg(err - mu) as bias, stddev_samp(err) / sqrt(count(err)) as se, sqrt(avg((err - mu) * (err - mu))) as rmse, var_samp(err) as variance from mu left join dr on dr.pop = mu.pop group by 1) select pop, draws, {SEEDS} - draws as undefined, round(bias, 6) as bias, round(se, 6) as se, round(case when se > 0 then bias / se end, 6) as bias_in_se, round(rmse, 6) as rmse, round(variance, 6) as variance from x")
 def e04_trimmed_bias_and_error(spark, sf):
     """By population about its mean over all nodes; ``undefined`` counts draws that leave it no node."""
     rows = _scored(spark, sf)
@@ -148,12 +158,12 @@ def e04_trimmed_bias_and_error(spark, sf):
     return found.withColumn("bias_in_se", F.when(F.col("se") > 0, F.col("bias") / F.col("se"))).select("pop", "draws", "undefined", *_six("bias", "se", "bias_in_se", "rmse", "variance"))
 
 
-@query()
+@query(f"{_NODES_TRIMMED} select pop, round(avg(err) - sum(s) / sum(m), 6) as gap, round(-covar_pop(err, m) / avg(m), 6) as ratio_term from dr group by 1")
 def e06_trimmed_ratio_term(spark, sf):
     return _trimmed_draws(_scored(spark, sf)).groupBy("pop").agg(F.round(F.avg("err") - F.sum("s") / F.sum("m"), 6).alias("gap"), F.round(-F.covar_pop("err", F.col("m").cast("double")) / F.avg("m"), 6).alias("ratio_term"))
 
 
-@query()
+@query(f"{_NODES_TRIMMED}, nd as (select pop, count(*) as n from dr group by 1) select node_id, tn.pop, round(sum(1.0::double / dr.m) / any_value(n), 9) as weight from tn join dr on dr.seed = tn.seed and dr.pop = tn.pop join nd on nd.pop = tn.pop group by 1, 2")
 def e07_trimmed_draw_weights(spark, sf):
     """By node: the mean, over the draws that leave its population any node, of one over their number; sums to 1."""
     kept = _surviving(_scored(spark, sf))
@@ -203,3 +213,12 @@ def e09_trimmed_variance_ratio_and_coverage(spark, sf):
     each = sums.select("pop", "variant", "v", "d", F.explode("r").alias("r"))
     covered = F.size(F.filter("d", lambda x: F.abs(x["err"] - F.col("r.x.mean")) <= 2 * F.sqrt(x["v"])))
     return each.select("pop", "variant", "r.reading", F.round(F.try_divide(F.col("v"), F.col("r.x.var")), 6).alias("q"), F.round(F.try_divide(covered, F.size("d")), 6).alias("coverage"))
+
+
+@query(f"{_NODES_TRIMMED} select mu.pop, round(any_value(mu), 6) as domain_mean, round(avg(err), 6) as protocol_mean, round(sum(s) / sum(m), 6) as ratio_mean, round(avg(hajek), 6) as hajek_mean, round(avg(err) - any_value(mu), 6) as bias from mu join dr using (pop) group by 1")
+def a15_estimands(spark, sf):
+    """By population: the mean over all nodes, over draws of their means, of the ratio of sums, and over draws weighed by inclusion."""
+    rows = _scored(spark, sf)
+    mean = populations(rows).groupBy("pop").agg(F.avg("e").alias("mu"))
+    drawn = _trimmed_draws(rows).groupBy("pop").agg(F.avg("err").alias("b"), (F.sum("s") / F.sum("m")).alias("c"), F.avg("hajek").alias("d"))
+    return drawn.join(mean, "pop").select("pop", F.round("mu", 6).alias("domain_mean"), F.round("b", 6).alias("protocol_mean"), F.round("c", 6).alias("ratio_mean"), F.round("d", 6).alias("hajek_mean"), F.round(F.col("b") - F.col("mu"), 6).alias("bias"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quadrille.fixtures import FREQUENCY, NODES_SQL, antennas, nodes, table
+from quadrille.fixtures import FREQUENCY, NODES_SQL, SITES_SQL, nodes, sites, table
 from quadrille.functions import propagation as P
+from quadrille.functions import stats
 from quadrille.operators import graph, neighbors
 from quadrille.plans.base import query
 
@@ -23,26 +24,26 @@ def _right(rows: DataFrame) -> DataFrame:
     return rows.select("ant_id", F.col("ax").alias("rx"), F.col("ay").alias("ry"))
 
 
-@query(f"with {NODES_SQL} select node_id, round(sqrt(d2), 6) as d_min from nodes")
+@query(f"with {NODES_SQL}, {SITES_SQL} select n.node_id, round(sqrt(cast(min({_D2}) as double)), 6) as d_min from nodes n, sites a group by 1")
 def j04_distance_to_set(spark, sf):
     """Distance to the nearest of a set of points, by rings of growing radius."""
-    found = neighbors.k_nearest(_left(nodes(spark, sf), "node_id"), _right(antennas(spark, sf)), "node_id", "ant_id", 1, 8_000.0)
+    found = neighbors.k_nearest(_left(nodes(spark, sf), "node_id"), _right(sites(spark, sf)), "node_id", "ant_id", 1)
     return found.select("node_id", F.round(F.sqrt(F.col("d2").cast("double")), 6).alias("d_min"))
 
 
-@query(f"with {NODES_SQL} select n.node_id, arg_min(a.ant_id, struct_pack(d := {_D2}, a := a.ant_id)) as ant_id, min({_D2}) as d2 from nodes n, ant a group by 1")
+@query(f"with {NODES_SQL}, {SITES_SQL} select n.node_id, arg_min(a.ant_id, struct_pack(d := {_D2}, a := a.ant_id)) as ant_id, min({_D2}) as d2 from nodes n, sites a group by 1")
 def j05_nearest_antenna(spark, sf):
-    found = neighbors.k_nearest(_left(nodes(spark, sf), "node_id"), _right(antennas(spark, sf)), "node_id", "ant_id", 1, 8_000.0)
+    found = neighbors.k_nearest(_left(nodes(spark, sf), "node_id"), _right(sites(spark, sf)), "node_id", "ant_id", 1)
     return found.select("node_id", "ant_id", "d2")
 
 
 def _reach(spark, sf) -> DataFrame:
-    pairs = neighbors.within(_left(nodes(spark, sf), "node_id"), _right(antennas(spark, sf)), RADIUS_M, strict=False)
+    pairs = neighbors.within(_left(nodes(spark, sf), "node_id"), _right(sites(spark, sf)), RADIUS_M, strict=False)
     loss = P.free_space(F.sqrt(F.col("d2").cast("double")), F.lit(FREQUENCY))
-    return pairs.withColumn("rssi", F.round(43.0 - F.col("ant_id") - loss, 6)).filter("rssi > -150")
+    return pairs.withColumn("rssi", F.round(43.0 - F.col("ant_id") % 10 - loss, 6)).filter("rssi > -150")
 
 
-_REACH = f"reach as (select n.node_id, a.ant_id, {_D2} as d2, round(43.0::double - a.ant_id - (20 * log10(greatest(sqrt(cast({_D2} as double)) / 1000.0, 0.001)) + 20 * log10(900.0::double) + 32.44::double), 6) as rssi from nodes n, ant a where {_D2} <= {_R2})"
+_REACH = f"{SITES_SQL}, reach as (select n.node_id, a.ant_id, {_D2} as d2, round(43.0::double - a.ant_id % 10 - (20 * log10(greatest(sqrt(cast({_D2} as double)) / 1000.0, 0.001)) + 20 * log10(900.0::double) + 32.44::double), 6) as rssi from nodes n, sites a where {_D2} <= {_R2})"
 
 
 @query(f"with {NODES_SQL}, {_REACH} select node_id, ant_id, rssi, cast(row_number() over (partition by node_id order by rssi desc, ant_id) as integer) as rank from reach where rssi > -150 qualify row_number() over (partition by node_id order by rssi desc, ant_id) <= {BEST}")
@@ -67,14 +68,14 @@ def _points(spark, sf) -> DataFrame:
 def _eight_nearest(points: DataFrame, placed: DataFrame) -> DataFrame:
     left = points.select("pt", F.col("px").alias("lx"), F.col("py").alias("ly"))
     right = placed.select("node_id", F.col("x_m").alias("rx"), F.col("y_m").alias("ry"))
-    found = neighbors.k_nearest(left, right, "pt", "node_id", 8, 1_500.0)
+    found = neighbors.k_nearest(left, right, "pt", "node_id", 8)
     return found.select("pt", "node_id", "d2", F.round(1 / (F.col("d2") + 1e-6), 12).alias("weight"), F.col("rank").cast("int").alias("rank"))
 
 
-@query(f"with {NODES_SQL}, {_POINTS}, d as (select pt, node_id, (px - x_m) * (px - x_m) + (py - y_m) * (py - y_m) as d2 from pts, nodes where pt % 20 = 0) select pt, node_id, d2, round(1 / (d2 + 1e-6), 12) as weight, cast(row_number() over (partition by pt order by d2, node_id) as integer) as rank from d qualify row_number() over (partition by pt order by d2, node_id) <= 8")
+@query(f"with {NODES_SQL}, {_POINTS}, d as (select pt, node_id, (px - x_m) * (px - x_m) + (py - y_m) * (py - y_m) as d2 from pts, nodes) select pt, node_id, d2, round(1 / (d2 + 1e-6), 12) as weight, cast(row_number() over (partition by pt order by d2, node_id) as integer) as rank from d qualify row_number() over (partition by pt order by d2, node_id) <= 8")
 def j08_k_nearest_weights(spark, sf):
-    """Eight nearest nodes of measured points (the stated query set: numbers divisible by 20), with inverse square weights."""
-    return _eight_nearest(_points(spark, sf).filter("pt % 20 = 0"), nodes(spark, sf))
+    """Eight nearest nodes of every measured point, with inverse square weights."""
+    return _eight_nearest(_points(spark, sf), nodes(spark, sf))
 
 
 @query()
@@ -208,10 +209,10 @@ def a25_edge_lengths(spark, sf):
     return _lattice(spark).filter("src <> dst").agg(F.round(F.max("dist"), 6).alias("longest"), F.round(F.avg("dist"), 6).alias("mean"), F.round(F.percentile("dist", 0.99), 6).alias("p99"))
 
 
-@query(f"with {NODES_SQL}, {_REACH} select node_id, round(avg(rssi), 6) as mean from reach group by node_id")
+@query(f"with {NODES_SQL}, {_REACH} select node_id, {stats.exact_mean_sql('rssi')} as mean from reach group by node_id")
 def g1_mean_of_neighbours(spark, sf):
     """One step of mean aggregation from antennas to nodes."""
-    return _reach(spark, sf).groupBy("node_id").agg(F.round(F.avg("rssi"), 6).alias("mean"))
+    return _reach(spark, sf).groupBy("node_id").agg(stats.exact_mean(F.col("rssi")).alias("mean"))
 
 
 @query(f"with {NODES_SQL}, c as (select quantile_cont(x_m, 0.5) as cx, quantile_cont(y_m, 0.5) as cy from nodes), d as (select node_id, greatest(abs(x_m - cx), abs(y_m - cy)) as h from nodes, c), r as (select h, count(*) over (order by h range between unbounded preceding and current row) as below from d), w as (select max(h) as h from r where below <= 500) select node_id from d, w where d.h <= w.h")

@@ -30,12 +30,12 @@ def _roled(spark, sf) -> DataFrame:
 def _errors(guess: str, truth: str, tag: str, where: Column | None = None) -> list[Column]:
     e = F.col(guess) - F.col(truth)
     e = e if where is None else F.when(where, e)
-    return [_r(F.avg(F.abs(e))).alias(f"mae_{tag}"), _r(F.sqrt(F.avg(e * e))).alias(f"rmse_{tag}"), _r(F.avg(e)).alias(f"bias_{tag}"), _r(F.percentile(F.abs(e), 0.9)).alias(f"p90_{tag}")]
+    return [stats.exact_mean(F.abs(e)).alias(f"mae_{tag}"), _r(F.sqrt(F.avg(e * e))).alias(f"rmse_{tag}"), stats.exact_mean(e).alias(f"bias_{tag}"), _r(F.percentile(F.abs(e), 0.9)).alias(f"p90_{tag}")]
 
 
 def _errors_sql(guess: str, truth: str, tag: str, where: str = "true") -> str:
     e, f = f"({guess} - {truth})", f"filter (where {where})"
-    return f"round(avg(abs{e}) {f}, 6) as mae_{tag}, round(sqrt(avg({e} * {e}) {f}), 6) as rmse_{tag}, round(avg{e} {f}, 6) as bias_{tag}, round(quantile_cont(abs{e}, 0.9) {f}, 6) as p90_{tag}"
+    return f"{stats.exact_mean_sql(f'abs{e}', where)} as mae_{tag}, round(sqrt(avg({e} * {e}) {f}), 6) as rmse_{tag}, {stats.exact_mean_sql(e, where)} as bias_{tag}, round(quantile_cont(abs{e}, 0.9) {f}, 6) as p90_{tag}"
 
 
 @query(f"{_ROLED} select seed, role, count(*) as n, {_errors_sql('rssi_pred', 'rssi', 'rssi')}, {_errors_sql('pl_pred', 'path_loss', 'pl', 'not is_sentinel')} from p group by 1, 2")
