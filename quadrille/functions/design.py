@@ -78,6 +78,22 @@ def complete_runs(runs: DataFrame, logs: DataFrame, data: DataFrame) -> DataFram
     return both.select("run", (F.coalesce("log", F.lit(False)) & F.coalesce(F.col("sha256") == F.col("declared"), F.lit(False))).alias("complete"))
 
 
+def extreme_ratio(rows: DataFrame, most: bool, rounds: int = 200) -> float | None:
+    """The greatest or least sum(p e) / sum(p) over rows (e, lo, hi) with p between lo and hi.
+
+    Dinkelbach's iterations, one aggregation each: rows beyond the current ratio take hi, the others lo.
+    """
+    now = rows.agg(F.try_divide(F.sum(F.col("lo") * F.col("e")), F.sum("lo"))).first()[0]
+    for _ in range(rounds if now is not None else 0):
+        beyond = F.col("e") > now if most else F.col("e") < now
+        p = F.when(beyond, F.col("hi")).otherwise(F.col("lo"))
+        new = rows.agg(F.sum(p * F.col("e")) / F.sum(p)).first()[0]
+        if abs(new - now) <= 1e-13 * max(1.0, abs(now)):
+            return new
+        now = new
+    return now
+
+
 def thousands(x: Column) -> Column:
     """Whole numbers with a blank between each three digits."""
     return F.replace(F.format_number(x, 0), F.lit(","), F.lit(" "))

@@ -9,7 +9,7 @@ from quadrille.fixtures import BUFFER_M, DRAWS_SQL, FREQUENCY, NODES_SQL, SEEDS,
 from quadrille.functions import propagation as P
 from quadrille.functions import stats
 from quadrille.functions.geo import edge_distance
-from quadrille.operators import buffer, neighbors, partition
+from quadrille.operators import buffer, neighbors, partition, ranks
 from quadrille.operators.shared import materialise
 from quadrille.plans.base import query
 
@@ -239,7 +239,10 @@ def calibration(spark, sf) -> DataFrame:
     """(seed, c, oa, ob) from training rows: median level, and median offsets over all and valid rows."""
     pl = P.free_space(F.col("dist_m"), F.lit(FREQUENCY))
     train = nodes(spark, sf).join(F.broadcast(_roles(spark, sf).filter("role = 'train'")), "block_id")
-    return train.groupBy("seed").agg(F.median("rssi").alias("c"), F.median(F.col("rssi") + pl).alias("oa"), F.median(F.when(~F.col("is_sentinel"), F.col("rssi") + pl)).alias("ob"))
+    kinds = {"c": F.col("rssi"), "oa": F.col("rssi") + pl, "ob": F.when(~F.col("is_sentinel"), F.col("rssi") + pl)}
+    values = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), x.alias("x")) for k, x in kinds.items()]))
+    middles = ranks.quantiles(train.select("seed", values.alias("v")).select("seed", "v.kind", "v.x"), ["seed", "kind"], "x", {"m": 0.5})
+    return middles.groupBy("seed").agg(*[F.max(F.when(F.col("kind") == k, F.col("m"))).alias(k) for k in kinds])
 
 
 def drift(spark, sf) -> DataFrame:

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrille.fixtures import BUFFER_M, DRAWS_SQL, FEATURES_SQL, NODES_SQL, SEEDS, draws, features
-from quadrille.operators import buffer, partition
+from quadrille.functions import design
+from quadrille.operators import buffer, partition, ranks
 from quadrille.operators.shared import materialise
 from quadrille.plans.base import query
 from quadrille.plans.blocks import _TRIM, populations
@@ -222,3 +223,114 @@ def a15_estimands(spark, sf):
     mean = populations(rows).groupBy("pop").agg(F.avg("e").alias("mu"))
     drawn = _trimmed_draws(rows).groupBy("pop").agg(F.avg("err").alias("b"), (F.sum("s") / F.sum("m")).alias("c"), F.avg("hajek").alias("d"))
     return drawn.join(mean, "pop").select("pop", F.round("mu", 6).alias("domain_mean"), F.round("b", 6).alias("protocol_mean"), F.round("c", 6).alias("ratio_mean"), F.round("d", 6).alias("hajek_mean"), F.round(F.col("b") - F.col("mu"), 6).alias("bias"))
+
+
+_HASH = "((h1 * h1) % 2147483647 * 16807 + h1) % 2147483647"
+_SAMPLED = f"""{_NODES_TRIMMED},
+size as (select seed, count(*) as n from kept where kept and role = 'test' group by 1),
+hs as (select seed, node_id, (node_id * 48271 + seed * 69621 + 1) % 2147483647 as h1 from sc, (select cast(unnest(range({SEEDS})) as bigint) as seed)),
+sa as (select hs.seed, node_id from hs join size using (seed) qualify row_number() over (partition by hs.seed order by {_HASH}, node_id) <= any_value(n) over (partition by hs.seed)),
+est as (select 'H' as name, seed, node_id from kept where kept and role = 'test' union all select 'H0', seed, node_id from kept where role = 'test' union all select 'A', seed, node_id from sa),
+ed as (select name, seed, pop, sum(e) / count(*) as err, count(*) as m from est join sc using (node_id), (select unnest(['valid', 'sentinel', 'all']) as pop) where (pop = 'all' or (pop = 'valid') = (not is_sentinel)) group by 1, 2, 3)"""
+
+
+def _three_estimates(rows: DataFrame) -> DataFrame:
+    """(name, seed, pop, err, m): H on trimmed test nodes, H0 on all test nodes, A on as many nodes as H drawn at random."""
+    places = materialise(rows.select("node_id", "block_id", "x_m", "y_m"), "places")
+    roles = partition.roles(draws(places.select("block_id")))
+    tested = materialise(buffer.kept(places, roles, materialise(buffer.near_sets(places, BUFFER_M), "near-sets")).filter("role = 'test'"), "tested")
+    size = tested.filter("kept").groupBy("seed").agg(F.count("*").alias("n"))
+    hashed = places.select("node_id").join(F.broadcast(size)).selectExpr("seed", "n", "node_id", "(node_id * 48271 + seed * 69621 + 1) % 2147483647 as h1").selectExpr("seed", "n", "node_id", f"{_HASH} as h")
+    sample = ranks.ranked(hashed, ["seed"], ["h", "node_id"]).filter("rank <= n")
+    members = lambda name, df: df.select(F.lit(name).alias("name"), "seed", "node_id")
+    every = members("H", tested.filter("kept")).unionByName(members("H0", tested)).unionByName(members("A", sample))
+    scored = populations(every.join(rows.select("node_id", "is_sentinel", "e"), "node_id"))
+    return scored.groupBy("name", "seed", "pop").agg((F.sum("e") / F.count("*")).alias("err"), F.count("*").alias("m"))
+
+
+@query(f"{_SAMPLED} select name, seed, pop, round(err, 6) as err, m from ed")
+def e02_three_estimates(spark, sf):
+    """The hold-out mean after and before trimming, and that of a simple random sample of equal size; the sample is the feature."""
+    return _three_estimates(_scored(spark, sf)).select("name", "seed", "pop", *_six("err"), "m")
+
+
+@query(f"{_SAMPLED}, v as (select pop, name, var_samp(err) as v, sqrt(avg((err - mu) * (err - mu))) as rmse, avg(m) as m from ed join mu using (pop) group by 1, 2), w as (select pop, max(v) filter (where name = 'H') as vh, max(v) filter (where name = 'H0') as v0, max(v) filter (where name = 'A') as va, max(rmse) filter (where name = 'H') as rh, max(rmse) filter (where name = 'A') as ra, max(m) filter (where name = 'H') as m from v group by 1) select pop, round(vh / nullif(va, 0), 4) as deff, round(v0 / nullif(va, 0), 4) as deff_untrimmed, round(m / nullif(vh / nullif(va, 0), 0), 4) as effective_nodes, round(rh / nullif(ra, 0), 4) as rmse_ratio from w")
+def e05_design_effect(spark, sf):
+    """Variance over draws against that of equal-size random samples, and how many random nodes a test is worth."""
+    rows = _scored(spark, sf)
+    mean = populations(rows).groupBy("pop").agg(F.avg("e").alias("mu"))
+    off = F.col("err") - F.col("mu")
+    per = _three_estimates(rows).join(F.broadcast(mean), "pop").groupBy("pop", "name").agg(F.var_samp("err").alias("v"), F.sqrt(F.avg(off * off)).alias("rmse"), F.avg("m").alias("m"))
+    of = lambda c, name: F.max(F.when(F.col("name") == name, F.col(c)))
+    wide = per.groupBy("pop").agg(of("v", "H").alias("vh"), of("v", "H0").alias("v0"), of("v", "A").alias("va"), of("rmse", "H").alias("rh"), of("rmse", "A").alias("ra"), of("m", "H").alias("m"))
+    deff = F.try_divide("vh", "va")
+    return wide.select("pop", F.round(deff, 4).alias("deff"), F.round(F.try_divide("v0", "va"), 4).alias("deff_untrimmed"), F.round(F.try_divide(F.col("m"), deff), 4).alias("effective_nodes"), F.round(F.try_divide("rh", "ra"), 4).alias("rmse_ratio"))
+
+
+@query(f"{_NODES_TRIMMED}, f as (select seed, block_id, (pos - 1) // 6 as fold from draws), nb as (select distinct i, bj from pairs), bad as (select distinct o.seed, n.node_id from nodes n join f o on o.block_id = n.block_id join nb on nb.i = n.node_id join f g on g.seed = o.seed and g.block_id = nb.bj where g.fold <> o.fold), kf as (select o.seed, pop, avg(e) as err from sc n join f o on o.block_id = n.block_id left join bad b on b.seed = o.seed and b.node_id = n.node_id, (select unnest(['valid', 'all']) as pop) where b.node_id is null and (pop = 'all' or not is_sentinel) group by 1, 2), k as (select pop, avg(err) as mean, stddev_samp(err) as sd from kf group by 1), h as (select pop, stddev_samp(err) as sd from dr group by 1) select k.pop, round(k.mean, 6) as mean, round(k.sd, 6) as sd, round(h.sd, 6) as hold_out_sd, round(k.sd / nullif(h.sd, 0), 6) as ratio, round(k.mean - mu, 6) as bias from k join h using (pop) join mu using (pop)")
+def e11_folds_against_hold_out(spark, sf):
+    """Errors pooled over all folds of a draw, on nodes whose near blocks share their fold, against the hold-out's spread."""
+    rows = _scored(spark, sf)
+    places = materialise(rows.select("node_id", "block_id", "x_m", "y_m"), "places")
+    folds = partition.folds(draws(places.select("block_id")), 6, exact=True)
+    by_seed = folds.groupBy("seed").agg(F.map_from_entries(F.collect_list(F.struct("block_id", "fold"))).alias("fold_of"))
+    reach = buffer.near_blocks(places, BUFFER_M).select("node_id", "nbr_blocks")
+    # Nodes of a block that see the same blocks stay or go together: sums by such classes meet the draws.
+    classes = rows.join(reach, "node_id", "left").groupBy("block_id", "nbr_blocks", "is_sentinel").agg(F.sum("e").alias("s"), F.count("*").alias("n"))
+    own = F.element_at("fold_of", F.col("block_id"))
+    stays = F.coalesce(F.forall("nbr_blocks", lambda b: F.element_at(F.col("fold_of"), b) == own), F.lit(True))
+    kept = populations(classes.join(F.broadcast(by_seed)).filter(stays)).filter("pop <> 'sentinel'")
+    pooled = kept.groupBy("seed", "pop").agg((F.sum("s") / F.sum("n")).alias("err")).groupBy("pop").agg(F.avg("err").alias("mean"), F.stddev_samp("err").alias("sd"))
+    held = _trimmed_draws(rows).groupBy("pop").agg(F.stddev_samp("err").alias("hold_out_sd"))
+    mean = populations(rows).groupBy("pop").agg(F.avg("e").alias("mu"))
+    both = pooled.join(held, "pop").join(mean, "pop").withColumns({"ratio": F.try_divide("sd", "hold_out_sd"), "bias": F.col("mean") - F.col("mu")})
+    return both.select("pop", *_six("mean", "sd", "hold_out_sd", "ratio", "bias"))
+
+
+_SEEN = f"{_NODES_TRIMMED}, nbm as (select i, count(distinct bj) as m, min(bj) as b from pairs group by 1), ms as (select node_id, coalesce(m, 0) as m, b from sc left join nbm on i = node_id)"
+
+
+def _classed(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """(node_id, m, b): near blocks by number, and the first; and (seed, node_id, kept) of test nodes."""
+    places = materialise(_scored(spark, sf).select("node_id", "block_id", "x_m", "y_m"), "places")
+    near = buffer.near_blocks(places, BUFFER_M).select("node_id", F.size("nbr_blocks").cast("bigint").alias("m"), F.col("nbr_blocks")[0].alias("b"))
+    roles = partition.roles(draws(places.select("block_id")))
+    tested = buffer.kept(places, roles, materialise(buffer.near_sets(places, BUFFER_M), "near-sets")).filter("role = 'test'")
+    return places.select("node_id").join(near, "node_id", "left").select("node_id", F.coalesce("m", F.lit(0)).alias("m"), "b"), materialise(tested.select("seed", "node_id", "kept"), "tested")
+
+
+@query(f"{_SEEN} select r.role as neighbour, count(*) as n, count(*) filter (where k.kept) as n_kept, round(count(*) filter (where k.kept) / cast(count(*) as double), 9) as rate from kept k join ms using (node_id) join roles r on r.seed = k.seed and r.block_id = ms.b where k.role = 'test' and ms.m = 1 group by 1")
+def e38_single_neighbour(spark, sf):
+    """Test nodes near one other block only: how many stay, by that block's role."""
+    classes, tested = _classed(spark, sf)
+    roles = partition.roles(draws(_scored(spark, sf).select("block_id"))).select("seed", F.col("block_id").alias("b"), F.col("role").alias("neighbour"))
+    met = tested.join(classes.filter("m = 1"), "node_id").join(F.broadcast(roles), ["seed", "b"])
+    return met.groupBy("neighbour").agg(F.count("*").alias("n"), F.count_if("kept").alias("n_kept"), F.round(F.count_if("kept") / F.count("*"), 9).alias("rate"))
+
+
+def _bounds_sql(m: str) -> tuple[str, str]:
+    """Bounds for 36 blocks of which 6 are tested and 25 train."""
+    one = lambda top: f"case when {m} > {top} then 0.0 else coalesce(list_product(list_transform(range({m}), lambda i: ({top}.0::double - i) / (35 - i))), 1.0) end"
+    return one(5), one(10)
+
+
+@query(f"{_SEEN}, f as (select m, k.seed, count(*) filter (where k.kept) / cast(count(*) as double) as f from kept k join ms using (node_id) where k.role = 'test' group by 1, 2), a as (select m, count(*) as draws, avg(f) as freq, stddev_samp(f) / sqrt(count(*)) as se from f group by 1), b as (select *, {_bounds_sql('m')[0]} as lo, {_bounds_sql('m')[1]} as hi from a) select m, draws, round(freq, 6) as freq, round(se, 6) as se, round(lo, 6) as lo, round(hi, 6) as hi, case when se is null then 'one draw' when freq < lo - 2 * se - 1e-12 then 'below' when freq > hi + 2 * se + 1e-12 then 'above' else 'within' end as reading from b")
+def e23_reading_of_bounds(spark, sf):
+    """Kept shares by number of near blocks, over draws, against the closed form's bounds and two standard errors."""
+    classes, tested = _classed(spark, sf)
+    by_draw = tested.join(classes, "node_id").groupBy("m", "seed").agg((F.count_if("kept") / F.count("*")).alias("f"))
+    per = by_draw.groupBy("m").agg(F.count("*").alias("draws"), F.avg("f").alias("freq"), (F.stddev_samp("f") / F.sqrt(F.count("*"))).alias("se"))
+    lo, hi = design.inclusion_bounds(F.col("m"), F.lit(36), F.lit(6), F.lit(25))
+    read = per.withColumns({"lo": lo, "hi": hi})
+    below, above = F.col("freq") < F.col("lo") - 2 * F.col("se") - 1e-12, F.col("freq") > F.col("hi") + 2 * F.col("se") + 1e-12
+    return read.select("m", "draws", *_six("freq", "se", "lo", "hi"), F.when(F.col("se").isNull(), "one draw").when(below, "below").when(above, "above").otherwise("within").alias("reading"))
+
+
+@query(f"{_SEEN}, x as (select e, {_bounds_sql('m')[0]} as lo, {_bounds_sql('m')[1]} as hi from sc join ms using (node_id)), w as (select e, sum(lo * e) over () as n0, sum(lo) over () as d0, sum((hi - lo) * e) over (order by e desc) as nu, sum(hi - lo) over (order by e desc) as du, sum((hi - lo) * e) over (order by e) as nl, sum(hi - lo) over (order by e) as dl from x) select round(greatest(max((n0 + nu) / (d0 + du)), max(n0 / d0)), 6) as most, round(least(min((n0 + nl) / (d0 + dl)), min(n0 / d0)), 6) as least from w")
+def e24_extreme_means(spark, sf):
+    """The least and greatest mean error that inclusion odds within their bounds allow."""
+    classes, _ = _classed(spark, sf)
+    lo, hi = design.inclusion_bounds(F.col("m"), F.lit(36), F.lit(6), F.lit(25))
+    rows = materialise(_scored(spark, sf).select("node_id", "e").join(classes, "node_id").select("e", lo.alias("lo"), hi.alias("hi")), "bounds")
+    most, least = design.extreme_ratio(rows, True), design.extreme_ratio(rows, False)
+    return spark.createDataFrame([(most, least)], "most double, least double").select(*_six("most", "least"))
