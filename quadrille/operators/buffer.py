@@ -53,7 +53,7 @@ def groups_within(nodes: DataFrame, members: DataFrame, radius: int, parts: int
     left = met.filter("not sure").join(sure, [*key, "grp"], "left_anti")
     asked = own.join(left, key).alias("a")
     d2 = (F.col("x_m") - F.col("rx")) * (F.col("x_m") - F.col("rx")) + (F.col("y_m") - F.col("ry")) * (F.col("y_m") - F.col("ry"))
-    place = (F.col("a.ux") == F.col("b.ux")) & (F.col("a.uy") == F.col("b.uy")) & (F.col("a.grp") == F.col("b.grp"))
+    place = (F.col("a.ux") == F.col("b.ux")) & (F.col("a.uy") == F.col("b.uy")) & (F.col("a.grp") == F.col("b.grp")) & (F.col("a.block_id") != F.col("b.nbr_block"))
     found = asked.join(there.alias("b"), place & (d2 < radius * radius), "left_semi").select("node_id", "block_id", "grp").distinct()
     return own.join(sure, key).select("node_id", "block_id", "grp").unionByName(found)
 
