@@ -133,6 +133,12 @@ tn as (select k.seed, block_id, node_id, pop, e, p from kept k join sc using (no
 dr as (select seed, pop, sum(e) / count(*) as err, count(*) as m, sum(e) as s, count(distinct block_id) as k, sum(e / p) / sum(1 / p) as hajek from tn group by 1, 2),
 mu as (select pop, avg(e) as mu from sc, (select unnest(['valid', 'sentinel', 'all']) as pop) where (pop = 'all' or (pop = 'valid') = (not is_sentinel)) group by 1)"""
 
+_BY_VARIANT = f"""{_NODES_TRIMMED},
+sb as (select seed, pop, block_id, sum(e) as s, count(*) as m from tn group by 1, 2, 3),
+vr as (select b.seed, b.pop, any_value(dr.err) as err, any_value(dr.k) as k, case when any_value(dr.k) >= 2 then any_value(dr.k) / cast(any_value(dr.k) - 1 as double) * sum((b.s - dr.err * b.m) * (b.s - dr.err * b.m)) / (any_value(dr.m) * any_value(dr.m)) end as v from sb b join dr on dr.seed = b.seed and dr.pop = b.pop group by 1, 2),
+vn as (select 'occupied' as variant, cast(count(distinct block_id) as double) as n from nodes union all select 'box', cast((max(gx) - min(gx) + 1) * (max(gy) - min(gy) + 1) as double) from nodes union all select 'none', null),
+vv as (select seed, pop, variant, k, err, coalesce(1 - k / n, 1.0) * v as v from vr, vn)"""
+
 
 def _six(*columns: str) -> list[Column]:
     return [F.round(c, 6).alias(c) for c in columns]
@@ -195,12 +201,12 @@ def _by_variant(rows: DataFrame) -> DataFrame:
     return _trimmed_variance(rows).join(F.broadcast(_block_numbers(rows))).withColumn("v", factor * F.col("v"))
 
 
-@query()
+@query(f"{_BY_VARIANT} select seed, pop, variant, k, round(err, 6) as err, round(v, 6) as v from vv")
 def e08_trimmed_one_draw_variance(spark, sf):
     return _by_variant(_scored(spark, sf)).select("seed", "pop", "variant", "k", *_six("err", "v"))
 
 
-@query()
+@query(f"{_BY_VARIANT}, a as (select pop, variant, 'A' as reading, avg(v) as mv, avg(err) as mean, var_samp(err) as var from vv group by 1, 2 union all select pop, variant, 'B', avg(v), avg(err) filter (where v is not null), var_samp(err) filter (where v is not null) from vv group by 1, 2) select a.pop, a.variant, reading, round(any_value(mv) / nullif(any_value(var), 0), 6) as q, round(count(*) filter (where v is not null and abs(err - mean) <= 2 * sqrt(v)) / nullif(cast(count(v) as double), 0), 6) as coverage from a join vv on vv.pop = a.pop and vv.variant = a.variant group by 1, 2, 3")
 def e09_trimmed_variance_ratio_and_coverage(spark, sf):
     """Mean v over the errors' variance, and how often err +- 2 sqrt(v) covers their mean.
 

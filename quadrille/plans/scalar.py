@@ -95,11 +95,10 @@ def p10_log_distance(spark, sf):
 
 
 @query(
-    f"with {NODES_SQL}, m as (select node_id, 'fspl' as model, 20 * log10(greatest(dist_m / 1000.0, 0.001)) + 20 * log10(900.0::double) + 32.44 as pl from nodes union all select node_id, 'cost231_urban', {_COST} + 3.0 from (select *, 900.0::double as f from nodes) union all select node_id, 'log_distance', 20 * log10(0.001::double) + 20 * log10(900.0::double) + 32.44 + 35.0 * log10(greatest(dist_m, 1.0)) from nodes) select model, count(*) as n, round(avg(pl), 6) as path_loss, round(avg(30.0 - pl), 6) as rssi, count(*) filter (where round(30.0 - pl, 9) > -100) as covered from m group by model"
+    f"with {NODES_SQL}, b as (select node_id, dist_m, 900.0::double as f, 3.2 * pow(log10(11.75 * 1.5::double), 2) - 4.97 as a from nodes), m as (select node_id, 'fspl' as model, 20 * log10(greatest(dist_m / 1000.0, 0.001)) + 20 * log10(f) + 32.44 as pl from b union all select node_id, 'okumura_hata_urban', {_HATA} from b union all select node_id, 'okumura_hata_suburban', {_HATA} - 2 * pow(log10(f / 28.0), 2) - 5.4 from b union all select node_id, 'okumura_hata_rural', {_HATA} - 4.78 * pow(log10(f), 2) + 18.33 * log10(f) - 40.94 from b union all select node_id, 'cost231_urban', {_COST} + 3.0 from b union all select node_id, 'cost231_suburban', {_COST} from b union all select node_id, 'log_distance', 20 * log10(0.001::double) + 20 * log10(f) + 32.44 + 35.0 * log10(greatest(dist_m, 1.0)) from b) select model, count(*) as n, round(avg(pl), 6) as path_loss, round(avg(30.0 - pl), 6) as rssi, count(*) filter (where round(30.0 - pl, 9) > -100) as covered from m group by model"
 )
 def p11_model_dispatch(spark, sf):
-    wanted = ("fspl", "cost231_urban", "log_distance")
-    picked = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), P.MODELS[m](F.col("dist_m"), F.lit(900.0)).alias("pl")) for m in wanted])).alias("x")
+    picked = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), loss(F.col("dist_m"), F.lit(900.0)).alias("pl")) for m, loss in P.MODELS.items()])).alias("x")
     rows = nodes(spark, sf).select(picked).select("x.*").withColumn("rssi", 30.0 - F.col("pl"))
     return rows.groupBy("model").agg(F.count("*").alias("n"), _r(F.avg("pl")).alias("path_loss"), _r(F.avg("rssi")).alias("rssi"), F.count_if(F.round("rssi", 9) > -100).alias("covered"))
 
