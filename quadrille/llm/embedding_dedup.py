@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import join_few, read, spool
+from quadrille.llm.common import discard, join_few, read, spool
 from quadrille.llm.components import components
 
 #: Vectors that all codebooks are fitted on, at most; all vectors are indexed and compared.
@@ -213,7 +213,8 @@ def links(vectors: DataFrame, least: float = 0.98, slack: float = 1.0) -> DataFr
     component. Vectors that are null, empty, zero or hold null or non-finite components link with
     nothing. Other columns are left aside; an empty table gives an empty one.
     """
-    rows = spool(valid(vectors), "vectors").withColumn("width", F.size("v"))
+    kept = spool(valid(vectors), "vectors")
+    rows = kept.withColumn("width", F.size("v"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
     unit = rows.withColumn("v", F.transform("v", lambda x: x / norm))
     sizes = rows.groupBy("width").agg(F.count("*").alias("n"), F.countDistinct("label").alias("labels")).collect()
@@ -227,6 +228,7 @@ def links(vectors: DataFrame, least: float = 0.98, slack: float = 1.0) -> DataFr
     classes = classes.select("first", "copies", "label", "v", (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "first").alias("component_id"))
     # Only rows that something links are looked up, copies by their vector and others by their id.
     named = spool(classes.filter("n_links > 0"), "vector-classes")
+    discard(kept, *([found] if sizes else []))
     at = F.struct("label", F.col("embedding").cast("array<double>").alias("v"))
     every = vectors.select("vec_id", at.alias("at")).withColumn("mark", F.when(F.col("vec_id").isNotNull(), _mark("at.label", "at.v")))
     few = named.groupBy(_mark("label", "v").alias("mark")).agg(F.collect_list(F.struct("label", "v", "n_links", "component_id")).alias("found"))
@@ -256,7 +258,9 @@ def _found(unit: DataFrame, sizes: list, least: float, slack: float) -> DataFram
     to_slices = F.transform(F.sequence(F.lit(0), (F.col("slices") - 1).cast("int")), lambda s: F.struct(s.alias("slice"), own_batch.alias("batch")))
     dealt = cut.withColumn("at", F.explode(F.when(F.col("member"), to_batches).otherwise(to_slices)))
     groups = dealt.select(*cell, F.col("at.slice").alias("slice"), F.col("at.batch").alias("batch"), "first", "copies", "v", "home", "member").groupBy(*cell, "slice", "batch")
-    return spool(groups.applyInArrow(_compare(least), "first bigint, n_links bigint, root bigint"), "vector-links")
+    found = spool(groups.applyInArrow(_compare(least), "first bigint, n_links bigint, root bigint"), "vector-links")
+    discard(filed)
+    return found
 
 
 def recall(vectors: DataFrame, least: float = 0.98, slack: float = 1.0, every: int = 50) -> DataFrame:

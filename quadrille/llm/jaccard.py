@@ -272,15 +272,20 @@ def _hubs(filed: DataFrame, round_: int, least: int) -> DataFrame:
     return paired.select(F.least("sid", "hub.sid").alias("a"), F.greatest("sid", "hub.sid").alias("b")).distinct()
 
 
-def _relabel(filed: DataFrame, links: DataFrame) -> DataFrame:
-    """``filed`` with the components after ``links``, of slabs that still hold more than one."""
-    found = components(links).select(F.col("node").alias("sid"), F.col("component").alias("to"))
-    moves = spool(found, "moves")
+def _stars(stars: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(node, component) after ``links``, given those before, spooled."""
+    known = links if stars is None else links.unionByName(stars.select(F.col("node").alias("a"), F.col("component").alias("b")))
+    found = spool(components(known), "stars")
+    discard(links, *([stars] if stars is not None else []))
+    return found
+
+
+def _relabel(filed: DataFrame, stars: DataFrame) -> DataFrame:
+    """``filed`` with the components of ``stars``, of slabs that still hold more than one."""
+    moves = stars.select(F.col("node").alias("sid"), F.col("component").alias("to"))
     moved = filed.drop("comp").join(_few(moves), "sid", "left").select("h", "sid", "n", "left", F.coalesce("to", "sid").alias("comp"))
     mixed = moved.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("h")
-    left = spool(moved.join(mixed, "h"), "slabs")
-    discard(moves)
-    return left
+    return spool(moved.join(mixed, "h"), "slabs")
 
 
 def _large(filed: DataFrame) -> DataFrame:
@@ -396,20 +401,20 @@ def _linked(rows: DataFrame, least: int) -> DataFrame:
     # A slab of one set holds no pair; those of hot groups, met in parts, may be such and do no harm.
     shared = entries.selectExpr("*", "min(sid) over (partition by h, part) as lo", "max(sid) over (partition by h, part) as hi").filter("hot or lo < hi")
     filed = spool(shared.select("h", "sid", "n", "left", F.col("sid").alias("comp")).distinct(), "slabs", TEXT_ROWS)
-    links, whole = None, None
+    stars, whole = None, None
     for round_ in range(ROUNDS):
         if round_ == FULL_ROUNDS:
             whole, filed = filed, spool(_large(filed), "large-slabs")
         pairs = spool(_hubs(filed, round_, least), "pairs")
         if round_ >= FULL_ROUNDS and pairs.isEmpty():
             break
-        new = _verify(pairs, members, least)
-        links = new if links is None else spool(links.unionByName(new), "links")
-        before, filed = filed, _relabel(filed, links)
+        # What is known goes on as stars, so that components settle in few steps.
+        stars = _stars(stars, _verify(pairs, members, least))
+        before, filed = filed, _relabel(filed, stars)
         discard(before)
-    filed = _relabel(whole, links) if whole else filed
+    filed = _relabel(whole, stars) if whole else filed
     rest = _verify(spool(_paged(filed, members, least), "pairs"), members, least)
-    return components(links.unionByName(rest))
+    return _stars(stars, rest)
 
 
 def classes(docs: DataFrame, k: int = WORDS, least: int = LEAST) -> DataFrame:
@@ -420,7 +425,7 @@ def classes(docs: DataFrame, k: int = WORDS, least: int = LEAST) -> DataFrame:
     null component. Other columns are left aside; an empty table gives an empty one.
     """
     rows = spool(sets(docs, k), "sets", TEXT_ROWS)
-    joined = spool(_linked(rows, least).withColumnRenamed("node", "sid"), "set-classes")
+    joined = _linked(rows, least).withColumnRenamed("node", "sid")
     ids = rows.filter("n is not null").select("doc_id", "n", "sid")
     named = ids.filter("n > 0 and doc_id is not null").select("doc_id", "sid").join(_few(joined), "sid", "left").select("doc_id", "sid", F.coalesce("component", "sid").alias("class"))
     # Rows that share a doc_id tie their classes together; doc_ids of such rows are few.
@@ -432,7 +437,7 @@ def classes(docs: DataFrame, k: int = WORDS, least: int = LEAST) -> DataFrame:
     least_id = named.groupBy("class").agg(F.min("doc_id").alias("component_id"))
     by_sid = named.groupBy("sid").agg(F.min("class").alias("class")).join(least_id, "class").select("sid", "component_id")
     found = spool(ids.join(by_sid, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")), "documents")
-    discard(rows, joined, named)
+    discard(rows, named)
     return found
 
 
@@ -443,12 +448,12 @@ def keep_one(docs: DataFrame, k: int = WORDS, least: int = LEAST) -> DataFrame:
     equal doc_id and text one stays, whichever. All columns are kept; an empty table gives an empty one.
     """
     rows = spool(sets(docs, k), "sets", TEXT_ROWS)
-    joined = spool(_linked(rows, least).withColumnRenamed("node", "sid"), "set-classes")
+    joined = _linked(rows, least).withColumnRenamed("node", "sid")
     light = rows.filter("n > 0").select("doc_id", "mark", "sid").join(_few(joined), "sid", "left").select("doc_id", "mark", F.coalesce("component", "sid").alias("class"))
     light = light.withColumn("key", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark"))
     best = spool(light.groupBy("class").agg(F.min("key").alias("best"), F.count("*").alias("n")).filter("n > 1"), "best")
     judged = spool(light.join(_few(best.select("class", "best")), "class").groupBy("doc_id", "mark").agg(F.min(F.col("key") == F.col("best")).alias("stays"), F.count("*").alias("n")).filter("not stays or n > 1"), "judged")
-    discard(rows, joined, best)
+    discard(rows, best)
     gone, twice, key = free("gone", docs), free("twice", docs), free("key", docs)
     # Ids and marks as one text each, as a null id is an id here.
     name = lambda i, m: F.concat_ws(":", F.coalesce(i.cast("string"), F.lit("-")), m.cast("string"))

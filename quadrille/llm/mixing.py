@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import free, read, spool
+from quadrille.llm.common import discard, free, read, spool
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -76,7 +76,8 @@ def balance(sizes: DataFrame, goal: DataFrame, most: float = MOST) -> DataFrame:
         inside = (step > F.col("lo")) & (step < F.col("hi"))
         miss = F.coalesce(F.abs("excess") / F.greatest("target", F.lit(1.0)), F.lit(0.0))
         moved = F.when(miss <= TOLERANCE, F.col("lam")).when(inside, step).otherwise(middle)
-        state = spool(bounded.withColumns({"miss": miss, "lam": moved}).drop("excess", "got", "slope"), "multipliers")
+        last, state = state, spool(bounded.withColumns({"miss": miss, "lam": moved}).drop("excess", "got", "slope"), "multipliers")
+        discard(last)
         if (state.agg(F.max("miss")).first()[0] or 0.0) <= TOLERANCE:
             break
     return state.select("source", "source_size", "mean_size", "target", "lam")
