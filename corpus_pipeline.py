@@ -12,30 +12,39 @@ from quadrille.llm import decontaminate, jaccard, language_id, mixing, sharding
 from quadrille.llm.common import read, spool
 
 SHARDS = 40
+#: Rows of the Arrow batches of texts that Python steps get.
+TEXT_ROWS = 1000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """A session's setting, as a stage's result is computed by whoever writes it. It changes memory, not rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters go."""
+    """Documents without letters go, null and empty texts among them; each row is judged for itself."""
+    _small_batches(spark)
     return language_id.keep_identified(docs)
 
 
 def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies, the document of least doc_id stays."""
+    """Of each class of near copies, the document of least doc_id stays; of equal rows one, of texts without words all."""
     return jaccard.keep_one(docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with any window of a benchmark item go."""
+    """Documents with any window of a benchmark item go; null and empty texts stay."""
+    _small_batches(spark)
     return decontaminate.remove(docs, read(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them; a null source is a source, equal rows have equal copies."""
     return mixing.mix(docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows with shard, bucket and slot, in shuffled order."""
+    """All rows with shard, bucket and slot, in shuffled order; repeated rows and null texts are rows like others."""
     return sharding.shuffle(docs, SHARDS)
 
 
@@ -47,7 +56,7 @@ STAGES = [
     ("sharding", shard),
 ]
 
-#: SQL can't express the model, the mix or the shuffle; tests hold the stages against brute force.
+#: SQL can't express the model, the mix or the shuffle; tests hold each stage against plain Python.
 ORACLE_SQL = None
 
 

@@ -20,7 +20,7 @@ from quadrille.llm.common import free, spool
 
 #: Most bytes of benchmark text in one broadcast.
 BLOCK_BYTES = 16 << 20
-#: Rows of an Arrow batch of texts where this module writes its result.
+#: Rows of an Arrow batch of texts where documents are written between two blocks.
 TEXT_ROWS = 1000
 
 _RESULT = "n_words bigint, n_hit bigint, items array<string>, spans array<struct<start:bigint,end:bigint>>"
@@ -170,12 +170,12 @@ def remove(docs: DataFrame, benchmark: DataFrame, n: int = 10, mode: str = "docu
     """Drop documents with any hit (``documents``) or cut the hit runs out of their texts (``spans``).
 
     The columns of ``docs`` are kept as they are; clean documents, null and empty texts stay, and
-    repeated rows are treated alike. The result is a table in the shared folder.
+    repeated rows are treated alike.
     """
     leak = free("leak", docs)
     found = find(docs, benchmark, n, leak)
     if mode == "documents":
-        return spool(found.filter(F.col(leak)["n_hit"] == 0).select(*docs.columns), "clean", TEXT_ROWS)
+        return found.filter(F.col(leak)["n_hit"] == 0).select(*docs.columns)
     if mode != "spans":
         raise ValueError(f"mode is 'documents' or 'spans', not {mode!r}")
     raw = F.encode("text", "UTF-8")
@@ -183,7 +183,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, n: int = 10, mode: str = "docu
     keep_to = F.concat(F.transform(F.col(leak)["spans"], lambda s: s["start"]), F.array(F.octet_length("text").cast("bigint")))
     pieces = F.transform(F.arrays_zip(keep_from.alias("a"), keep_to.alias("b")), lambda x: F.decode(F.substring(raw, (x["a"] + 1).cast("int"), (x["b"] - x["a"]).cast("int")), "UTF-8"))
     cut = F.when(F.col(leak)["n_hit"] > 0, F.array_join(pieces, "")).otherwise(F.col("text"))
-    return spool(found.withColumn("text", cut).select(*docs.columns), "clean", TEXT_ROWS)
+    return found.withColumn("text", cut).select(*docs.columns)
 
 
 def op10_decontaminate(spark, sf_dir: str) -> DataFrame:

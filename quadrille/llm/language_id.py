@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.llm import textkit
-from quadrille.llm.common import free, read, remainder, spool
+from quadrille.llm.common import free, read, remainder
 
 #: First and last code points of scripts (fixed values of Unicode's blocks).
 SCRIPT_RANGES = (
@@ -46,9 +46,7 @@ PSEUDO_COUNT = 0.5
 #: In nats: what a change of language costs, and the most one word can speak against a candidate.
 SWITCH, WORD_LIMIT = 9.0, 6.0
 #: Bytes of texts that are labelled together; a longer text goes alone, its words found in segments.
-LABEL_BYTES = 1 << 20
-#: Rows of an Arrow batch of texts where this module writes its result.
-TEXT_ROWS = 1000
+LABEL_BYTES = 1 << 19
 UNKNOWN = "und"
 
 #: ASCII letters and all bytes from 0x80 on belong to words.
@@ -311,15 +309,14 @@ def keep_identified(docs: DataFrame) -> DataFrame:
 
     Where no row has both a text and a lang to learn from, nothing can be identified, and all texts
     with letters stay. Null and empty texts go. Rows are judged each for itself, repeated ones alike;
-    all columns are kept. An empty table gives an empty one. The result is a table in the shared folder,
-    so that batches of texts are small whoever reads it.
+    all columns are kept. An empty table gives an empty one.
     """
     model = train(docs.filter(learning(F.col("doc_id"))))
     if not model.languages:
         return docs.filter(F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False)))
     into = free("language_", docs)
     found = identify(docs, model, into)
-    return spool(found.filter(F.col(into)["lang"] != UNKNOWN).select(*docs.columns), "identified", TEXT_ROWS)
+    return found.filter(F.col(into)["lang"] != UNKNOWN).select(*docs.columns)
 
 
 def op1_language(spark, sf_dir: str) -> DataFrame:
