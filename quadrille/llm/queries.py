@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from quadrille.llm.decontaminate import op10_decontaminate
 from quadrille.llm.embedding_dedup import op5_embedding_links
+from quadrille.llm.fill_in_middle import op13_fill_in_middle
 from quadrille.llm.jaccard import op3_jaccard_join
 from quadrille.llm.language_id import op1_language
 from quadrille.llm.language_model import op2_score
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_mix": op9_mix,
     "op10_decontaminate": op10_decontaminate,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -80,5 +82,19 @@ marked as (select doc_id, count(distinct j) as n_hit from (select doc_id, unnest
 listed as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, item from hits) group by doc_id)
 select d.doc_id, cast(len(d.w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from doc d left join marked m on m.doc_id = d.doc_id left join listed l on l.doc_id = d.doc_id
+""",
+    "op13_fill_in_middle": """
+with d as (select doc_id, coalesce(text, '') as t, sha256('1:' || coalesce(cast(doc_id as varchar), '')) as h from documents),
+h as (select doc_id, t, cast(length(t) as bigint) as n, cast('0x' || h[1:8] as bigint) as h1, cast('0x' || h[9:16] as bigint) as h2, cast('0x' || h[17:24] as bigint) as h3, cast('0x' || h[25:32] as bigint) as h4 from d),
+c as (
+  select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+    case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 90 then 'plain' when h4 % 100 < 20 then 'spm' else 'psm' end as form from h
+), o as (
+  select *, case form when 'plain' then t
+    when 'psm' then '<P>' || substring(t, 1, a) || '<S>' || substring(t, b + 1) || '<M>' || substring(t, a + 1, b - a)
+    else '<S>' || substring(t, b + 1) || '<P>' || substring(t, 1, a) || '<M>' || substring(t, a + 1, b - a) end as output from c)
+select doc_id, n, form, case when form <> 'plain' then a end as prefix_chars, case when form <> 'plain' then b - a end as middle_chars,
+  sha256(output) as output_sha256, sha256(t) as restored_sha256
+from o
 """,
 }
