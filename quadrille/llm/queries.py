@@ -8,6 +8,7 @@ from quadrille.llm.fill_in_middle import op13_fill_in_middle
 from quadrille.llm.jaccard import op3_jaccard_join
 from quadrille.llm.language_id import op1_language
 from quadrille.llm.language_model import op2_score
+from quadrille.llm.line_dedup import op12_line_dedup
 from quadrille.llm.mixing import op9_mix
 from quadrille.llm.sharding import op6_shard
 from quadrille.llm.token_counts import op4_token_counts
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_mix": op9_mix,
     "op10_decontaminate": op10_decontaminate,
+    "op12_line_dedup": op12_line_dedup,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 
@@ -82,6 +84,15 @@ marked as (select doc_id, count(distinct j) as n_hit from (select doc_id, unnest
 listed as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, item from hits) group by doc_id)
 select d.doc_id, cast(len(d.w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from doc d left join marked m on m.doc_id = d.doc_id left join listed l on l.doc_id = d.doc_id
+""",
+    "op12_line_dedup": f"""
+with d as (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents),
+l as (select doc_id, unnest(ls) as line, unnest(range(1, len(ls) + 1)) as pos from d),
+k as (select *, {_LOWER.format("trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} as name from l),
+bad as (select name from k where length(name) >= 1 group by name having count(distinct doc_id) >= 10),
+j as (select k.*, bad.name is not null as gone from k left join bad on bad.name = k.name)
+select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '')) as kept_sha256
+from j group by doc_id
 """,
     "op13_fill_in_middle": """
 with d as (select doc_id, coalesce(text, '') as t, sha256('1:' || coalesce(cast(doc_id as varchar), '')) as h from documents),
