@@ -10,6 +10,7 @@ from quadrille.llm.language_id import op1_language
 from quadrille.llm.language_model import op2_score
 from quadrille.llm.line_dedup import op12_line_dedup
 from quadrille.llm.mixing import op9_mix
+from quadrille.llm.resampling import op11_resample
 from quadrille.llm.sharding import op6_shard
 from quadrille.llm.token_counts import op4_token_counts
 from quadrille.llm.token_files import op7_token_files
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_mix": op9_mix,
     "op10_decontaminate": op10_decontaminate,
+    "op11_resample": op11_resample,
     "op12_line_dedup": op12_line_dedup,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
