@@ -305,12 +305,12 @@ def _paged(filed: DataFrame, members: DataFrame, least: int) -> DataFrame:
     order = [F.col("left") * (100 + least) < 2 * F.col("n") * least, F.col("comp"), F.col("n"), F.col("sid")]
     dealt = large.repartitionByRange(F.col("h"), *order).withColumn("range", F.spark_partition_id().cast("bigint"))
     at = F.row_number().over(Window.partitionBy("h", "range").orderBy(*order)) - 1
-    placed = dealt.withColumn("page", F.shiftleft("range", 40) + F.floor(at / PAGE)).drop("range")
+    placed = dealt.withColumn("page", F.shiftleft("range", RANGE_BIT) + F.floor(at / PAGE)).drop("range")
     own = _points(members, _few(spool(large.select("sid").distinct(), "paged"))).select("sid", "c")
     full = spool(placed.join(own, "sid"), "page-rows", POINT_ROWS)
-    boxes = [spool(full.groupBy("h", "page").applyInArrow(_box, _BOX), "boxes")]
+    boxes = [_with_parents(spool(full.groupBy("h", "page").applyInArrow(_box, _BOX), "boxes"))]
     while boxes[-1].groupBy("h").count().filter(F.col("count") > PAGE).limit(1).count():
-        boxes.append(spool(_above(boxes[-1]), "boxes"))
+        boxes.append(_with_parents(spool(_above(boxes[-1]), "boxes")))
     opened = None
     for level in reversed(boxes):
         p, q = level.alias("p"), level.alias("q")
@@ -342,13 +342,21 @@ def _paged(filed: DataFrame, members: DataFrame, least: int) -> DataFrame:
     return pairs.unionByName(deep).distinct()
 
 
-#: A node: its least and greatest size, the most left, its counts' maxima, its component if it has but one, its parent.
-_BOX = "h bigint, page bigint, lo bigint, hi bigint, left bigint, top array<int>, only bigint, parent bigint"
+#: A node: its least and greatest size, the most left, its counts' maxima, its component if it has but one.
+_BOX = "h bigint, page bigint, lo bigint, hi bigint, left bigint, top array<int>, only bigint"
+#: A node's number has its range from this bit on, and its place in the range below.
+RANGE_BIT = 40
 
 
-def _parent(page: int) -> int:
-    """Nodes of one range have parents of one range: the range in the upper bits, the place in the lower."""
-    return page >> 40 << 40 | (page & (1 << 40) - 1) // PAGE
+def _with_parents(level: DataFrame) -> DataFrame:
+    """Adds the number of each node's parent. Runs of PAGE nodes of a range have one; once no range of any
+    slab has a second node, runs of PAGE ranges have. So every level has smaller numbers, down to one node."""
+    range_, place = F.shiftright("page", RANGE_BIT), F.col("page").bitwiseAND(F.lit((1 << RANGE_BIT) - 1))
+    if level.filter(place > 0).limit(1).count():
+        parent = F.shiftleft(range_, RANGE_BIT) + F.floor(place / PAGE)
+    else:
+        parent = F.shiftleft(F.floor(range_ / PAGE), RANGE_BIT)
+    return level.withColumn("parent", parent)
 
 
 def _box(key: tuple, rows: pa.Table) -> pa.Table:
@@ -358,13 +366,13 @@ def _box(key: tuple, rows: pa.Table) -> pa.Table:
 
 
 def _node(h: int, page: int, lo: int, hi: int, left: int, top: list[int], only: int | None) -> pa.Table:
-    values = (h, page, int(lo), int(hi), int(left), top, only, _parent(page))
+    values = (h, page, int(lo), int(hi), int(left), top, only)
     kinds = [pa.list_(pa.int32()) if x.endswith("array<int>") else pa.int64() for x in _BOX.split(", ")]
     return pa.Table.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=[x.split()[0] for x in _BOX.split(", ")])
 
 
 def _above(boxes: DataFrame) -> DataFrame:
-    """The nodes above ``boxes``: the box of up to PAGE nodes of a slab's range."""
+    """The nodes above ``boxes``: the box of all that share a parent."""
 
     def join(key: tuple, rows: pa.Table) -> pa.Table:
         only = set(rows["only"].to_pylist())

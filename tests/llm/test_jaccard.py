@@ -54,3 +54,34 @@ def test_one_row_of_each_class_stays(spark):
     found = sorted(r["key"] for r in kept.collect())
     assert found in ([*"cefghhi", last] for last in "jk")
     assert J.keep_one(docs.limit(0)).count() == 0
+
+
+def test_trees_end_over_more_ranges_than_a_page_holds(spark, monkeypatch):
+    monkeypatch.setattr(J, "PAGE", 2)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    draw = random.Random(4)
+    passage = [f"shared{i}" for i in range(30)]
+    texts = [" ".join(passage + [f"own{k}x{i}" for i in range(draw.randint(6, 25))]) for k in range(90)]
+    texts += [t + " more" for t in texts[:5]]
+    rows = list(enumerate(texts))
+    root, own = brute(rows)
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "12")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        found = {r["doc_id"]: r["component_id"] for r in J.classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert found == root and len(set(root.values())) > 60
+
+
+def test_numbers_of_nodes_shrink_to_one(spark, monkeypatch):
+    monkeypatch.setattr(J, "PAGE", 2)
+    pages = [(h, (r << J.RANGE_BIT) + i) for h, most in ((1, 9), (2, 1)) for r in range(most) for i in range(5)]
+    level, sizes = spark.createDataFrame(pages, "h bigint, page bigint"), []
+    while not sizes or sizes[-1] > 2:
+        own = J._with_parents(level).select("h", "parent").distinct().withColumnRenamed("parent", "page").collect()
+        level = spark.createDataFrame([tuple(r) for r in own], "h bigint, page bigint")
+        sizes.append(len(own))
+        assert len(sizes) < 12
+    assert sizes == sorted(sizes, reverse=True) and sizes[-1] == 2
