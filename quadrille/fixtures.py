@@ -5,6 +5,8 @@ Positions are whole metres, so that all engines compare distances exactly.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +60,24 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Height and width of a pixel of ``pixels``.
+PIXEL_M = (30, 28)
+
+
+def raster_sizes(spark: SparkSession, sf_dir: str) -> tuple[int, int, int]:
+    """(pixels a row, pixels a block's side, metres of the buffer): all follow from the number of orders."""
+    width = math.isqrt(max(1, table(spark, sf_dir, "orders").count()))
+    side = (width + 5) // 6
+    return width, side, 6 * side
+
+
+def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """node_id, row, col, block_id, cents: orders as a raster in row-major order of their keys."""
+    width, side, _ = raster_sizes(spark, sf_dir)
+    placed = table(spark, sf_dir, "orders").selectExpr("o_orderkey as node_id", f"o_orderkey div {width} as row", f"o_orderkey % {width} as col", "cast(round(o_totalprice * 100) as bigint) as cents")
+    return placed.selectExpr("node_id", "row", "col", f"(col div {side}) * 10 + row div {side} as block_id", "cents")
+
+
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes with terrain and spectral features that follow from their number."""
     ramp = lambda k, m, shift, scale: f"((node_id * {k}) % {m} - {shift}) / {scale}"
@@ -94,6 +114,10 @@ pl0 as (select *, sqrt(cast(d2 as double)) as dist_m, case when d2 > {REACH_M *
 nodes as (select node_id, x_m, y_m, cast(floor(x_m / {BLOCK_M}.0) as bigint) as gx, cast(floor(y_m / {BLOCK_M}.0) as bigint) as gy, cast(floor(x_m / {BLOCK_M}.0) as bigint) * 6 + cast(floor(y_m / {BLOCK_M}.0) as bigint) as block_id, d2, dist_m, path_loss >= 299 as is_sentinel, path_loss, case when path_loss >= 299 then -110.0::double else round(43.0::double - path_loss, 6) end as rssi from pl0)"""
 FEATURES_SQL = NODES_SQL + f""",
 feats as (select *, {_SQL_RAMP.format(37, 1000, 0, 10)} as elevation, {_SQL_RAMP.format(13, 100, 0, 250)} as slope, {_SQL_RAMP.format(31, 201, 100, 100)} as ndvi, {_SQL_RAMP.format(17, 201, 100, 100)} as ndwi, {_SQL_RAMP.format(7, 160, 0, 1)} as tri_m, {_SQL_RAMP.format(11, 50, 0, 10)} as roughness, {_SQL_RAMP.format(19, 100, 0, 100)} as b02, {_SQL_RAMP.format(23, 100, 0, 100)} as b03, {_SQL_RAMP.format(29, 100, 0, 100)} as b04, {_SQL_RAMP.format(41, 100, 0, 100)} as b08, round(rssi + {_SQL_RAMP.format(43, 2001, 1000, 100)}, 6) as rssi_pred, round(path_loss + {_SQL_RAMP.format(47, 2001, 1000, 100)}, 6) as pl_pred from nodes)"""
+PIXELS_SQL = """
+size0 as (select cast(floor(sqrt(count(*))) as bigint) as width from orders), size1 as (select width, (width + 5) // 6 as side, 6 * ((width + 5) // 6) as buffer from size0),
+raster0 as (select o_orderkey as node_id, o_orderkey // width as row, o_orderkey % width as col, side, buffer, cast(round(o_totalprice * 100) as bigint) as cents from orders, size1),
+nodes as (select node_id, row, col, (col // side) * 10 + row // side as block_id, cents, buffer from raster0)"""
 DRAWS_SQL = f"""
 blocks as (select distinct block_id from nodes),
 h1s as (select seed, block_id, (block_id * 48271 + seed * 69621 + 1) % 2147483647 as h1 from blocks, (select cast(unnest(range({SEEDS})) as bigint) as seed)),

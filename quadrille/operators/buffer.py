@@ -76,14 +76,14 @@ def near_sets(nodes: DataFrame, radius: int) -> DataFrame:
     return groups_within(nodes, members, radius).join(named, "grp").select("node_id", "block_id", "nbr_block", "seen")
 
 
-def kept(nodes: DataFrame, roles: DataFrame, sets: DataFrame) -> DataFrame:
-    """(seed, node_id, role, kept) for validation and test nodes of every draw.
+def judged_classes(nodes: DataFrame, roles: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node_id, class) of all nodes, and (class, seed, role, kept) of every draw.
 
+    Nodes of a block that see the same behave alike in every draw, so that draws touch classes only.
     Roles are gathered into one map a seed (blocks are few), which joins each row once; the tests
-    on neighbours are array expressions.
+    on neighbours are array expressions. Training nodes are always kept.
     """
     by_seed = roles.groupBy("seed").agg(F.map_from_entries(F.collect_list(F.struct("block_id", "role"))).alias("role_of"))
-    # Nodes that see the same behave alike in every draw: draws touch these classes only.
     seen = sets.groupBy("node_id", "block_id").agg(F.array_sort(F.collect_set(F.struct("nbr_block", "seen"))).alias("sees"))
     classed = nodes.select("node_id", "block_id").join(seen, ["node_id", "block_id"], "left").select("node_id", "block_id", F.coalesce("sees", F.array().cast("array<struct<nbr_block:bigint,seen:array<bigint>>>")).alias("sees"))
     classes = classed.groupBy("block_id", "sees").agg(F.min("node_id").alias("class"))
@@ -91,9 +91,14 @@ def kept(nodes: DataFrame, roles: DataFrame, sets: DataFrame) -> DataFrame:
     trains = F.exists("sees", lambda s: role_of(s["nbr_block"]) == "train")
     survivor = F.exists("sees", lambda s: (role_of(s["nbr_block"]) == "val") & ~F.exists(s["seen"], lambda b: role_of(b) == "train"))
     own = role_of(F.col("block_id"))
-    judged = classes.join(F.broadcast(by_seed)).select("class", "seed", own.alias("role"), F.when(own == "val", ~trains).when(own == "test", ~trains & ~survivor).alias("kept")).filter("role <> 'train'")
-    member = classed.join(classes, ["block_id", "sees"]).select("node_id", "class")
-    return member.join(judged, "class").select("seed", "node_id", "role", "kept")
+    judged = classes.join(F.broadcast(by_seed)).select("class", "seed", own.alias("role"), F.when(own == "val", ~trains).when(own == "test", ~trains & ~survivor).otherwise(True).alias("kept"))
+    return classed.join(classes, ["block_id", "sees"]).select("node_id", "class"), judged
+
+
+def kept(nodes: DataFrame, roles: DataFrame, sets: DataFrame) -> DataFrame:
+    """(seed, node_id, role, kept) for validation and test nodes of every draw."""
+    member, judged = judged_classes(nodes, roles, sets)
+    return member.join(judged.filter("role <> 'train'"), "class").select("seed", "node_id", "role", "kept")
 
 
 def kept_directly(nodes: DataFrame, roles: DataFrame, radius: float) -> DataFrame:

@@ -59,6 +59,20 @@ def strata(blocks: DataFrame, share: str, size: int, count: int) -> DataFrame:
     return blocks.withColumn("stratum", F.least(F.floor((order - 1) / size), F.lit(count - 1)).cast("int"))
 
 
+def stratified_roles(draws: DataFrame, strata: DataFrame, train: float = 0.70, val: float = 0.15) -> DataFrame:
+    """(seed, block_id, stratum, role): the shares are cut within each stratum (block_id, stratum) of each draw.
+
+    Strata of three blocks or more have at least one for training and one for validation; of two blocks, one is for
+    validation and one for testing, a single one is for testing.
+    """
+    own = Window.partitionBy("seed", "stratum")
+    placed = draws.join(F.broadcast(strata.select("block_id", "stratum")), "block_id").withColumns({"k": F.row_number().over(own.orderBy("pos")), "m": F.count("*").over(own)})
+    m, a0, b0 = F.col("m"), F.col("a0"), F.col("b0")
+    first = placed.withColumns({"a0": F.when(m >= 3, half_even_share(m, train)).otherwise(F.greatest(m - 2, F.lit(0))), "b0": F.when(m >= 3, half_even_share(m, val)).when(m >= 2, 1).otherwise(0)})
+    cut = first.withColumn("a", F.when(a0 + b0 >= m, F.greatest(m - 2, F.lit(0))).otherwise(a0)).withColumn("b", F.when(a0 + b0 >= m, F.least(F.lit(1), m - F.col("a"))).otherwise(b0))
+    return cut.select("seed", "block_id", "stratum", F.when(F.col("k") <= F.col("a"), "train").when(F.col("k") <= F.col("a") + F.col("b"), "val").otherwise("test").alias("role"))
+
+
 def simple_random_sample(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """n rows without replacement: the least by a seeded hash. A reported sample, not a shortcut."""
     return rows.withColumn("__draw", F.xxhash64(F.lit(seed), F.col(key))).orderBy("__draw", key).limit(n).drop("__draw")

@@ -23,4 +23,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` and read it back: computed once however often it is used, whatever executors are lost."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found._written = path
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``materialise`` that nothing reads any more; others are left alone."""
+    for table in tables:
+        path = getattr(table, "_written", None)
+        if path:
+            hadoop = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(hadoop, True)
