@@ -69,6 +69,14 @@ def free(name: str, *tables: DataFrame) -> str:
     return name
 
 
+def in_tasks_of(df: DataFrame, rows: int, per_task: int) -> DataFrame:
+    """``df`` in as many tasks as ``rows``, a bound of its rows that was counted, ask for, and no more than it has.
+
+    A table of few rows would else take a task for each shuffle partition in every step.
+    """
+    return df.coalesce(1 + rows // per_task)
+
+
 #: Rows of a small table that may be broadcast, counted before it is; beyond, the join is salted.
 BROADCAST_ROWS = 500_000
 SALTS = 16

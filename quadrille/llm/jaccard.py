@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrille.llm import textkit
-from quadrille.llm.common import BROADCAST_ROWS, discard, free, read, spool
+from quadrille.llm.common import BROADCAST_ROWS, discard, free, in_tasks_of, read, spool
 from quadrille.llm.components import components
 
 WORDS = 5
@@ -57,6 +57,8 @@ PAGE = 64
 #: Parts of a slab of a hot group, so that its entries needn't meet in one task.
 PARTS = 64
 SEED = 20240903
+#: Pairs of a task that bounds or verifies them.
+TASK_PAIRS = 2000
 #: Rows of an Arrow batch that hold texts, points, or pairs of sets.
 TEXT_ROWS, POINT_ROWS, SET_ROWS = 1000, 1000, 250
 #: Shingles that a task remembers at a time to find frequent ones.
@@ -233,13 +235,15 @@ def _bound(a: bytes, b: bytes) -> int:
 
 def _verify(pairs: DataFrame, members: DataFrame, least: int) -> DataFrame:
     """Of candidate pairs (a, b), spooled, those that link: first by the bound, then by the sets."""
-    ids = lambda df: spool(df.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "ends")
+    n = pairs.count()
+    few = lambda df: in_tasks_of(df, n, TASK_PAIRS)
+    ids = lambda df: spool(few(df.select(F.explode(F.array("a", "b")).alias("sid")).distinct()), "ends")
     ends = ids(pairs)
-    own = spool(_points(members, _few(ends)), "points", POINT_ROWS)
+    own = spool(few(_points(members, _few(ends))), "points", POINT_ROWS)
     side = lambda s: own.select(F.col("sid").alias(s), F.col("n").alias(f"n{s}"), F.col("c").alias(f"c{s}"))
-    alive = spool(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ca", "cb").mapInArrow(_surviving(least), "a bigint, b bigint"), "survivors", POINT_ROWS)
+    alive = spool(few(few(pairs.join(side("a"), "a")).join(side("b"), "b")).select("a", "b", "na", "nb", "ca", "cb").mapInArrow(_surviving(least), "a bigint, b bigint"), "survivors", POINT_ROWS)
     left = ids(alive)
-    held = spool(members.join(_few(left), "sid", "left_semi").groupBy("sid").agg(F.first("hashes").alias("hashes")), "held")
+    held = spool(few(members.join(_few(left), "sid", "left_semi").groupBy("sid").agg(F.first("hashes").alias("hashes"))), "held")
 
     def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -253,8 +257,8 @@ def _verify(pairs: DataFrame, members: DataFrame, least: int) -> DataFrame:
                 keep.append(100 * common >= least * (both - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    with_b = alive.join(held.select(F.col("sid").alias("b"), F.col("hashes").alias("y")), "b")
-    with_a = with_b.join(held.select(F.col("sid").alias("a"), F.col("hashes").alias("x")), "a").select("a", "b", "x", "y")
+    with_b = few(alive.join(held.select(F.col("sid").alias("b"), F.col("hashes").alias("y")), "b"))
+    with_a = few(with_b.join(held.select(F.col("sid").alias("a"), F.col("hashes").alias("x")), "a")).select("a", "b", "x", "y")
     found = spool(with_a.mapInArrow(overlap, "a bigint, b bigint"), "verified", SET_ROWS)
     discard(pairs, ends, own, alive, left, held)
     return found
