@@ -23,58 +23,94 @@ BLOCK_BYTES = 16 << 20
 #: Rows of an Arrow batch of texts where documents are written between two blocks.
 TEXT_ROWS = 1000
 
+#: Hits that are verified at a time.
+HITS = 1 << 16
+
 _RESULT = "n_words bigint, n_hit bigint, items array<string>, spans array<struct<start:bigint,end:bigint>>"
 
 
 class WindowSet:
-    """All windows of some benchmark items: sorted hashes with the words they stand for, for verification."""
+    """All windows of some benchmark items: sorted hashes, the words they stand for, and the items that hold them.
+
+    A window that many items share is one entry with a list of items, so that a hit costs the same whatever
+    their number. Words are numbered by their bytes; a hit is verified against these bytes.
+    """
 
     def __init__(self, items: list[tuple[str, str]], n: int) -> None:
         self.names = [name for name, _ in items]
         raw = [(text or "").encode() for _, text in items]
         data, bounds = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
         found = textkit.words(data, bounds, textkit.NON_ALNUM)
-        self.text, self.start, self.end = textkit.lower(data), found.start, found.end
-        #: By window length: hashes in ascending order, with each window's item and first word.
-        self.lengths: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        low = textkit.lower(data)
+        number: dict[bytes, int] = {}
+        ids = np.array([number.setdefault(low[s:e].tobytes(), len(number)) for s, e in zip(found.start, found.end, strict=True)], np.int64)
+        self.bytes = np.frombuffer(b"".join(number), np.uint8)
+        self.size = np.array([len(w) for w in number], np.int64)
+        self.first = np.cumsum(self.size) - self.size
+        #: By window length: hashes in ascending order, each window's words, and where its items begin in a list.
+        self.lengths: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
         sizes = np.minimum(np.diff(found.first), n)
         for size in np.unique(sizes[sizes > 0]).tolist():
             hashes, at, first = textkit.windows(found, size)
             item = np.repeat(np.arange(len(items)), np.diff(first))
             own = np.flatnonzero(sizes[item] == size)
-            own = own[np.lexsort((item[own], hashes[own]))]
-            own = own[np.concatenate([[True], (np.diff(hashes[own]) > 0) | (np.diff(item[own]) > 0)])]  # a window an item once
-            self.lengths[size] = hashes[own], item[own].astype(np.int32), at[own].astype(np.int64)
-
-    def _said(self, at: int, size: int) -> list[bytes]:
-        return [self.text[s:e].tobytes() for s, e in zip(self.start[at : at + size], self.end[at : at + size], strict=True)]
+            words = ids[at[own][:, None] + np.arange(size)]
+            order = np.lexsort((item[own], *words.T[::-1], hashes[own]))
+            own, words = own[order], words[order]
+            new = np.concatenate([[True], (words[1:] != words[:-1]).any(1)])
+            again = ~new & np.concatenate([[False], item[own][1:] == item[own][:-1]])
+            begins = np.cumsum(~again)[new] - 1
+            self.lengths[size] = hashes[own][new], words[new], np.append(begins, np.count_nonzero(~again)), item[own][~again].astype(np.int32)
+
+    def _same(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Whether the bytes of each span are those of the numbered word."""
+        same = end - start == self.size[word]
+        some = np.flatnonzero(same)
+        n = self.size[word[some]]
+        if n.sum():
+            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            equal = data[np.repeat(start[some], n) + step] == self.bytes[np.repeat(self.first[word[some]], n) + step]
+            same[some] = np.logical_and.reduceat(equal, np.cumsum(n) - n)
+        return same
+
+    def _hits(self, low: np.ndarray, found: textkit.Words, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(text's word at which a window begins, entry) of verified hits of windows of ``size`` words."""
+        known, words, _, _ = self.lengths[size]
+        hashes, at, first_of = textkit.windows(found, size)
+        # A text of fewer words has one window of all; it is no window of this length.
+        whole = at + size <= np.repeat(found.first[1:], np.diff(first_of))
+        low_slot, high_slot = np.searchsorted(known, hashes, "left"), np.searchsorted(known, hashes, "right")
+        left = np.flatnonzero(whole & (low_slot < high_slot))
+        slot = low_slot[left]
+        while len(left):
+            for lo in range(0, len(left), HITS):
+                begin, entry = at[left[lo : lo + HITS]], slot[lo : lo + HITS]
+                place = begin[:, None] + np.arange(size)
+                same = self._same(low, found.start[place].ravel(), found.end[place].ravel(), words[entry].ravel()).reshape(place.shape).all(1)
+                yield begin[same], entry[same]
+            # Windows of other words with the same hash are the next entries.
+            slot = slot + 1
+            more = slot < high_slot[left]
+            left, slot = left[more], slot[more]
 
     def scan(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, dict[int, set[str]], dict[int, np.ndarray], textkit.Words]:
         """Words a text, items hit by text, and the hit words of each text that has any."""
         found = textkit.words(data, bounds, textkit.NON_ALNUM)
-        per_text = np.diff(found.first)
+        low = textkit.lower(data)
         items: dict[int, set[str]] = {}
-        marks: dict[int, np.ndarray] = {}
-        for size, (known, item, place) in self.lengths.items():
-            hashes, at, first_of = textkit.windows(found, size)
-            slot = np.searchsorted(known, hashes)
-            slot[slot == len(known)] = 0
-            hits = np.flatnonzero(known[slot] == hashes)
-            texts = np.searchsorted(first_of, hits, "right") - 1
-            for k, text in zip(hits.tolist(), texts.tolist(), strict=True):
-                first = int(at[k])
-                if first + size > found.first[text + 1]:
-                    continue
-                said = [textkit.lower(data[s:e]).tobytes() for s, e in zip(found.start[first : first + size], found.end[first : first + size], strict=True)]
-                j = int(slot[k])
-                while j < len(known) and known[j] == hashes[k]:
-                    if self._said(int(place[j]), size) == said:
-                        items.setdefault(text, set()).add(self.names[item[j]])
-                        if text not in marks:
-                            marks[text] = np.zeros(per_text[text], bool)
-                        marks[text][first - found.first[text] : first - found.first[text] + size] = True
-                    j += 1
-        return per_text, items, marks, found
+        edges = np.zeros(len(found.hash) + 1, np.int64)
+        for size, (_, _, begins, held) in self.lengths.items():
+            pairs: list[np.ndarray] = []
+            for begin, entry in self._hits(low, found, size):
+                np.add.at(edges, begin, 1)
+                np.add.at(edges, begin + size, -1)
+                text = np.searchsorted(found.first, begin, "right") - 1
+                pairs.append(np.unique(np.stack([text, entry], 1), axis=0))
+            for text, entry in np.unique(np.concatenate(pairs), axis=0).tolist() if pairs else ():
+                items.setdefault(text, set()).update(self.names[i] for i in held[begins[entry] : begins[entry + 1]].tolist())
+        hit = np.cumsum(edges[:-1]) > 0
+        marks = {i: hit[found.first[i] : found.first[i + 1]] for i in items}
+        return np.diff(found.first), items, marks, found
 
 
 def _byte_spans(mark: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[dict]:
