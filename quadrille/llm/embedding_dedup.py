@@ -69,25 +69,32 @@ def _bounds(square: np.ndarray, words: np.ndarray) -> np.ndarray:
     return np.maximum(0, gap) ** 2
 
 
+def unit(v: Column) -> Column:
+    """A vector that isn't zero, with length 1: divided by its largest component first, so that no square is lost."""
+    largest = F.array_max(F.transform(v, lambda x: F.abs(x)))
+    scaled = F.zip_with(v, F.array_repeat(largest, F.size(v)), lambda x, m: x / m)
+    length = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda s, x: s + x * x))
+    return F.zip_with(scaled, F.array_repeat(length, F.size(v)), lambda x, n: x / n)
+
+
 def valid(vectors: DataFrame) -> DataFrame:
-    """One row a distinct (label, vector) that can link: first (the least vec_id), copies, label, v (unit, double).
+    """One row a distinct (label, vector) that can link: first (the least vec_id), copies, label, v (double).
 
     Null, empty, zero and non-finite vectors, null labels and null ids are left out.
     """
     v = F.col("embedding").cast("array<double>")
-    norm = F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x)
     sound = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    kept = vectors.filter(F.coalesce(sound, F.lit(False))).select("vec_id", "label", v.alias("v"), norm.alias("norm")).filter("norm > 0 and norm < double('infinity')")
+    kept = vectors.filter(F.coalesce(sound, F.lit(False))).select("vec_id", "label", v.alias("v")).filter(F.exists("v", lambda x: x != 0))
     return kept.groupBy("label", "v").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"))
 
 
-def _books(unit: DataFrame, sizes: list) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+def _books(rows: DataFrame, sizes: list) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """Both halves' codebooks of each length, fitted on about equally many vectors of each; a single word without any."""
-    spark = unit.sparkSession
+    spark = rows.sparkSession
     counts = spark.createDataFrame([(r["width"], r["n"]) for r in sizes], "width int, n bigint")
     # A vector's share of the hash range times its length's count is about its rank within its length.
     rank = (F.xxhash64(F.lit(SEED), "first").cast("double") / 2.0**64 + 0.5) * F.col("n")
-    sample = unit.join(F.broadcast(counts), "width").select("v", rank.alias("rank")).orderBy("rank").limit(SAMPLE).select("v").toPandas()
+    sample = rows.join(F.broadcast(counts), "width").select("v", rank.alias("rank")).orderBy("rank").limit(SAMPLE).select("v").toPandas()
     drawn: dict[int, list[np.ndarray]] = {}
     for v in sample["v"]:
         drawn.setdefault(len(v), []).append(v)
@@ -215,11 +222,9 @@ def links(vectors: DataFrame, least: float = 0.98, slack: float = 1.0) -> DataFr
     """
     kept = spool(valid(vectors), "vectors")
     rows = kept.withColumn("width", F.size("v"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    unit = rows.withColumn("v", F.transform("v", lambda x: x / norm))
     sizes = rows.groupBy("width").agg(F.count("*").alias("n"), F.countDistinct("label").alias("labels")).collect()
     if sizes:
-        found = _found(unit, sizes, least, slack)
+        found = _found(rows.withColumn("v", unit(F.col("v"))), sizes, least, slack)
         other = found.groupBy("first").agg(F.sum("n_links").alias("n_links"))
         joined = components(found.filter("root is not null").select(F.col("first").alias("a"), F.col("root").alias("b")))
         classes = rows.join(other, "first", "left").join(joined, rows["first"] == joined["node"], "left")
@@ -229,25 +234,22 @@ def links(vectors: DataFrame, least: float = 0.98, slack: float = 1.0) -> DataFr
     # Only rows that something links are looked up, copies by their vector and others by their id.
     named = spool(classes.filter("n_links > 0"), "vector-classes")
     discard(kept, *([found] if sizes else []))
-    at = F.struct("label", F.col("embedding").cast("array<double>").alias("v"))
-    every = vectors.select("vec_id", at.alias("at")).withColumn("mark", F.when(F.col("vec_id").isNotNull(), _mark("at.label", "at.v")))
-    few = named.groupBy(_mark("label", "v").alias("mark")).agg(F.collect_list(F.struct("label", "v", "n_links", "component_id")).alias("found"))
-    met = join_few(every, few, "mark", F.col("vec_id"))
-    own = F.get(F.filter("found", lambda x: (x["label"] == F.col("at.label")) & (x["v"] == F.col("at.v"))), 0)
-    full = met.select("vec_id", own.alias("own"))
-    component = F.when(F.col("vec_id").isNotNull(), F.coalesce("own.component_id", "vec_id")).cast("bigint")
-    return full.select("vec_id", F.coalesce("own.n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+    every = vectors.select("vec_id", F.when(F.col("vec_id").isNotNull(), _mark(F.col("label"), F.col("embedding").cast("array<double>"))).alias("mark"))
+    full = join_few(every, named.select(_mark(F.col("label"), F.col("v")).alias("mark"), "n_links", "component_id"), "mark", F.col("vec_id"))
+    component = F.when(F.col("vec_id").isNotNull(), F.coalesce("component_id", "vec_id")).cast("bigint")
+    return full.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
 
 
-def _mark(label: str, v: str) -> Column:
-    """Equal vectors of a label have equal marks, and -0 is 0."""
-    return F.xxhash64(F.col(label), F.transform(v, lambda x: x + F.lit(0.0)))
+def _mark(label: Column, v: Column) -> Column:
+    """Equal vectors of a label have equal marks of 128 bits, and -0 is 0; two of V others share one with odds of V^2 / 2^129."""
+    plain = F.transform(v, lambda x: x + F.lit(0.0))
+    return F.struct(F.xxhash64(label, plain).alias("a"), F.xxhash64(F.lit(SEED), plain, label).alias("b"))
 
 
-def _found(unit: DataFrame, sizes: list, least: float, slack: float) -> DataFrame:
+def _found(rows: DataFrame, sizes: list, least: float, slack: float) -> DataFrame:
     """(first, n_links, root): what each group of queries and members found."""
     radius2 = (2 - 2 * least) * slack**2 + 1e-9
-    filed = spool(_index(unit, _books(unit, sizes), radius2), "multi-index")
+    filed = spool(_index(rows, _books(rows, sizes), radius2), "multi-index")
     cell = ["label", "width", "cell"]
     counts = filed.groupBy(*cell).agg(F.count_if("member").alias("m"), F.count_if(~F.col("member")).alias("q")).withColumns({"slices": F.ceil(F.col("m") / SLICE), "batches": F.ceil(F.col("q") / BATCH)}).filter("m > 0 and q > 0")
     cut = filed.join(counts.select(*cell, "slices", "batches"), cell)
@@ -270,10 +272,10 @@ def recall(vectors: DataFrame, least: float = 0.98, slack: float = 1.0, every: i
     """
     v = F.col("embedding").cast("array<double>")
     sound = F.col("label").isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x))
-    rows = vectors.filter(F.coalesce(sound, F.lit(False))).select("vec_id", "label", v.alias("v")).withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).filter("norm > 0")
-    asked = rows.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("q"), "label", F.col("v").alias("w"), F.col("norm").alias("norm_w"))
+    rows = vectors.filter(F.coalesce(sound, F.lit(False))).select("vec_id", "label", v.alias("v")).filter(F.exists("v", lambda x: x != 0)).withColumn("v", unit(F.col("v")))
+    asked = rows.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("q"), "label", F.col("v").alias("w"))
     dot = F.aggregate(F.zip_with("v", "w", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    linked = rows.join(asked, "label").filter((F.size("v") == F.size("w")) & (F.col("q") != F.col("vec_id")) & (dot / (F.col("norm") * F.col("norm_w")) >= least))
+    linked = rows.join(asked, "label").filter((F.size("v") == F.size("w")) & (F.col("q") != F.col("vec_id")) & (dot >= least))
     true = linked.groupBy("q").count()
     own = links(vectors, least, slack).filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("q"), "n_links")
     return own.join(true, "q", "left").agg(F.coalesce(F.sum("count"), F.lit(0)).alias("links"), F.coalesce(F.sum("n_links"), F.lit(0)).alias("found"))

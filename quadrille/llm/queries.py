@@ -53,7 +53,9 @@ from d left join n on n.doc_id = d.doc_id
 with recursive e as (
   select vec_id, label, cast(embedding as double[]) as v from embeddings
   where label is not null and embedding is not null and len(embedding) > 0 and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x)))
-), u as (select vec_id, label, v, sqrt(list_dot_product(v, v)) as norm from e where list_dot_product(v, v) > 0),
+), p as (select vec_id, label, v, list_max(list_transform(v, lambda x: abs(x))) as largest from e),
+s as (select vec_id, label, list_transform(v, lambda x: x / largest) as v from p where largest > 0),
+u as (select vec_id, label, v, sqrt(list_dot_product(v, v)) as norm from s),
 l as (select a.vec_id as a, b.vec_id as b from u a join u b on a.label = b.label and a.vec_id <> b.vec_id and len(a.v) = len(b.v) where list_dot_product(a.v, b.v) / (a.norm * b.norm) >= 0.98),
 reach(node, root) as (select vec_id, vec_id from embeddings union select l.b, r.root from reach r join l on l.a = r.node),
 least as (select node, min(root) as component_id from reach group by node),

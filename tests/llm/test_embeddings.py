@@ -42,3 +42,19 @@ def test_links_match_brute_force_and_recall_is_measured(spark, monkeypatch, size
     assert found == {i: (n_links[i], root[i], root[i] == i) for i in root}
     measured = E.recall(docs, every=5).first()
     assert measured["links"] == measured["found"] == sum(n for i, n in n_links.items() if i % 5 == 0) > 100
+
+
+def test_very_small_and_very_large_vectors_link(spark):
+    rows = [(1, [1e-200, 1e-200]), (2, [2e-200, 2e-200]), (3, [1e200, 1e200]), (4, [1e200, 1e200]), (5, [5e-324, 0.0]), (6, [1.7e308, 0.0]), (7, [0.0, 0.0]), (8, [float("inf"), 1.0]), (9, [-1.0, -1.0])]
+    docs = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id bigint, embedding array<double>, label int")
+    found = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in E.links(docs).collect()}
+    assert found == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (1, 5), 6: (1, 5), 7: (0, 7), 8: (0, 8), 9: (0, 9)}
+
+
+def test_recall_below_one_is_measured(spark):
+    draw = np.random.default_rng(8)
+    hubs = draw.normal(size=(40, 16))
+    rows = [(i, [float(x) for x in hubs[i % 40] + 0.05 * draw.normal(size=16)], 0) for i in range(400)]
+    docs = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    whole, less = (E.recall(docs, slack=s, every=5).first() for s in (1.0, 0.3))
+    assert whole["found"] == whole["links"] == less["links"] > 50 and 0 < less["found"] <= less["links"]
