@@ -8,6 +8,7 @@ partitions hold places, not a product of both sides. Distances are compared squa
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -53,6 +54,36 @@ def top_k(pairs: DataFrame, by: list[str], order: list[Column], k: int) -> DataF
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("rank") <= k)
 
 
+def strongest(left: DataFrame, right: DataFrame, key: str, other: str, radius: float, k: int, power: Callable[[Column, Column], Column], least: float | None = None) -> DataFrame:
+    """The k rows of ``right`` of most ``power`` within ``radius`` of each row of ``left``: (key, other, power, rank).
+
+    ``power`` (of a row's ``base`` and the distance) falls with distance and rises with ``base``, so that
+    nothing beyond a ring has more than the largest base has at its edge. Rings grow until a row's k-th
+    power is above that, or until the radius; rows that are done are written and look no further.
+    Ties go to the smaller ``other``. Powers of ``least`` or below don't count.
+    """
+    ends = right.agg(F.count("*"), F.min("rx"), F.max("rx"), F.min("ry"), F.max("ry"), F.max("base")).first()
+    count, top = ends[0] or 0, float(ends[5] or 0)
+    dense = math.sqrt(3 * k * max((ends[2] or 0) - (ends[1] or 0), 1) * max((ends[4] or 0) - (ends[3] or 0), 1) / (math.pi * max(count, 1)))
+    reach, rest, done = min(float(dense), float(radius)), left, []
+    while True:
+        pairs = within(rest, right, reach, strict=False).withColumn("power", power(F.col("base"), F.sqrt(F.col("d2").cast("double"))))
+        if least is not None:
+            pairs = pairs.filter(F.col("power") > least)
+        best = materialise(top_k(pairs.select(key, other, "power"), [key], [F.desc("power"), F.col(other)], k), "strongest")
+        if reach >= radius:
+            done.append(best)
+            break
+        to_come = power(F.lit(top), F.lit(reach))
+        full = best.groupBy(key).agg(F.count("*").alias("n"), F.min("power").alias("last")).filter((F.col("n") == k) & (F.col("last") > to_come)).select(key)
+        done.append(best.join(full, key, "left_semi"))
+        rest = materialise(rest.join(full, key, "left_anti"), "rest")
+        if rest.isEmpty():
+            break
+        reach = min(2 * reach, float(radius))
+    return reduce(DataFrame.unionByName, done)
+
+
 def k_nearest(left: DataFrame, right: DataFrame, key: str, other: str, k: int, side: float | None = None) -> DataFrame:
     """The k nearest rows of ``right`` for each row of ``left``, whatever their distance; all if there are fewer.
 

@@ -43,19 +43,24 @@ def _reach(spark, sf) -> DataFrame:
     return pairs.withColumn("rssi", F.round(43.0 - F.col("ant_id") % 10 - loss, 6)).filter("rssi > -150")
 
 
+def _strongest(spark, sf, k: int) -> DataFrame:
+    power = lambda base, distance: F.round(base - P.free_space(distance, F.lit(FREQUENCY)), 6)
+    right = _right(sites(spark, sf)).withColumn("base", (43.0 - F.col("ant_id") % 10).cast("double"))
+    return neighbors.strongest(_left(nodes(spark, sf), "node_id"), right, "node_id", "ant_id", RADIUS_M, k, power, -150.0)
+
+
 _REACH = f"{SITES_SQL}, reach as (select n.node_id, a.ant_id, {_D2} as d2, round(43.0::double - a.ant_id % 10 - (20 * log10(greatest(sqrt(cast({_D2} as double)) / 1000.0, 0.001)) + 20 * log10(900.0::double) + 32.44::double), 6) as rssi from nodes n, sites a where {_D2} <= {_R2})"
 
 
 @query(f"with {NODES_SQL}, {_REACH} select node_id, ant_id, rssi, cast(row_number() over (partition by node_id order by rssi desc, ant_id) as integer) as rank from reach where rssi > -150 qualify row_number() over (partition by node_id order by rssi desc, ant_id) <= {BEST}")
 def j06_range_join_top_k(spark, sf):
     """Antennas within a radius, the best five by received power a node; ties to the smaller id."""
-    return neighbors.top_k(_reach(spark, sf), ["node_id"], [F.desc("rssi"), F.col("ant_id")], BEST).select("node_id", "ant_id", "rssi", F.col("rank").cast("int").alias("rank"))
+    return _strongest(spark, sf, BEST).select("node_id", "ant_id", F.col("power").alias("rssi"), F.col("rank").cast("int").alias("rank"))
 
 
 @query(f"with {NODES_SQL}, {_REACH} select node_id, arg_max(ant_id, struct_pack(r := rssi, a := -ant_id)) as ant_id, max(rssi) as rssi from reach where rssi > -150 group by node_id")
 def j07_argmax_join(spark, sf):
-    best = F.max_by("ant_id", F.struct("rssi", -F.col("ant_id")))
-    return _reach(spark, sf).groupBy("node_id").agg(best.alias("ant_id"), F.max("rssi").alias("rssi"))
+    return _strongest(spark, sf, 1).select("node_id", "ant_id", F.col("power").alias("rssi"))
 
 
 _POINTS = "pts as (select p_partkey as pt, (p_partkey * 48271 + 11) % 60000 as px, (p_partkey * 69621 + 7) % 59999 as py from part)"
