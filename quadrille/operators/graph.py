@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 OFFSETS = [(r, c) for r in (-1, 0, 1) for c in (-1, 0, 1)]
 
 
-def lattice_edges(pixels: DataFrame, rows: int, cols: int, step_m: float) -> DataFrame:
-    """(src, dst, dist) to the eight neighbours and oneself, of (row, col) pixels numbered row by row."""
+def lattice_edges(pixels: DataFrame, rows: int | None, cols: int, step_m: float) -> DataFrame:
+    """(src, dst, dist) to the eight neighbours and oneself, of (row, col) pixels numbered row by row; ``rows`` None for no last one."""
     moves = F.array(*[F.struct(F.lit(r).alias("dr"), F.lit(c).alias("dc")) for r, c in OFFSETS])
     moved = pixels.withColumn("m", F.explode(moves)).withColumns({"r2": F.col("row") + F.col("m.dr"), "c2": F.col("col") + F.col("m.dc")})
-    inside = moved.filter((F.col("r2") >= 0) & (F.col("r2") < rows) & (F.col("c2") >= 0) & (F.col("c2") < cols))
+    inside = moved.filter((F.col("r2") >= 0) & (F.lit(rows is None) | (F.col("r2") < (rows or 0))) & (F.col("c2") >= 0) & (F.col("c2") < cols))
     dist = F.sqrt((F.abs("m.dr") + F.abs("m.dc")).cast("double")) * step_m
     return inside.select((F.col("row") * cols + F.col("col")).alias("src"), (F.col("r2") * cols + F.col("c2")).alias("dst"), dist.alias("dist"))
 

@@ -63,10 +63,12 @@ def b01_legacy_generator_draws(spark, sf):
     return partition.shuffled_draws(spark, blocks, list(range(SEEDS)))
 
 
-@query("with n as (select i as n from range(3, 600) t(i)), c as (select n, greatest(1, cast(round_even(0.70::double * n, 0) as integer)) as a, greatest(1, cast(round_even(0.15::double * n, 0) as integer)) as b from n) select n, cast(case when a + b >= n then n - 2 else a end as bigint) as n_train, cast(case when a + b >= n then 1 else b end as bigint) as n_val from c")
+@query("with n as (select o_custkey, count(*) as n from orders group by 1 having count(*) >= 3), c as (select *, greatest(1, cast(round_even(0.70::double * n, 0) as integer)) as a, greatest(1, cast(round_even(0.15::double * n, 0) as integer)) as b from n) select o_custkey, n, cast(case when a + b >= n then n - 2 else a end as bigint) as n_train, cast(case when a + b >= n then 1 else b end as bigint) as n_val from c")
 def b02_role_counts(spark, sf):
+    """The rule for any number of units, here the orders of each customer."""
     a, b = partition.role_counts(F.col("n"))
-    return spark.range(3, 600).withColumnRenamed("id", "n").select("n", a.cast("bigint").alias("n_train"), b.cast("bigint").alias("n_val"))
+    units = spark.read.parquet(f"{sf}/orders.parquet").groupBy("o_custkey").agg(F.count("*").alias("n")).filter("n >= 3")
+    return units.select("o_custkey", "n", a.cast("bigint").alias("n_train"), b.cast("bigint").alias("n_val"))
 
 
 @query(f"with {_BASE} select seed, block_id, role from roles")

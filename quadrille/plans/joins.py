@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quadrille.fixtures import FREQUENCY, NODES_SQL, SITES_SQL, nodes, sites, table
+from quadrille.fixtures import FREQUENCY, NODES_SQL, PIXELS_SQL, SITES_SQL, nodes, pixels, raster_sizes, sites, table
 from quadrille.functions import propagation as P
 from quadrille.functions import stats
 from quadrille.operators import graph, neighbors
@@ -106,25 +106,32 @@ def j11_parent_join(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", "o_custkey", "o_orderpriority")
 
 
-_SIDE = 40
-_LATTICE = f"px as (select i, i // {_SIDE} as r, i % {_SIDE} as c from range({_SIDE * _SIDE}) t(i)), lat as (select p.i as src, (r + a - 1) * {_SIDE} + c + b - 1 as dst, round(sqrt(cast(abs(a - 1) + abs(b - 1) as double)) * 30.0, 6) as dist from px p, range(3) u(a), range(3) v(b) where r + a - 1 between 0 and {_SIDE - 1} and c + b - 1 between 0 and {_SIDE - 1})"
+_LATTICE = f"{PIXELS_SQL}, px as (select node_id as i, row as r, col as c, width from nodes cross join size1), lat as (select p.i as src, q.i as dst, round(sqrt(cast(abs(q.r - p.r) + abs(q.c - p.c) as double)) * 30.0, 6) as dist from px p cross join range(3) u(a) cross join range(3) v(b) join px q on q.r = p.r + a - 1 and q.c = p.c + b - 1)"
 
 
-def _lattice(spark) -> DataFrame:
-    return graph.lattice_edges(graph.pixel_grid(spark, _SIDE, _SIDE), _SIDE, _SIDE, 30.0)
+def _lattice(spark, sf) -> DataFrame:
+    """Edges among the pixels there are: the raster may have gaps and an open last row."""
+    width, _, _ = raster_sizes(spark, sf)
+    every = pixels(spark, sf)
+    edges = graph.lattice_edges(every.select("row", "col"), None, width, 30.0)
+    return edges.join(every.select(F.col("node_id").alias("dst")), "dst", "left_semi").select("src", "dst", "dist")
+
+
+def _members(spark, sf) -> DataFrame:
+    return pixels(spark, sf).filter("(node_id * 7919) % 10 < 7").select("node_id")
 
 
 @query(f"with {_LATTICE} select src, dst, dist from lat")
 def j12_lattice_edges(spark, sf):
-    return _lattice(spark).select("src", "dst", F.round("dist", 6).alias("dist"))
+    return _lattice(spark, sf).select("src", "dst", F.round("dist", 6).alias("dist"))
 
 
 @query(f"with {_LATTICE}, m as (select i as node_id, row_number() over (order by i) - 1 as local from px where (i * 7919) % 10 < 7) select a.local as src, b.local as dst from lat join m a on a.node_id = src join m b on b.node_id = dst")
 def j13_induced_subgraph(spark, sf):
     """Edges among members, with members numbered anew in order."""
-    members = graph.pixel_grid(spark, _SIDE, _SIDE).filter("(id * 7919) % 10 < 7").select(F.col("id").alias("node_id"))
+    members = _members(spark, sf)
     local = graph.numbered(members)
-    inner = graph.induced(_lattice(spark), members)
+    inner = graph.induced(_lattice(spark, sf), members)
     a, b = local.select(F.col("node_id").alias("src"), F.col("local").alias("a")), local.select(F.col("node_id").alias("dst"), F.col("local").alias("b"))
     return inner.join(a, "src").join(b, "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
@@ -135,19 +142,20 @@ def j14_bipartite_subset(spark, sf):
     return table(spark, sf, "lineitem").join(some, "l_suppkey", "left_semi").agg(F.count("*").alias("edges"), F.countDistinct("l_partkey").alias("parts"))
 
 
-@query(f"with {_LATTICE}, q as (select i, row_number() over (order by i) - 1 as local from px where r < {_SIDE // 2} and c < {_SIDE // 2}) select a.local as src, b.local as dst from lat join q a on a.i = src join q b on b.i = dst")
+@query(f"with {_LATTICE}, q as (select i, row_number() over (order by i) - 1 as local from px where r < width // 2 and c < width // 2) select a.local as src, b.local as dst from lat join q a on a.i = src join q b on b.i = dst")
 def j15_quadrant_edges(spark, sf):
     """Edges within a quadrant, from global to local numbers by arithmetic on row and column."""
-    half = _SIDE // 2
-    split = lambda c: (F.floor(F.col(c) / _SIDE), F.col(c) % _SIDE)
+    width, _, _ = raster_sizes(spark, sf)
+    half = width // 2
+    split = lambda c: (F.floor(F.col(c) / width), F.col(c) % width)
     (r1, c1), (r2, c2) = split("src"), split("dst")
     inside = (r1 < half) & (c1 < half) & (r2 < half) & (c2 < half)
-    return _lattice(spark).filter(inside).select((r1 * half + c1).alias("src"), (r2 * half + c2).alias("dst"))
+    return _lattice(spark, sf).filter(inside).select((r1 * half + c1).alias("src"), (r2 * half + c2).alias("dst"))
 
 
 @query(f"with {_LATTICE}, e as (select src, dst from lat where (src * 31 + dst) % 11 <> 0) select src, dst from e anti join (select dst as src, src as dst from e) using (src, dst)")
 def j16_missing_reverses(spark, sf):
-    return graph.asymmetric(_lattice(spark).filter("(src * 31 + dst) % 11 <> 0").select("src", "dst"))
+    return graph.asymmetric(_lattice(spark, sf).filter("(src * 31 + dst) % 11 <> 0").select("src", "dst"))
 
 
 @query("select l_partkey as src, l_suppkey as dst, count(*) as count, l_partkey = l_suppkey as self_loop from lineitem group by 1, 2 having count(*) > 1 or l_partkey = l_suppkey")
@@ -202,8 +210,8 @@ def j25_aligned_metadata(spark, sf):
 @query(f"with {_LATTICE}, m as (select i as node_id from px where (i * 7919) % 10 < 7), e as (select src, dst from lat where src <> dst), f as (select src, count(*) as d from e group by 1), g as (select src, count(*) as dv, count(*) filter (where dst not in (select node_id from m)) as outer_n from e where src in (select node_id from m) group by 1) select outer_n > 0 as border, count(*) as n, cast(sum(d) as bigint) as full_degree, cast(sum(dv - outer_n) as bigint) as kept_degree, round(1 - cast(sum(dv - outer_n) as double) / sum(d), 9) as loss from g join f using (src) group by 1")
 def a23_a24_degree_preservation(spark, sf):
     """Degrees before and after restricting to members, inner nodes and those with an edge to the outside apart."""
-    edges = _lattice(spark).filter("src <> dst").select("src", "dst")
-    members = graph.pixel_grid(spark, _SIDE, _SIDE).filter("(id * 7919) % 10 < 7").select(F.col("id").alias("node_id"))
+    edges = _lattice(spark, sf).filter("src <> dst").select("src", "dst")
+    members = _members(spark, sf)
     inner = graph.degrees(graph.induced(edges, members)).withColumnRenamed("degree", "k")
     both = graph.degrees(edges).join(members, "node_id", "left_semi").join(inner, "node_id", "left").select("node_id", "degree", F.coalesce("k", F.lit(0)).alias("k"))
     return both.groupBy((F.col("degree") > F.col("k")).alias("border")).agg(F.count("*").alias("n"), F.sum("degree").alias("full_degree"), F.sum("k").alias("kept_degree"), F.round(1 - F.sum("k").cast("double") / F.sum("degree"), 9).alias("loss"))
@@ -211,7 +219,7 @@ def a23_a24_degree_preservation(spark, sf):
 
 @query(f"with {_LATTICE} select round(max(dist), 6) as longest, round(avg(dist), 6) as mean, round(quantile_cont(dist, 0.99), 6) as p99 from lat where src <> dst")
 def a25_edge_lengths(spark, sf):
-    return _lattice(spark).filter("src <> dst").agg(F.round(F.max("dist"), 6).alias("longest"), F.round(F.avg("dist"), 6).alias("mean"), F.round(F.percentile("dist", 0.99), 6).alias("p99"))
+    return _lattice(spark, sf).filter("src <> dst").agg(F.round(F.max("dist"), 6).alias("longest"), F.round(F.avg("dist"), 6).alias("mean"), F.round(F.percentile("dist", 0.99), 6).alias("p99"))
 
 
 @query(f"with {NODES_SQL}, {_REACH} select node_id, {stats.exact_mean_sql('rssi')} as mean from reach group by node_id")

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quadrille.fixtures import DRAWS_SQL, FEATURES_SQL, FREQUENCY, NODES_SQL, draws, features, nodes, table
+from quadrille.fixtures import DRAWS_SQL, FEATURES_SQL, FREQUENCY, NODES_SQL, PIXELS_SQL, draws, features, nodes, pixels, raster_sizes, table
 from quadrille.functions import propagation as P
-from quadrille.functions import stats
-from quadrille.operators import graph, partition
+from quadrille.functions import geo, stats
+from quadrille.operators import partition
 from quadrille.plans.base import query
 from quadrille.plans.blocks import populations
 from quadrille.plans.joins import _REACH, _reach
@@ -126,9 +126,11 @@ def a21_points_to_pixels(spark, sf):
     return features(spark, sf).groupBy(F.expr("(x_m div 3000) * 20 + y_m div 3000").alias("pixel")).agg(F.count("*").alias("points"), _r(F.avg("elevation")).alias("mean"))
 
 
-@query("select (i // 90 // 3) * 30 + (i % 90) // 3 as parent, round(avg((i * 7919) % 1000), 6) as mean from range(8100) t(i) group by 1")
+@query(f"with {PIXELS_SQL} select (row // 3) * ((width + 2) // 3) + col // 3 as parent, round(cast(sum(cents) as double) / count(*), 6) as mean from nodes cross join size1 group by 1")
 def a22_block_mean(spark, sf):
-    return graph.pixel_grid(spark, 90, 90).groupBy(F.expr("(row div 3) * 30 + col div 3").alias("parent")).agg(_r(F.avg((F.col("id") * 7919) % 1000)).alias("mean"))
+    width, _, _ = raster_sizes(spark, sf)
+    parent = geo.parent_pixel(F.col("row"), F.col("col"), 3, (width + 2) // 3)
+    return pixels(spark, sf).groupBy(parent.alias("parent")).agg(_r(F.sum("cents").cast("double") / F.count("*")).alias("mean"))
 
 
 @query(f"{_FEATS}, c as (select *, pl_pred - 60 as raw, least(250.0, greatest(60.0, pl_pred - 60)) as held from feats) select is_sentinel, count(*) as n, round(avg(case when raw < 60 or raw > 250 then 1.0 else 0.0 end), 6) as out_of_range, round(quantile_cont(abs(raw - held), 0.99), 6) as p99_excess, round(avg(abs(raw - path_loss)), 6) as mae_raw, round(avg(abs(held - path_loss)), 6) as mae_held from c group by 1")
@@ -219,13 +221,14 @@ def w06_leave_one_out(spark, sf):
     return own.join(F.broadcast(total)).select("block_id", _r((F.col("ts") - F.col("s")) / (F.col("tm") - F.col("m"))).alias("without"))
 
 
-@query("with c as (select m, n, m * n as cells, abs(m * n - 132) as off, abs(m - n) as skew from range(4, 40) a(m), range(4, 40) b(n)) select cast(arg_min(m, struct_pack(off := off, skew := skew, m := m)) as bigint) as m, cast(arg_min(n, struct_pack(off := off, skew := skew, m := m)) as bigint) as n from c")
+@query("with t as (select c_nationkey as nation, count(*) as blocks from customer group by 1), c as (select nation, m, n, abs(m * n - blocks) as off, abs(m - n) as skew from t, range(4, 40) a(m), range(4, 40) b(n)) select nation, cast(arg_min(m, struct_pack(off := off, skew := skew, m := m)) as bigint) as m, cast(arg_min(n, struct_pack(off := off, skew := skew, m := m)) as bigint) as n from c group by nation")
 def w07_best_lattice(spark, sf):
-    """Of all m x n lattices that nearest to a number of blocks, the squarest of equals."""
-    side = spark.range(4, 40)
-    both = side.withColumnRenamed("id", "m").withColumn("n", F.explode(F.sequence(F.lit(4), F.lit(39))))
-    rank = F.struct(F.abs(F.col("m") * F.col("n") - 132), F.abs(F.col("m") - F.col("n")), F.col("m"))
-    return both.agg(F.min_by("m", rank).alias("m"), F.min_by(F.col("n").cast("bigint"), rank).alias("n"))
+    """Of all m x n lattices that nearest to a number of blocks, here a nation's customers, the squarest of equals."""
+    sizes = table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("nation")).agg(F.count("*").alias("blocks"))
+    side = F.sequence(F.lit(4).cast("bigint"), F.lit(39).cast("bigint"))
+    both = sizes.withColumn("m", F.explode(side)).withColumn("n", F.explode(side))
+    rank = F.struct(F.abs(F.col("m") * F.col("n") - F.col("blocks")), F.abs(F.col("m") - F.col("n")), F.col("m"))
+    return both.groupBy("nation").agg(F.min_by("m", rank).alias("m"), F.min_by("n", rank).alias("n"))
 
 
 @query("select distinct p_size from part order by p_size limit 20")

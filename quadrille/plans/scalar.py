@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.fixtures import FEATURES_SQL, NODES_SQL, antennas, features, nodes, table
+from quadrille.fixtures import FEATURES_SQL, NODES_SQL, PIXELS_SQL, antennas, features, nodes, pixels, raster_sizes, table
 from quadrille.functions import geo
 from quadrille.functions import propagation as P
 from quadrille.functions import stats
@@ -197,22 +197,23 @@ def p23_z_score(spark, sf):
     return rows.join(F.broadcast(own)).select("node_id", _r(stats.z_score(F.col("elevation"), F.col("m"), F.col("d"))).alias("z"))
 
 
-@query("with g as (select i // 60 as r, i % 60 as c from range(3600) t(i)) select r as row, c as col, round(-49.5::double + c * 0.01::double, 9) as lon, round(-22.5::double - r * 0.01::double, 9) as lat from g")
+@query(f"with {PIXELS_SQL} select node_id, round(-49.5::double + col * 0.01::double, 9) as lon, round(-22.5::double - row * 0.01::double, 9) as lat from nodes")
 def p25_pixel_positions(spark, sf):
     lon, lat = geo.pixel_position(F.col("row"), F.col("col"), -49.5, -22.5, 0.01, -0.01)
-    return spark.range(3600).selectExpr("id div 60 as row", "id % 60 as col").select("row", "col", _r(lon, 9).alias("lon"), _r(lat, 9).alias("lat"))
+    return pixels(spark, sf).select("node_id", _r(lon, 9).alias("lon"), _r(lat, 9).alias("lat"))
 
 
-@query("select i as id, round(-22.0::double - (i // 50) * 0.5 / 49, 9) as lat, round(-50.0::double + (i % 50) * 0.5 / 49, 9) as lon from range(2500) t(i)")
+@query(f"with {PIXELS_SQL} select node_id, round(-22.0::double - row * 0.5 / (width - 1), 9) as lat, round(-50.0::double + col * 0.5 / (width - 1), 9) as lon from nodes cross join size1")
 def p26_synthetic_grid(spark, sf):
-    """A square grid whose first row is the northernmost."""
-    return spark.range(2500).select("id", _r(F.lit(-22.0) - F.floor(F.col("id") / 50) * 0.5 / 49, 9).alias("lat"), _r(F.lit(-50.0) + (F.col("id") % 50) * 0.5 / 49, 9).alias("lon"))
+    """A grid of evenly spaced columns and rows, whose first row is the northernmost."""
+    width, _, _ = raster_sizes(spark, sf)
+    return pixels(spark, sf).select("node_id", _r(F.lit(-22.0) - F.col("row") * 0.5 / (width - 1), 9).alias("lat"), _r(F.lit(-50.0) + F.col("col") * 0.5 / (width - 1), 9).alias("lon"))
 
 
-@query("select (i // 90 // 3) * 30 + (i % 90) // 3 as parent, count(*) as children, min(i) as first from range(8100) t(i) group by 1")
+@query(f"with {PIXELS_SQL} select (row // 3) * ((width + 2) // 3) + col // 3 as parent, count(*) as children, min(node_id) as first from nodes cross join size1 group by 1")
 def p27_parent_pixel(spark, sf):
-    rows = spark.range(8100).selectExpr("id", "id div 90 as row", "id % 90 as col")
-    return rows.groupBy(geo.parent_pixel(F.col("row"), F.col("col"), 3, 30).alias("parent")).agg(F.count("*").alias("children"), F.min("id").alias("first"))
+    width, _, _ = raster_sizes(spark, sf)
+    return pixels(spark, sf).groupBy(geo.parent_pixel(F.col("row"), F.col("col"), 3, (width + 2) // 3).alias("parent")).agg(F.count("*").alias("children"), F.min("node_id").alias("first"))
 
 
 #: Names to numbers; all others share the last one.

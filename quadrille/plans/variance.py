@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.fixtures import NODES_SQL, nodes, table
+from quadrille.fixtures import BLOCK_M, BUFFER_M, NODES_SQL, draws, nodes, table
 from quadrille.functions import design
+from quadrille.operators import buffer, partition
 from quadrille.operators.shared import materialise
 from quadrille.plans.base import query
-from quadrille.plans.blocks import _DRIFT, _kept, _roles, calibration, drift
+from quadrille.plans.blocks import _BASE, _DRIFT, _PAIRS, _kept, _roles, calibration, drift
 
 #: Runs of two models in four cells: five draws with three seeds each.
 _RUNS = "runs as (select l_partkey % 4 as cell, case when l_orderkey % 2 = 0 then 'graph' else 'perceptron' end as model, l_suppkey % 5 as draw, l_linenumber % 3 as seed, avg(l_quantity) as err from lineitem group by 1, 2, 3, 4)"
@@ -93,38 +94,51 @@ def e10_level_sensitivity(spark, sf):
     return test.join(F.broadcast(levels), "seed").groupBy("seed", "name").agg(F.round(F.avg(F.abs(F.col("level") - F.col("rssi"))), 4).alias("mae"))
 
 
-@query("with c as (select m, n, te, tr from range(9) a(m), (select unnest([24, 36, 132]) as n), (select unnest([4, 6, 20]) as te), (select unnest([8, 16]) as tr)), p as (select *, list_transform(range(m), lambda i: (te - 1.0::double - i) / (n - 1 - i)) as lo, list_transform(range(m), lambda i: (n - 1.0::double - tr - i) / (n - 1 - i)) as hi from c) select m, n, te, tr, round(case when m > te - 1 then 0.0 else coalesce(list_product(lo), 1.0) end, 12) as lo, round(case when m > n - 1 - tr then 0.0 else coalesce(list_product(hi), 1.0) end, 12) as hi from p")
+_NEAR = f"{_BASE},{_PAIRS}, near as (select n.node_id, coalesce(q.m, 0) as m from nodes n left join (select i, count(distinct bj) as m from pairs group by i) q on q.i = n.node_id)"
+
+
+@query(f"with {_NEAR}, c as (select m, count(*) as nodes, any_value(k.n) as n, any_value(k.n - n_tr - n_va) as te, any_value(n_tr) as tr from near, cuts k, cut2 group by m), p as (select *, list_transform(range(m), lambda i: (te - 1.0::double - i) / (n - 1 - i)) as lo, list_transform(range(m), lambda i: (n - 1.0::double - tr - i) / (n - 1 - i)) as hi from c) select m, nodes, n, te, tr, round(case when m > te - 1 then 0.0 else coalesce(list_product(lo), 1.0) end, 12) as lo, round(case when m > n - 1 - tr then 0.0 else coalesce(list_product(hi), 1.0) end, 12) as hi from p")
 def e22_inclusion_bounds(spark, sf):
-    """Bounds of a node's inclusion if its m near blocks must all be in the test, or none in training."""
-    values = lambda name, xs: F.explode(F.array(*map(F.lit, xs))).alias(name)
-    grid = spark.range(9).withColumnRenamed("id", "m").select("m", values("n", (24, 36, 132))).select("m", "n", values("te", (4, 6, 20))).select("m", "n", "te", values("tr", (8, 16)))
+    """Bounds of a node's inclusion if its m near blocks must all be in the test, or none in training, by the blocks there are."""
+    rows = materialise(nodes(spark, sf).select("node_id", "block_id", "x_m", "y_m"), "places")
+    near = rows.select("node_id").join(buffer.near_blocks(rows, BUFFER_M).select("node_id", F.size("nbr_blocks").cast("bigint").alias("m")), "node_id", "left").fillna(0, "m")
+    tr, va = partition.role_counts(F.col("n"))
+    cuts = rows.agg(F.count_distinct("block_id").alias("n")).select("n", (F.col("n") - tr - va).cast("bigint").alias("te"), tr.cast("bigint").alias("tr"))
+    by_count = near.groupBy("m").agg(F.count("*").alias("nodes")).join(F.broadcast(cuts))
     lo, hi = design.inclusion_bounds(F.col("m"), F.col("n"), F.col("te"), F.col("tr"))
-    return grid.select("m", "n", "te", "tr", F.round(lo, 12).alias("lo"), F.round(hi, 12).alias("hi"))
+    return by_count.select("m", "nodes", "n", "te", "tr", F.round(lo, 12).alias("lo"), F.round(hi, 12).alias("hi"))
 
 
-_GRID = "g as (select cast(a as double) as g, b / 2.0::double as b, q / 20.0::double as q from (select unnest([5, 10, 20]) as a), range(5) s(b), range(21) t(q))"
+_STEPS = "(values (-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1)) d(dx, dy)"
+_GRID = f"""{_BASE}, nb as (select r.seed, r.block_id, count(*) as n, count(*) filter (where o.role <> 'train') as spare from roles r cross join {_STEPS} join roles o on o.seed = r.seed and o.block_id // 6 = r.block_id // 6 + dx and o.block_id % 6 = r.block_id % 6 + dy where r.role = 'test' group by 1, 2),
+g as (select seed, block_id, {BLOCK_M / 1000}::double as g, k / 2.0::double as b, cast(spare as double) / n as q from nb, range(1, 6) s(k))"""
 
 
-def _grid(spark) -> DataFrame:
-    return spark.range(21).select((F.col("id") / 20.0).alias("q"), F.explode(F.array(*[F.lit(k / 2) for k in range(5)])).alias("b")).select("q", "b", F.explode(F.array(*map(F.lit, (5.0, 10.0, 20.0)))).alias("g"))
+def _grid(spark, sf) -> DataFrame:
+    """(seed, block_id, g, b, q): each test block with the share of the blocks around it that don't train, for several buffers."""
+    roles = partition.roles(draws(nodes(spark, sf).select("block_id"))).withColumns({"x": F.expr("block_id div 6"), "y": F.col("block_id") % 6})
+    around = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]))
+    moved = roles.filter("role = 'test'").withColumn("s", around).select("seed", "block_id", (F.col("x") + F.col("s.a")).alias("x"), (F.col("y") + F.col("s.b")).alias("y"))
+    share = moved.join(roles.select("seed", "x", "y", "role"), ["seed", "x", "y"]).groupBy("seed", "block_id").agg((F.count_if(F.col("role") != "train").cast("double") / F.count("*")).alias("q"))
+    return share.select("seed", "block_id", F.lit(BLOCK_M / 1000).alias("g"), F.explode(F.array(*[F.lit(k / 2) for k in range(1, 6)])).alias("b"), "q")
 
 
-@query(f"with {_GRID} select g, b, q, round(((g - 2 * b) * (g - 2 * b) + 4 * b * (g - 2 * b) * q + 4 * b * b * (1 - pi() / 4) * q * q + pi() * b * b * q * q * q) / (g * g), 9) as retention from g")
+@query(f"with {_GRID} select seed, block_id, b, round(q, 9) as q, round(((g - 2 * b) * (g - 2 * b) + 4 * b * (g - 2 * b) * q + 4 * b * b * (1 - pi() / 4) * q * q + pi() * b * b * q * q * q) / (g * g), 9) as retention from g")
 def e25_retention_law(spark, sf):
     """Closed form of the share that trimming leaves of a block, if each neighbour spares it with probability q."""
-    return _grid(spark).select("g", "b", "q", F.round(design.retention(F.col("g"), F.col("b"), F.col("q")), 9).alias("retention"))
+    return _grid(spark, sf).select("seed", "block_id", "b", F.round("q", 9).alias("q"), F.round(design.retention(F.col("g"), F.col("b"), F.col("q")), 9).alias("retention"))
 
 
 _BIT = lambda k: f"((s >> {k}) & 1)"
 _CORNER = " + ".join(f"{_BIT(d)} * (1 - {_BIT(x)}) * (1 - {_BIT(y)})" for d, x, y in ((4, 0, 2), (5, 1, 2), (6, 0, 3), (7, 1, 3)))
 
 
-@query(f"with {_GRID}, s as (select s, cast({' + '.join(_BIT(k) for k in range(8))} as integer) as n, (g - b * ({_BIT(0)} + {_BIT(1)})) * (g - b * ({_BIT(2)} + {_BIT(3)})) - pi() * b * b / 4 * ({_CORNER}) as area, g, b, q from range(256) r(s), g) select g, b, q, round(sum(pow(1 - q, n) * pow(q, 8 - n) * area) / (g * g), 9) as retention from s group by g, b, q")
+@query(f"with {_GRID}, s as (select s, cast({' + '.join(_BIT(k) for k in range(8))} as integer) as n, (g - b * ({_BIT(0)} + {_BIT(1)})) * (g - b * ({_BIT(2)} + {_BIT(3)})) - pi() * b * b / 4 * ({_CORNER}) as area, seed, block_id, g, b, q from range(256) r(s), g) select seed, block_id, b, round(q, 9) as q, round(sum(pow(1 - q, n) * pow(q, 8 - n) * area) / any_value(g * g), 9) as retention from s group by seed, block_id, b, q")
 def e26_retention_by_states(spark, sf):
     """The same by all 256 states of the eight neighbours; a corner's quarter disc goes if its diagonal trims and both sides spare."""
-    states = spark.range(256).withColumnRenamed("id", "s")
+    states = _grid(spark, sf).withColumn("s", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(255).cast("bigint"))))
     area, p = design.state_area(F.col("s"), F.col("g"), F.col("b")), design.state_probability(F.col("s"), F.col("q"))
-    return _grid(spark).join(F.broadcast(states)).groupBy("g", "b", "q").agg(F.round(F.sum(p * area) / (F.col("g") * F.col("g")), 9).alias("retention"))
+    return states.groupBy("seed", "block_id", "b", "q", "g").agg(F.sum(p * area).alias("kept")).select("seed", "block_id", "b", F.round("q", 9).alias("q"), F.round(F.col("kept") / (F.col("g") * F.col("g")), 9).alias("retention"))
 
 
 @query(f"with {NODES_SQL} select count(*) as n, round(pow(corr(rssi, -log10(greatest(dist_m, 1.0))), 2), 6) as ceiling from nodes where not is_sentinel")
