@@ -11,11 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrille.functions import propagation as P
+from quadrille.operators import neighbors
+from quadrille.operators.shared import materialise
 
 FREQUENCY = 900.0
 BLOCK_M, BUFFER_M = 10_000, 2_000
-#: No antenna within this: the node is a sentinel.
-REACH_M = 6_000
+#: A node is a sentinel if the squared distance to its antenna times the number of antennas is above this, so that
+#: about as many nodes are covered whatever the number of antennas.
+REACH = 360_000_000
 POWER_DBM = 43.0
 SEEDS = 12
 
@@ -24,15 +27,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def antennas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "supplier").filter("s_suppkey < 10").selectExpr("s_suppkey as ant_id", "(s_suppkey * 15485863 + 7) % 60000 as ax", "(s_suppkey * 32452843 + 11) % 59999 as ay")
+#: Width and height of the domain in metres.
+DOMAIN = (60_000, 59_999)
 
 
 def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All suppliers as antennas, for the joins with them; ``antennas`` are the few that give nodes their coverage."""
+    """All suppliers as antennas."""
     return table(spark, sf_dir, "supplier").selectExpr("s_suppkey as ant_id", "(s_suppkey * 15485863 + 7) % 60000 as ax", "(s_suppkey * 32452843 + 11) % 59999 as ay")
 
 
+_cells: dict[tuple[str, str], tuple[DataFrame, int]] = {}
+
+
+def antenna_cells(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """The antennas that can be nearest, by cell of the domain, and a cell's side: written once a session, as all nodes ask for it."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _cells:
+        cells = materialise(neighbors.nearest_cells(sites(spark, sf_dir).selectExpr("ant_id", "ax as rx", "ay as ry"), "ant_id", *DOMAIN), "antenna-cells")
+        _cells[key] = cells, cells.select("side").first()[0]
+    return _cells[key]
+
+
 def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").selectExpr(
         "o_orderkey as node_id",
@@ -42,20 +57,26 @@ def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """node_id, x_m, y_m, fade, gx, gy, block_id: what needs no antenna."""
+    gx, gy = F.floor(F.col("x_m") / BLOCK_M), F.floor(F.col("y_m") / BLOCK_M)
+    return positions(spark, sf_dir).withColumns({"gx": gx, "gy": gy}).withColumn("block_id", F.col("gx") * 6 + F.col("gy"))
+
+
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """node_id, x_m, y_m, gx, gy, block_id, d2, dist_m, is_sentinel, path_loss, rssi.
 
-    The antennas, fewer than ten by their filter, come along as one array.
+    ``d2`` is the squared distance to the nearest of all antennas, of which a node looks at its cell's candidates.
     """
-    near = antennas(spark, sf_dir).agg(F.collect_list(F.struct("ax", "ay")).alias("ants"))
-    square = lambda a: (F.col("x_m") - a["ax"]) * (F.col("x_m") - a["ax"]) + (F.col("y_m") - a["ay"]) * (F.col("y_m") - a["ay"])
-    placed = positions(spark, sf_dir).join(F.broadcast(near)).withColumn("d2", F.array_min(F.transform("ants", square))).drop("ants")
+    cells, side = antenna_cells(spark, sf_dir)
+    square = lambda a: (F.col("x_m") - a["rx"]) * (F.col("x_m") - a["rx"]) + (F.col("y_m") - a["ry"]) * (F.col("y_m") - a["ry"])
+    met = places(spark, sf_dir).withColumns({"cx": F.expr(f"x_m div {side}"), "cy": F.expr(f"y_m div {side}")}).join(cells, ["cx", "cy"])
+    placed = met.withColumn("d2", F.array_min(F.transform("near", square)))
     dist = F.sqrt(F.col("d2").cast("double"))
-    loss = F.when(F.col("d2") > REACH_M * REACH_M, P.UNSET_PATH_LOSS).otherwise(F.round(P.free_space(dist, F.lit(FREQUENCY)) + F.col("fade"), 6))
-    gx, gy = F.floor(F.col("x_m") / BLOCK_M), F.floor(F.col("y_m") / BLOCK_M)
+    loss = F.when(F.col("d2") * F.col("points") > REACH, P.UNSET_PATH_LOSS).otherwise(F.round(P.free_space(dist, F.lit(FREQUENCY)) + F.col("fade"), 6))
     return (
-        placed.withColumns({"dist_m": dist, "path_loss": loss, "gx": gx, "gy": gy})
-        .withColumns({"is_sentinel": F.col("path_loss") >= P.SENTINEL_PATH_LOSS, "block_id": F.col("gx") * 6 + F.col("gy"), "rssi": F.when(F.col("path_loss") >= P.SENTINEL_PATH_LOSS, P.SENTINEL_RSSI).otherwise(F.round(POWER_DBM - F.col("path_loss"), 6))})
+        placed.withColumns({"dist_m": dist, "path_loss": loss})
+        .withColumns({"is_sentinel": F.col("path_loss") >= P.SENTINEL_PATH_LOSS, "rssi": F.when(F.col("path_loss") >= P.SENTINEL_PATH_LOSS, P.SENTINEL_RSSI).otherwise(F.round(POWER_DBM - F.col("path_loss"), 6))})
         .select("node_id", "x_m", "y_m", "gx", "gy", "block_id", "d2", "dist_m", "is_sentinel", "path_loss", "rssi")
     )
 
@@ -107,10 +128,10 @@ _SQL_RAMP = "cast((node_id * {}) % {} - {} as double) / {}"
 SITES_SQL = "sites as (select s_suppkey as ant_id, (s_suppkey * 15485863 + 7) % 60000 as ax, (s_suppkey * 32452843 + 11) % 59999 as ay from supplier)"
 #: The same views for the oracle: CTEs without the leading ``with``.
 NODES_SQL = f"""
-ant as (select s_suppkey as ant_id, (s_suppkey * 15485863 + 7) % 60000 as ax, (s_suppkey * 32452843 + 11) % 59999 as ay from supplier where s_suppkey < 10),
+ant as (select s_suppkey as ant_id, (s_suppkey * 15485863 + 7) % 60000 as ax, (s_suppkey * 32452843 + 11) % 59999 as ay from supplier),
 pos0 as (select o_orderkey as node_id, (o_orderkey * 7919 + 13) % 60000 as x_m, (o_orderkey * 104729 + 57) % 59999 as y_m, cast(cast(round(o_totalprice * 100) as bigint) % 2000 as double) / 100.0 as fade from orders),
 near0 as (select node_id, x_m, y_m, any_value(fade) as fade, min((x_m - ax) * (x_m - ax) + (y_m - ay) * (y_m - ay)) as d2 from pos0, ant group by node_id, x_m, y_m),
-pl0 as (select *, sqrt(cast(d2 as double)) as dist_m, case when d2 > {REACH_M * REACH_M} then 300.0::double else round(20 * log10(greatest(sqrt(cast(d2 as double)) / 1000.0, 0.001)) + 20 * log10(900.0::double) + 32.44::double + fade, 6) end as path_loss from near0),
+pl0 as (select *, sqrt(cast(d2 as double)) as dist_m, case when d2 * (select count(*) from ant) > {REACH} then 300.0::double else round(20 * log10(greatest(sqrt(cast(d2 as double)) / 1000.0, 0.001)) + 20 * log10(900.0::double) + 32.44::double + fade, 6) end as path_loss from near0),
 nodes as (select node_id, x_m, y_m, cast(floor(x_m / {BLOCK_M}.0) as bigint) as gx, cast(floor(y_m / {BLOCK_M}.0) as bigint) as gy, cast(floor(x_m / {BLOCK_M}.0) as bigint) * 6 + cast(floor(y_m / {BLOCK_M}.0) as bigint) as block_id, d2, dist_m, path_loss >= 299 as is_sentinel, path_loss, case when path_loss >= 299 then -110.0::double else round(43.0::double - path_loss, 6) end as rssi from pl0)"""
 FEATURES_SQL = NODES_SQL + f""",
 feats as (select *, {_SQL_RAMP.format(37, 1000, 0, 10)} as elevation, {_SQL_RAMP.format(13, 100, 0, 250)} as slope, {_SQL_RAMP.format(31, 201, 100, 100)} as ndvi, {_SQL_RAMP.format(17, 201, 100, 100)} as ndwi, {_SQL_RAMP.format(7, 160, 0, 1)} as tri_m, {_SQL_RAMP.format(11, 50, 0, 10)} as roughness, {_SQL_RAMP.format(19, 100, 0, 100)} as b02, {_SQL_RAMP.format(23, 100, 0, 100)} as b03, {_SQL_RAMP.format(29, 100, 0, 100)} as b04, {_SQL_RAMP.format(41, 100, 0, 100)} as b08, round(rssi + {_SQL_RAMP.format(43, 2001, 1000, 100)}, 6) as rssi_pred, round(path_loss + {_SQL_RAMP.format(47, 2001, 1000, 100)}, 6) as pl_pred from nodes)"""

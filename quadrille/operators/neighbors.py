@@ -54,6 +54,24 @@ def top_k(pairs: DataFrame, by: list[str], order: list[Column], k: int) -> DataF
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("rank") <= k)
 
 
+def nearest_cells(right: DataFrame, other: str, width: int, height: int) -> DataFrame:
+    """(cx, cy, side, near): the plane from 0 in as many cells as there are points, each with all that can be nearest to a place in it.
+
+    ``right`` (``other``, rx, ry) has about as many candidates a cell as a place has neighbours, however many
+    points there are: those no further from the cell's middle than its nearest one and the cell's diagonal.
+    """
+    n = max(1, right.count())
+    side = max(1, math.ceil(math.sqrt(width * height / n)))
+    across, up = -(-width // side), -(-height // side)
+    middles = right.sparkSession.range(across * up).selectExpr("id as cell", f"(id div {up}) * {side} + {side // 2} as lx", f"(id % {up}) * {side} + {side // 2} as ly")
+    first = materialise(k_nearest(middles, right, "cell", other, 1).select("cell", F.sqrt(F.col("d2").cast("double")).alias("d")), "nearest-of-cells")
+    reach = first.agg(F.max("d")).first()[0]
+    diagonal = side * math.sqrt(2) + 2
+    met = within(middles.join(first, "cell"), right, (reach or 0.0) + diagonal, strict=False).filter(F.sqrt(F.col("d2").cast("double")) <= F.col("d") + diagonal)
+    near = met.groupBy("cell").agg(F.collect_list(F.struct("rx", "ry")).alias("near"))
+    return near.selectExpr(f"cell div {up} as cx", f"cell % {up} as cy", f"cast({side} as bigint) as side", f"cast({n} as bigint) as points", "near")
+
+
 def strongest(left: DataFrame, right: DataFrame, key: str, other: str, radius: float, k: int, power: Callable[[Column, Column], Column], least: float | None = None) -> DataFrame:
     """The k rows of ``right`` of most ``power`` within ``radius`` of each row of ``left``: (key, other, power, rank).
 

@@ -32,3 +32,35 @@ def quantiles(rows: DataFrame, group: list[str], value: str, shares: dict[str, f
         low, part = F.floor(at), at - F.floor(at)
         picks.append((F.sum(F.when(F.col("rank") == low, F.col(value) * (1 - part))) + F.coalesce(F.sum(F.when((F.col("rank") == low + 1) & (part > 0), F.col(value) * part)), F.lit(0.0))).alias(name))
     return placed.groupBy(*group).agg(*picks)
+
+
+def segment_quantiles(rows: DataFrame, values: dict[str, tuple[Column, dict[str, Column]]], shares: dict[str, float]) -> DataFrame:
+    """(kind, segment, n, a column a share): interpolated quantiles of several values over overlapping segments.
+
+    ``values`` names each value and the conditions of its segments. All are cut into ranges once. Counts a
+    range and segment say which ranges hold the wanted ranks; only these are sorted, and of them only those
+    with more than one value. A row in many segments is one row until then. Null values count nowhere;
+    segments without values are absent.
+    """
+    each = [F.struct(F.lit(kind).alias("kind"), x.cast("double").alias("x"), F.filter(F.array(*[F.when(where, F.lit(name)) for name, where in segments.items()]), lambda s: s.isNotNull()).alias("segments")) for kind, (x, segments) in values.items()]
+    long = rows.select(F.explode(F.array(*each)).alias("v")).select("v.*").filter("x is not null and size(segments) > 0")
+    cut = materialise(long.repartitionByRange("kind", "x").withColumn("range", F.spark_partition_id()), "value-ranges")
+    key = ["kind", "segment"]
+    opened = cut.select("kind", "range", "x", F.explode("segments").alias("segment"))
+    counts = opened.groupBy(*key, "range").agg(F.count("*").alias("m"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    own = Window.partitionBy(*key)
+    placed = counts.withColumns({"before": F.sum("m").over(own.orderBy("range")) - F.col("m"), "n": F.sum("m").over(own)})
+    ends = []
+    for name, share in shares.items():
+        at = share * (F.col("n") - 1) + 1
+        low, part = F.floor(at), at - F.floor(at)
+        ends += [F.struct(F.lit(name).alias("share"), low.alias("rank"), (1 - part).alias("weight")), F.struct(F.lit(name).alias("share"), (low + 1).alias("rank"), part.alias("weight"))]
+    wanted = placed.withColumn("w", F.explode(F.array(*ends))).filter("w.weight > 0 and w.rank > before and w.rank <= before + m")
+    picks = materialise(wanted.select(*key, "n", "range", "lo", "hi", F.col("w.share").alias("share"), (F.col("w.rank") - F.col("before")).alias("at"), F.col("w.weight").alias("weight")), "wanted-ranks")
+    # Ranges with a single value need no order: it is the value of any rank within.
+    flat = picks.filter("lo = hi").select(*key, "n", "share", "weight", F.col("lo").alias("x"))
+    asked = picks.filter("lo < hi")
+    sorted_ = opened.join(F.broadcast(asked.select(*key, "range").distinct()), [*key, "range"]).withColumn("at", F.row_number().over(Window.partitionBy(*key, "range").orderBy("x")))
+    found = sorted_.join(F.broadcast(asked), [*key, "range", "at"]).select(*key, "n", "share", "weight", "x")
+    sums = [F.sum(F.when(F.col("share") == name, F.col("weight") * F.col("x"))).alias(name) for name in shares]
+    return flat.unionByName(found).groupBy(*key, "n").agg(*sums)

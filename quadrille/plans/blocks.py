@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.fixtures import BUFFER_M, DRAWS_SQL, FREQUENCY, NODES_SQL, SEEDS, draws, nodes
+from quadrille.fixtures import BUFFER_M, DRAWS_SQL, FREQUENCY, NODES_SQL, SEEDS, draws, nodes, places
 from quadrille.functions import propagation as P
 from quadrille.functions import stats
 from quadrille.functions.geo import edge_distance
@@ -31,7 +31,7 @@ kept as (select p.seed, p.node_id, p.role, h.node_id is null and h2.node_id is n
 
 
 def _draws(spark, sf) -> DataFrame:
-    return draws(nodes(spark, sf).select("block_id"))
+    return draws(places(spark, sf).select("block_id"))
 
 
 def _roles(spark, sf) -> DataFrame:
@@ -40,7 +40,7 @@ def _roles(spark, sf) -> DataFrame:
 
 def _placed(spark, sf) -> DataFrame:
     """The nodes' places, written once for all the steps that read them."""
-    return materialise(nodes(spark, sf).select("node_id", "block_id", "x_m", "y_m"), "places")
+    return materialise(places(spark, sf).select("node_id", "block_id", "x_m", "y_m"), "places")
 
 
 def _kept(spark, sf) -> DataFrame:
@@ -57,7 +57,7 @@ def b01_seeded_draws(spark, sf):
 @query()
 def b01_legacy_generator_draws(spark, sf):
     """Permutations of the reference generator; tests hold them against NumPy. Too many blocks for the driver are an error."""
-    blocks = [b["block_id"] for b in nodes(spark, sf).select("block_id").distinct().limit(MOST_BLOCKS + 1).collect()]
+    blocks = [b["block_id"] for b in places(spark, sf).select("block_id").distinct().limit(MOST_BLOCKS + 1).collect()]
     if len(blocks) > MOST_BLOCKS:
         raise ValueError(f"more than {MOST_BLOCKS} blocks")
     return partition.shuffled_draws(spark, blocks, list(range(SEEDS)))
@@ -142,7 +142,7 @@ def b12_member_digest(spark, sf):
 
 @query(f"with {_TRIM}, c as (select k.seed, k.role, n.block_id, count(*) as n, count(*) filter (where kept) as m from kept k join nodes n using (node_id) group by 1, 2, 3) select seed, role, case when m = 0 then 'void' when m < 0.1 * n then 'nearly_void' else 'effective' end as state, count(*) as blocks from c group by 1, 2, 3")
 def b13_effective_blocks(spark, sf):
-    per = _kept(spark, sf).join(nodes(spark, sf).select("node_id", "block_id"), "node_id").groupBy("seed", "role", "block_id").agg(F.count("*").alias("n"), F.count_if("kept").alias("m"))
+    per = _kept(spark, sf).join(places(spark, sf).select("node_id", "block_id"), "node_id").groupBy("seed", "role", "block_id").agg(F.count("*").alias("n"), F.count_if("kept").alias("m"))
     state = F.when(F.col("m") == 0, "void").when(F.col("m") < 0.1 * F.col("n"), "nearly_void").otherwise("effective")
     return per.groupBy("seed", "role", state.alias("state")).agg(F.count("*").alias("blocks"))
 
@@ -213,7 +213,7 @@ def a10_retention(spark, sf):
 def a13_inclusion_frequency(spark, sf):
     per = _kept(spark, sf).filter("role = 'test'").groupBy("node_id").agg(F.count("*").alias("n_te"), F.count_if("kept").alias("n_in"))
     n_in = F.coalesce("n_in", F.lit(0))
-    return nodes(spark, sf).select("node_id").join(per, "node_id", "left").select("node_id", n_in.alias("n_in"), F.round(n_in / float(SEEDS), 9).alias("p"), F.round(F.col("n_in") / F.col("n_te"), 9).alias("p_given_test"))
+    return places(spark, sf).select("node_id").join(per, "node_id", "left").select("node_id", n_in.alias("n_in"), F.round(n_in / float(SEEDS), 9).alias("p"), F.round(F.col("n_in") / F.col("n_te"), 9).alias("p_given_test"))
 
 
 @query(f"with {_TRIM}, e as (select n.node_id, floor(least(x_m % 10000, 10000 - x_m % 10000, y_m % 10000, 10000 - y_m % 10000) / 250.0) as bin from nodes n) select cast(bin as bigint) as bin, count(*) as n, round(avg(case when kept then 1.0 else 0.0 end), 9) as p from kept join e using (node_id) where role = 'test' group by 1")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.fixtures import BUFFER_M, DRAWS_SQL, PIXEL_M, PIXELS_SQL, draws, nodes, pixels, raster_sizes
+from quadrille.fixtures import BUFFER_M, DRAWS_SQL, PIXEL_M, PIXELS_SQL, draws, pixels, places, raster_sizes
 from quadrille.operators import buffer, distance, partition, ranks
 from quadrille.operators.shared import materialise
 from quadrille.plans.base import query
@@ -78,7 +78,7 @@ PAIRS = [("train", "val"), ("train", "test"), ("val", "test")]
 
 def role_distances(spark, sf) -> DataFrame:
     """(seed, a, b, d2): the least squared distance between the members of two roles, in every draw."""
-    rows = materialise(nodes(spark, sf).select("node_id", "block_id", "x_m", "y_m"), "places")
+    rows = materialise(places(spark, sf).select("node_id", "block_id", "x_m", "y_m"), "places")
     roles = partition.roles(draws(rows.select("block_id")))
     member, judged = buffer.judged_classes(rows, roles, materialise(buffer.near_sets(rows, BUFFER_M), "near-sets"))
     points = materialise(rows.join(member, "node_id").select(F.col("class").alias("grp"), "x_m", "y_m"), "points")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.fixtures import BLOCK_M, BUFFER_M, DRAWS_SQL, FEATURES_SQL, FREQUENCY, NODES_SQL, draws, features, nodes
+from quadrille.fixtures import BLOCK_M, BUFFER_M, DRAWS_SQL, FEATURES_SQL, FREQUENCY, NODES_SQL, draws, features, nodes, places
 from quadrille.functions import propagation as P
 from quadrille.operators import bootstrap, buffer, digest, partition, ranks
 from quadrille.operators.shared import materialise
@@ -159,7 +159,7 @@ _MASKS = f"{_BASE},{_PAIRS}, g as (select p.i, p.bi, b.block_id // 6 - p.bi // 6
 @query(f"with {_MASKS}, h as (select block_id, mask, count(*) as n from masks group by 1, 2), fl as (select unnest(range(256)) as flags) select b.block_id, cast(flags as integer) as flags, cast(coalesce(sum(n), 0) as bigint) as n from (select distinct block_id from h) b cross join fl left join h on h.block_id = b.block_id and (cast(h.mask as integer) & cast(flags as integer)) = 0 group by 1, 2")
 def e31_flag_table(spark, sf):
     """How many nodes of a block stay if the neighbours in ``flags`` trim, for all 256 sets of neighbours."""
-    rows = nodes(spark, sf).select("node_id", "block_id", "x_m", "y_m", "gx", "gy")
+    rows = places(spark, sf).select("node_id", "block_id", "x_m", "y_m", "gx", "gy")
     return disjoint_counts(neighbour_masks(materialise(rows, "places"), BUFFER_M), ["block_id"])
 
 
@@ -174,7 +174,7 @@ def e32_median_band(spark, sf):
     """
     loss = P.free_space(F.col("dist_m"), F.lit(FREQUENCY))
     levels = F.explode(F.array(F.struct(F.lit("free").alias("model"), F.round(F.col("rssi") + loss, 6).alias("w")), F.struct(F.lit("steep").alias("model"), F.round(F.col("rssi") + 1.5 * loss, 6).alias("w"))))
-    roles = partition.roles(draws(nodes(spark, sf).select("block_id"))).filter("role = 'train'")
+    roles = partition.roles(draws(places(spark, sf).select("block_id"))).filter("role = 'train'")
     train = materialise(nodes(spark, sf).join(F.broadcast(roles), "block_id").select("seed", "is_sentinel", levels.alias("v")).select("seed", "is_sentinel", "v.model", "v.w"), "levels")
     key = ["seed", "model"]
     sizes = train.groupBy(*key).agg(F.count("*").alias("n"), F.count_if("is_sentinel").alias("n_sentinel")).filter("2 * n_sentinel > n")
@@ -196,7 +196,7 @@ _LITTLE = " || ".join(f"h[{i}:{i + 1}]" for i in range(15, 0, -2))
 @query(f"with {_BASE}, m as (select seed, role, node_id, {_HEX} as h from nodes join roles using (block_id)) select seed, role, count(*) as n, sha256(unhex(string_agg({_LITTLE}, '' order by node_id))) as sha256 from m group by 1, 2")
 def b12_member_sha256(spark, sf):
     """SHA-256 of each role's sorted members as little-endian int64."""
-    rows = nodes(spark, sf).select("node_id", "block_id")
+    rows = places(spark, sf).select("node_id", "block_id")
     return digest.id_digests(rows.join(F.broadcast(partition.roles(draws(rows.select("block_id")))), "block_id"), ["seed", "role"], "node_id")
 
 
@@ -211,7 +211,7 @@ _REACH = f"o as (select n.node_id, n.gx + p.a - 1 as nx, n.gy + q.b - 1 as ny, c
 @query(f"with {_BASE}, {_REACH}, r(role, free) as (select 'test', n - n_tr - n_va from cut2, cuts union all select 'val', n - n_tr from cut2, cuts) select role, cuts.n as blocks, free, round(cast(sum(a.n * pow(cast(free as double) / cuts.n, k)) as double) / sum(a.n), 9) as mean_field, round(cast(sum(a.n * list_product(list_prepend(1.0::double, list_transform(range(0, k), lambda j: (free - 1 - j)::double / (cuts.n - 1 - j))))) as double) / sum(a.n), 9) as exact from a, r, cuts group by 1, 2, 3")
 def e27_finite_lattice(spark, sf):
     """Expected retention on the blocks there are: nodes are counted by how many blocks reach them."""
-    rows = nodes(spark, sf).select("node_id", "gx", "gy", (F.col("x_m") - F.col("gx") * BLOCK_M).alias("dx"), (F.col("y_m") - F.col("gy") * BLOCK_M).alias("dy"))
+    rows = places(spark, sf).select("node_id", "gx", "gy", (F.col("x_m") - F.col("gx") * BLOCK_M).alias("dx"), (F.col("y_m") - F.col("gy") * BLOCK_M).alias("dy"))
     blocks = rows.select("gx", "gy").distinct().withColumn("real", F.lit(True))
     away = lambda step, d: F.lit(0) if step == 0 else d if step < 0 else BLOCK_M - d
     steps = F.array(*[F.struct((F.col("gx") + a).alias("nx"), (F.col("gy") + b).alias("ny"), (away(a, F.col("dx")) * away(a, F.col("dx")) + away(b, F.col("dy")) * away(b, F.col("dy")) <= BUFFER_M * BUFFER_M).alias("near")) for a, b in SIDES])
@@ -244,7 +244,7 @@ def e29_block_area(spark, sf):
 
     A side takes a strip as wide as the buffer; a corner without either side takes a quarter of a disc.
     """
-    rows = nodes(spark, sf).select("block_id", (F.col("x_m") - F.col("gx") * BLOCK_M).alias("x"), (F.col("y_m") - F.col("gy") * BLOCK_M).alias("y"))
+    rows = places(spark, sf).select("block_id", (F.col("x_m") - F.col("gx") * BLOCK_M).alias("x"), (F.col("y_m") - F.col("gy") * BLOCK_M).alias("y"))
     roles = partition.roles(draws(rows.select("block_id")))
     train = roles.filter("role = 'train'").groupBy("seed").agg(F.collect_set("block_id").alias("train"))
     gx, gy = F.expr("block_id div 6"), F.col("block_id") % 6

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quadrille.fixtures import DRAWS_SQL, FEATURES_SQL, FREQUENCY, NODES_SQL, PIXELS_SQL, draws, features, nodes, pixels, raster_sizes, table
 from quadrille.functions import propagation as P
 from quadrille.functions import geo, stats
-from quadrille.operators import partition
+from quadrille.operators import partition, ranks
 from quadrille.plans.base import query
 from quadrille.plans.blocks import populations
 from quadrille.plans.joins import _REACH, _reach
@@ -75,6 +75,76 @@ def a16_f06_segment_diagnostics(spark, sf):
     return features(spark, sf).agg(F.count("*").alias("n"), *[c for tag, where in segments.items() for c in _errors("rssi_pred", "rssi", tag, where)])
 
 
+def _mixed_sql(x: str, y: str) -> str:
+    return f"case when count(*) < 5 or stddev_samp({x}) < 1e-8 or stddev_samp({y}) < 1e-8 then 0.0 else greatest(-1.0, least(1.0, covar_pop({x}, {y}) / (stddev_samp({x}) * stddev_samp({y})))) end"
+
+
+#: Targets and predictions of the diagnostics beside those that features have, as SQL for either engine.
+_DIAGNOSED = "*, greatest(ndvi, 0.0) * 20 as shadow, greatest(ndvi, 0.0) * 18 + slope as shadow_pred, roughness * 3 as diffr, roughness * 2.5 + tri_m / 100 as diffr_pred, case when node_id % 3 = 0 then 1e0 else 0e0 end as has_lidar, 1 - (b02 + b03 + b04) / 3 as shade, abs(pl_pred - path_loss) as pl_err, abs(rssi_pred - rssi) as rssi_err, 20 * log10(greatest(dist_m / 1000.0, 0.001)) + 20 * log10(1800.0) + 32.44 as fs"
+_RINGS = {"near": "dist_m < 5000", "mid": "dist_m >= 5000 and dist_m < 15000", "far": "dist_m >= 15000"}
+_COVERS = {"vegetation": "ndvi > 0.5", "open_area": "ndvi < 0.2", "water": "ndwi > 0.3"}
+_THRESHOLDS = (85, 90, 95, 100)
+_CORRELATED = {"dist_rssi": ("dist_m", "rssi_err"), "elevation_pl": ("elevation", "pl_err"), "slope_pl": ("slope", "pl_err"), "ndvi_rssi": ("ndvi", "rssi_err"), "roughness_pl": ("roughness", "pl_err"), "has_lidar": ("has_lidar", "rssi_err"), "b08": ("b08", "rssi_err"), "shadow_idx_rssi": ("shade", "rssi_err")}
+
+
+def _share(condition: str) -> str:
+    return f"avg(case when {condition} then 1e0 else 0e0 end)"
+
+
+def _diagnostics() -> dict[str, str]:
+    """Every metric that is no quantile, as an aggregate that both engines read."""
+    own = {
+        "rssi_pred_std": "stddev_samp(rssi_pred)", "path_loss_pred_std": "stddev_samp(pl_pred)",
+        "rssi_target_std": "case when stddev_samp(rssi) > 1e-8 then stddev_samp(rssi) else 1.0 end",
+        "distribution_fidelity": "stddev_samp(rssi_pred) / case when stddev_samp(rssi) > 1e-8 then stddev_samp(rssi) else 1.0 end",
+        "physics_fspl_compliance": _share("pl_pred >= fs"), "physics_rssi_range_ok": _share("rssi_pred >= -140 and rssi_pred <= -30"),
+        "physics_distance_gradient": _mixed_sql("rssi_pred", "(-dist_m)"), "physics_shadowing_ndvi_corr": _mixed_sql("shadow_pred", "ndvi"), "physics_diffraction_roughness_corr": _mixed_sql("diffr_pred", "roughness"),
+        "physics_vegetation_compliance": "avg(rssi_err) filter (where ndvi > 0.5) / (avg(rssi_err) + 1e-8)",
+        "physics_path_loss_bias": "avg(pl_pred - path_loss)", "physics_rssi_bias": "avg(rssi_pred - rssi)",
+        "coverage_spread": f"100 * {_share('rssi_pred > -85')} - 100 * {_share('rssi_pred > -95')}",
+    }
+    own |= {f"mae_ring_{tag}": f"avg(pl_err) filter (where {where})" for tag, where in _RINGS.items()}
+    own |= {f"coverage_at_{t}dbm": f"100 * {_share(f'rssi_pred > -{t}')}" for t in _THRESHOLDS}
+    own |= {f"corr_{name}_error": _mixed_sql(x, y) for name, (x, y) in _CORRELATED.items()}
+    for tag, guess, truth in (("pl", "pl_pred", "path_loss"), ("rssi", "rssi_pred", "rssi")):
+        own |= {f"{tag}_mae": f"avg(abs({guess} - {truth}))", f"{tag}_rmse": f"sqrt(avg(({guess} - {truth}) * ({guess} - {truth})))", f"{tag}_bias": f"avg({guess} - {truth})", f"{tag}_std_pred": f"stddev_samp({guess})"}
+    for tag in ("shadow", "diffr"):
+        own |= {f"{tag}_mae": f"avg(abs({tag}_pred - {tag}))", f"{tag}_std_pred": f"stddev_samp({tag}_pred)"}
+    return own
+
+
+_METRICS = _diagnostics()
+_P90 = {f"p90_ring_{t}": w for t, w in _RINGS.items()} | {f"p90_{t}": w for t, w in _COVERS.items()} | {"pl_p90": "true"}
+_PLACES = {"p10": 0.10, "p25": 0.25, "p75": 0.75, "p90": 0.90}
+_WIDE_SQL = ", ".join([*(f"cast({x} as double) as {name}" for name, x in _METRICS.items()), *(f"quantile_cont(rssi_pred, {q}) as rssi_pred_{name}" for name, q in _PLACES.items()), *(f"quantile_cont(pl_err, 0.9) filter (where {w}) as {name}" for name, w in _P90.items()), "quantile_cont(rssi_err, 0.9) as rssi_p90"])
+
+
+@query(f"{_FEATS}, d as (select {_DIAGNOSED} from feats), w as (select {_WIDE_SQL} from d), u as (unpivot w on columns(*) into name metric value value) select metric, round(value, 5) as value from u where value is not null")
+def a16_target_diagnostics(spark, sf):
+    """All metrics of the five phases, a row each: one wide aggregation, and one cut for the quantiles of all segments."""
+    rows = features(spark, sf).selectExpr(*_split_columns(_DIAGNOSED))
+    wide = rows.agg(*[F.expr(f"cast({x} as double)").alias(name) for name, x in _METRICS.items()])
+    long = wide.select(F.explode(F.array(*[F.struct(F.lit(name).alias("metric"), F.col(name).alias("value")) for name in _METRICS])).alias("m")).select("m.*")
+    every = F.lit(True)
+    cuts = ranks.segment_quantiles(rows, {"rssi_pred": (F.col("rssi_pred"), {"all": every}), "rssi_err": (F.col("rssi_err"), {"all": every}), "pl_err": (F.col("pl_err"), {name: F.expr(w) for name, w in _P90.items()})}, _PLACES)
+    of_level = [F.struct(F.lit(f"rssi_pred_{p}").alias("metric"), F.col(p).alias("value")) for p in _PLACES]
+    named = F.when(F.col("kind") == "rssi_pred", F.array(*of_level)).otherwise(F.array(F.struct(F.when(F.col("kind") == "rssi_err", "rssi_p90").otherwise(F.col("segment")).alias("metric"), F.col("p90").alias("value"))))
+    quantiles = cuts.select(F.explode(named).alias("m")).select("m.*")
+    return long.unionByName(quantiles).filter("value is not null").select("metric", F.round("value", 5).alias("value"))
+
+
+def _split_columns(select: str) -> list[str]:
+    """The select list's items; commas within brackets don't part them."""
+    out, depth = [""], 0
+    for c in select:
+        depth += (c == "(") - (c == ")")
+        if c == "," and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return [x.strip() for x in out]
+
+
 _QS = (0.10, 0.25, 0.75, 0.90)
 
 
@@ -84,10 +154,6 @@ def a17_distribution_fidelity(spark, sf):
     return features(spark, sf).groupBy("is_sentinel").agg(*gap, _r(F.try_divide(F.stddev_samp("rssi_pred"), F.stddev_samp("rssi"))).alias("sd_ratio"))
 
 
-def _mixed_sql(x: str, y: str) -> str:
-    return f"case when count(*) < 5 or stddev_samp({x}) < 1e-8 or stddev_samp({y}) < 1e-8 then 0.0 else greatest(-1.0, least(1.0, covar_pop({x}, {y}) / (stddev_samp({x}) * stddev_samp({y})))) end"
-
-
 @query(f"{_FEATS}, v as (select *, 20 * log10(greatest(dist_m / 1000.0, 0.001)) + 20 * log10(900.0::double) + 32.44 as fs, log10(greatest(dist_m, 1.0)) as ld from feats where not is_sentinel) select round(avg(case when pl_pred >= fs then 1.0 else 0.0 end), 6) as above_free_space, round(max(pl_pred) - min(pl_pred), 6) as spread, round({_mixed_sql('pl_pred', 'ld')}, 6) as gradient_pred, round({_mixed_sql('path_loss', 'ld')}, 6) as gradient_true, round(avg(pl_pred) filter (where ndvi > 0.5) / nullif(avg(pl_pred) filter (where ndvi < 0.2), 0), 6) as vegetation_ratio from v")
 def a18_physics_metrics(spark, sf):
     """On valid nodes: share not below free space, range, gradients over log distance, vegetation ratio."""

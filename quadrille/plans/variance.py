@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.fixtures import BLOCK_M, BUFFER_M, NODES_SQL, draws, nodes, table
+from quadrille.fixtures import BLOCK_M, BUFFER_M, NODES_SQL, draws, nodes, places, table
 from quadrille.functions import design
 from quadrille.operators import buffer, partition
 from quadrille.operators.shared import materialise
@@ -100,7 +100,7 @@ _NEAR = f"{_BASE},{_PAIRS}, near as (select n.node_id, coalesce(q.m, 0) as m fro
 @query(f"with {_NEAR}, c as (select m, count(*) as nodes, any_value(k.n) as n, any_value(k.n - n_tr - n_va) as te, any_value(n_tr) as tr from near, cuts k, cut2 group by m), p as (select *, list_transform(range(m), lambda i: (te - 1.0::double - i) / (n - 1 - i)) as lo, list_transform(range(m), lambda i: (n - 1.0::double - tr - i) / (n - 1 - i)) as hi from c) select m, nodes, n, te, tr, round(case when m > te - 1 then 0.0 else coalesce(list_product(lo), 1.0) end, 12) as lo, round(case when m > n - 1 - tr then 0.0 else coalesce(list_product(hi), 1.0) end, 12) as hi from p")
 def e22_inclusion_bounds(spark, sf):
     """Bounds of a node's inclusion if its m near blocks must all be in the test, or none in training, by the blocks there are."""
-    rows = materialise(nodes(spark, sf).select("node_id", "block_id", "x_m", "y_m"), "places")
+    rows = materialise(places(spark, sf).select("node_id", "block_id", "x_m", "y_m"), "places")
     near = rows.select("node_id").join(buffer.near_blocks(rows, BUFFER_M).select("node_id", F.size("nbr_blocks").cast("bigint").alias("m")), "node_id", "left").fillna(0, "m")
     tr, va = partition.role_counts(F.col("n"))
     cuts = rows.agg(F.count_distinct("block_id").alias("n")).select("n", (F.col("n") - tr - va).cast("bigint").alias("te"), tr.cast("bigint").alias("tr"))
@@ -116,7 +116,7 @@ g as (select seed, block_id, {BLOCK_M / 1000}::double as g, k / 2.0::double as b
 
 def _grid(spark, sf) -> DataFrame:
     """(seed, block_id, g, b, q): each test block with the share of the blocks around it that don't train, for several buffers."""
-    roles = partition.roles(draws(nodes(spark, sf).select("block_id"))).withColumns({"x": F.expr("block_id div 6"), "y": F.col("block_id") % 6})
+    roles = partition.roles(draws(places(spark, sf).select("block_id"))).withColumns({"x": F.expr("block_id div 6"), "y": F.col("block_id") % 6})
     around = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]))
     moved = roles.filter("role = 'test'").withColumn("s", around).select("seed", "block_id", (F.col("x") + F.col("s.a")).alias("x"), (F.col("y") + F.col("s.b")).alias("y"))
     share = moved.join(roles.select("seed", "x", "y", "role"), ["seed", "x", "y"]).groupBy("seed", "block_id").agg((F.count_if(F.col("role") != "train").cast("double") / F.count("*")).alias("q"))

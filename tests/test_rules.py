@@ -88,3 +88,16 @@ def test_extreme_ratios_by_all_thresholds(spark):
     assert design.extreme_ratio(rows, True) == pytest.approx(max(ratio(e > t) for t in [-1, *e]))
     assert design.extreme_ratio(rows, False) == pytest.approx(min(ratio(e < t) for t in [-1, *e]))
     assert design.extreme_ratio(rows.limit(0), True) is None
+
+
+def test_segment_quantiles_match_numpy(spark):
+    draw = np.random.default_rng(12)
+    rows = [(float(x) if draw.random() > 0.1 else None, int(g), float(y)) for x, g, y in zip(draw.choice([-110.0, *draw.normal(size=30)], 600), draw.integers(0, 6, 600), draw.normal(size=600), strict=True)]
+    docs = spark.createDataFrame(rows, "x double, g int, y double").repartition(4)
+    segments = {"all": F.lit(True), "low": F.col("g") < 3, "odd": F.col("g") % 2 == 1, "one": F.col("g") == 5, "none": F.col("g") > 9}
+    found = {(r["kind"], r["segment"]): (r["n"], r["a"], r["b"], r["c"]) for r in ranks.segment_quantiles(docs, {"x": (F.col("x"), segments), "y": (F.col("y"), {"all": F.lit(True), "unknown": F.lit(None).cast("boolean")})}, {"a": 0.0, "b": 0.37, "c": 0.9}).collect()}
+    tests = {("x", "all"): lambda r: True, ("x", "low"): lambda r: r[1] < 3, ("x", "odd"): lambda r: r[1] % 2 == 1, ("x", "one"): lambda r: r[1] == 5}
+    want = {k: [r[0] for r in rows if r[0] is not None and f(r)] for k, f in tests.items()} | {("y", "all"): [r[2] for r in rows]}
+    assert set(found) == set(want)
+    for k, own in want.items():
+        assert found[k] == (len(own), *[pytest.approx(np.quantile(own, q)) for q in (0.0, 0.37, 0.9)])
