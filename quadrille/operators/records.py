@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Iterator
 
@@ -13,10 +14,31 @@ from pyspark.sql import functions as F
 LARGE_BYTES = 100 * 1024 * 1024
 
 
-def digests(spark: SparkSession, path: str) -> DataFrame:
-    """(path, size, modified, sha256) of all files under ``path``; each file is read by one task."""
+#: Bytes of a file that are read at a time.
+CHUNK_BYTES = 4 << 20
+
+
+def _sha256(path: str, chunk: int) -> str:
+    import pyarrow.fs as pafs
+
+    fs, local = pafs.FileSystem.from_uri(path)
+    state = hashlib.sha256()
+    with fs.open_input_stream(local) as source:
+        while data := source.read(chunk):
+            state.update(data)
+    return state.hexdigest()
+
+
+def digests(spark: SparkSession, path: str, chunk: int = CHUNK_BYTES) -> DataFrame:
+    """(path, size, modified, sha256) of all files under ``path``; each is read by one task, ``chunk`` bytes at a time."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("sha256"))
+    own = files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+
+    def digest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for paths in batches:
+            yield pa.array([_sha256(p, chunk) for p in paths.to_pylist()], pa.string())
+
+    return own.withColumn("sha256", F.arrow_udf(digest, "string")("path"))
 
 
 def reused(files: DataFrame, manifest: DataFrame) -> DataFrame:

@@ -111,16 +111,26 @@ def b08_fold_keep_mask(spark, sf):
 
 
 def _verified(spark, sf, drawn: str) -> DataFrame:
-    """Members by role, and how many member pairs of different roles are nearer than the buffer (0)."""
-    rows = nodes(spark, sf)
+    """Members by role, and how many member pairs of different roles are nearer than the buffer (0).
+
+    The closest pair of each two roles says in which draws there is any; only of these are pairs counted.
+    """
+    from quadrille.plans.distances import role_distances
+
+    rows = _placed(spark, sf)
     roles = _roles(spark, sf).filter(drawn)
     train = rows.join(F.broadcast(roles.filter("role = 'train'")), "block_id").select("seed", "role", "node_id")
     kept = _kept(spark, sf).filter("kept").filter(drawn).select("seed", "role", "node_id")
-    members = train.unionByName(kept)
+    members = materialise(train.unionByName(kept), "members")
+    sizes = members.groupBy("seed", "role").agg(F.count("*").alias("n"), F.countDistinct("node_id").alias("n_distinct"))
+    wrong = role_distances(spark, sf).filter(F.col("d2") < BUFFER_M * BUFFER_M).select("seed").distinct()
+    if wrong.isEmpty():
+        return sizes.withColumn("clashes", F.lit(0).cast("bigint"))
+    own = members.join(wrong, "seed")
     pairs = buffer.near(rows, BUFFER_M).select("node_id", "nbr_id")
-    other = members.select("seed", F.col("role").alias("nbr_role"), F.col("node_id").alias("nbr_id"))
-    near = members.join(pairs, "node_id").join(other, ["seed", "nbr_id"]).filter("role <> nbr_role").groupBy("seed", "role").agg(F.count("*").alias("clashes"))
-    return members.groupBy("seed", "role").agg(F.count("*").alias("n"), F.countDistinct("node_id").alias("n_distinct")).join(near, ["seed", "role"], "left").select("seed", "role", "n", "n_distinct", F.coalesce("clashes", F.lit(0)).alias("clashes"))
+    other = own.select("seed", F.col("role").alias("nbr_role"), F.col("node_id").alias("nbr_id"))
+    near = own.join(pairs, "node_id").join(other, ["seed", "nbr_id"]).filter("role <> nbr_role").groupBy("seed", "role").agg(F.count("*").alias("clashes"))
+    return sizes.join(near, ["seed", "role"], "left").select("seed", "role", "n", "n_distinct", F.coalesce("clashes", F.lit(0)).alias("clashes"))
 
 
 @query(f"with {_TRIM}, m as (select seed, role, node_id from placed where role = 'train' union all select seed, role, node_id from kept where kept) select a.seed, a.role, count(*) as n, count(distinct a.node_id) as n_distinct, cast(coalesce(sum(c), 0) as bigint) as clashes from m a left join (select m1.seed, m1.role, m1.node_id, count(*) as c from m m1 join pairs q on q.i = m1.node_id join m m2 on m2.seed = m1.seed and m2.node_id = q.j where m1.role <> m2.role group by 1, 2, 3) x on x.seed = a.seed and x.role = a.role and x.node_id = a.node_id group by 1, 2")

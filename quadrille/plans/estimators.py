@@ -45,11 +45,11 @@ def e01_hold_out_mean(spark, sf):
     return _held(_test_blocks(_sums(spark, sf))).select("seed", F.round("err", 6).alias("err"), "m", "k")
 
 
-@query(f"{_BLOCKS}, p as (select block_id, count(*) / 12.0::double as p from tb group by 1) select seed, round(sum(s / p) / sum(m / p), 6) as hajek from tb join p using (block_id) group by 1")
+@query(f"{_BLOCKS}, p as (select block_id, count(*) / {SEEDS}.0::double as p from tb group by 1) select seed, round(sum(s / p) / sum(m / p), 6) as hajek from tb join p using (block_id) group by 1")
 def e03_inverse_probability_mean(spark, sf):
     """Blocks weighed by how often the draws test them; a block no draw tests is in none of the sums."""
     tested = _test_blocks(_sums(spark, sf))
-    share = tested.groupBy("block_id").agg((F.count("*") / F.lit(12.0)).alias("p"))
+    share = tested.groupBy("block_id").agg((F.count("*") / F.lit(float(SEEDS))).alias("p"))
     return tested.join(share, "block_id").groupBy("seed").agg(F.round(F.sum(F.col("s") / F.col("p")) / F.sum(F.col("m") / F.col("p")), 6).alias("hajek"))
 
 
@@ -67,12 +67,12 @@ def e06_ratio_term(spark, sf):
     return _held(_test_blocks(_sums(spark, sf))).agg(F.round(F.avg("err") - F.sum("s") / F.sum("m"), 6).alias("gap"), F.round(-F.covar_pop("err", F.col("m").cast("double")) / F.avg("m"), 6).alias("ratio_term"))
 
 
-@query(f"{_BLOCKS} select block_id, round(sum(1.0::double / h.m) / 12, 9) as weight from tb join h using (seed) group by 1")
+@query(f"{_BLOCKS} select block_id, round(sum(1.0::double / h.m) / {SEEDS}, 9) as weight from tb join h using (seed) group by 1")
 def e07_draw_weights(spark, sf):
     """A node's weight is its block's: the mean over the draws that test it of one over the tested nodes."""
     tested = _test_blocks(_sums(spark, sf))
     size = tested.groupBy("seed").agg(F.sum("m").alias("all_m"))
-    return tested.join(F.broadcast(size), "seed").groupBy("block_id").agg(F.round(F.sum(F.lit(1.0) / F.col("all_m")) / 12, 9).alias("weight"))
+    return tested.join(F.broadcast(size), "seed").groupBy("block_id").agg(F.round(F.sum(F.lit(1.0) / F.col("all_m")) / SEEDS, 9).alias("weight"))
 
 
 def _one_draw_variance(spark, sf) -> DataFrame:
@@ -155,6 +155,14 @@ def e03_trimmed_inverse_probability_mean(spark, sf):
     return _trimmed_draws(_scored(spark, sf)).select("seed", "pop", *_six("hajek"))
 
 
+@query(f"{_NODES_TRIMMED} select pop, count(*) as n, count(*) filter (where i.node_id is null) as dropped from sc left join inc i on i.node_id = sc.node_id, (select unnest(['valid', 'sentinel', 'all']) as pop) where (pop = 'all' or (pop = 'valid') = (not is_sentinel)) group by 1")
+def e03_dropped_nodes(spark, sf):
+    """Nodes that no draw keeps in its test, whose inclusion frequency is 0: the weighted mean speaks for the others only."""
+    rows = _scored(spark, sf)
+    drawn = _surviving(rows).select("node_id").distinct().withColumn("drawn", F.lit(True))
+    return populations(rows.join(drawn, "node_id", "left").select("is_sentinel", "drawn")).groupBy("pop").agg(F.count("*").alias("n"), F.count_if(F.col("drawn").isNull()).alias("dropped"))
+
+
 @query(f"{_NODES_TRIMMED}, x as (select mu.pop, count(err) as draws, avg(err - mu) as bias, stddev_samp(err) / sqrt(count(err)) as se, sqrt(avg((err - mu) * (err - mu))) as rmse, var_samp(err) as variance from mu left join dr on dr.pop = mu.pop group by 1) select pop, draws, {SEEDS} - draws as undefined, round(bias, 6) as bias, round(se, 6) as se, round(case when se > 0 then bias / se end, 6) as bias_in_se, round(rmse, 6) as rmse, round(variance, 6) as variance from x")
 def e04_trimmed_bias_and_error(spark, sf):
     """By population about its mean over all nodes; ``undefined`` counts draws that leave it no node."""
@@ -314,29 +322,40 @@ def e38_single_neighbour(spark, sf):
     return met.groupBy("neighbour").agg(F.count("*").alias("n"), F.count_if("kept").alias("n_kept"), F.round(F.count_if("kept") / F.count("*"), 9).alias("rate"))
 
 
+#: One row: blocks, those in test, those in training.
+_CUT = "ct as (select cuts.n as n, cuts.n - n_tr - n_va as te, n_tr as tr from cuts, cut2)"
+
+
 def _bounds_sql(m: str) -> tuple[str, str]:
-    """Bounds for 36 blocks of which 6 are tested and 25 train."""
-    one = lambda top: f"case when {m} > {top} then 0.0 else coalesce(list_product(list_transform(range({m}), lambda i: ({top}.0::double - i) / (35 - i))), 1.0) end"
-    return one(5), one(10)
+    """Bounds by the draws' numbers of blocks; needs ``ct``."""
+    one = lambda top: f"case when {m} > {top} then 0.0 else coalesce(list_product(list_transform(range({m}), lambda i: (cast({top} as double) - i) / (ct.n - 1 - i))), 1.0) end"
+    return one("(ct.te - 1)"), one("(ct.n - 1 - ct.tr)")
+
+
+def _cut(spark, sf) -> DataFrame:
+    """(n, te, tr), one row: how many blocks there are, are tested and train in every draw."""
+    train, val = partition.role_counts(F.col("n"))
+    blocks = features(spark, sf).agg(F.count_distinct("block_id").alias("n"))
+    return blocks.select("n", (F.col("n") - train - val).cast("bigint").alias("te"), train.cast("bigint").alias("tr"))
 
 
-@query(f"{_SEEN}, f as (select m, k.seed, count(*) filter (where k.kept) / cast(count(*) as double) as f from kept k join ms using (node_id) where k.role = 'test' group by 1, 2), a as (select m, count(*) as draws, avg(f) as freq, stddev_samp(f) / sqrt(count(*)) as se from f group by 1), b as (select *, {_bounds_sql('m')[0]} as lo, {_bounds_sql('m')[1]} as hi from a) select m, draws, round(freq, 6) as freq, round(se, 6) as se, round(lo, 6) as lo, round(hi, 6) as hi, case when se is null then 'one draw' when freq < lo - 2 * se - 1e-12 then 'below' when freq > hi + 2 * se + 1e-12 then 'above' else 'within' end as reading from b")
+@query(f"{_SEEN}, f as (select m, k.seed, count(*) filter (where k.kept) / cast(count(*) as double) as f from kept k join ms using (node_id) where k.role = 'test' group by 1, 2), a as (select m, count(*) as draws, avg(f) as freq, stddev_samp(f) / sqrt(count(*)) as se from f group by 1), {_CUT}, b as (select a.*, {_bounds_sql('m')[0]} as lo, {_bounds_sql('m')[1]} as hi from a, ct) select m, draws, round(freq, 6) as freq, round(se, 6) as se, round(lo, 6) as lo, round(hi, 6) as hi, case when se is null then 'one draw' when freq < lo - 2 * se - 1e-12 then 'below' when freq > hi + 2 * se + 1e-12 then 'above' else 'within' end as reading from b")
 def e23_reading_of_bounds(spark, sf):
     """Kept shares by number of near blocks, over draws, against the closed form's bounds and two standard errors."""
     classes, tested = _classed(spark, sf)
     by_draw = tested.join(classes, "node_id").groupBy("m", "seed").agg((F.count_if("kept") / F.count("*")).alias("f"))
     per = by_draw.groupBy("m").agg(F.count("*").alias("draws"), F.avg("f").alias("freq"), (F.stddev_samp("f") / F.sqrt(F.count("*"))).alias("se"))
-    lo, hi = design.inclusion_bounds(F.col("m"), F.lit(36), F.lit(6), F.lit(25))
-    read = per.withColumns({"lo": lo, "hi": hi})
+    lo, hi = design.inclusion_bounds(F.col("m"), F.col("n"), F.col("te"), F.col("tr"))
+    read = per.join(F.broadcast(_cut(spark, sf))).withColumns({"lo": lo, "hi": hi})
     below, above = F.col("freq") < F.col("lo") - 2 * F.col("se") - 1e-12, F.col("freq") > F.col("hi") + 2 * F.col("se") + 1e-12
     return read.select("m", "draws", *_six("freq", "se", "lo", "hi"), F.when(F.col("se").isNull(), "one draw").when(below, "below").when(above, "above").otherwise("within").alias("reading"))
 
 
-@query(f"{_SEEN}, x as (select e, {_bounds_sql('m')[0]} as lo, {_bounds_sql('m')[1]} as hi from sc join ms using (node_id)), w as (select e, sum(lo * e) over () as n0, sum(lo) over () as d0, sum((hi - lo) * e) over (order by e desc) as nu, sum(hi - lo) over (order by e desc) as du, sum((hi - lo) * e) over (order by e) as nl, sum(hi - lo) over (order by e) as dl from x) select round(greatest(max((n0 + nu) / (d0 + du)), max(n0 / d0)), 6) as most, round(least(min((n0 + nl) / (d0 + dl)), min(n0 / d0)), 6) as least from w")
+@query(f"{_SEEN}, {_CUT}, x as (select e, {_bounds_sql('m')[0]} as lo, {_bounds_sql('m')[1]} as hi from sc join ms using (node_id), ct), w as (select e, sum(lo * e) over () as n0, sum(lo) over () as d0, sum((hi - lo) * e) over (order by e desc) as nu, sum(hi - lo) over (order by e desc) as du, sum((hi - lo) * e) over (order by e) as nl, sum(hi - lo) over (order by e) as dl from x) select round(greatest(max((n0 + nu) / (d0 + du)), max(n0 / d0)), 6) as most, round(least(min((n0 + nl) / (d0 + dl)), min(n0 / d0)), 6) as least from w")
 def e24_extreme_means(spark, sf):
     """The least and greatest mean error that inclusion odds within their bounds allow."""
     classes, _ = _classed(spark, sf)
-    lo, hi = design.inclusion_bounds(F.col("m"), F.lit(36), F.lit(6), F.lit(25))
-    rows = materialise(_scored(spark, sf).select("node_id", "e").join(classes, "node_id").select("e", lo.alias("lo"), hi.alias("hi")), "bounds")
+    lo, hi = design.inclusion_bounds(F.col("m"), F.col("n"), F.col("te"), F.col("tr"))
+    rows = materialise(_scored(spark, sf).select("node_id", "e").join(classes, "node_id").join(F.broadcast(_cut(spark, sf))).select("e", lo.alias("lo"), hi.alias("hi")), "bounds")
     most, least = design.extreme_ratio(rows, True), design.extreme_ratio(rows, False)
     return spark.createDataFrame([(most, least)], "most double, least double").select(*_six("most", "least"))
