@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 from quadrille.fixtures import FEATURES_SQL, FREQUENCY, features, nodes
 from quadrille.functions import propagation as P
 from quadrille.functions import stats
-from quadrille.operators import ranks, scoring
+from quadrille.operators import ranks, scoring, solve
 from quadrille.operators.shared import materialise
 from quadrille.plans.base import query
 from quadrille.plans.blocks import _DRIFT, _TRIM, _kept, _roles, drift, populations
-from quadrille.plans.scalar import _COST, _HATA
+from quadrille.plans.scalar import _COST, _FRESNEL, _HATA, _KNIFE, _diffraction_sql
 
 #: A linear model of the received power: fixed, as the query's rows must be.
 WEIGHTS = {"elevation": 0.25, "slope": -3.5, "ndvi": 1.75, "tri_m": -0.0625}
@@ -95,3 +95,16 @@ def e34_centroid_drift(spark, sf):
     a, b = found.alias("a"), found.alias("b")
     step = lambda c: (F.col(f"a.{c}") - F.col(f"b.{c}")) * (F.col(f"a.{c}") - F.col(f"b.{c}"))
     return a.join(b, F.col("a.seed") < F.col("b.seed")).select(F.col("a.seed").alias("s1"), F.col("b.seed").alias("s2"), F.round(F.sqrt(step("cx") + step("cy")), 6).alias("drift"))
+
+
+_TRI_STD = 25.0
+_RESPONSE = f"least(40.0, greatest(0.0, {_KNIFE}))"
+
+
+@query(f"with recursive {FEATURES_SQL}, dif as ({_diffraction_sql('tri_m', 'roughness')}), t as (select block_id, tri_m / {_TRI_STD}::double as z, roughness, dist_m, loss as target from feats join dif using (node_id) where loss > 0 and loss < 39.9), b(i, block_id, lo, hi) as (select 0, block_id, 0.001::double, 5000.0::double from (select distinct block_id from t) union all select i + 1, block_id, case when m < w then (lo + hi) / 2 else lo end, case when m < w then hi else (lo + hi) / 2 end from (select i, block_id, lo, hi, avg({_RESPONSE}) as m, avg(target) as w from (select b.i, b.block_id, b.lo, b.hi, target, {_FRESNEL.format(tri='z * (b.lo + b.hi) / 2', rough='roughness')} as v from b join t on t.block_id = b.block_id where b.i < 60) group by 1, 2, 3, 4)) select block_id, round((lo + hi) / 2, 4) as c from b where i = 60")
+def e39_recovered_scale(spark, sf):
+    """The deviation by which roughness was divided, a block: the one that gives the known mean diffraction again."""
+    known = P.diffraction(F.col("tri_m"), F.col("roughness"), F.col("dist_m"), 1800.0)
+    rows = features(spark, sf).select("block_id", (F.col("tri_m") / _TRI_STD).alias("z"), "roughness", "dist_m", known.alias("target")).filter("target > 0 and target < 39.9")
+    again = lambda c: P.diffraction(F.col("z") * c, F.col("roughness"), F.col("dist_m"), 1800.0)
+    return solve.recovered(materialise(rows, "responding"), ["block_id"], again, "target", 0.001, 5000.0).select("block_id", F.round("c", 4).alias("c"))
