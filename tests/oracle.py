@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import tempfile
 from pathlib import Path
 
 import duckdb
@@ -13,6 +14,8 @@ SF_DIR = "/root/testdata/sf0.001"
 def connect(sf_dir: str = SF_DIR) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     con.execute("set timezone = 'UTC'")
+    con.execute("set memory_limit = '6GB'")
+    con.execute(f"set temp_directory = '{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}'")
     for path in Path(sf_dir).glob("*.parquet"):
         con.execute(f"create view {path.stem} as select * from read_parquet('{path}')")
     return con
