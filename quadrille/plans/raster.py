@@ -6,15 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.fixtures import FEATURES_SQL, features
+from quadrille.functions import stats
 from quadrille.operators import stencil
 from quadrille.plans.base import query
 
 CELL_M = 1000
-_CELLS = f"with {FEATURES_SQL}, cells as (select y_m // {CELL_M} as row, x_m // {CELL_M} as col, round(avg(elevation), 6) as v from feats group by 1, 2)"
+_CELLS = f"with {FEATURES_SQL}, cells as (select y_m // {CELL_M} as row, x_m // {CELL_M} as col, {stats.exact_mean_sql('elevation')} as v from feats group by 1, 2)"
 
 
 def _cells(spark, sf) -> DataFrame:
-    return features(spark, sf).groupBy(F.expr(f"y_m div {CELL_M}").alias("row"), F.expr(f"x_m div {CELL_M}").alias("col")).agg(F.round(F.avg("elevation"), 6).alias("v"))
+    return features(spark, sf).groupBy(F.expr(f"y_m div {CELL_M}").alias("row"), F.expr(f"x_m div {CELL_M}").alias("col")).agg(stats.exact_mean(F.col("elevation")).alias("v"))
 
 
 def _side(a: str, b: str) -> str:
@@ -25,13 +26,16 @@ def _side(a: str, b: str) -> str:
 select c.row, c.col, {_side('w', 'e')} as gx, {_side('s', 'n')} as gy, coalesce(e.v, c.v) + coalesce(w.v, c.v) + coalesce(n.v, c.v) + coalesce(s.v, c.v) - 4 * c.v as k
 from cells c left join cells e on e.row = c.row and e.col = c.col + 1 left join cells w on w.row = c.row and w.col = c.col - 1
 left join cells n on n.row = c.row + 1 and n.col = c.col left join cells s on s.row = c.row - 1 and s.col = c.col)
-select row, col, round(gx, 6) as gx, round(gy, 6) as gy, round(sqrt(gx * gx + gy * gy), 6) as slope, round(k, 6) as curvature, round(ln(1 + abs(k) * 100 + 1), 6) as flow from g""")
+select row, col, round(gx, 7) as gx, round(gy, 7) as gy, round(sqrt(gx * gx + gy * gy), 6) as slope, round(k, 6) as curvature, round(ln(1 + abs(k) * 100 + 1), 6) as flow from g""")
 def r01_r04_gradient(spark, sf):
-    """Gradient, slope and curvature with one-sided edges, and the flow proxy that follows from them."""
+    """Gradient, slope and curvature with one-sided edges, and the flow proxy that follows from them.
+
+    Halves of whole millionths have seven decimals, so that no rounding is left open.
+    """
     seen = stencil.around(_cells(spark, sf)).groupBy("row", "col").agg(stencil.at(0, 0).alias("c"), stencil.at(0, 1).alias("e"), stencil.at(0, -1).alias("w"), stencil.at(1, 0).alias("n"), stencil.at(-1, 0).alias("s")).filter("c is not null")
     gx, gy = stencil.slope(F.col("w"), F.col("c"), F.col("e")), stencil.slope(F.col("s"), F.col("c"), F.col("n"))
     k = sum((F.coalesce(F.col(x), F.col("c")) for x in "wns"), F.coalesce("e", "c")) - 4 * F.col("c")
-    return seen.select("row", "col", gx.alias("gx"), gy.alias("gy"), k.alias("k")).select("row", "col", F.round("gx", 6).alias("gx"), F.round("gy", 6).alias("gy"), F.round(F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")), 6).alias("slope"), F.round("k", 6).alias("curvature"), F.round(F.log1p(F.abs("k") * 100 + 1), 6).alias("flow"))
+    return seen.select("row", "col", gx.alias("gx"), gy.alias("gy"), k.alias("k")).select("row", "col", F.round("gx", 7).alias("gx"), F.round("gy", 7).alias("gy"), F.round(F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")), 6).alias("slope"), F.round("k", 6).alias("curvature"), F.round(F.log1p(F.abs("k") * 100 + 1), 6).alias("flow"))
 
 
 @query(f"""{_CELLS}, g as (

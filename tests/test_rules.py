@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quadrille.fixtures import SEEDS, nodes
 from quadrille.functions import design
-from quadrille.operators import buffer, neighbors, partition, ranks
+from quadrille.operators import buffer, neighbors, partition, ranks, solve
 from quadrille.plans.registry import QUERIES
 from tests import oracle
 
@@ -101,3 +101,22 @@ def test_segment_quantiles_match_numpy(spark):
     assert set(found) == set(want)
     for k, own in want.items():
         assert found[k] == (len(own), *[pytest.approx(np.quantile(own, q)) for q in (0.0, 0.37, 0.9)])
+
+
+@pytest.mark.parametrize("n", [1, 4, 90])
+def test_cells_hold_all_that_can_be_nearest(spark, n):
+    draw = np.random.default_rng(n)
+    points = [(i, int(x), int(y)) for i, (x, y) in enumerate(draw.integers(0, 1000, (n, 2)))]
+    cells = {(r["cx"], r["cy"]): r for r in neighbors.nearest_cells(spark.createDataFrame(points, "id bigint, rx bigint, ry bigint"), "id", 1000, 990).collect()}
+    for x, y in draw.integers(0, 990, (400, 2)).tolist():
+        side = next(iter(cells.values()))["side"]
+        near = cells[x // side, y // side]["near"]
+        assert min((x - p["rx"]) ** 2 + (y - p["ry"]) ** 2 for p in near) == min((x - u) ** 2 + (y - v) ** 2 for _, u, v in points)
+    assert all(r["points"] == n for r in cells.values())
+
+
+def test_recovered_unknowns_of_all_groups_at_once(spark):
+    rows = [(g, float(x), float(x) * (g + 1.5) ** 2) for g in range(5) for x in range(1, 20)] + [(7, None, 1.0), (8, 1.0, 1e9)]
+    docs = spark.createDataFrame(rows, "g int, x double, y double")
+    found = {r["g"]: r["c"] for r in solve.recovered(docs, ["g"], lambda c: F.col("x") * c * c, "y", 0.0, 100.0, passes=8).collect()}
+    assert all(found[g] == pytest.approx(g + 1.5, abs=1e-6) for g in range(5)) and found[8] == pytest.approx(100, abs=1e-6)
