@@ -129,11 +129,12 @@ def deep_differences(left: DataFrame, right: DataFrame, key: str, record: str) -
     """(key, differing, numbers, max_abs): how nested records differ.
 
     Objects differ by their keys, arrays by their length, numbers and other values by themselves;
-    values that only one side has are told by their object or array.
+    values that only one side has are told by their object or array. Both sides are shuffled: Spark takes a
+    record's values for one row, so that by its estimate it would broadcast tables of any size.
     """
     a = flattened(left, key, record).select(key, "at", F.struct("kind", "text", "number").alias("a"))
     b = flattened(right, key, record).select(key, "at", F.struct("kind", "text", "number").alias("b"))
-    both = a.join(b, [key, "at"])
+    both = a.join(b.hint("merge"), [key, "at"])
     number = (F.col("a.kind") == "number") & (F.col("b.kind") == "number")
     gap = F.when(number, F.abs(F.col("a.number") - F.col("b.number")))
     return both.groupBy(key).agg(F.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias("differing"), F.count_if(number).alias("numbers"), F.coalesce(F.max(gap), F.lit(0.0)).alias("max_abs"))
