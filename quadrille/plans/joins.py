@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quadrille.fixtures import FREQUENCY, NODES_SQL, PIXELS_SQL, SITES_SQL, nodes, pixels, raster_sizes, sites, table
+from quadrille.fixtures import FREQUENCY, NODES_SQL, PIXELS_SQL, SITES_SQL, nodes, pixels, places, raster_sizes, sites, table
 from quadrille.functions import propagation as P
 from quadrille.functions import stats
-from quadrille.operators import graph, neighbors
+from quadrille.operators import graph, neighbors, reach
+from quadrille.operators.shared import materialise
 from quadrille.plans.base import query
 
 RADIUS_M, BEST = 15_000, 5
@@ -37,10 +41,29 @@ def j05_nearest_antenna(spark, sf):
     return found.select("node_id", "ant_id", "d2")
 
 
-def _reach(spark, sf) -> DataFrame:
-    pairs = neighbors.within(_left(nodes(spark, sf), "node_id"), _right(sites(spark, sf)), RADIUS_M, strict=False)
-    loss = P.free_space(F.sqrt(F.col("d2").cast("double")), F.lit(FREQUENCY))
-    return pairs.withColumn("rssi", F.round(43.0 - F.col("ant_id") % 10 - loss, 6)).filter("rssi > -150")
+#: Power of the strongest antennas; each antenna has up to nine less. Within RADIUS_M none gets down to -150.
+POWER = 43
+
+
+def free_space_millionths(d2: np.ndarray) -> np.ndarray:
+    """Free-space loss at squared distances, in whole millionths of a decibel; works in place."""
+    np.sqrt(d2, out=d2)
+    d2 /= 1000.0
+    np.maximum(d2, 0.001, out=d2)
+    np.log(d2, out=d2)
+    d2 *= 20_000_000 / math.log(10)
+    d2 += (20 * math.log10(FREQUENCY) + 32.44) * 1_000_000
+    return np.rint(d2, out=d2)
+
+
+def strong_within(level: float, power: float) -> int:
+    """The greatest squared distance within RADIUS_M at which an antenna of ``power`` is received at ``level`` or above; -1 for none."""
+    low, high = -1, _R2
+    while low < high:
+        d2 = (low + high + 1) // 2
+        loss = 20 * math.log10(max(math.sqrt(d2) / 1000.0, 0.001)) + 20 * math.log10(FREQUENCY) + 32.44
+        low, high = (d2, high) if round(power - loss, 6) >= level else (low, d2 - 1)
+    return low
 
 
 def _strongest(spark, sf, k: int) -> DataFrame:
@@ -90,14 +113,17 @@ def j08_k_nearest_weights_of_all_points(spark, sf):
 
 @query(f"with {_POINTS}, q as (select pt, px, py, case pt % 3 when 0 then 2400 when 1 then 1800 else 1200 end as r from pts), d as (select a.pt as src, b.pt as dst, (a.px - b.px) * (a.px - b.px) + (a.py - b.py) * (a.py - b.py) as d2, least(a.r, b.r) as r from q a, q b where a.pt <> b.pt and abs(a.px - b.px) <= 2400 and abs(a.py - b.py) <= 2400), k as (select * from d where d2 <= 2400 * 2400 qualify row_number() over (partition by src order by d2, dst) <= 32), e as (select src, dst from k where d2 <= r * r) select src, dst from e union select dst, src from e")
 def j09_adaptive_radius_edges(spark, sf):
-    """Among the 32 nearest, neighbours within both ends' radii, made symmetric."""
+    """Among the 32 nearest, neighbours within both ends' radii, made symmetric.
+
+    A point finds itself, too, so 33 are sought; rings grow no further than these need.
+    """
     rows = _points(spark, sf).withColumn("r", F.when(F.col("pt") % 3 == 0, 2400).when(F.col("pt") % 3 == 1, 1800).otherwise(1200))
     left = rows.select(F.col("pt").alias("src"), F.col("px").alias("lx"), F.col("py").alias("ly"), F.col("r").alias("r1"))
     right = rows.select(F.col("pt").alias("dst"), F.col("px").alias("rx"), F.col("py").alias("ry"), F.col("r").alias("r2"))
-    pairs = neighbors.within(left, right, 2400, strict=False).filter("src <> dst")
-    near = neighbors.top_k(pairs, ["src"], [F.col("d2"), F.col("dst")], 32)
+    found = neighbors.k_nearest(left, right, "src", "dst", 33, limit=2400).filter("src <> dst").drop("rank")
+    near = neighbors.top_k(found, ["src"], [F.col("d2"), F.col("dst")], 32)
     r = F.least("r1", "r2")
-    edges = near.filter(F.col("d2") <= r * r).select("src", "dst")
+    edges = materialise(near.filter(F.col("d2") <= r * r).select("src", "dst"), "edges")
     return edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 
 
@@ -224,8 +250,11 @@ def a25_edge_lengths(spark, sf):
 
 @query(f"with {NODES_SQL}, {_REACH} select node_id, {stats.exact_mean_sql('rssi')} as mean from reach group by node_id")
 def g1_mean_of_neighbours(spark, sf):
-    """One step of mean aggregation from antennas to nodes."""
-    return _reach(spark, sf).groupBy("node_id").agg(stats.exact_mean(F.col("rssi")).alias("mean"))
+    """One step of mean aggregation from antennas to nodes, in whole millionths; every pair counts, none is a row."""
+    left = places(spark, sf).select(F.col("node_id").alias("key"), F.col("x_m").alias("lx"), F.col("y_m").alias("ly"))
+    right = sites(spark, sf).select(F.col("ax").alias("rx"), F.col("ay").alias("ry"), ((POWER - F.col("ant_id") % 10) * 1_000_000).alias("base"))
+    found = reach.sums_within(left, right, RADIUS_M, free_space_millionths)
+    return found.select(F.col("key").alias("node_id"), stats.exact_mean_of(F.col("total"), F.col("n")).alias("mean"))
 
 
 @query(f"with {NODES_SQL}, c as (select quantile_cont(x_m, 0.5) as cx, quantile_cont(y_m, 0.5) as cy from nodes), d as (select node_id, greatest(abs(x_m - cx), abs(y_m - cy)) as h from nodes, c), r as (select h, count(*) over (order by h range between unbounded preceding and current row) as below from d), w as (select max(h) as h from r where below <= 500) select node_id from d, w where d.h <= w.h")

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quadrille.fixtures import DRAWS_SQL, FEATURES_SQL, FREQUENCY, NODES_SQL, PIXELS_SQL, draws, features, nodes, pixels, raster_sizes, table
+from quadrille.fixtures import DRAWS_SQL, FEATURES_SQL, FREQUENCY, NODES_SQL, PIXELS_SQL, draws, features, nodes, pixels, places, raster_sizes, sites, table
 from quadrille.functions import propagation as P
 from quadrille.functions import geo, stats
-from quadrille.operators import partition, ranks
+from quadrille.operators import partition, ranks, reach
 from quadrille.plans.base import query
 from quadrille.plans.blocks import populations
-from quadrille.plans.joins import _REACH, _reach
+from quadrille.plans.joins import _REACH, POWER, RADIUS_M, strong_within
 
 _FEATS = f"with {FEATURES_SQL}"
 _ROLED = f"with {FEATURES_SQL}, {DRAWS_SQL}, p as (select * from feats join roles using (block_id))"
@@ -207,13 +209,20 @@ def a26_clamp_diagnostics(spark, sf):
     return rows.groupBy("is_sentinel").agg(F.count("*").alias("n"), _r(F.avg(F.when(out, 1.0).otherwise(0.0))).alias("out_of_range"), _r(F.percentile(F.abs(F.col("raw") - F.col("held")), 0.99)).alias("p99_excess"), _r(F.avg(F.abs(F.col("raw") - F.col("path_loss")))).alias("mae_raw"), _r(F.avg(F.abs(F.col("held") - F.col("path_loss")))).alias("mae_held"))
 
 
+#: Where the classes 5 to 2 begin.
+_CLASS_LEVELS = (-70, -85, -100, -110)
 _CLASS = "case when rssi >= -70 then 5 when rssi >= -85 then 4 when rssi >= -100 then 3 when rssi >= -110 then 2 else 1 end"
 
 
 @query(f"with {NODES_SQL}, {_REACH} select ant_id, count(*) as n, " + ", ".join(f"round(100.0 * count(*) filter (where {_CLASS} = {k}) / count(*), 6) as class_{k}" for k in range(1, 6)) + " from reach where rssi > -150 group by 1")
 def a27_class_shares(spark, sf):
-    of = P.coverage_class(F.col("rssi"))
-    return _reach(spark, sf).groupBy("ant_id").agg(F.count("*").alias("n"), *[_r(100.0 * F.count_if(of == k) / F.count("*")).alias(f"class_{k}") for k in range(1, 6)])
+    """Shares of an antenna's nodes by class: power falls with distance, so that a class is a ring around the antenna."""
+    of_power = [F.array(*[F.lit(strong_within(level, POWER - k)) for level in (*_CLASS_LEVELS, -math.inf)]) for k in range(10)]
+    right = sites(spark, sf).select(F.col("ant_id").alias("key"), F.col("ax").alias("rx"), F.col("ay").alias("ry"), F.element_at(F.array(*of_power), (F.col("ant_id") % 10 + 1).cast("int")).alias("limits"))
+    left = places(spark, sf).select(F.col("x_m").alias("lx"), F.col("y_m").alias("ly"))
+    found = reach.counts_within(left, right, len(_CLASS_LEVELS) + 1, RADIUS_M)
+    n, within = F.col("n"), lambda k: F.get("counts", F.lit(5 - k)) - (F.get("counts", F.lit(4 - k)) if k < 5 else 0)
+    return found.select(F.col("key").alias("ant_id"), "counts", F.get("counts", F.lit(4)).alias("n")).select("ant_id", "n", *[_r(100.0 * within(k) / n).alias(f"class_{k}") for k in range(1, 6)])
 
 
 @query("select p_size, count(*) as n from part group by 1 order by n desc, p_size limit 6")
