@@ -6,6 +6,8 @@ up over a table of one row a group and range. No task holds a group, nor a map o
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,3 +66,57 @@ def segment_quantiles(rows: DataFrame, values: dict[str, tuple[Column, dict[str,
     found = sorted_.join(F.broadcast(asked), [*key, "range", "at"]).select(*key, "n", "share", "weight", "x")
     sums = [F.sum(F.when(F.col("share") == name, F.col("weight") * F.col("x"))).alias(name) for name in shares]
     return flat.unionByName(found).groupBy(*key, "n").agg(*sums)
+
+
+def median(n: Column) -> Column:
+    """The ranks, and their weights, of the interpolated median of n values, as ``drawn_values`` wants them."""
+    at = (n - 1) * 0.5 + 1
+    low, part = F.floor(at), at - F.floor(at)
+    one = lambda rank, weight: F.struct(F.lit("m").alias("name"), rank.alias("rank"), weight.alias("weight"))
+    return F.array(one(low, 1 - part), one(low + 1, part))
+
+
+def drawn_values(rows: DataFrame, members: DataFrame, by: list[str], value: str, wanted: Callable[[Column], Column] = median, sizes: DataFrame | None = None, bins: int = 4096) -> DataFrame:
+    """(seed, by, n, name, x): values by rank over the units that each draw takes, whatever the number of draws.
+
+    ``rows`` (block_id, by, value) are counted once by block and bin of their value, and draws (``members``: seed,
+    block_id) add up these counts. ``wanted`` makes structs (name, rank, weight) of n, the number of a draw's values,
+    and of the columns of ``sizes`` (seed, by, others); x is the weighted sum. Only rows of the bins that hold a
+    wanted rank meet the draws, unless the bin has but one value.
+    """
+    known = rows.filter(F.col(value).isNotNull()).select("block_id", *by, F.col(value).alias("x"))
+    ends = materialise(known.groupBy(*by).agg(F.min("x").alias("least"), F.max("x").alias("most")), "ends")
+    share = F.floor((F.col("x") - F.col("least")) / (F.col("most") - F.col("least")) * bins)
+    cut = known.join(F.broadcast(ends), by).select("block_id", *by, "x", F.when(F.col("most") > F.col("least"), F.least(share, F.lit(bins - 1))).otherwise(0).alias("bin"))
+    counts = materialise(cut.groupBy("block_id", *by, "bin").agg(F.count("*").alias("m"), F.min("x").alias("lo"), F.max("x").alias("hi")), "bins")
+    drawn = counts.join(F.broadcast(members.select("seed", "block_id")), "block_id").groupBy("seed", *by, "bin").agg(F.sum("m").alias("m"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    own = Window.partitionBy("seed", *by)
+    placed = drawn.withColumns({"before": F.sum("m").over(own.orderBy("bin")) - F.col("m"), "n": F.sum("m").over(own)})
+    if sizes is not None:
+        placed = placed.join(F.broadcast(sizes), ["seed", *by])
+    asked = placed.withColumn("w", F.explode(wanted(F.col("n")))).filter("w.weight > 0 and w.rank > before and w.rank <= before + m")
+    key = ["seed", *by, "bin"]
+    picks = materialise(asked.select(*key, "n", "lo", "hi", "w.name", (F.col("w.rank") - F.col("before")).cast("bigint").alias("at"), "w.weight"), "wanted-ranks")
+    # A bin with one value needs no order.
+    flat = picks.filter("lo = hi").select("seed", *by, "n", "name", "weight", F.col("lo").alias("x"))
+    open_ = picks.filter("lo < hi")
+    near = materialise(cut.join(F.broadcast(open_.select(*by, "bin").distinct()), [*by, "bin"]), "near-wanted")
+    opened = near.join(F.broadcast(members.select("seed", "block_id")), "block_id").join(F.broadcast(open_.select(*key).distinct()), key)
+    found = ranked(opened.select(*key, "x"), key, ["x"], "at").join(F.broadcast(open_.select(*key, "n", "name", "weight", "at")), [*key, "at"]).select("seed", *by, "n", "name", "weight", "x")
+    return flat.unionByName(found).groupBy("seed", *by, "n", "name").agg(F.sum(F.col("weight") * F.col("x")).alias("x"))
+
+
+def smallest(rows: DataFrame, group: list[str], value: str, tie: str, n: str, span: int, bins: int = 1 << 14) -> DataFrame:
+    """The n rows of each group of least ``value``, a whole number from 0 and below ``span``; ties to the smaller ``tie``.
+
+    ``n`` is a column, the same in all rows of a group. Bins are counted first; only the bin in which a group's n-th row lies is sorted.
+    """
+    cut = rows.withColumn("bin", F.floor(F.col(value) / (span / bins)))
+    counts = cut.groupBy(*group, "bin").agg(F.count("*").alias("m"), F.first(n).alias("most"))
+    placed = counts.withColumn("before", F.sum("m").over(Window.partitionBy(*group).orderBy("bin")) - F.col("m"))
+    last = placed.filter("before < most").groupBy(*group).agg(F.max(F.struct("bin", F.col("before").alias("under"))).alias("last"))
+    met = cut.join(F.broadcast(materialise(last.select(*group, "last.*").withColumnRenamed("bin", "last"), "last-bins")), group).filter("bin <= last")
+    under = met.filter("bin < last")
+    order = Window.partitionBy(*group).orderBy(value, tie)
+    within = met.filter("bin = last").withColumn("at", F.row_number().over(order)).filter(F.col("at") + F.col("under") <= F.col(n))
+    return under.select(*rows.columns).unionByName(within.select(*rows.columns))

@@ -10,7 +10,7 @@ from quadrille.functions import propagation as P
 from quadrille.operators import bootstrap, buffer, digest, partition, ranks
 from quadrille.operators.shared import materialise
 from quadrille.plans.base import query
-from quadrille.plans.blocks import _BASE, _FSPL, _PAIRS, _TRIM, _placed
+from quadrille.plans.blocks import _BASE, _FSPL, _PAIRS, _TRIM, _placed, trained
 
 B = bootstrap.REPLICATES
 _REPS = f"reps as (select cast(unnest(range({B})) as bigint) as rep)"
@@ -83,12 +83,12 @@ def e20_block_class_bootstrap(spark, sf):
     roles = partition.roles(draws(rows.select("block_id")))
     sets = materialise(buffer.near_sets(rows, BUFFER_M), "near-sets")
     near = materialise(buffer.near_blocks(rows, BUFFER_M).select("node_id", F.size("nbr_blocks").cast("bigint").alias("m")), "near-counts")
-    member, judged = buffer.judged_classes(rows, roles, sets)
+    member, judged = buffer.judged_classes(roles, sets)
     classed = rows.select("node_id", "block_id").join(near, "node_id", "left").fillna(0, "m")
     size = classed.groupBy("m").agg(F.count("*").alias("n"))
     # Draws touch classes of nodes, whose sizes are counted once.
     counts = member.join(classed, "node_id").groupBy("class", "block_id", "m").agg(F.count("*").alias("k"))
-    retained = materialise(counts.join(judged.filter("role = 'test'"), "class").groupBy("seed", "block_id", "m").agg(F.sum(F.when(F.col("kept"), F.col("k")).otherwise(0)).alias("r")), "retained")
+    retained = materialise(counts.join(judged.filter("role = 'test'").drop("block_id"), "class").groupBy("seed", "block_id", "m").agg(F.sum(F.when(F.col("kept"), F.col("k")).otherwise(0)).alias("r")), "retained")
     tests = roles.filter("role = 'test'").select("seed", "block_id")
     trials = bootstrap.replicate_sums(tests, ["block_id"], "seed", []).withColumnRenamed("w", "t")
     kept = bootstrap.replicate_sums(retained, ["block_id", "m"], "seed", ["r"]).drop("w")
@@ -174,17 +174,20 @@ def e32_median_band(spark, sf):
     """
     loss = P.free_space(F.col("dist_m"), F.lit(FREQUENCY))
     levels = F.explode(F.array(F.struct(F.lit("free").alias("model"), F.round(F.col("rssi") + loss, 6).alias("w")), F.struct(F.lit("steep").alias("model"), F.round(F.col("rssi") + 1.5 * loss, 6).alias("w"))))
-    roles = partition.roles(draws(places(spark, sf).select("block_id"))).filter("role = 'train'")
-    train = materialise(nodes(spark, sf).join(F.broadcast(roles), "block_id").select("seed", "is_sentinel", levels.alias("v")).select("seed", "is_sentinel", "v.model", "v.w"), "levels")
+    rows = materialise(nodes(spark, sf).select("block_id", "is_sentinel", levels.alias("v")).select("block_id", "is_sentinel", "v.model", "v.w"), "levels")
+    taken = trained(rows)
     key = ["seed", "model"]
-    sizes = train.groupBy(*key).agg(F.count("*").alias("n"), F.count_if("is_sentinel").alias("n_sentinel")).filter("2 * n_sentinel > n")
+    counts = rows.groupBy("block_id", "model").agg(F.count("*").alias("n"), F.count_if("is_sentinel").alias("n_sentinel"))
+    sizes = counts.join(F.broadcast(taken), "block_id").groupBy(*key).agg(F.sum("n").alias("n"), F.sum("n_sentinel").alias("n_sentinel")).filter("2 * n_sentinel > n")
     share = F.col("n_sentinel").cast("double") / F.col("n")
     wanted = sizes.withColumns({"alpha": 1 - 1 / (2 * share), "beta": 1 / (2 * share)})
     # Each group's ranks are columns: they differ from draw to draw.
     low, high = F.floor(F.col("alpha") * (F.col("n_sentinel") - 1)) + 1, F.ceil(F.col("beta") * (F.col("n_sentinel") - 1)) + 1
-    placed = ranks.ranked(train.filter("is_sentinel").select(*key, "w"), key, ["w"]).join(F.broadcast(wanted), key)
-    ends = placed.groupBy(*key, "n", "n_sentinel", "alpha", "beta").agg(F.max(F.when(F.col("rank") == low, F.col("w"))).alias("q_minus"), F.max(F.when(F.col("rank") == high, F.col("w"))).alias("q_plus"))
-    middle = ranks.quantiles(train, key, "w", {"median": 0.5})
+    one = lambda name, rank: F.struct(F.lit(name).alias("name"), rank.alias("rank"), F.lit(1.0).alias("weight"))
+    ranked = ranks.drawn_values(rows.filter("is_sentinel"), taken, ["model"], "w", lambda _: F.array(one("q_minus", low), one("q_plus", high)), wanted.withColumnRenamed("n", "n_all"))
+    of = lambda name: F.max(F.when(F.col("name") == name, F.col("x"))).alias(name)
+    ends = wanted.join(ranked.groupBy(*key).agg(of("q_minus"), of("q_plus")), key)
+    middle = ranks.drawn_values(rows, taken, ["model"], "w").select(*key, F.col("x").alias("median"))
     inside = (F.col("q_minus") <= F.col("median")) & (F.col("median") <= F.col("q_plus"))
     return ends.join(middle, key).select(*key, "n", "n_sentinel", *[F.round(c, 9).alias(c) for c in ("alpha", "beta")], *_six("q_minus", "q_plus"), F.round(F.col("q_plus") - F.col("q_minus"), 6).alias("width"), *_six("median"), inside.alias("inside"))
 

@@ -14,7 +14,7 @@ from quadrille.functions import stats
 from quadrille.operators import ranks, scoring, solve
 from quadrille.operators.shared import materialise
 from quadrille.plans.base import query
-from quadrille.plans.blocks import _DRIFT, _TRIM, _kept, _roles, drift, populations
+from quadrille.plans.blocks import _DRIFT, _TRIM, _kept, drift, levels, populations, tested, trained
 from quadrille.plans.scalar import _COST, _FRESNEL, _HATA, _KNIFE, _diffraction_sql
 
 #: A linear model of the received power: fixed, as the query's rows must be.
@@ -59,13 +59,13 @@ def model_losses(rows: DataFrame) -> DataFrame:
 @query(f"with {_TRIM}, {_LOSSES} select seed, model, pop, count(*) as n, round(any_value(oa), 6) as offset_all, round(any_value(ob), 6) as offset_valid, round(avg(abs(oa - pl - rssi)), 4) as mae_all, round(avg(abs(ob - pl - rssi)), 4) as mae_valid from te3 join cal3 using (seed, model) group by 1, 2, 3")
 def a04_calibration_of_models(spark, sf):
     """Median offsets of three models from all and from valid training nodes, and the errors that follow."""
-    rows = materialise(nodes(spark, sf).select("node_id", "block_id", "rssi", "is_sentinel", "dist_m"), "levels")
-    train = model_losses(rows.join(F.broadcast(_roles(spark, sf).filter("role = 'train'")), "block_id").select("seed", "rssi", "is_sentinel", "dist_m"))
+    rows = levels(spark, sf)
     level = F.round(F.col("rssi") + F.col("pl"), 6)
     key = ["seed", "model"]
-    middle = lambda df, name: ranks.quantiles(df.select(*key, level.alias("x")), key, "x", {name: 0.5})
-    offsets = middle(train, "oa").join(middle(train.filter("not is_sentinel"), "ob"), key, "left")
-    test = model_losses(_kept(spark, sf).filter("kept and role = 'test'").select("seed", "node_id").join(rows, "node_id"))
+    kinds = F.explode(F.array(F.struct(F.lit("oa").alias("kind"), level.alias("x")), F.struct(F.lit("ob").alias("kind"), F.when(~F.col("is_sentinel"), level).alias("x"))))
+    middles = ranks.drawn_values(model_losses(rows).select("block_id", "model", kinds.alias("v")).select("block_id", "model", "v.*"), trained(rows), ["model", "kind"], "x")
+    offsets = middles.groupBy(*key).agg(*[F.max(F.when(F.col("kind") == k, F.col("x"))).alias(k) for k in ("oa", "ob")])
+    test = model_losses(tested(rows))
     miss = lambda o: F.avg(F.abs(F.col(o) - F.col("pl") - F.col("rssi")))
     found = populations(test).join(F.broadcast(offsets), key).groupBy(*key, "pop").agg(F.count("*").alias("n"), F.max("oa").alias("oa"), F.max("ob").alias("ob"), miss("oa").alias("ma"), miss("ob").alias("mb"))
     return found.select(*key, "pop", "n", F.round("oa", 6).alias("offset_all"), F.round("ob", 6).alias("offset_valid"), F.round("ma", 4).alias("mae_all"), F.round("mb", 4).alias("mae_valid"))

@@ -10,7 +10,7 @@ from quadrille.functions import design
 from quadrille.operators import buffer, partition
 from quadrille.operators.shared import materialise
 from quadrille.plans.base import query
-from quadrille.plans.blocks import _BASE, _DRIFT, _PAIRS, _kept, _roles, calibration, drift
+from quadrille.plans.blocks import _BASE, _DRIFT, _PAIRS, _roles, calibration, drift, levels, tested
 
 #: Runs of two models in four cells: five draws with three seeds each.
 _RUNS = "runs as (select l_partkey % 4 as cell, case when l_orderkey % 2 = 0 then 'graph' else 'perceptron' end as model, l_suppkey % 5 as draw, l_linenumber % 3 as seed, avg(l_quantity) as err from lineitem group by 1, 2, 3, 4)"
@@ -85,13 +85,14 @@ def e17_variance_of_product(spark, sf):
 @query(f"with {_DRIFT}, m as (select seed, median(rssi) as mv from nodes join roles using (block_id) where role = 'train' and not is_sentinel group by 1), l as (select seed, c0 as name, cast(c0 as double) as level from cal, (select unnest(['-100', '-110', '-120', '-130']) as c0) union all select seed, 'valid median', mv from m union all select seed, 'median', c from cal) select l.seed, name, round(avg(abs(level - rssi)), 4) as mae from l join te on te.seed = l.seed where te.pop = 'valid' group by 1, 2")
 def e10_level_sensitivity(spark, sf):
     """Errors on valid test nodes if the constant were another sentinel level, or refitted on valid training nodes."""
-    rows = materialise(nodes(spark, sf).select("node_id", "block_id", "rssi", "is_sentinel"), "levels")
-    train = rows.filter("not is_sentinel").join(F.broadcast(_roles(spark, sf).filter("role = 'train'")), "block_id").groupBy("seed").agg(F.median("rssi").alias("level")).select("seed", F.lit("valid median").alias("name"), "level")
-    whole = calibration(spark, sf).select("seed", F.lit("median").alias("name"), F.col("c").alias("level"))
+    rows = levels(spark, sf)
+    middles = materialise(calibration(rows), "calibration")
+    whole = middles.select("seed", F.lit("median").alias("name"), F.col("c").alias("level"))
+    valid = middles.filter("cv is not null").select("seed", F.lit("valid median").alias("name"), F.col("cv").alias("level"))
     fixed = F.explode(F.array(*[F.struct(F.lit(str(c)).alias("name"), F.lit(float(c)).alias("level")) for c in (-100, -110, -120, -130)]))
-    levels = whole.unionByName(train).unionByName(whole.select("seed", fixed.alias("x")).select("seed", "x.*"))
-    test = _kept(spark, sf).filter("kept and role = 'test'").select("seed", "node_id").join(rows.filter("not is_sentinel").select("node_id", "rssi"), "node_id")
-    return test.join(F.broadcast(levels), "seed").groupBy("seed", "name").agg(F.round(F.avg(F.abs(F.col("level") - F.col("rssi"))), 4).alias("mae"))
+    guesses = whole.unionByName(valid).unionByName(whole.select("seed", fixed.alias("x")).select("seed", "x.*"))
+    test = tested(rows).filter("not is_sentinel").select("seed", "rssi")
+    return test.join(F.broadcast(guesses), "seed").groupBy("seed", "name").agg(F.round(F.avg(F.abs(F.col("level") - F.col("rssi"))), 4).alias("mae"))
 
 
 _NEAR = f"{_BASE},{_PAIRS}, near as (select n.node_id, coalesce(q.m, 0) as m from nodes n left join (select i, count(distinct bj) as m from pairs group by i) q on q.i = n.node_id)"
