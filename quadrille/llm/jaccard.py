@@ -21,8 +21,9 @@ Pairs of nodes are opened from the top down as far as their boxes' sum of minima
 opened pages, the points' own sums of minima decide which pairs survive; survivors are verified on the sets.
 A slab of one page needs no box.
 
-Pairs whose ends are known to be in one component need no look. A few rounds first link every point of
-a slab with one hub, which joins large groups of near copies with as many pairs as they have rows.
+Pairs whose ends are known to be in one component need no look. A few rounds first link points with a hub
+of their slabs, which joins large groups of near copies with no more pairs a round than they have rows.
+Of the pairs left, one of each two components goes first, as one link joins them.
 
 Shingles are 64-bit hashes, of which sets keep 48 bits: two sets of n shingles share one that isn't theirs
 with odds of about n^2 / 2^48. Equal sets go by a 64-bit name; two of V sets have the same with odds of
@@ -265,15 +266,18 @@ def _verify(pairs: DataFrame, members: DataFrame, least: int) -> DataFrame:
 
 
 def _hubs(filed: DataFrame, round_: int, least: int) -> DataFrame:
-    """Pairs of each slab's rows with its hub, where components differ.
+    """Pairs of sets with a hub of their slabs in another component: a set's hub is the one of most of its slabs.
 
-    The first round's hub is the smallest set, later ones draw one a slab. Hubs are found by a partial
-    aggregation; the join with them is one that adaptive execution splits where a slab is large.
+    The first round's hub is the smallest set of a slab, later ones draw one a slab. Hubs are found by a partial
+    aggregation; the join with them is one that adaptive execution splits where a slab is large. There are
+    no more pairs than sets, however many slabs a set of a large group shares with others.
     """
     order = F.struct("n", "sid") if round_ == 0 else F.struct(F.xxhash64(F.lit(SEED + round_), "h", "sid"), F.col("sid"))
     hubs = filed.groupBy("h").agg(F.min_by(F.struct("sid", "n", "left", "comp"), order).alias("hub"))
     paired = filed.join(hubs, "h").filter((F.col("comp") != F.col("hub.comp")) & _near("", "hub.", least))
-    return paired.select(F.least("sid", "hub.sid").alias("a"), F.greatest("sid", "hub.sid").alias("b")).distinct()
+    shared = paired.groupBy("sid", F.col("hub.sid").alias("to")).agg(F.count("*").alias("slabs"))
+    best = shared.groupBy("sid").agg(F.max_by("to", F.struct("slabs", -F.col("to"))).alias("to"))
+    return best.select(F.least("sid", "to").alias("a"), F.greatest("sid", "to").alias("b")).distinct()
 
 
 def _stars(stars: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -298,13 +302,15 @@ def _large(filed: DataFrame) -> DataFrame:
 
 
 def _paged(filed: DataFrame, members: DataFrame, least: int) -> DataFrame:
-    """Pairs across components that share a slab and pass the bounds, node against node, page against page."""
+    """(a, b, u, v, slabs): pairs across components that share a slab and pass the bounds, node against node, page
+    against page, with their components, the smaller first, and in how many slabs they met."""
     large = spool(_large(filed), "large-slabs")
     small = spool(filed.join(_few(spool(large.select("h").distinct(), "large")), "h", "left_anti"), "small-slabs")
     x, y = small.alias("x"), small.alias("y")
-    pairs = x.join(y, F.col("x.h") == F.col("y.h")).filter((F.col("x.sid") < F.col("y.sid")) & (F.col("x.comp") != F.col("y.comp")) & _near("x.", "y.", least)).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
+    pairs = x.join(y, F.col("x.h") == F.col("y.h")).filter((F.col("x.sid") < F.col("y.sid")) & (F.col("x.comp") != F.col("y.comp")) & _near("x.", "y.", least)).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"), F.least("x.comp", "y.comp").alias("u"), F.greatest("x.comp", "y.comp").alias("v"))
+    count = lambda df: df.groupBy("a", "b", "u", "v").agg(F.count("*").alias("slabs"))
     if large.isEmpty():
-        return pairs
+        return count(pairs)
     # Runs of a slab lie in ranges of its order, so that no task holds a whole one; a page never leaves its range.
     order = [F.col("left") * (100 + least) < 2 * F.col("n") * least, F.col("comp"), F.col("n"), F.col("sid")]
     dealt = large.repartitionByRange(F.col("h"), *order).withColumn("range", F.spark_partition_id().cast("bigint"))
@@ -339,11 +345,32 @@ def _paged(filed: DataFrame, members: DataFrame, least: int) -> DataFrame:
             reach = np.concatenate([np.minimum(points[first[x]], points[second[j[i == x]]]).sum(1, dtype=np.int64) for x in np.unique(i)])
             keep = reach * (100 + least) >= wanted[i, j]
             i, j = i[keep], j[keep]
-        a, b = sid[first[i]], sid[second[j]]
-        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+        a, b, u, v = sid[first[i]], sid[second[j]], comp[first[i]], comp[second[j]]
+        ends = {"a": np.minimum(a, b), "b": np.maximum(a, b), "u": np.minimum(u, v), "v": np.maximum(u, v)}
+        return pa.table({k: pa.array(x, pa.int64()) for k, x in ends.items()})
 
-    deep = full.join(sides, ["h", "page"]).groupBy("h", "p", "q").applyInArrow(compare, "a bigint, b bigint")
-    return pairs.unionByName(deep).distinct()
+    deep = full.join(sides, ["h", "page"]).groupBy("h", "p", "q").applyInArrow(compare, "a bigint, b bigint, u bigint, v bigint")
+    return count(pairs.unionByName(deep))
+
+
+def _settled(pairs: DataFrame, members: DataFrame, least: int, stars: DataFrame | None) -> DataFrame:
+    """``stars`` after the links of ``pairs`` (as of ``_paged``, spooled).
+
+    One link joins two components, so where components have many pairs, the one of most slabs goes first;
+    the others are looked at unless their components have become one.
+    """
+    first = spool(pairs.groupBy("u", "v").agg(F.max_by(F.struct("a", "b"), F.struct("slabs", -F.col("a"), -F.col("b"))).alias("p")).select("p.a", "p.b"), "pairs")
+    if 2 * first.count() <= pairs.count():
+        done = spool(first, "first-pairs")
+        stars = _stars(stars, _verify(first, members, least))
+        moves = stars.select(F.col("node").alias("c"), F.col("component").alias("to"))
+        now = lambda df, c: df.join(_few(moves).withColumnRenamed("c", c), c, "left").withColumn(c, F.coalesce("to", c)).drop("to")
+        left = now(now(pairs, "u"), "v").filter("u <> v").join(done, ["a", "b"], "left_anti")
+        before, pairs = pairs, spool(left, "pairs")
+        discard(before, done)
+    else:
+        discard(first)
+    return _stars(stars, _verify(pairs, members, least))
 
 
 #: A node: its least and greatest size, the most left, its counts' maxima, its component if it has but one.
@@ -425,8 +452,7 @@ def _linked(rows: DataFrame, least: int) -> DataFrame:
         before, filed = filed, _relabel(filed, stars)
         discard(before)
     filed = _relabel(whole, stars) if whole else filed
-    rest = _verify(spool(_paged(filed, members, least), "pairs"), members, least)
-    return _stars(stars, rest)
+    return _settled(spool(_paged(filed, members, least), "pairs"), members, least, stars)
 
 
 def classes(docs: DataFrame, k: int = WORDS, least: int = LEAST) -> DataFrame:

@@ -85,3 +85,37 @@ def test_numbers_of_nodes_shrink_to_one(spark, monkeypatch):
         sizes.append(len(own))
         assert len(sizes) < 12
     assert sizes == sorted(sizes, reverse=True) and sizes[-1] == 2
+
+
+def test_a_large_group_has_no_more_pairs_a_round_than_sets(spark, monkeypatch):
+    draw = random.Random(3)
+    base = [f"w{i}" for i in range(150)]
+    texts = [" ".join(x if draw.random() > 0.03 else f"x{draw.random()}" for x in base) for _ in range(70)]
+    texts += [" ".join([f"own{k}x{i}" for i in range(20)] + base[:60] + [f"end{k}x{j}" for j in range(m)]) for k in range(6) for m in range(12)]
+    rows = list(enumerate(texts))
+    root, _ = brute(rows)
+    sizes, hubs = [], J._hubs
+    monkeypatch.setattr(J, "_hubs", lambda *x: (found := hubs(*x), sizes.append(found.count()))[0])
+    monkeypatch.setattr(J, "ROUNDS", 1)
+    found = {r["doc_id"]: r["component_id"] for r in J.classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert found == root
+    assert 0 < max(sizes) <= len(rows), sizes
+
+
+def test_one_pair_of_two_components_goes_first(spark, monkeypatch):
+    of = {i: i // 10 * 10 + 1 for i in (1, 2, 3, 11, 12, 13, 21, 22, 23)}
+    stars = J.spool(spark.createDataFrame(list(of.items()), "node bigint, component bigint"), "stars")
+    most = {(3, 13), (2, 22), (11, 23)}
+    rows = [(a, b, of[a], of[b], 9 if (a, b) in most else 1) for a in of for b in of if of[a] < of[b]]
+    links = spark.createDataFrame([(3, 13), (1, 21)], "a bigint, b bigint")
+    asked = []
+
+    def verify(pairs, *_):
+        asked.append({tuple(r) for r in pairs.select("a", "b").collect()})
+        return J.spool(pairs.select("a", "b").join(links, ["a", "b"], "left_semi"), "verified")
+
+    monkeypatch.setattr(J, "_verify", verify)
+    pairs = J.spool(spark.createDataFrame(rows, "a bigint, b bigint, u bigint, v bigint, slabs bigint"), "pairs")
+    found = {tuple(r) for r in J._settled(pairs, None, 75, stars).collect()}
+    assert asked == [most, {(a, b) for a, b, _, v, _ in rows if v == 21} - most]
+    assert found == {(i, 1) for i in of}
