@@ -19,7 +19,8 @@ component and size, are packed into leaf pages, pages into nodes above them, and
 box (largest count by group, least sizes, most left) bounds the overlap with whatever another node holds.
 Pairs of nodes are opened from the top down as far as their boxes' sum of minima can reach a link. Within
 opened pages, the points' own sums of minima decide which pairs survive; survivors are verified on the sets.
-A slab of one page needs no box.
+Points have several groups a shingle, as two sets of a large group of near copies often fall just short of a
+link: then few pairs survive that aren't links. A slab of one page needs no box.
 
 Pairs whose ends are known to be in one component need no look. A few rounds first link points with a hub
 of their slabs, which joins large groups of near copies with no more pairs a round than they have rows.
@@ -76,8 +77,8 @@ def lead(n: np.ndarray | int, least: int = LEAST):
 
 
 def groups_of(n: int) -> int:
-    """Groups of a point: the power of two that keeps one to two shingles a group, up to 65,536 groups."""
-    return 1 << max(4, min(16, n.bit_length() - 1))
+    """Groups of a point: the power of two that keeps two to four groups a shingle, up to 131,072 groups."""
+    return 1 << max(4, min(17, n.bit_length() + 1))
 
 
 def sets(docs: DataFrame, k: int = WORDS) -> DataFrame:
@@ -89,9 +90,11 @@ def sets(docs: DataFrame, k: int = WORDS) -> DataFrame:
     """
 
     def often(run: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        values, n = np.unique(np.concatenate(list(run.values())), return_counts=True)
-        values, n = values[n > 2], n[n > 2]
+        every = np.concatenate(list(run.values()))
+        every.sort()
+        values = np.unique(every[2:][every[2:] == every[:-2]])
         if len(values):
+            n = np.searchsorted(every, values, "right") - np.searchsorted(every, values)
             nothing = pa.array([None], pa.int64())
             yield pa.RecordBatch.from_pydict({"doc_id": nothing, "mark": nothing, "n": nothing, "sid": nothing, "hashes": pa.array([_pack(values)], pa.binary()), "counts": pa.array([n.astype("<u4").tobytes()], pa.binary())})
 
@@ -138,8 +141,15 @@ def _unpack(data: bytes) -> np.ndarray:
 
 
 def _point(own: np.ndarray) -> bytes:
+    """The counts of a set's groups, a byte each, of which none is above 255."""
     g = groups_of(len(own))
-    return np.bincount((own >> np.uint64(48 - (g.bit_length() - 1))).astype(np.int64), minlength=g).astype("<u2").tobytes()
+    return np.bincount((own >> np.uint64(48 - (g.bit_length() - 1))).astype(np.int64), minlength=g).clip(max=255).astype(np.uint8).tobytes()
+
+
+def _counts(point: bytes, n: int, groups: int) -> np.ndarray:
+    """A set's counts in ``groups`` groups, none too small: what bytes don't hold of its ``n`` is added to all."""
+    own = np.frombuffer(point, np.uint8).reshape(groups, -1).sum(1, dtype=np.int32)
+    return own + np.int32(n - own.sum())
 
 
 def _points(members: DataFrame, few: DataFrame) -> DataFrame:
@@ -214,37 +224,13 @@ def _few(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
 
 
-def _surviving(least: int):
-    """Pairs whose sum of coordinate minima allows a link."""
-
-    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = [_bound(a, b) * (100 + least) >= least * (n + m) for a, b, n, m in zip(batch["ca"].to_pylist(), batch["cb"].to_pylist(), batch["na"].to_pylist(), batch["nb"].to_pylist(), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return bound
-
-
-def _bound(a: bytes, b: bytes) -> int:
-    a, b = np.frombuffer(a, "<u2"), np.frombuffer(b, "<u2")
-    while len(a) > len(b):
-        a = a[::2] + a[1::2]
-    while len(b) > len(a):
-        b = b[::2] + b[1::2]
-    return int(np.minimum(a, b).sum())
-
-
 def _verify(pairs: DataFrame, members: DataFrame, least: int) -> DataFrame:
-    """Of candidate pairs (a, b), spooled, those that link: first by the bound, then by the sets."""
+    """Of candidate pairs (a, b), spooled, those whose sets link. A point is hardly smaller than its set, so
+    no bound goes before."""
     n = pairs.count()
     few = lambda df: in_tasks_of(df, n, TASK_PAIRS)
-    ids = lambda df: spool(few(df.select(F.explode(F.array("a", "b")).alias("sid")).distinct()), "ends")
-    ends = ids(pairs)
-    own = spool(few(_points(members, _few(ends))), "points", POINT_ROWS)
-    side = lambda s: own.select(F.col("sid").alias(s), F.col("n").alias(f"n{s}"), F.col("c").alias(f"c{s}"))
-    alive = spool(few(few(pairs.join(side("a"), "a")).join(side("b"), "b")).select("a", "b", "na", "nb", "ca", "cb").mapInArrow(_surviving(least), "a bigint, b bigint"), "survivors", POINT_ROWS)
-    left = ids(alive)
-    held = spool(few(members.join(_few(left), "sid", "left_semi").groupBy("sid").agg(F.first("hashes").alias("hashes"))), "held")
+    ends = spool(few(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()), "ends")
+    held = spool(few(members.join(_few(ends), "sid", "left_semi").groupBy("sid").agg(F.first("hashes").alias("hashes"))), "held")
 
     def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -258,10 +244,10 @@ def _verify(pairs: DataFrame, members: DataFrame, least: int) -> DataFrame:
                 keep.append(100 * common >= least * (both - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    with_b = few(alive.join(held.select(F.col("sid").alias("b"), F.col("hashes").alias("y")), "b"))
+    with_b = few(pairs.select("a", "b").join(held.select(F.col("sid").alias("b"), F.col("hashes").alias("y")), "b"))
     with_a = few(with_b.join(held.select(F.col("sid").alias("a"), F.col("hashes").alias("x")), "a")).select("a", "b", "x", "y")
     found = spool(with_a.mapInArrow(overlap, "a bigint, b bigint"), "verified", SET_ROWS)
-    discard(pairs, ends, own, alive, left, held)
+    discard(pairs, ends, held)
     return found
 
 
@@ -341,9 +327,7 @@ def _paged(filed: DataFrame, members: DataFrame, least: int) -> DataFrame:
         alive &= np.minimum(left[first, None], left[None, second]) * (100 + least) >= wanted
         i, j = np.nonzero(alive)
         if len(i):
-            points = _folded(rows["c"].to_pylist())
-            reach = np.concatenate([np.minimum(points[first[x]], points[second[j[i == x]]]).sum(1, dtype=np.int64) for x in np.unique(i)])
-            keep = reach * (100 + least) >= wanted[i, j]
+            keep = _reaches(rows["c"].to_pylist(), n, first[i], second[j]) * (100 + least) >= wanted[i, j]
             i, j = i[keep], j[keep]
         a, b, u, v = sid[first[i]], sid[second[j]], comp[first[i]], comp[second[j]]
         ends = {"a": np.minimum(a, b), "b": np.maximum(a, b), "u": np.minimum(u, v), "v": np.maximum(u, v)}
@@ -391,7 +375,7 @@ def _with_parents(level: DataFrame) -> DataFrame:
 
 
 def _box(key: tuple, rows: pa.Table) -> pa.Table:
-    top = np.max([_coarse(c) for c in rows["c"].to_pylist()], axis=0)
+    top = np.max([_counts(c, n, 16) for c, n in zip(rows["c"].to_pylist(), rows["n"].to_pylist(), strict=True)], axis=0)
     n, comps, page = rows["n"].to_numpy(), set(rows["comp"].to_pylist()), key[1].as_py()
     return _node(key[0].as_py(), page, n.min(), n.max(), rows["left"].to_numpy().max(), top.tolist(), comps.pop() if len(comps) == 1 else None)
 
@@ -420,17 +404,19 @@ def _reach(least: int) -> Column:
     return sizes & wanted & ~F.coalesce(F.col("p.only") == F.col("q.only"), F.lit(False))
 
 
-def _folded(counts: list[bytes]) -> np.ndarray:
-    """Points as rows of one table, folded to the coarsest grouping among them."""
-    groups = min(map(len, counts)) // 2
-    return np.stack([np.frombuffer(c, "<u2").reshape(groups, -1).sum(1, dtype=np.uint32) for c in counts])
-
-
-def _coarse(counts: bytes) -> np.ndarray:
-    c = np.frombuffer(counts, "<u2").astype(np.int64)
-    while len(c) > 16:
-        c = c[::2] + c[1::2]
-    return c
+def _reaches(points: list[bytes], n: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The sum of coordinate minima of points p[k] and q[k], each pair folded to the coarser of its own two
+    groupings: a small set in a page doesn't coarsen what the others are compared by."""
+    groups = np.fromiter(map(len, points), np.int64, len(points))
+    shared, found = np.minimum(groups[p], groups[q]), np.zeros(len(p), np.int64)
+    for g in np.unique(shared):
+        of = np.flatnonzero(shared == g)
+        held = np.unique(np.concatenate([p[of], q[of]]))
+        table = np.stack([_counts(points[x], int(n[x]), int(g)) for x in held])
+        for x in np.unique(p[of]):
+            own = of[p[of] == x]
+            found[own] = np.minimum(table[np.searchsorted(held, x)], table[np.searchsorted(held, q[own])]).sum(1, dtype=np.int64)
+    return found
 
 
 def _linked(rows: DataFrame, least: int) -> DataFrame:

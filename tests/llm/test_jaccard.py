@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
 from quadrille.llm import jaccard as J
@@ -119,3 +120,47 @@ def test_one_pair_of_two_components_goes_first(spark, monkeypatch):
     found = {tuple(r) for r in J._settled(pairs, None, 75, stars).collect()}
     assert asked == [most, {(a, b) for a, b, _, v, _ in rows if v == 21} - most]
     assert found == {(i, 1) for i in of}
+
+
+def _hashed(sizes, shared, seed):
+    draw = np.random.default_rng(seed)
+    values = np.unique(draw.integers(0, 1 << 48, sum(sizes) + 200, dtype=np.uint64))
+    draw.shuffle(values)
+    common, rest, out = values[:shared], values[shared:], []
+    for n in sizes:
+        own, rest = rest[: n - shared], rest[n - shared :]
+        out.append(np.sort(np.concatenate([common, own])))
+    return out
+
+
+def test_pairs_just_short_of_a_link_do_not_survive_a_page_of_small_sets():
+    # Pairs share 118 of 146, of which a link needs 126; a set of 16 beside them coarsens nothing.
+    sets = [*_hashed([146] * 40, 118, 1), np.sort(np.random.default_rng(2).integers(0, 1 << 48, 16, dtype=np.uint64))]
+    points, n = [J._point(x) for x in sets], np.array([len(x) for x in sets])
+    p, q = np.triu_indices(40, 1)
+    found = J._reaches(points, n, p, q)
+    assert (found >= 118).all() and (found * 175 >= 75 * 292).mean() < 0.05
+    mixed = J._reaches(points, n, np.append(p, 0), np.append(q, 40))
+    assert (mixed[:-1] == found).all() and mixed[-1] <= 16
+
+
+@pytest.mark.parametrize("sizes", [(30, 40), (300, 310), (1100, 1000), (16, 5000)])
+def test_bounds_are_never_below_the_overlap(sizes, monkeypatch):
+    a, b = _hashed(sizes, min(sizes) - 5, 3)
+    for groups in (None, 16, 2):
+        if groups:
+            # Counts that a byte can't hold.
+            monkeypatch.setattr(J, "groups_of", lambda n, groups=groups: groups)
+        assert J._reaches([J._point(a), J._point(b)], np.array(sizes), np.array([0]), np.array([1]))[0] >= min(sizes) - 5
+        assert (J._counts(J._point(a), len(a), 2) >= np.bincount((a >> np.uint64(47)).astype(np.int64), minlength=2)).all()
+
+
+def test_shingles_that_three_sets_of_a_run_share_are_told(spark):
+    texts = ["a b c d e f g", "b c d e f g h", "c d e f g h i", "d e f g h i j", "c d e f g h i"]
+    rows = J.sets(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)).collect()
+    told = [r for r in rows if r["n"] is None]
+    assert len(told) == 1
+    values, counts = J._unpack(told[0]["hashes"]), np.frombuffer(told[0]["counts"], "<u4")
+    owners = [set(J._unpack(r["hashes"]).tolist()) for r in {r["sid"]: r for r in rows if r["n"]}.values()]
+    assert {v: k for v, k in zip(values.tolist(), counts.tolist(), strict=True)} == {v: k for v in set().union(*owners) if (k := sum(v in o for o in owners)) > 2}
+    assert len(values) == 2
