@@ -140,9 +140,9 @@ def _unpack(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _point(own: np.ndarray) -> bytes:
-    """The counts of a set's groups, a byte each, of which none is above 255."""
-    g = groups_of(len(own))
+def _point(own: np.ndarray, halvings: int = 0) -> bytes:
+    """The counts of a set's groups, a byte each, of which none is above 255; each halving has half the groups."""
+    g = groups_of(len(own)) >> halvings
     return np.bincount((own >> np.uint64(48 - (g.bit_length() - 1))).astype(np.int64), minlength=g).clip(max=255).astype(np.uint8).tobytes()
 
 
@@ -152,12 +152,12 @@ def _counts(point: bytes, n: int, groups: int) -> np.ndarray:
     return own + np.int32(n - own.sum())
 
 
-def _points(members: DataFrame, few: DataFrame) -> DataFrame:
+def _points(members: DataFrame, few: DataFrame, halvings: int = 0) -> DataFrame:
     """(sid, n, c): the points of the sets that ``few`` names; hashes stay where they are."""
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [_point(_unpack(h)) for h in batch["hashes"].to_pylist()]
+            own = [_point(_unpack(h), halvings) for h in batch["hashes"].to_pylist()]
             yield pa.RecordBatch.from_pydict({"sid": batch["sid"], "n": batch["n"], "c": pa.array(own, pa.binary())})
 
     found = members.join(few, "sid", "left_semi").select("sid", "n", "hashes").mapInArrow(place, "sid bigint, n bigint, c binary")
@@ -224,13 +224,34 @@ def _few(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
 
 
+def _surviving(least: int):
+    """Pairs whose sum of coordinate minima allows a link."""
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [_bound(a, b, n, m) * (100 + least) >= least * (n + m) for a, b, n, m in zip(batch["ca"].to_pylist(), batch["cb"].to_pylist(), batch["na"].to_pylist(), batch["nb"].to_pylist(), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return bound
+
+
+def _bound(a: bytes, b: bytes, n: int, m: int) -> int:
+    groups = min(len(a), len(b))
+    return int(np.minimum(_counts(a, n, groups), _counts(b, m, groups)).sum())
+
+
 def _verify(pairs: DataFrame, members: DataFrame, least: int) -> DataFrame:
-    """Of candidate pairs (a, b), spooled, those whose sets link. A point is hardly smaller than its set, so
-    no bound goes before."""
+    """Of candidate pairs (a, b), spooled, those that link: first by the bound, with points of half the groups as
+    every pair gets two of them, then by the sets."""
     n = pairs.count()
     few = lambda df: in_tasks_of(df, n, TASK_PAIRS)
-    ends = spool(few(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()), "ends")
-    held = spool(few(members.join(_few(ends), "sid", "left_semi").groupBy("sid").agg(F.first("hashes").alias("hashes"))), "held")
+    ids = lambda df: spool(few(df.select(F.explode(F.array("a", "b")).alias("sid")).distinct()), "ends")
+    ends = ids(pairs)
+    own = spool(few(_points(members, _few(ends), 1)), "points", POINT_ROWS)
+    side = lambda s: own.select(F.col("sid").alias(s), F.col("n").alias(f"n{s}"), F.col("c").alias(f"c{s}"))
+    alive = spool(few(few(pairs.join(side("a"), "a")).join(side("b"), "b")).select("a", "b", "na", "nb", "ca", "cb").mapInArrow(_surviving(least), "a bigint, b bigint"), "survivors", POINT_ROWS)
+    left = ids(alive)
+    held = spool(few(members.join(_few(left), "sid", "left_semi").groupBy("sid").agg(F.first("hashes").alias("hashes"))), "held")
 
     def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -244,10 +265,10 @@ def _verify(pairs: DataFrame, members: DataFrame, least: int) -> DataFrame:
                 keep.append(100 * common >= least * (both - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    with_b = few(pairs.select("a", "b").join(held.select(F.col("sid").alias("b"), F.col("hashes").alias("y")), "b"))
+    with_b = few(alive.join(held.select(F.col("sid").alias("b"), F.col("hashes").alias("y")), "b"))
     with_a = few(with_b.join(held.select(F.col("sid").alias("a"), F.col("hashes").alias("x")), "a")).select("a", "b", "x", "y")
     found = spool(with_a.mapInArrow(overlap, "a bigint, b bigint"), "verified", SET_ROWS)
-    discard(pairs, ends, held)
+    discard(pairs, ends, own, alive, left, held)
     return found
 
 
